@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import simhash
+from millrace.llm import packing, simhash, suffix
 from millrace.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, links at 3 bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
     return found.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 400-byte strings, removed from every document."""
+    return suffix.drop_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op2"), threshold=400)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op3"), tokenizer_path(), size=2048)
