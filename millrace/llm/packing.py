@@ -51,7 +51,9 @@ class WordEncoder:
         self.end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def __call__(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "replace").split()
+        data = (text or "").encode("utf-8", "replace")
+        # the tokenizer lower-cases; names of special tokens are matched before that
+        words = (data if b"<|" in data else data.lower()).split()
         known = self.known
         new = list(set(words).difference(known))
         if new:
@@ -60,8 +62,10 @@ class WordEncoder:
                 new = list(set(words))
             for i in range(0, len(new), 4096):
                 part = new[i : i + 4096]
-                for w, e in zip(part, self.tok.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+                e = self.tok.encode([w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
+                ids, cut = np.array(e.ids, "<u4").tobytes(), np.zeros(len(part) + 1, np.int64)
+                cut[1:] = 4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+                known.update((w, ids[s:t]) for w, s, t in zip(part, cut[:-1].tolist(), cut[1:].tolist()))
         return b"".join(map(known.__getitem__, words)) + self.end
 
 
@@ -113,17 +117,37 @@ def best_pattern(price: np.ndarray, weight: np.ndarray, room: int) -> tuple[floa
     return float(value[room]), count
 
 
-def column_generation(weight: np.ndarray, demand: np.ndarray, room: int, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Fractional cutting stock: (patterns as columns, how often each is used).
-    ``weight`` ascending; the basis starts with one single-bin pattern per bin."""
+def start_basis(weight: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
+    """Patterns from a widest-first fill, each repeated until it exhausts a bin;
+    the bin it exhausts is in no later pattern, so the columns are a basis."""
     m = len(weight)
-    basis = np.diag((room // weight).astype(float))
-    inv = np.diag(1.0 / np.diag(basis))
-    x = inv @ demand
+    rest, live = demand.astype(float).copy(), np.ones(m, bool)
+    basis = np.zeros((m, m))
+    while live.any():
+        column, free = np.zeros(m), room
+        for seed, j in enumerate(np.flatnonzero(live)[::-1]):
+            n = min(max(int(rest[j]), not seed), free // int(weight[j]))
+            column[j], free = n, free - n * int(weight[j])
+        some = np.flatnonzero(column)
+        times = rest[some] / column[some]
+        r = some[int(np.argmin(times))]
+        rest[some] = np.maximum(rest[some] - column[some] * times.min(), 0)
+        rest[r], live[r] = 0, False
+        basis[:, r] = column
+    return basis
+
+
+def column_generation(weight: np.ndarray, demand: np.ndarray, room: int, rounds: int = 4000, gap: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Fractional cutting stock: (patterns as columns, how often each is used).
+    ``weight`` ascending. It ends within ``gap`` of the optimum: the total over the best pattern's
+    value is a lower bound."""
+    basis = start_basis(weight, demand, room)
+    inv = np.linalg.inv(basis)
+    x = np.maximum(inv @ demand, 0)
     for step in range(rounds):
         price = inv.sum(axis=0)  # every pattern costs one sequence
         value, column = best_pattern(np.maximum(price, 0), weight, room)
-        if value <= 1 + 1e-7:
+        if value <= 1 + gap:
             break
         d = inv @ column
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)

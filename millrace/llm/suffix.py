@@ -275,15 +275,16 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, threshold: int = 400, grou
     row (rid, doc_id, spans) for documents that lose bytes."""
     spark = docs.sparkSession
     anchors = scratch.keep(docs.select("rid", "text").mapInArrow(lambda it, f=_anchor_rows(threshold): _grouped(f(it)), "rid long, pos long, key long"), "anchors")
-    again = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written, so that the join below reads two plain shuffles and a hot key can be split
+    again = scratch.keep(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
     at = anchors.join(again, "key").groupBy("rid").agg(F.collect_set("pos").alias("at"))
     work = scratch.keep(docs.select("rid", "doc_id", "text").join(at, "rid"), "candidates")
-    scratch.drop(anchors)
+    scratch.drop(anchors, again)
     occ = scratch.keep(work.mapInArrow(_occurrences(threshold), _OCC), "occurrences")
 
     rep = F.min(F.struct("rid", "pos")).alias("rep")
     ctx = scratch.keep(occ.groupBy("key", "ctx").agg(F.count("*").alias("n"), rep), "neighbourhoods")
-    mixed = ctx.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("low")).where("m > 1 and low = 1").select("key", "m")
+    mixed = scratch.keep(ctx.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("low")).where("m > 1 and low = 1").select("key", "m"), "mixed")
     need = ctx.join(mixed, "key").select(F.col("rep.rid").alias("rid"), "m", F.struct(F.col("rep.pos").alias("pos"), "key", "ctx", (F.col("n") == 1).alias("alone")).alias("x"))
 
     def sides(rows: DataFrame) -> DataFrame:
@@ -301,7 +302,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, threshold: int = 400, grou
         some = some.unionByName(win.where("alone").join(twice, ["a", "h"]).groupBy("ctx").agg(F.max("a").alias("left"), (k - F.min("a")).alias("right")))
     k = threshold // 2
     full = ctx.where("n > 1").select("ctx", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"))
-    known = full.unionByName(some)
+    known = scratch.keep(full.unionByName(some), "known")
     span = F.struct(F.coalesce(F.col("pos") - F.col("left"), F.col("first")).alias("s"), F.coalesce(F.col("pos") + k + F.col("right"), F.col("last")).alias("e"))
     spans = occ.select("rid", "doc_id", "pos", "first", "last", "ctx").join(known, "ctx").groupBy("rid", "doc_id").agg(F.collect_set(span).alias("spans"))
     return work, spans
