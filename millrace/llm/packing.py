@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.blas import single_thread
 from millrace.llm.scratch import Scratch
 
 _CACHE_WORDS = 400_000
@@ -141,6 +142,7 @@ def column_generation(weight: np.ndarray, demand: np.ndarray, room: int, rounds:
     """Fractional cutting stock: (patterns as columns, how often each is used).
     ``weight`` ascending. It ends within ``gap`` of the optimum: the total over the best pattern's
     value is a lower bound."""
+    single_thread()
     basis = start_basis(weight, demand, room)
     inv = np.linalg.inv(basis)
     x = np.maximum(inv @ demand, 0)
