@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, quality_rules, sharding, simhash, suffix
+from millrace.llm import embed_dedup, packing, quality_rules, sharding, simhash, suffix
 from millrace.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"), Scratch(spark, "op10"), shards=40)
+
+
+@query
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all embeddings at cosine 0.9."""
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"), threshold=0.9)
