@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import embed_dedup, packing, quality_rules, sharding, simhash, suffix
+from millrace.llm import embed_dedup, packing, quality_model, quality_rules, sharding, simhash, suffix
 from millrace.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all embeddings at cosine 0.9."""
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"), threshold=0.9)
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
