@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import embed_dedup, packing, quality_model, quality_rules, sharding, simhash, suffix
+from millrace.llm import embed_dedup, licenses, mixing, packing, quality_model, quality_rules, secrets, sharding, simhash, suffix
 from millrace.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,26 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+#: Token shares of the mix, by language.
+MIX_TARGETS = {"en": 0.58, "fr": 0.17, "de": 0.16, "es": 0.09}
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and sampling rates of all documents."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op4"), MIX_TARGETS)
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all documents with the forest's verdict; values as digests."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("line").cast("long").alias("line"), F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("n_chars"), F.round("score", 6).alias("score"), "is_secret")
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best licence match of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
