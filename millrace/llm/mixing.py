@@ -1,7 +1,8 @@
 """Mixing documents to target weights by soft domain membership.
 
-A naive Bayes classifier over hashed words learns the domains from labelled
-documents and gives every document a posterior over domains. Document rates are
+A classifier over hashed words learns the domains from labelled documents: each
+word has a posterior over domains, and a document's is the average of its words',
+weighted by how telling they are. Document rates are
 then fitted by projected gradient descent on least squares: the expected tokens
 of each domain, summed over documents as rate x tokens x posterior, should equal
 the targets. Rates are kept nonnegative by projection in every step.
@@ -23,40 +24,42 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.lower(word)), F.lit(buckets)).cast("int")
+    return F.when(word.isNotNull(), F.pmod(F.xxhash64(F.lower(word)), F.lit(buckets)).cast("int"))
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], domain: str = "lang", buckets: int = 4096, train_docs: int = 2000, text: str = "text") -> DataFrame:
-    """(bucket, l0, l1, ...): log-likelihoods with add-one smoothing, from at
-    most ``train_docs`` documents of the labelled table, lowest by id hash."""
+def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], domain: str = "lang", buckets: int = 4096, train_docs: int = 2000, text: str = "text", smoothing: float = 0.5) -> DataFrame:
+    """(bucket, g0, g1, ...): posterior of each domain for a word of the bucket,
+    times how far the best is above chance. From at most ``train_docs`` documents
+    of the labelled table, lowest by id hash."""
     pick = labels.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit("mix"), "doc_id"), "doc_id").limit(train_docs)
     own = docs.join(F.broadcast(pick), "doc_id", "left_semi").where(F.col(domain).isin(domains))
     seen = own.select(F.col(domain).alias("d"), F.explode(_words(F.col(text).cast("string"))).alias("w"))
     counts = seen.groupBy("d", _bucket(F.col("w"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
+    k = range(len(domains))
     wide = counts.groupBy("bucket").agg(*(F.coalesce(F.sum(F.when(F.col("d") == name, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, name in enumerate(domains)))
-    all_buckets = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    wide = all_buckets.join(wide, "bucket", "left").na.fill(0)
-    totals = wide.agg(*(F.sum(f"n{i}").alias(f"t{i}") for i in range(len(domains))))
+    totals = wide.agg(*(F.sum(f"n{i}").alias(f"t{i}") for i in k))
     both = wide.crossJoin(F.broadcast(totals))  # one row of totals
-    return both.select("bucket", *(F.log((F.col(f"n{i}") + 1) / (F.col(f"t{i}") + buckets)).alias(f"l{i}") for i in range(len(domains))))
+    both = both.select("bucket", *(((F.col(f"n{i}") + smoothing) / (F.col(f"t{i}") + smoothing * buckets)).alias(f"f{i}") for i in k))
+    total = sum((F.col(f"f{i}") for i in k), F.lit(0.0))
+    both = both.select("bucket", *((F.col(f"f{i}") / total).alias(f"p{i}") for i in k))
+    sure = F.array_max(F.array(*(F.col(f"p{i}") for i in k))) - 1 / len(domains)
+    return both.select("bucket", *((F.col(f"p{i}") * sure).alias(f"g{i}") for i in k))
 
 
-def posteriors(docs: DataFrame, model: DataFrame, n: int, evidence: int = 40, buckets: int = 4096, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, n_tokens and p (array of ``n``) for each row. A document's mean
-    log-likelihood counts as at most ``evidence`` words, so that long documents
-    of mixed content keep a soft posterior; one without words has an even one."""
+def posteriors(docs: DataFrame, model: DataFrame, n: int, buckets: int = 4096, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, n_tokens and p (array of ``n``) for each row: the words' posteriors,
+    averaged by their weights, so that mixed documents stay mixed. A document
+    without a telling word has an even posterior."""
     own = docs.select(*keep, F.col(text).cast("string").alias("__t")).withColumn("__row", F.monotonically_increasing_id())
     words = own.select(*keep, "__row", F.explode_outer(_words(F.coalesce("__t", F.lit("")))).alias("w"))
     hit = words.withColumn("bucket", _bucket(F.col("w"), buckets)).join(F.broadcast(model), "bucket", "left")
-    sums = hit.groupBy("__row", *keep).agg(F.count("w").alias("n_tokens"), *(F.coalesce(F.avg(f"l{i}"), F.lit(0.0)).alias(f"l{i}") for i in range(n)))
-    z = [F.least(F.col("n_tokens"), F.lit(evidence)) * (F.col(f"l{i}") - F.greatest(*(F.col(f"l{j}") for j in range(n)), F.lit(-1e9))) for i in range(n)]
-    sums = sums.select(*keep, "n_tokens", F.array(*(F.exp(x) for x in z)).alias("e"))
-    total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x)
-    return sums.select(*keep, "n_tokens", F.transform("e", lambda x: x / total).alias("p"))
+    sums = hit.groupBy("__row", *keep).agg(F.count("w").alias("n_tokens"), *(F.coalesce(F.sum(f"g{i}"), F.lit(0.0)).alias(f"g{i}") for i in range(n)))
+    total = sum((F.col(f"g{i}") for i in range(n)), F.lit(0.0))
+    return sums.select(*keep, "n_tokens", F.array(*(F.when(total > 0, F.col(f"g{i}") / F.when(total > 0, total)).otherwise(1 / n) for i in range(n))).alias("p"))
 
 
 def _rate(steps: list[list[float]], n: int) -> Column:

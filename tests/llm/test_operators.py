@@ -1,0 +1,368 @@
+"""Corpus operators against brute force, with nulls, empty and long texts, ties,
+repeated rows, empty tables and columns whose names clash with internal ones."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from millrace.llm import embed_dedup, licenses, mixing, packing, quality_model, quality_rules, secrets, sharding, simhash, suffix
+from millrace.llm.queries import tokenizer_path
+from millrace.llm.scratch import Scratch
+
+SCHEMA = "doc_id long, text string, lang string, fp string, key int, rid int, score double, w int, bin int, bucket int, node int"
+
+
+def make(spark, texts, ids=None):
+    ids = list(range(len(texts))) if ids is None else ids
+    langs = ["en", "fr", None]
+    return spark.createDataFrame([(i, t, langs[k % 3], "x", 1, 2, 0.5, 3, 4, 5, 6) for k, (i, t) in enumerate(zip(ids, texts))], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(8)
+    words = ["alpha", "beta", "Gamma", "delta", "epsilon", "zeta", "éta", "theta"]
+    doc = lambda n: " ".join(r.choice(words) for _ in range(n))
+    base = [doc(r.randint(1, 60)) for _ in range(30)]
+    return [None, "", " \t\n ", "one", "ONE", *base, *base[:4], base[5] + " tail", "x" * 200_000, "a\n" * 3000, doc(9000)]
+
+
+@pytest.fixture
+def docs(spark, texts):
+    return make(spark, texts)
+
+
+@pytest.fixture
+def none(spark):
+    return make(spark, [])
+
+
+def rows(df, key="doc_id"):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r[key], []).append(r)
+    return out
+
+
+# ---- 1 ---------------------------------------------------------------------------
+
+
+def brute_fingerprint(text):
+    t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    sh = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = np.array([xxhash.xxh64_intdigest(s.encode(), 42) for s in sh], np.uint64)
+    return sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+
+
+def test_simhash(spark, docs, texts, none):
+    got = rows(simhash.near_duplicates(docs, Scratch(spark, "t")).select("doc_id", simhash.hex64("fp").alias("fp"), "component_id"))
+    fps = [brute_fingerprint(t) for t in texts]
+    assert all(got[i][0]["fp"] == format(f, "016x") for i, f in enumerate(fps))
+    label = list(range(len(fps)))
+    for _ in fps:
+        label = [min(label[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(fps))]
+    assert [got[i][0]["component_id"] for i in range(len(fps))] == label
+    assert simhash.near_duplicates(none, Scratch(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("group_rows", [4096, 40, 5])
+def test_index_finds_all_links_whatever_the_group_size(spark, group_rows):
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(12)]
+    fps = set(base)
+    for b in base[:6]:
+        for _ in range(25):
+            b ^= 1 << r.randrange(64)
+            fps.add(b ^ (1 << r.randrange(64)))
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(2)
+    from millrace.llm.components import components
+
+    s = Scratch(spark, "t")
+    found = {x["node"]: x["root"] for x in components(simhash.hamming_edges(df, s, 3, group_rows), s).collect()}
+    label = dict(zip(signed, signed))
+    for _ in range(40):
+        label = {a: min(label[b] for g, b in zip(fps, signed) if (f ^ g).bit_count() <= 3) for f, a in zip(fps, signed)}
+    assert {a: found.get(a, a) for a in signed} == label
+
+
+def test_near_dedup_keeps_one_row_of_each_class(spark, texts):
+    df = make(spark, [*texts, texts[6], texts[6]], [*range(len(texts)), 6, None])
+    out = simhash.drop_near_duplicates(df, Scratch(spark, "t"))
+    assert out.columns == df.columns
+    comp = rows(simhash.near_duplicates(df, Scratch(spark, "t")))
+    kept = [r["doc_id"] for r in out.collect()]
+    assert sorted(kept) == sorted({r["component_id"] for v in comp.values() for r in v})
+
+
+# ---- 2 ---------------------------------------------------------------------------
+
+
+def brute_repeats(texts, t):
+    data = [(x or "").encode() for x in texts]
+    seen = Counter(d[i : i + t] for d in data for i in range(len(d) - t + 1))
+    out = []
+    for d in data:
+        cover = bytearray(len(d))
+        for i in range(len(d) - t + 1):
+            if seen[d[i : i + t]] > 1:
+                cover[i : i + t] = b"\1" * t
+        left = bytes(x for x, y in zip(d, cover) if not y)
+        out.append((len(d), sum(cover), sum(1 for i in range(len(d)) if cover[i] and not (i and cover[i - 1])), hashlib.sha256(left).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("t, group_rows", [(9, 20000), (12, 2), (25, 20000)])
+def test_repeats(spark, t, group_rows):
+    r = random.Random(t)
+    texts = ["".join(r.choice("abé") for _ in range(r.randint(0, 70))) for _ in range(60)] + [None, "", "a" * 50, "ab" * 30]
+    texts += texts[:3]
+    got = rows(suffix.drop_repeats(make(spark, texts), Scratch(spark, "t"), t, group_rows))
+    assert [tuple(got[i][0][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == brute_repeats(texts, t)
+
+
+def test_repeats_in_long_texts_repeated_rows_and_none(spark, none):
+    r = random.Random(1)
+    long = "".join(r.choice("abcdefgh") for _ in range(600_000))
+    same = long[262_000:262_700]
+    df = make(spark, [long, "tail " + same, "once", "twice" * 100, "twice" * 100], [1, 2, 3, 4, 4])
+    got = rows(suffix.drop_repeats(df, Scratch(spark, "t"), 400))
+    assert got[1][0]["n_removed"] == 700 and got[2][0]["n_removed"] == 700 and got[3][0]["n_removed"] == 0
+    assert len(got[4]) == 2 and all(x["n_removed"] == 500 for x in got[4])
+    assert suffix.drop_repeats(none, Scratch(spark, "t")).count() == 0
+
+
+# ---- 3 ---------------------------------------------------------------------------
+
+
+def test_packing_places_every_token_once(spark, docs, texts, none):
+    from tokenizers import Tokenizer
+
+    got = packing.pack(docs, Scratch(spark, "t"), tokenizer_path(), size=128, keep_ids=True).collect()
+    tok = Tokenizer.from_file(tokenizer_path())
+    for i, t in enumerate(texts):
+        want = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+        mine = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["start"])
+        assert b"".join(r["ids"] for r in mine) == want
+        assert all(r["doc_tokens"] == len(want) // 4 and r["ids_crc32"] == zlib.crc32(r["ids"]) for r in mine)
+    seq = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == seq.get(r["sequence_id"], 0)
+        seq[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(seq.values()) <= 128
+    assert packing.pack(none, Scratch(spark, "t"), tokenizer_path()).count() == 0
+
+
+def test_encoder_equals_the_tokenizer_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    tok, enc, r = Tokenizer.from_file(tokenizer_path()), packing.WordEncoder(tokenizer_path(), None), random.Random(4)
+    parts = [*"abAB'sSt dD́̈ÅΣσς  　\x1c\x85İ1.,!\t\n\r\x0b\x0cé​", "<|endoftext|>", "<|ENDOFTEXT|>", "'ll", "don't"]
+    for _ in range(3000):
+        x = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        assert enc(x) == np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
+
+
+def test_column_generation_is_near_the_bound():
+    r = np.random.default_rng(6)
+    hist = Counter((1 + r.integers(0, 63, 5000)).tolist())
+    plan = packing.make_plan(dict(hist), 64)
+    used = Counter()
+    for b, lo, hi, _, _ in plan.ranges:
+        used[b] += hi - lo
+    assert used == hist
+    assert plan.sequences <= 1.01 * sum(k * n for k, n in hist.items()) / 64 + 1
+    assert packing.make_plan({}, 64).sequences == 0
+
+
+# ---- 4 ---------------------------------------------------------------------------
+
+
+def test_mixing_meets_targets(spark, none):
+    r = random.Random(2)
+    en, fr = ["the", "and", "of", "house"], ["le", "et", "des", "maison"]
+    data, labels = [], []
+    for i in range(120):
+        lang = "en" if i % 4 else "fr"
+        data.append((i, " ".join(r.choice(en if lang == "en" else fr) for _ in range(r.randint(5, 60))), lang))
+        labels.append((i, 1))
+    data += [(200, None, "en"), (201, "", "fr"), (202, "the le " * 40, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = mixing.mix(df, lab, Scratch(spark, "t"), {"en": 0.5, "fr": 0.5}, buckets=256).toPandas().set_index("doc_id")
+    tokens = {d: (got[f"p_{d}"] * got.n_tokens * got.rate).sum() for d in ("en", "fr")}
+    assert abs(tokens["en"] - tokens["fr"]) < 1e-3 * sum(tokens.values())
+    assert (got.rate >= 0).all() and got.loc[0].p_fr > 0.99 and got.loc[1].p_en > 0.99
+    assert 0.2 < got.loc[202].p_en < 0.8 and got.loc[200].p_en == 0.5 and got.loc[201].n_tokens == 0
+    assert mixing.mix(none, lab, Scratch(spark, "t"), {"en": 1, "fr": 1}).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(df, lab, Scratch(spark, "t"), {"en": -1.0})
+    thin = mixing.thin(df, lab, Scratch(spark, "t"), {"en": 0.5, "fr": 0.5})
+    assert thin.columns == df.columns and 0 < thin.count() < df.count()
+
+
+# ---- 5 ---------------------------------------------------------------------------
+
+
+def test_quality_rules_base(docs, texts, none):
+    got = rows(quality_rules.quality(docs))
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        tri = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        c = Counter(tri)
+        cover = {k + j for k, x in enumerate(tri) if c[x] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover))
+        r = got[i][0]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
+    assert quality_rules.quality(none).count() == 0
+
+
+def test_quality_rules_lines(spark):
+    r = random.Random(9)
+    prose = "\n".join(" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(20)) + "." for _ in range(8))
+    menu = "\n".join(" | ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(20)) for _ in range(8))
+    got = rows(quality_rules.quality(make(spark, [prose, menu, prose + "\nWe use cookies. Accept all cookies"])))
+    assert got[0][0]["kept"] and got[0][0]["cleaned"] == prose
+    assert not got[1][0]["kept"] and got[1][0]["cleaned"] == ""
+    assert got[2][0]["kept"] and got[2][0]["cleaned"] == prose
+
+
+# ---- 6 ---------------------------------------------------------------------------
+
+
+def test_quality_model_learns_and_holds_out(spark, none):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdeghilnorst") for _ in range(r.randint(2, 8)))
+    good = lambda: " ".join(word() for _ in range(r.randint(10, 60)))
+    bad = [lambda: " ".join(word().upper() + "!!" for _ in range(40)), lambda: " ".join(x for _ in range(5) for x in [word()] * 9), lambda: " | ".join(word() for _ in range(40))]
+    data = [(i, bad[i % 3]() if i % 4 == 0 else good(), i) for i in range(400)]
+    df = make(spark, [t for _, t, _ in data] + [None, "", data[1][1]], [i for i, _, _ in data] + [500, 501, None])
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = rows(quality_model.classify(df, labels))
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i][0]["held_out"] for i in held)
+    assert sum(got[i][0]["predicted"] == (0 if i % 4 == 0 else 1) for i in held) >= 0.97 * len(held)
+    assert got[500][0]["score"] == got[501][0]["score"] and 0 <= got[500][0]["score"] <= 1
+    assert got[None][0]["score"] == got[1][0]["score"] and not got[None][0]["held_out"]
+    assert quality_model.classify(none, labels).count() == 0
+    assert quality_model.classify(df, labels.limit(0)).where("score <> 0.5").count() == 0
+    kept = quality_model.keep_good(df, labels)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {k for k, v in got.items() if v[0]["predicted"]}
+
+
+# ---- 7 ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("cell_rows, block_rows", [(512, 2048), (20, 7)])
+def test_embeddings(spark, cell_rows, block_rows):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 12))
+    x[60:90] = x[0] + 0.1 * rng.normal(size=(30, 12))
+    x[90:100] = x[1] * 3
+    vecs = [v.tolist() for v in x] + [None, [], [0.0] * 12, [float("nan")] * 12, [None] * 12, [1.0, 2.0]]
+    df = spark.createDataFrame([(i, v, "c") for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, cell string").repartition(3)
+    got = rows(embed_dedup.near_duplicates(df, Scratch(spark, "t"), 0.9, cell_rows, block_rows=block_rows), "vec_id")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= 0.9
+    label = np.arange(120)
+    for _ in range(120):
+        label = np.array([label[link[i]].min() for i in range(120)])
+    links = [got[i][0]["n_links"] for i in range(120)]
+    want = link.sum(axis=1) - 1
+    assert (np.array(links) <= want).all() and sum(links) >= 0.9 * want.sum()
+    if cell_rows == 512:
+        assert links == want.tolist() and [got[i][0]["component_id"] for i in range(120)] == label.tolist()
+    assert all(got[i][0]["n_links"] == 0 and got[i][0]["kept"] for i in range(120, 126))
+    assert embed_dedup.near_duplicates(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+# ---- 8, 9, 10 ----------------------------------------------------------------------
+
+
+def test_secrets(spark, none):
+    real = hashlib.sha1(b"k").hexdigest()
+    texts = [f'plain words token = "{real}" and more', "card 4886270619807597 here", f"commit {real} fixes it", 'api_key = "your_example_key_here_123"', None, "", f'token = "{real}"\ntoken = "{real}"']
+    df = make(spark, texts)
+    got = rows(secrets.scan(df))
+    assert got[0][0]["candidate"] == real and got[0][0]["is_secret"]
+    assert not any(r["is_secret"] for i in (1, 2, 3) for r in got.get(i, []))
+    assert [r["line"] for r in got[6]] == [0, 1] and 4 not in got and 5 not in got
+    out = rows(secrets.redact(df))
+    assert out[0][0]["text"] == 'plain words token = "[SECRET]" and more' and out[1][0]["text"] == texts[1] and out[4][0]["text"] is None
+    assert secrets.redact(df).columns == df.columns and secrets.scan(none).count() == 0
+
+
+def test_forest_holds_out_findings(spark):
+    rows_ = secrets.labelled_findings(600, seed=77)
+    df = spark.createDataFrame([(f"{b}{c}", y, c) for c, b, y in rows_], "text string, y int, c string").withColumn("doc_id", F.monotonically_increasing_id())
+    found = secrets.scan(df).join(df, "doc_id").where("candidate = c")
+    acc = found.agg(F.avg((F.col("is_secret") == (F.col("y") == 1)).cast("double"))).first()[0]
+    assert acc > 0.95
+
+
+def test_licenses(spark, none):
+    texts = ["Body.\nReleased under the MIT License.\nMore.", "licensed   UNDER the apache license; version 2.0", "All rights reserved.", "The license of the house was green and old.", None, "", "All rights reserved.\nLicensed under CC BY-NC 4.0."]
+    got = rows(licenses.scan(make(spark, texts)))
+    assert [got[i][0]["license"] for i in range(7)] == ["MIT", "Apache-2.0", "Proprietary", None, None, None, "CC-BY-NC-4.0"]
+    assert got[6][0]["licenses"] == "CC-BY-NC-4.0,Proprietary" and got[1][0]["dice"] == 1.0
+    assert licenses.scan(none).count() == 0
+
+
+def test_license_pruning_loses_nothing():
+    r = random.Random(3)
+    own = licenses.templates(0.8)
+    for _ in range(400):
+        t = r.choice([x for v in licenses.TEMPLATES.values() for x in v])
+        words = t.split()
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = r.choice(["foo", "the", "license", ""])
+        line = " ".join(words)
+        n = len(licenses.bigrams(licenses.normalise(line)))
+        for x in own:
+            grams = licenses.bigrams(licenses.normalise(line))
+            score = 2 * len(set(grams) & set(x["grams"])) / (n + len(x["grams"])) if n else 0
+            if score >= 0.8:
+                assert x["low"] <= n <= x["high"] and re.search("(?i)" + "|".join(x["anchors"]), line)
+
+
+def test_sharding(spark, docs, texts, none):
+    got = sharding.shard(docs, Scratch(spark, "t"), shards=4).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        data = (texts[r["doc_id"]] or "").encode()
+        assert r["size"] == len(data) + 16 and r["text_crc32"] == zlib.crc32(data)
+    for s in {r["shard"] for r in got}:
+        own = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert own == list(range(len(own)))
+    assert sharding.shard(none, Scratch(spark, "t")).count() == 0
+
+
+def test_slot_map_versions_and_rebalancing(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/map"
+    sharding.shard(docs, Scratch(spark, "t"), shards=4, map_path=path).count()
+    assert sharding.latest_version(spark, path) == 1
+    sharding.shard(docs, Scratch(spark, "t"), shards=4, map_path=path).count()
+    assert sharding.latest_version(spark, path) == 1
+    load = {k: 10 + k % 7 for k in range(400)}
+    owner = sharding.balanced(load, 5)
+    more = sharding.rebalanced(owner, load, 6)
+    moved = [k for k in owner if owner[k] != more[k]]
+    assert all(more[k] == 5 for k in moved) and len(moved) < 400 / 5
+    have = Counter()
+    for k, s in more.items():
+        have[s] += load[k]
+    assert max(have.values()) < 1.03 * sum(have.values()) / 6
+    fewer = sharding.rebalanced(owner, load, 4)
+    assert set(fewer.values()) == set(range(4))
