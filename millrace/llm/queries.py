@@ -94,3 +94,56 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best licence match of all documents."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+# ---- SQL of the operators that SQL can express ---------------------------------------
+
+
+def _quality_sql(max_lost: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> str:
+    count = lambda p: f"len(regexp_extract_all(l, '{p}'))"
+    phrases = "|".join(quality_rules.BOILERPLATE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS x FROM d),
+w AS (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM x),
+g AS (SELECT doc_id, i, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w, w2, w3) AS n FROM g WHERE w3 IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM c, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
+m AS (SELECT doc_id, l, length(regexp_replace(l, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars FROM l),
+b AS (SELECT doc_id, l, chars, CASE WHEN chars = 0 THEN false WHEN {count(" [|>»·•] ")} >= 3 THEN true
+  WHEN {count("[#*$%&|<>{}\\\\^~=_]")} > 0.1 * chars OR {count("!!")} * 10 > chars THEN true
+  ELSE regexp_matches(lower(l), '{phrases}') AND {count("[^\\x20\\x09-\\x0D]+")} <= 12 END AS bad FROM m),
+q AS (SELECT doc_id, sum(length(l)) AS total, coalesce(sum(length(l)) FILTER (WHERE bad), 0) AS lost, count(*) FILTER (WHERE chars > 0) - count(DISTINCT l) FILTER (WHERE chars > 0) AS n_dup_lines FROM b GROUP BY doc_id),
+z AS (SELECT d.doc_id, coalesce(s.n_words, 0)::BIGINT AS n_words, coalesce(s.word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  q.n_dup_lines::BIGINT AS n_dup_lines, coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words, q.total, q.lost
+  FROM d JOIN q USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words AS base_failed,
+  NOT (n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words) AND lost <= {max_lost} * total AS kept FROM z"""
+
+
+def _license_sql(threshold: float = 0.8) -> str:
+    grams, sizes = [], []
+    for i, t in enumerate(licenses.templates(threshold)):
+        grams += [f"({i}, '{g}')" for g in t["grams"]]
+        sizes.append(f"({i}, '{t['name']}', {len(t['grams'])})")
+    return f"""
+WITH tg(i, g) AS (VALUES {", ".join(grams)}), ts(i, name, n) AS (VALUES {", ".join(sizes)}),
+u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM documents UNION SELECT doc_id, unnest(string_split_regex(text, '\\n[\\x20\\x09\\x0B-\\x0D]*\\n')) FROM documents),
+x AS (SELECT doc_id, u, regexp_extract_all(lower(u), '[a-z0-9]+') AS x FROM u WHERE length(u) < 4000),
+w AS (SELECT doc_id, u, len(x) AS n, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM x),
+p AS (SELECT doc_id, u, n, w, lead(w) OVER (PARTITION BY doc_id, u ORDER BY i) AS v FROM w),
+g AS (SELECT DISTINCT doc_id, u, CASE WHEN n = 1 THEN w ELSE w || ' ' || v END AS g FROM p WHERE n = 1 OR v IS NOT NULL),
+k AS (SELECT doc_id, u, count(*) AS n FROM g GROUP BY doc_id, u),
+m AS (SELECT g.doc_id, g.u, tg.i, count(*) AS c FROM g JOIN tg USING (g) GROUP BY g.doc_id, g.u, tg.i),
+s AS (SELECT m.doc_id, m.u, ts.name, 2.0::DOUBLE * m.c / (k.n + ts.n) AS dice FROM m JOIN k ON k.doc_id = m.doc_id AND k.u = m.u JOIN ts USING (i)),
+b AS (SELECT doc_id, u, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, u ORDER BY dice DESC, name) AS r FROM s WHERE dice >= {threshold}) WHERE r = 1),
+o AS (SELECT doc_id, name, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) AS r FROM b),
+a AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM b GROUP BY doc_id)
+SELECT d.doc_id, o.name AS license, coalesce(o.dice, 0.0::DOUBLE) AS dice, coalesce(a.n, 0)::BIGINT AS n_license_units, coalesce(a.names, '') AS licenses
+FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id AND o.r = 1 LEFT JOIN a ON a.doc_id = d.doc_id"""
+
+
+ORACLE["op5_quality_rules"] = _quality_sql()
+ORACLE["op9_licenses"] = _license_sql()
