@@ -2,8 +2,9 @@
 
 Every round is two aggregations and two equi-joins on node ids. A hub's edges
 are never gathered into one group: only the minimum of a node's neighbours is
-aggregated (partial minima first), and the join that hands it back to the edges
-can be split by adaptive execution. Links and labels stay on the executors;
+aggregated (partial minima first). Minima are written before they are joined
+back, so that the join reads two plain shuffles and adaptive execution can split
+a hub's share of it. Links and labels stay on the executors;
 the driver sees a count and a checksum per round.
 """
 
@@ -33,12 +34,13 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut, d
         if not mark[0]:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = keep(both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        drop(low)
+        low = keep(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = keep(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        drop(large, e)
+        drop(large, low, e)
         e, before = small, mark
         mark = _mark(e)
         if mark == before:
