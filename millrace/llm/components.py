@@ -1,46 +1,13 @@
-"""Connected components by alternating large-star and small-star rounds.
-
-Every round is two aggregations and two equi-joins on node ids. A hub's edges
-are never gathered into one group: only the minimum of a node's neighbours is
-aggregated (partial sums first), and the join that hands it back to the edges
-can be split by adaptive execution. Links and labels stay on the executors;
-the driver sees a count and a checksum per round.
-"""
+"""Connected components with rounds kept in an operator's scratch tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from millrace.llm.scratch import Scratch
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+from millrace.plans import components as plans
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
-    """``edges`` (a, b: long) -> one row (node, root) for each node that has an
-    edge to another; root is the smallest node of its component. Self-loops,
-    nulls and repeated edges are ignored; no edges give an empty frame."""
-    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = scratch.keep(e, "edges")
-    mark = _mark(e)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.keep(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = scratch.keep(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small")
-        scratch.drop(large, e)
-        e, before = small, mark
-        mark = _mark(e)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    """(node, root) for each node with an edge; see ``millrace.plans.components``."""
+    return plans.components(edges, lambda df: scratch.keep(df, "round"), scratch.drop, max_rounds)
