@@ -20,6 +20,7 @@ Token ids never leave the pass that makes them: it emits lengths and checksums.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from millrace.functions.blas import single_thread
 from millrace.llm.scratch import Scratch
 
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 600_000
 
 
 class WordEncoder:
@@ -70,12 +71,18 @@ class WordEncoder:
         return b"".join(map(known.__getitem__, words)) + self.end
 
 
+@functools.cache
+def encoder(path: str, end_id: int | None) -> WordEncoder:
+    """One per worker process, so that what it has learned serves later tasks."""
+    return WordEncoder(path, end_id)
+
+
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def _pieces(path: str, size: int, end_id: int | None, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path, end_id)
+        encode = encoder(path, end_id)
         for b in batches:
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
