@@ -7,6 +7,8 @@ lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        own = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = f"file://{own}"
     return _OWN[app]
 
 
@@ -61,10 +65,6 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def text_or_null(df: DataFrame, col: str = "text") -> Column:
-    return df[col].cast("string")
-
-
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """128-bit identity of a row by id and text, null-safe: rows equal in both
     share it, and operators treat them as repeated rows."""
