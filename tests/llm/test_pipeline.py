@@ -1,5 +1,8 @@
 """The pipeline's stages against their inputs."""
 
+import random
+import re
+
 import corpus_pipeline
 from millrace.llm import secrets
 
@@ -23,3 +26,36 @@ def test_stages(spark, sf_dir, tmp_path):
     assert {r[0] for r in docs.select("doc_id").collect()} == ids
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").join(seen["quality_classifier"], "doc_id", "left_anti").count()
     assert good <= 1
+
+
+def test_near_dedup_links_all_similar_texts(spark, sf_dir):
+    """Against brute force over five-word shingles, on the documents and on edited copies."""
+    r = random.Random(7)
+    rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    base = [t for _, t in rows if len(t.split()) > 60][:8]
+    for text in base:
+        for edits in (1, 2, 3, 6, 10):
+            words = text.split()
+            for _ in range(edits):
+                words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+            rows.append((10_000 + len(rows), " ".join(words)))
+    rows += [(20_000, None), (20_001, ""), (20_002, "two words"), (20_003, "Two  words")]
+
+    def sets(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    have, ids = [sets(t) for _, t in rows], [i for i, _ in rows]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    links = [[j for j in range(len(rows)) if alike(have[i], have[j])] for i in range(len(rows))]
+    label = list(ids)
+    while True:
+        new = [min(label[j] for j in links[i]) for i in range(len(rows))]
+        if new == label:
+            break
+        label = new
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, df, sf_dir)
+    assert kept.columns == df.columns
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(label))
+    assert len(set(label)) < len(ids) - 20
