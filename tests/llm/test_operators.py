@@ -210,6 +210,38 @@ def test_mixing_meets_targets(spark, none):
     assert thin.columns == df.columns and 0 < thin.count() < df.count()
 
 
+@pytest.fixture(scope="module")
+def overlapping(spark):
+    """Three domains that share most words; the small one is the hardest to tell."""
+    r = random.Random(12)
+    shared = [f"s{i}" for i in range(40)]
+    own = {d: [f"{d}{i}" for i in range(30)] for d in "abc"}
+    near = {"a": "b", "b": "a", "c": "b"}
+
+    def word(d):
+        x = r.random()
+        return r.choice(shared if x < 0.6 else own[d] if x < 0.9 else own[near[d]])
+
+    data = [(i, " ".join(word(d) for _ in range(r.randint(30, 120))), d) for i, d in enumerate(r.choices("abc", [60, 30, 10], k=2400))]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3).cache()
+    return df, spark.createDataFrame([(i,) for i in range(0, 2400, 3)], "doc_id long")
+
+
+def test_mixing_meets_targets_of_overlapping_domains(spark, overlapping):
+    df, lab = overlapping
+    targets = {"a": 0.3, "b": 0.6, "c": 0.1}
+    got = mixing.mix(df, lab, Scratch(spark, "t"), targets).toPandas()
+    tokens = np.array([(got[f"p_{d}"] * got.n_tokens * got.rate).sum() for d in targets])
+    assert np.abs(tokens / tokens.sum() - list(targets.values())).max() < 1e-5 and (got.rate >= 0).all()
+
+
+def test_unreachable_targets_are_warned_of(spark):
+    table = spark.createDataFrame([(10, [0.9, 0.1]), (20, [0.6, 0.4])], "n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="residual"):
+        _, residual = mixing.fit_rates(table, [0.1, 0.9])
+    assert residual > 1e-6
+
+
 # ---- 5 ---------------------------------------------------------------------------
 
 
