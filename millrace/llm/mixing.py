@@ -218,6 +218,6 @@ def thin(docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: dict[str
     within [0, 1] and are chances to stay."""
     key = "__row_key"
     keyed = docs.withColumn(key, row_key())
-    found = mix(keyed, labels, scratch, targets, domain, keep=("doc_id", key))
+    found = mix(keyed, labels, scratch, targets, domain, keep=("doc_id", key), cap=1.0)
     kept = scratch.keep(found.where("copies > 0").select(key).distinct(), "kept")
     return keyed.join(kept, key, "left_semi").select(*docs.columns)

@@ -242,6 +242,16 @@ def test_unreachable_targets_are_warned_of(spark):
     assert residual > 1e-6
 
 
+def test_thinning_keeps_the_target_shares_of_true_domains(spark, overlapping):
+    df, lab = overlapping
+    targets = {"a": 0.3, "b": 0.6, "c": 0.1}
+    kept = mixing.thin(df, lab, Scratch(spark, "t"), targets).toPandas()
+    n = kept.text.str.split().str.len()
+    shares = n.groupby(kept.lang).sum() / n.sum()
+    assert all(abs(shares[d] - x) < 0.04 for d, x in targets.items()), shares
+    assert kept.doc_id.is_unique
+
+
 # ---- 5 ---------------------------------------------------------------------------
 
 
