@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key-like characters with a digit. Features of a
+Candidates are long runs of key-like characters with a digit, or without one
+after the name of a secret, and headers of private keys. Features of a
 candidate and its line (length, character transitions, dictionary coverage,
 path, neighbouring words) feed a forest trained from labelled findings. Trained
 trees become nested CASE expressions, so the scan is one pass of column
@@ -16,7 +17,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]{0,64}[0-9])[A-Za-z0-9_+/=.-]{16,}"
+#: '=' ends a candidate unless it pads its end, so that NAME=value gives the value.
+#: Runs without a digit count after a secret's name; headers of private keys always.
+KEYWORDS = "secret|token|passw|pwd|api.?key|access.?key|private|credential|auth|bearer"
+_RUN = "A-Za-z0-9_+/.-"
+_NAMED = rf"(?<=(?i:{KEYWORDS})[A-Za-z_]{{0,12}}[\"']?[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']?)"
+CANDIDATE = rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----|(?<![{_RUN}])(?=[{_RUN}]{{16}})(?:(?=[A-Za-z_+/.-]*+[0-9])|{_NAMED})[{_RUN}]{{16,}}(?:={{1,2}}(?![{_RUN}=]))?"
 
 #: Dictionary of the coverage feature.
 DICTIONARY = (
@@ -41,10 +47,10 @@ def feature_columns(c: Column, before: Column) -> list[Column]:
         share("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
         (n - F.length(F.regexp_replace(F.lower(c), "|".join(DICTIONARY), ""))) / n,
         share("[/.]"),
-        flag(F.lower(before).rlike(r"(secret|token|passw|pwd|api.?key|access.?key|private|credential|auth|bearer)[^\n]{0,24}$")),
+        flag(F.lower(before).rlike(rf"({KEYWORDS})[^\n]{{0,24}}$")),
         flag(before.rlike(r"[=:]\s*[\"']?$")),
         F.size(F.array_distinct(F.split(c, ""))) / n,
-        flag(c.rlike(r"^(AKIA|ASIA|gh[opsu]_|sk_|pk_|xox[abpr]-|AIza|glpat-|eyJ)")),
+        flag(c.rlike(r"^(AKIA|ASIA|gh[opsu]_|sk_|pk_|xox[abpr]-|AIza|glpat-|eyJ|-----BEGIN )")),
         flag(F.lower(before).rlike(r"(commit|sha|md5|checksum|hash|uuid|digest|revision|order|card|isbn|phone|fax|ticket|tracking|invoice)[^\n]{0,24}$")),
         flag(c.rlike("^[0-9a-fA-F]+$")),
         flag(before.rlike("[\"']$")),
@@ -85,7 +91,12 @@ def labelled_findings(n: int = 1200, seed: int = 3) -> list[tuple[str, str, int]
             c, b = f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}.{r.randint(10, 59)}.{r.randint(10, 59)}", bare + r.choice(["", "at ", "date: "])
         if len(c) >= 16:
             out.append((c, b, 0))
-    return out
+    for _ in range(n // 24):
+        out.append((f"-----BEGIN {r.choice(['', 'RSA ', 'EC ', 'OPENSSH ', 'ENCRYPTED '])}PRIVATE KEY-----", r.choice(["", "", f"{prose()} {r.choice(names)} = \""]), 1))
+        out.append((pick(string.ascii_letters, r.randint(20, 48)), f"{prose()} {r.choice(names)}{r.choice([' = ', '=', ': '])}{r.choice(['', chr(34)])}", 1))
+        c = r.choice("_-.").join(r.choice(words) for _ in range(r.randint(3, 5)))
+        out.append((c, f"{prose()} {r.choice(names)}{r.choice([' = ', '=', ': '])}{r.choice(['', chr(34)])}", 0))
+    return [x for x in out if len(x[0]) >= 16]
 
 
 # ---- the forest --------------------------------------------------------------

@@ -354,6 +354,21 @@ def test_forest_holds_out_findings(spark):
     assert acc > 0.95
 
 
+@pytest.mark.parametrize("form", ["{c}", "API_KEY={c}", "AWS_SECRET_ACCESS_KEY={c}", "https://h.org/x?a=b&token={c}", "export CLIENT_SECRET='{c}'"])
+def test_every_labelled_secret_counts(spark, form):
+    """A finding without a candidate of its own is a miss."""
+    found = [(f"{b}{c}" if form == "{c}" else form.format(c=c), c) for c, b, y in secrets.labelled_findings(400, seed=78) if y and not (form != "{c}" and c.startswith("-----"))]
+    df = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(found)], "doc_id long, text string, c string")
+    hits = secrets.scan(df).where("is_secret").join(df.select("doc_id", "c"), "doc_id").where("candidate = c").select("doc_id").distinct().count()
+    assert hits > 0.95 * len(found)
+
+
+def test_secret_headers_and_values_without_digits(spark):
+    texts = ["-----BEGIN RSA PRIVATE KEY-----", "password = QwErTzUiOpAsDfGhJkLyXcVb", "-----BEGIN PUBLIC KEY-----", "secret: your.placeholder.value.here", "x" * 70 + "QwEr"]
+    got = rows(secrets.scan(make(spark, texts)))
+    assert [any(r["is_secret"] for r in got.get(i, [])) for i in range(5)] == [True, True, False, False, False]
+
+
 def test_licenses(spark, none):
     texts = ["Body.\nReleased under the MIT License.\nMore.", "licensed   UNDER the apache license; version 2.0", "All rights reserved.", "The license of the house was green and old.", None, "", "All rights reserved.\nLicensed under CC BY-NC 4.0."]
     got = rows(licenses.scan(make(spark, texts)))
