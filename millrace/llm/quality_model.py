@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 
 
 _CACHE_WORDS = 300_000
+LONG_WORD = 64  #: longer words are hashed in parts and not remembered
 PAIR_WEIGHT = 8  #: a word pair counts as that many n-grams
 
 
 def features(word: str, buckets: int, low: int = 3, high: int = 4) -> list[int]:
-    """Buckets of a word and of its character n-grams; of a very long word, of its
-    first 64 characters."""
+    """Buckets of a word and of its character n-grams; for words of at most
+    ``LONG_WORD`` characters."""
     h = xxhash.xxh32_intdigest
-    marked = f"<{word[:64]}>"
+    marked = f"<{word}>"
     if word.isascii():  # bytes are characters, and slices need no encoding
         data = marked.encode("ascii")
         grams = [data[i : i + n] for n in range(low, high + 1) for i in range(len(data) - n + 1)]
@@ -43,6 +44,23 @@ def features(word: str, buckets: int, low: int = 3, high: int = 4) -> list[int]:
     return [h(b"w" + word.encode("utf-8", "surrogatepass")) % buckets, *(h(g) % buckets for g in grams)]
 
 
+def long_features(word: str, buckets: int, low: int = 3, high: int = 4, chunk: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, counts) of the same features for a word of any length, in parts
+    of at most ``chunk`` characters; equal n-grams of a part are hashed once."""
+    h = xxhash.xxh32_intdigest
+    yield np.array([h(b"w" + word.encode("utf-8", "surrogatepass")) % buckets]), np.ones(1, np.int64)
+    marked = f"<{word}>"
+    for n in range(low, high + 1):
+        for i in range(0, len(marked) - n + 1, chunk):
+            part = marked[i : i + chunk + n - 1]
+            code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            gram = code[: len(code) - n + 1]
+            for k in range(1, n):  # numbers of distinct beginnings stay small, so the code point fits below
+                gram = np.unique(gram, return_inverse=True)[1] << 21 | code[k : len(code) - n + 1 + k]
+            _, first, count = np.unique(gram, return_index=True, return_counts=True)
+            yield np.array([h(part[j : j + n].encode("utf-8", "surrogatepass")) % buckets for j in first.tolist()]), count
+
+
 def pair_buckets(buckets: int) -> tuple[int, int]:
     """Buckets of a word that differs from the one before, and of one that repeats it."""
     return tuple(xxhash.xxh32_intdigest(g) % buckets for g in (b"pair:new", b"pair:same"))
@@ -68,8 +86,13 @@ class Vocabulary:
             return np.zeros(0, np.int64), np.zeros(0)
         if len(self.known) > _CACHE_WORDS:
             self.known.clear()
-        at, n = [], []
+        at, n, dense = [], [], None
         for w, c in total.items():
+            if len(w) > LONG_WORD:
+                dense = np.zeros(self.buckets) if dense is None else dense
+                for ids, count in long_features(w, self.buckets):
+                    np.add.at(dense, ids, c * count)
+                continue
             f = self.known.get(w)
             if f is None:
                 f = self.known[w] = features(w, self.buckets)
@@ -78,6 +101,9 @@ class Vocabulary:
         same = repeats(words)
         at += pair_buckets(self.buckets)
         n += [PAIR_WEIGHT * (len(words) - same), PAIR_WEIGHT * same]
+        if dense is not None:
+            ids = np.flatnonzero(dense)
+            at, n = np.concatenate((at, ids)), np.concatenate((n, dense[ids]))
         ids, inverse = np.unique(np.array(at), return_inverse=True)
         share = np.bincount(inverse, np.array(n, float))
         return ids, share / share.sum()
@@ -156,6 +182,13 @@ def _score(model, buckets: int, keep: list[str]):
                 new = set(words).difference(known)
                 if len(known) + len(new) > _CACHE_WORDS:
                     known, size, new = {}, {}, set(words)
+                long = [w for w in new if len(w) > LONG_WORD]
+                new.difference_update(long)
+                for w in long:
+                    known[w], size[w] = 0.0, 0
+                    for ids, count in long_features(w, buckets):
+                        known[w] += float(weights[ids] @ count)
+                        size[w] += int(count.sum())
                 if new:
                     each = [features(w, buckets) for w in new]
                     lens = list(map(len, each))
@@ -166,6 +199,8 @@ def _score(model, buckets: int, keep: list[str]):
                 again = repeats(words)
                 pairs = PAIR_WEIGHT * (again * same + (len(words) - again) * other)
                 z = bias + ((math.fsum(map(known.__getitem__, words)) + pairs) / n if n else 0.0)
+                for w in long:
+                    del known[w], size[w]
                 out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.float64())], names=[*keep, "score"])
 

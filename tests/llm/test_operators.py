@@ -304,6 +304,29 @@ def test_quality_model_learns_and_holds_out(spark, none):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {k for k, v in got.items() if v[0]["predicted"]}
 
 
+@pytest.mark.parametrize("chunk", [1 << 16, 7])
+def test_long_words_have_all_their_ngrams(chunk):
+    r = random.Random(3)
+    for word in ["".join(r.choice("abé語😀") for _ in range(500)), "a" * 90]:
+        got = Counter()
+        for ids, count in quality_model.long_features(word, 1 << 16, chunk=chunk):
+            for i, c in zip(ids.tolist(), count.tolist()):
+                got[i] += c
+        assert got == Counter(quality_model.features(word, 1 << 16))
+        marked = f"<{word}>"
+        assert got.total() == 1 + 2 * len(marked) - 2 - 3
+
+
+def test_quality_of_unspaced_texts_depends_on_their_tails(spark):
+    r = random.Random(6)
+    tail = lambda letters: "".join(r.choice(letters) for _ in range(400))
+    texts = ["语" * 64 + tail("uvwxyz" if i % 2 else "bcdefg") for i in range(300)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(300)], "doc_id long, quality int")
+    got = rows(quality_model.classify(make(spark, texts), labels, threshold=0.5))
+    held = [i for i in range(300) if got[i][0]["held_out"]]
+    assert sum(got[i][0]["predicted"] == 1 - i % 2 for i in held) >= 0.97 * len(held) > 30
+
+
 # ---- 7 ---------------------------------------------------------------------------
 
 
