@@ -10,6 +10,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import add
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +54,23 @@ def manhattan(a: Column, b: Column, d: int) -> Column:
 Metric = Callable[[Column, Column], Column]
 
 
-def metric(name: str | Metric, d: int) -> Metric:
-    """A metric by name (any case), or a callable from two columns to one."""
+def applied(f: Callable, *cols: Column) -> Column:
+    """``f`` of columns: its own expression if it gives one, else a Python
+    function of values (numpy arrays for vectors) run on Arrow batches."""
+    try:
+        got = f(*cols)
+    except Exception:  # not made for columns
+        got = None
+    if isinstance(got, Column):
+        return got
+    plain = lambda *args: pd.Series([float(f(*v)) for v in zip(*args)], dtype="float64")
+    return F.pandas_udf(plain, "double")(*cols)
+
+
+def metric(name: str | Callable, d: int) -> Metric:
+    """A metric by name (any case), or a callable of two columns or of two numpy vectors."""
     if callable(name):
-        return name
+        return lambda a, b: applied(name, a, b)
     known = {"euclidean": euclidean, "manhattan": manhattan}
     if str(name).lower() not in known:
         raise ValueError(f"unknown metric {name!r}")

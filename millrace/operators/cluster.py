@@ -5,15 +5,42 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vec
 from millrace.operators.neighbors import pairs
+from millrace.operators.radius import vector_pairs
 from millrace.operators.validate import positive_int
 from millrace.plans.components import components
 from millrace.plans.lineage import cut
 from millrace.plans.ranks import hash_key, positions
+from millrace.plans.sums import matrix, vector_sum
+
+
+WIDE = 2048  #: centre components beyond which plans hold no literals of them
+
+
+def _cells(x: np.ndarray, centers: np.ndarray, metric: str) -> np.ndarray:
+    """Number of the nearest centre; ties to the lower one."""
+    out = np.zeros(len(x), np.int64)
+    for i in range(0, len(x), 1024):
+        part = x[i : i + 1024, None]
+        out[i : i + 1024] = (np.abs(part - centers).sum(axis=2) if metric == "manhattan" else ((part - centers) ** 2).sum(axis=2)).argmin(axis=1)
+    return out
+
+
+def _cluster_sums(centers: np.ndarray, metric: str):
+    def step(b: pa.RecordBatch) -> np.ndarray:
+        x = matrix(b.column("x"))
+        cell = _cells(x, centers, metric)
+        sums = np.zeros((len(centers), x.shape[1] + 1))
+        np.add.at(sums, cell, np.concatenate((x, np.ones((len(x), 1))), axis=1))
+        return sums.ravel()
+
+    return step
 
 
 def _nearest(x: Column, centers: list[list[float]], metric: vec.Metric) -> Column:
@@ -21,6 +48,12 @@ def _nearest(x: Column, centers: list[list[float]], metric: vec.Metric) -> Colum
     return F.transform(F.array(each), vec.argmin)[0]
 
 
+def max_shift(old: list[list[float]], new: list[list[float]], metric: str = "euclidean") -> float:
+    """The farthest that a centre has moved."""
+    diff = np.array(new) - np.array(old)
+    return float((np.abs(diff).sum(axis=1) if metric.lower() == "manhattan" else np.sqrt((diff**2).sum(axis=1))).max())
+
+
 @dataclass(frozen=True)
 class KMeans:
     """Lloyd rounds until no centre moves by ``tol`` or more; mean centres for
@@ -54,11 +87,14 @@ class KMeans:
             raise ValueError("fewer rows than clusters")
         m, rounds = vec.metric(self.metric, d), 0
         for rounds in range(1, self.max_iter + 1):
-            found = rows.select("x", _nearest(F.col("x"), centers, m).alias("c")).groupBy("c").agg(*(F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(d))).collect()
-            means = {r["c"]: [r[f"x{i}"] for i in range(d)] for r in found}
+            if self.n_clusters * d > WIDE:
+                sums = vector_sum(rows.select("x"), _cluster_sums(np.array(centers), self.metric.lower())).reshape(-1, d + 1)
+                means = {c: (s[:-1] / s[-1]).tolist() for c, s in enumerate(sums) if s[-1]}
+            else:
+                found = rows.select("x", _nearest(F.col("x"), centers, m).alias("c")).groupBy("c").agg(*(F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(d))).collect()
+                means = {r["c"]: [r[f"x{i}"] for i in range(d)] for r in found}
             new = [means.get(c, [0.0] * d) for c in range(self.n_clusters)]
-            diff = np.array(new) - np.array(centers)
-            shift = np.abs(diff).sum(axis=1).max() if self.metric.lower() == "manhattan" else np.sqrt((diff**2).sum(axis=1)).max()
+            shift = max_shift(centers, new, self.metric)
             centers = new
             if shift < self.tol:
                 break
@@ -75,6 +111,10 @@ class KMeansModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``cluster``, from 0; ties to the lower one."""
         m = vec.metric(self.params.metric, len(self.centers[0]))
+        if len(self.centers) * len(self.centers[0]) > WIDE:
+            centers, name = np.array(self.centers), self.params.metric.lower()
+            cells = F.pandas_udf(lambda x: pd.Series(_cells(np.stack(x.to_numpy()), centers, name)), "int")
+            return df.withColumn("cluster", cells(F.col(self.params.features).cast("array<double>")))
         return df.withColumn("cluster", _nearest(F.col(self.params.features).cast("array<double>"), self.centers, m))
 
 
@@ -82,15 +122,17 @@ def radius_pairs(df: DataFrame, eps: float, metric: str | vec.Metric, features:
     """(a, b), a < b, for rows within ``eps`` of each other (inclusive).
 
     Up to three features, rows meet in grid cells of side eps: each row looks
-    into its own and the neighbouring cells by equi-join. Wider vectors compare
-    pairwise, in blocks.
+    into its own and the neighbouring cells by equi-join. Wider vectors meet in
+    pivot cells (``radius.vector_pairs``). A callable metric compares all pairs.
     """
     d = vec.width(df, features)
     m = vec.metric(metric, d)
     rows = df.select(F.col(row_id).cast("long").alias("a"), F.col(features).cast("array<double>").alias("xa"))
     other = rows.select(F.col("a").alias("b"), F.col("xa").alias("xb"))
     near = (F.col("a") < F.col("b")) & (m(F.col("xa"), F.col("xb")) <= eps)
-    if d > 3 or eps <= 0 or callable(metric):
+    if d > 3 and eps > 0 and not callable(metric):
+        return vector_pairs(rows.select("a", F.col("xa").alias("x")), eps, metric.lower())
+    if eps <= 0 or callable(metric):
         return pairs(rows, other, near).select("a", "b")
     cell = lambda x: F.transform(x, lambda v: F.floor(v / eps).cast("long"))
     around = [[]]

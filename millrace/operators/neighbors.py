@@ -1,8 +1,9 @@
 """Distance joins and k nearest neighbours.
 
-The smaller side is broadcast only while it has at most ``BROADCAST_ROWS`` rows;
-beyond that both sides are dealt into blocks and each query block meets each
-training block in one equi-join, so no side has to fit in a task.
+The smaller side is broadcast only while it has at most ``BROADCAST_ROWS`` rows
+and ``BROADCAST_DOUBLES`` vector components; beyond that both sides are dealt
+into blocks and each query block meets each training block in one equi-join, so
+no side has to fit in a task.
 """
 
 from __future__ import annotations
@@ -16,10 +17,14 @@ from millrace.functions import vec
 from millrace.operators.vote import average_label, majority_vote
 
 BROADCAST_ROWS = 20_000
+BROADCAST_DOUBLES = 4_000_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+    """At most so many rows, and so many components in their array columns."""
+    arrays = [F.coalesce(F.size(c), F.lit(0)) for c, t in df.dtypes if t.startswith("array")]
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(sum(arrays, F.lit(0))), F.lit(0))).first()
+    return n <= rows and size <= BROADCAST_DOUBLES
 
 
 def pairs(a: DataFrame, b: DataFrame, condition: Column | None = None, block_rows: int = 4096) -> DataFrame:
@@ -88,7 +93,7 @@ class KNNModel:
         """Long rows (query_id, rank from 1, train_id, dist, label)."""
         p, k = self.params, self.params.k if k is None else k
         if k <= 0 or k > self.n:
-            raise ValueError("n_neighbors must be between 1 and the number of training rows")
+            raise ValueError("k must be between 1 and the number of training rows")
         m = vec.metric(p.metric, self.width)
         ok = F.assert_true(F.size(p.features) == self.width, F.lit("query width differs from training width"))
         q = queries.select(F.col(p.row_id).alias("query_id"), F.when(ok.isNull(), F.col(p.features).cast("array<double>")).alias("__q_features"))

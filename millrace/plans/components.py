@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.lineage import cut
+from millrace.plans.lineage import drop as drop_cut
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut, drop: Callable[..., None] = lambda *f: None, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut, drop: Callable[..., None] = drop_cut, max_rounds: int = 60) -> DataFrame:
     """``edges`` (a, b: long) -> one row (node, root) for each node that has an
     edge to another; root is the smallest node of its component. Self-loops,
     nulls and repeated edges are ignored; no edges give an empty frame.

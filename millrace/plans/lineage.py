@@ -1,22 +1,48 @@
-"""Reliable lineage cuts."""
+"""Reliable lineage cuts: tables in the folder that all executors share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``; a local session without that
-    setting gets a folder of its own."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of our own only in a
+    local session that has none, deleted when Python exits."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        own = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = f"file://{own}"
+    return _OWN[app]
+
+
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written once to the shared folder, as a frame that reads the table:
+    the plan behind it runs once, and a lost executor costs a re-read. With
+    ``by``, each value of those columns is a folder of its own."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/millrace/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete cut tables that no frame in use reads any more."""
+    for f in frames:
+        sc = f.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f._cut_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
