@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import vec
 from millrace.operators import metrics
-from millrace.operators.tree import DecisionTreeClassifier, Node, _Classes, apply_tree, class_list, grow, importances, node_frame
+from millrace.operators.tree import DecisionTreeClassifier, Node, _Classes, apply_tree, class_list, grow, importances, leaf_values, node_frame
 from millrace.operators.validate import check_features, check_numeric, positive_int
 from millrace.plans.ranks import positions
 
@@ -64,10 +64,12 @@ class BaggingModel:
     def transform(self, df: DataFrame) -> DataFrame:
         ok = F.assert_true(F.size(self.params.features) == self.n_features, F.lit("width differs from the training width"))
         out = df.withColumn("__x", F.when(ok.isNull(), F.col(self.params.features).cast("array<double>")))
-        each = [apply_tree(nodes, F.col("__x"), lambda n: F.array(*(F.lit(c / n.n) for c in n.counts))) for _, nodes in sorted(self.trees.items())]
+        grown = [nodes for _, nodes in sorted(self.trees.items())]
+        out = out.withColumns({f"__l{i}": apply_tree(nodes, F.col("__x")) for i, nodes in enumerate(grown)})
+        each = [leaf_values(nodes, F.col(f"__l{i}"), lambda n: [c / n.n for c in n.counts]) for i, nodes in enumerate(grown)]
         out = out.withColumns({f"__p{i}": p for i, p in enumerate(each)})
         mean = F.array(*(vec.total([F.col(f"__p{i}")[c] for i in range(len(each))]) / len(each) for c in range(len(self.classes))))
-        out = out.withColumn("probability", mean).drop("__x", *(f"__p{i}" for i in range(len(each))))
+        out = out.withColumn("probability", mean).drop("__x", *(f"__{c}{i}" for i in range(len(each)) for c in "lp"))
         # differences beyond the twelfth decimal are ties, which go to the smaller class
         rounded = F.transform("probability", lambda v: F.round(v, 12))
         return out.withColumn("__r", rounded).withColumn("prediction", F.array(*(F.lit(c) for c in self.classes))[vec.argmax(F.col("__r"))]).drop("__r")

@@ -2,10 +2,12 @@
 
 A level is one pass: rows of active nodes are exploded to (tree, node, feature,
 value) and reduced to distinct values with additive statistics (class counts, or
-count, sum and sum of squares). Window prefix sums in value order give the left
-side of every threshold; the right side is the node's total minus it. The best
-split of each node, a bounded table, goes to the driver, and rows move to child
-``2 n`` (value <= threshold) or ``2 n + 1``.
+count, sum and sum of squares). Prefix sums in value order give the left side of
+every threshold; the right side is the node's total minus it. Values are dealt
+into ranges between quantiles: ranges are summed first, and a value's prefix is
+that of its range plus the sums within it, so no window holds a whole feature.
+The best split of each node, a row per node of the model, goes to the driver,
+and rows move to the left (value <= threshold) or right child.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ import hashlib
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import metrics
 from millrace.operators.validate import check_features, check_numeric, positive_int
-from millrace.plans.lineage import cut
+from millrace.plans.lineage import cut, drop
 
+RANGE_ROWS = 65_536  #: rows for each range of a feature's values
 DIGITS = 12  #: gains equal in that many decimals are ties: lowest feature, then lowest threshold
 
 
@@ -102,32 +107,68 @@ def _tried(rules: Rules, d: int, tree: int, node: int) -> list[int]:
     return sorted(sorted(range(d), key=rank)[: rules.max_features])
 
 
-def grow(rows: DataFrame, d: int, stats, rules: Rules) -> dict[int, dict[int, Node]]:
-    """``rows`` (tree, x, y, w) -> nodes by tree and heap number (root 1)."""
+def _bounds(rows: DataFrame, d: int, ranges: int) -> list[list[float]]:
+    """Inner bounds of the ranges of each feature, from approximate quantiles."""
+    if ranges < 2:
+        return [[] for _ in range(d)]
+    at = [i / ranges for i in range(1, ranges)]
+    each = rows.select(F.posexplode("x").alias("f", "v")).groupBy("f").agg(F.percentile_approx("v", at, 10 * ranges).alias("q"))
+    found = {r["f"]: sorted(set(r["q"])) for r in each.collect()}
+    return [found.get(f, []) for f in range(d)]
+
+
+def _range_number(bounds: list[list[float]], feature: Column, value: Column) -> Column:
+    """How many bounds of the feature lie below the value."""
+    if not any(bounds):
+        return F.lit(0)
+    table = F.array(*(F.array(*(F.lit(float(v)) for v in b)).cast("array<double>") for b in bounds))
+    return F.size(F.filter(F.get(table, feature), lambda b: b < value))
+
+
+def _with_sums(each: DataFrame, names: list[str], ranged: bool) -> DataFrame:
+    """``each`` (tree, node, feature, range, value, names) plus l_<name>, the sums
+    up to the value, a_<name>, those of the feature, and the next value."""
+    keys = ["tree", "node", "feature"]
+    w = Window.partitionBy(*keys, "range").orderBy("value")
+    left = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys, "range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    if not ranged:
+        return each.withColumns({f"l_{n}": F.sum(n).over(left) for n in names} | {f"a_{n}": F.sum(n).over(whole) for n in names} | {"next": F.lead("value").over(w)})
+    sums = each.groupBy(*keys, "range").agg(*(F.sum(n).alias(f"s_{n}") for n in names), F.min("value").alias("least"))
+    w2 = Window.partitionBy(*keys).orderBy("range")
+    before = w2.rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = sums.select(*keys, "range", F.lead("least").over(w2).alias("beyond"), *(F.coalesce(F.sum(f"s_{n}").over(before), F.lit(0.0)).alias(f"b_{n}") for n in names), *(F.sum(f"s_{n}").over(all_).alias(f"a_{n}") for n in names))
+    got = each.join(sums, [*keys, "range"])
+    return got.withColumns({f"l_{n}": F.col(f"b_{n}") + F.sum(n).over(left) for n in names} | {"next": F.coalesce(F.lead("value").over(w), F.col("beyond"))})
+
+
+def grow(rows: DataFrame, d: int, stats, rules: Rules, range_rows: int = RANGE_ROWS) -> dict[int, dict[int, Node]]:
+    """``rows`` (tree, x, y, w) -> nodes by tree and heap number (root 1). On the
+    rows, nodes are numbered within their level, so trees may be of any depth."""
     spark = rows.sparkSession
     trees: dict[int, dict[int, Node]] = {}
-    rows = cut(rows.withColumn("node", F.lit(1).cast("long")))
+    rows = cut(rows.withColumn("node", F.lit(0)))
+    bounds = _bounds(rows, d, min(1024, rows.count() // range_rows))
+    ranged = any(bounds)
     names, depth = stats.names, 0
-    keys = ["tree", "node"]
+    heap: dict[tuple[int, int], int] = {}  # heap number by tree and number in the level
     while True:
         agg = [t.alias(n) for t, n in zip(stats.terms(F.col("y"), F.col("w")), names)]
-        level = rows.groupBy(*keys).agg(*agg, F.min("y").alias("lo"), F.max("y").alias("hi")).collect()
+        level = rows.groupBy("tree", "node").agg(*agg, F.min("y").alias("lo"), F.max("y").alias("hi")).collect()
         active = []
         for r in level:
-            node = stats.node(r)
-            trees.setdefault(r["tree"], {})[r["node"]] = node
+            node, at = stats.node(r), heap.get((r["tree"], r["node"]), 1)
+            trees.setdefault(r["tree"], {})[at] = node
             pure = r["lo"] == r["hi"]
-            if not pure and node.n >= rules.min_samples_split and (rules.max_depth is None or depth < rules.max_depth) and r["node"] < 1 << 61:
-                active.append((r["tree"], r["node"], node.n, node.impurity))
+            if not pure and node.n >= rules.min_samples_split and (rules.max_depth is None or depth < rules.max_depth):
+                active.append((r["tree"], r["node"], at, node.n, node.impurity))
         if not active:
-            return trees
-        tried = spark.createDataFrame([(t, n, f, size, imp) for t, n, size, imp in active for f in _tried(rules, d, t, n)], "tree int, node long, feature int, pn double, pi double")
+            break
+        tried = spark.createDataFrame([(t, n, f, size, imp) for t, n, at, size, imp in active for f in _tried(rules, d, t, at)], "tree int, node int, feature int, pn double, pi double")
         each = rows.select("tree", "node", "y", "w", F.posexplode("x").alias("feature", "value"))
-        each = each.groupBy("tree", "node", "feature", "value").agg(*agg).join(F.broadcast(tried), ["tree", "node", "feature"])
-        w = Window.partitionBy("tree", "node", "feature").orderBy("value")
-        left = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        whole = Window.partitionBy("tree", "node", "feature").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        each = each.withColumns({f"l_{n}": F.sum(n).over(left) for n in names} | {f"a_{n}": F.sum(n).over(whole) for n in names} | {"next": F.lead("value").over(w)})
+        each = each.groupBy("tree", "node", "feature", "value").agg(*agg).join(tried, ["tree", "node", "feature"])
+        each = _with_sums(each.withColumn("range", _range_number(bounds, F.col("feature"), F.col("value"))), names, ranged)
         ls = [F.col(f"l_{n}") for n in names]
         rs = [F.col(f"a_{n}") - F.col(f"l_{n}") for n in names]
         each = each.where("next is not null").withColumn("nl", stats.size(ls)).withColumn("nr", stats.size(rs))
@@ -135,25 +176,67 @@ def grow(rows: DataFrame, d: int, stats, rules: Rules) -> dict[int, dict[int, No
         gain = F.col("pi") - F.col("nl") / F.col("pn") * stats.impurity(ls) - F.col("nr") / F.col("pn") * stats.impurity(rs)
         each = each.withColumn("gain", F.round(gain, DIGITS)).withColumn("threshold", (F.col("value") + F.col("next")) / 2)
         good = each.where((F.col("gain") > 0) & (F.col("gain") >= rules.min_impurity_decrease))
-        best = good.groupBy(*keys).agg(F.min_by(F.struct("feature", "threshold", "gain"), F.struct(-F.col("gain"), F.col("feature"), F.col("threshold"))).alias("b")).collect()
+        best = good.groupBy("tree", "node").agg(F.min_by(F.struct("feature", "threshold", "gain"), F.struct(-F.col("gain"), F.col("feature"), F.col("threshold"))).alias("b")).collect()
         if not best:
-            return trees
-        splits = []
-        for r in best:
-            b, old = r["b"], trees[r["tree"]][r["node"]]
-            trees[r["tree"]][r["node"]] = Node(old.n, old.impurity, old.prediction, old.counts, b["feature"], b["threshold"], b["gain"])
-            splits.append((r["tree"], r["node"], b["feature"], b["threshold"]))
-        s = spark.createDataFrame(splits, "tree int, node long, f int, t double")
-        rows = cut(rows.join(F.broadcast(s), keys).select("tree", (F.col("node") * 2 + (F.col("x")[F.col("f")] > F.col("t")).cast("long")).alias("node"), "x", "y", "w"))
+            break
+        splits, below = [], {}
+        for i, r in enumerate(sorted(best, key=lambda r: (r["tree"], r["node"]))):
+            b, at = r["b"], heap.get((r["tree"], r["node"]), 1)
+            old = trees[r["tree"]][at]
+            trees[r["tree"]][at] = Node(old.n, old.impurity, old.prediction, old.counts, b["feature"], b["threshold"], b["gain"])
+            splits.append((r["tree"], r["node"], 2 * i, b["feature"], b["threshold"]))
+            below |= {(r["tree"], 2 * i): 2 * at, (r["tree"], 2 * i + 1): 2 * at + 1}
+        s = spark.createDataFrame(splits, "tree int, node int, child int, f int, t double")
+        moved = rows.join(s, ["tree", "node"]).select("tree", (F.col("child") + (F.get("x", "f") > F.col("t")).cast("int")).alias("node"), "x", "y", "w")
+        rows, before, heap = cut(moved), rows, below
+        drop(before)
         depth += 1
+    drop(rows)
+    return trees
 
 
-def apply_tree(nodes: dict[int, Node], x: Column, leaf, at: int = 1) -> Column:
-    """Nested CASE over a tree; ``leaf(node)`` gives a column."""
-    n = nodes[at]
-    if n.feature is None:
-        return leaf(n)
-    return F.when(x[n.feature] <= n.threshold, apply_tree(nodes, x, leaf, 2 * at)).otherwise(apply_tree(nodes, x, leaf, 2 * at + 1))
+WIDE = 64  #: leaves up to which a tree is a nested CASE
+
+
+def leaf_numbers(nodes: dict[int, Node]) -> list[int]:
+    return sorted(k for k, n in nodes.items() if n.feature is None)
+
+
+def apply_tree(nodes: dict[int, Node], x: Column) -> Column:
+    """Place of a row's leaf in ``leaf_numbers``: a nested CASE, or for larger
+    trees a walk over arrays of their nodes, all rows of a batch a level at a time."""
+    order = sorted(nodes)
+    leaves = {k: i for i, k in enumerate(leaf_numbers(nodes))}
+    if len(leaves) <= WIDE:
+
+        def case(at: int) -> Column:
+            n = nodes[at]
+            return F.lit(leaves[at]) if n.feature is None else F.when(x[n.feature] <= n.threshold, case(2 * at)).otherwise(case(2 * at + 1))
+
+        return case(1)
+    place = {k: i for i, k in enumerate(order)}
+    feature = np.array([-1 if nodes[k].feature is None else nodes[k].feature for k in order])
+    threshold = np.array([nodes[k].threshold or 0.0 for k in order])
+    child = np.array([leaves[k] if nodes[k].feature is None else place[2 * k] for k in order])
+    other = np.array([-1 if nodes[k].feature is None else place[2 * k + 1] for k in order])
+
+    def walk(rows: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype="int64")
+        v, at = np.stack(rows.to_numpy()), np.full(len(rows), place[1])
+        while (go := np.flatnonzero(feature[at] >= 0)).size:
+            k = at[go]
+            at[go] = np.where(v[go, feature[k]] <= threshold[k], child[k], other[k])
+        return pd.Series(child[at])
+
+    return F.pandas_udf(walk, "int")(x)
+
+
+def leaf_values(nodes: dict[int, Node], leaf: Column, value) -> Column:
+    """``value(node)`` of the leaf at that place; a number or an array of them."""
+    got = [value(nodes[k]) for k in leaf_numbers(nodes)]
+    lit = lambda v: F.array(*(F.lit(float(x)) for x in v)) if isinstance(v, (list, tuple)) else F.lit(float(v))
+    return F.get(F.array(*(lit(v) for v in got)), leaf)
 
 
 def importances(nodes: dict[int, Node], d: int, weighted: bool) -> list[float]:
@@ -167,7 +250,10 @@ def importances(nodes: dict[int, Node], d: int, weighted: bool) -> list[float]:
 
 
 def node_frame(spark, trees: dict[int, dict[int, Node]]) -> DataFrame:
-    rows = [(t, k, n.feature is None, n.feature, n.threshold, float(n.prediction), float(n.n), n.impurity, n.gain) for t, nodes in sorted(trees.items()) for k, n in sorted(nodes.items())]
+    """A row per node; node_id is the heap number, or the place in heap order
+    (from 1) in trees too deep for that."""
+    ids = {t: {k: k if max(nodes) < 1 << 62 else i + 1 for i, k in enumerate(sorted(nodes))} for t, nodes in trees.items()}
+    rows = [(t, ids[t][k], n.feature is None, n.feature, n.threshold, float(n.prediction), float(n.n), n.impurity, n.gain) for t, nodes in sorted(trees.items()) for k, n in sorted(nodes.items())]
     return spark.createDataFrame(rows, "tree_id int, node_id long, is_leaf boolean, feature int, threshold double, prediction double, n_samples double, impurity double, info_gain double")
 
 
@@ -275,11 +361,11 @@ class TreeModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds prediction, and for classes probability over the sorted classes."""
-        out = df.withColumn("__x", self._x())
-        out = out.withColumn("prediction", apply_tree(self.nodes, F.col("__x"), lambda n: F.lit(float(n.prediction))))
+        out = df.withColumn("__x", self._x()).withColumn("__leaf", apply_tree(self.nodes, F.col("__x")))
+        out = out.withColumn("prediction", leaf_values(self.nodes, F.col("__leaf"), lambda n: n.prediction))
         if self.classes:
-            out = out.withColumn("probability", apply_tree(self.nodes, F.col("__x"), lambda n: F.array(*(F.lit(c / n.n) for c in n.counts))))
-        return out.drop("__x")
+            out = out.withColumn("probability", leaf_values(self.nodes, F.col("__leaf"), lambda n: [c / n.n for c in n.counts]))
+        return out.drop("__x", "__leaf")
 
     def node_table(self, spark) -> DataFrame:
         return node_frame(spark, {0: self.nodes})
