@@ -1,16 +1,32 @@
-"""Principal components from one aggregate."""
+"""Principal components from one pass of per-partition matrix products."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vec
 from millrace.functions.blas import single_thread
 from millrace.operators.prep import Scaler, standardize_fit
+from millrace.plans.sums import matrix, vector_sum
+
+
+WIDE = 4096  #: loadings beyond which plans hold no literals of them
+
+
+def _affine(components: list[list[float]], scaler: Scaler, back: bool = False):
+    """Vectors projected on the components, or restored from that."""
+    c, shift, scale = np.array(components), np.array(scaler.shift), np.array(scaler.scale)
+
+    def project(x: pd.Series) -> pd.Series:
+        x = np.stack(x.to_numpy())
+        return pd.Series(list(x @ c * scale + shift if back else (x - shift) / scale @ c.T))
+
+    return F.pandas_udf(project, "array<double>")
 
 
 @dataclass(frozen=True)
@@ -27,15 +43,16 @@ class PCA:
         d = vec.width(df, self.features)
         scaler = standardize_fit(df, self.features)
         scale = scaler.scale if self.scale else [1.0] * d
-        z = [(F.col(self.features)[i].cast("double") - scaler.shift[i]) / scale[i] for i in range(d)]
-        rows = df.select(F.array(*z).alias("z"))
-        # centred products of the upper triangle: d (d + 1) / 2 sums
-        g = rows.agg(F.count("*").alias("n"), *(F.sum(F.col("z")[i] * F.col("z")[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d))).first()
-        n = g["n"]
-        cov = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                cov[i, j] = cov[j, i] = g[f"g{i}_{j}"] / max(n - 1, 1)
+        shift, by = np.array(scaler.shift), np.array(scale)
+
+        def products(b) -> np.ndarray:
+            """Row count and the products of centred features."""
+            z = (matrix(b.column("x")) - shift) / by
+            return np.concatenate(([len(z)], (z.T @ z).ravel()))
+
+        got = vector_sum(df.select(F.col(self.features).cast("array<double>").alias("x")), products)
+        n = int(got[0])
+        cov = got[1:].reshape(d, d) / max(n - 1, 1)
         single_thread()
         values, vectors = np.linalg.eigh(cov)
         order = np.argsort(-values, kind="stable")
@@ -62,13 +79,22 @@ class PCAModel:
     explained_variance_ratio: list[float]
     singular_values: list[float]
 
+    @property
+    def cumulative_variance_ratio(self) -> list[float]:
+        """Share of the variance that the first 1, 2, ... components hold."""
+        return np.cumsum(self.explained_variance_ratio).tolist()
+
     def transform(self, df: DataFrame, out: str = "pca") -> DataFrame:
         x, d = F.col(self.params.features), len(self.scaler.shift)
+        if d * len(self.components) > WIDE:
+            return df.withColumn(out, _affine(self.components, self.scaler)(x.cast("array<double>")))
         z = self.scaler.column(x.cast("array<double>"))
         return df.withColumn("__z", z).withColumn(out, F.array(*(vec.dot(F.col("__z"), c, d) for c in self.components))).drop("__z")
 
     def inverse_transform(self, df: DataFrame, pca: str = "pca", out: str = "restored") -> DataFrame:
         k = len(self.components)
+        if len(self.scaler.shift) * k > WIDE:
+            return df.withColumn(out, _affine(self.components, self.scaler, back=True)(F.col(pca)))
         z = F.array(*(vec.dot(F.col(pca), [c[i] for c in self.components], k) for i in range(len(self.scaler.shift))))
         return df.withColumn(out, self.scaler.inverse_column(z))
 
@@ -76,4 +102,5 @@ class PCAModel:
         """Minus the mean squared error of the restored features, in their own units."""
         back = self.inverse_transform(self.transform(df, "__p"), "__p", "__r")
         d = len(self.scaler.shift)
-        return back.agg(-F.avg(vec.total([F.pow(F.col(self.params.features)[i] - F.col("__r")[i], 2) for i in range(d)]) / d)).first()[0]
+        miss = F.zip_with(F.col(self.params.features).cast("array<double>"), "__r", lambda a, b: (a - b) * (a - b))
+        return back.agg(-F.avg(F.aggregate(miss, F.lit(0.0), lambda s, v: s + v) / d)).first()[0]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.validate import positive_int
-from millrace.plans.lineage import cut
+from millrace.plans.lineage import cut, drop
+from millrace.plans.ranks import positions
 
 
 def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -17,6 +18,11 @@ def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def vertex_counts(vertices: DataFrame, vid: str = "id") -> DataFrame:
+    """One row: n, n_distinct and is_unique."""
+    return vertices.agg(F.count("*").alias("n"), F.countDistinct(vid).alias("n_distinct")).withColumn("is_unique", F.col("n") == F.col("n_distinct"))
+
+
 def dangling(vertices: DataFrame, edges: DataFrame, vid: str = "id") -> DataFrame:
     """Endpoints of edges that are no vertex."""
     ends = edges.select(F.col("src").alias(vid)).unionByName(edges.select(F.col("dst").alias(vid))).distinct()
@@ -32,16 +38,23 @@ def neighbour_vote(edges: DataFrame, labels: DataFrame, seed: int | None = None,
 
 
 def compress(labels: DataFrame) -> DataFrame:
-    """Labels renumbered from 0 in their order, over the distinct labels alone."""
-    w = Window.orderBy("label")
-    small = labels.select("label").distinct().withColumn("community", (F.row_number().over(w) - 1).cast("long"))
+    """Numeric labels renumbered from 0 in their order, over the distinct labels alone."""
+    small = positions(labels.select("label").distinct(), F.col("label"), name="community")
     return labels.join(small, "label").select("id", "community")
 
 
 def communities(labels: DataFrame) -> DataFrame:
+    """(label, members): a community is one value here; ``labels`` itself is the
+    long form, for communities too large for a row."""
     return labels.groupBy("label").agg(F.sort_array(F.collect_set("id")).alias("members"))
 
 
+def changed_fraction(before: DataFrame, after: DataFrame) -> float:
+    """Share of the vertices (id, label) whose label changed; 0 for none."""
+    both = before.select("id", F.col("label").alias("old")).join(after.select("id", "label"), "id")
+    return both.agg(F.coalesce(F.avg((F.col("label") != F.col("old")).cast("double")), F.lit(0.0))).first()[0]
+
+
 @dataclass(frozen=True)
 class LabelPropagation:
     """Communities by label propagation. Vertices are split into ``waves`` by a
@@ -60,25 +73,32 @@ class LabelPropagation:
         if not 0 <= self.epsilon <= 1:
             raise ValueError("epsilon must be between 0 and 1")
 
-    def run(self, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    def run(self, vertices: DataFrame, edges: DataFrame, wave: Column | None = None, ties: str = "random") -> DataFrame:
         """``vertices`` (id, pos) and ``edges`` (src, dst) -> (id, label); an
-        isolated vertex keeps its position as label. ValueError for repeated
+        isolated vertex keeps its position as label. ``wave`` may replace the
+        hash that deals vertices into waves; ``ties`` go to a hash of the seed
+        (``random``) or to the ``smallest`` label. ValueError for repeated
         vertices and for edges to vertices that are not there."""
-        n, different = vertices.agg(F.count("*"), F.countDistinct("id")).first()
-        if n != different:
+        if ties not in ("random", "smallest"):
+            raise ValueError(f"unknown ties {ties!r}")
+        n, _, unique = vertex_counts(vertices).first()
+        if not unique:
             raise ValueError("vertices must be unique")
         if dangling(vertices, edges).limit(1).count():
             raise ValueError("an edge ends in an unknown vertex")
         links = cut(undirected(edges))
-        labels = vertices.select("id", F.col("pos").cast("long").alias("label"), F.pmod(F.xxhash64(F.lit(self.seed), "id"), F.lit(self.waves)).alias("wave"))
+        wave = F.pmod(F.xxhash64(F.lit(self.seed), "id"), F.lit(self.waves)) if wave is None else wave
+        labels = cut(vertices.select("id", F.col("pos").cast("long").alias("label"), wave.alias("wave")))
+        seed = self.seed if ties == "random" else None
         for it in range(self.max_iters if n else 0):
             start = labels
-            for wave in range(self.waves):
-                own = links.join(labels.where(F.col("wave") == wave).select(F.col("id").alias("src")), "src", "left_semi")
-                new = neighbour_vote(own, labels, self.seed, it * self.waves + wave).withColumnRenamed("label", "new")
+            for k in range(self.waves):
+                own = links.join(labels.where(F.col("wave") == k).select(F.col("id").alias("src")), "src", "left_semi")
+                new = neighbour_vote(own, labels, seed, it * self.waves + k).withColumnRenamed("label", "new")
                 labels = labels.join(new, "id", "left").select("id", F.coalesce("new", "label").alias("label"), "wave")
             labels = cut(labels)
-            changed = labels.join(start.select("id", F.col("label").alias("old")), "id").agg(F.avg((F.col("label") != F.col("old")).cast("double"))).first()[0]
+            changed = changed_fraction(start, labels)
+            drop(start)
             if changed <= self.epsilon:
                 break
         return labels.select("id", "label")

@@ -11,12 +11,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vec
 from millrace.operators import metrics
 from millrace.operators.validate import check_numeric
+from millrace.plans.sums import matrix, vector_sum
 
 MAX_FOLD_ROWS = 1_000_000
 
@@ -35,6 +37,18 @@ def _score(w: list[float], b: float, x: Column) -> Column:
     return F.aggregate(F.zip_with(x, arr, lambda a, c: a * c), F.lit(float(b)), lambda s, v: s + v)
 
 
+def _logistic_sums(w: np.ndarray):
+    """Rows, losses and gradients (bias last) of a batch, summed."""
+
+    def step(b) -> np.ndarray:
+        x, t = matrix(b.column("x")), b.column("t").to_numpy(zero_copy_only=False)
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -700, 700)))
+        loss = -(t * np.log(p + 1e-12) + (1 - t) * np.log(1 - p + 1e-12)).sum()
+        return np.concatenate(([len(t), loss], (p - t) @ x, [(p - t).sum()]))
+
+    return step
+
+
 @dataclass(frozen=True)
 class LogisticRegression:
     """Gradient descent on the mean cross-entropy, exactly ``epochs`` steps."""
@@ -53,6 +67,11 @@ class LogisticRegression:
         w = list(self.initial_weights) if self.initial_weights is not None else np.random.default_rng(self.seed).normal(0, 1e-3, d + 1).tolist()
         losses = []
         for _ in range(self.epochs):
+            if d > vec.UNROLL:
+                got = vector_sum(rows, _logistic_sums(np.array(w)))
+                losses.append(float(got[1] / got[0]))
+                w = (np.array(w) - self.learning_rate * got[2:] / got[0]).tolist()
+                continue
             p = rows.select("x", "t", vec.sigmoid(_score(w[:-1], w[-1], F.col("x"))).alias("p"))
             e = F.col("p") - F.col("t")
             g = p.agg(metrics.binary_cross_entropy("t", "p").alias("loss"), F.avg(e).alias("b"), *(F.avg(e * F.col("x")[i]).alias(f"g{i}") for i in range(d))).first()
@@ -112,6 +131,31 @@ def ordered_fold(df: DataFrame, row_id: str, x: Column, t: Column, init: list[fl
     return list(r["w"]), list(r["errors"])
 
 
+def plain_fold(df: DataFrame, row_id: str, x: Column, t: Column, init: list[float], epochs: int, alpha: float, activation: Callable) -> tuple[list[float], list[float]]:
+    """``ordered_fold`` of a neuron whose activation is a function of numbers:
+    rows pass in order through one task, in Python."""
+    if df.limit(MAX_FOLD_ROWS + 1).count() > MAX_FOLD_ROWS:
+        raise ValueError(f"row-by-row training takes at most {MAX_FOLD_ROWS} rows")
+
+    def run(batches):
+        got = [(matrix(b.column("x")), b.column("t").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        w, errors = np.array(init, float), []
+        for _ in range(epochs):
+            total, n = 0.0, 0
+            for xs, ts in got:
+                for v, y in zip(xs, ts):
+                    e = float(activation(float(v @ w[:-1] + w[-1]))) - y
+                    w[:-1] -= alpha * e * v
+                    w[-1] -= alpha * e
+                    total, n = total + 0.5 * e * e, n + 1
+            errors.append(total / max(n, 1))
+        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([errors], pa.list_(pa.float64()))], names=["w", "e"])
+
+    rows = df.select(F.col(row_id).alias("i"), x.alias("x"), t.alias("t")).repartition(1).sortWithinPartitions("i").select("x", "t")
+    r = rows.mapInArrow(run, "w array<double>, e array<double>").first()
+    return list(r["w"]), list(r["e"])
+
+
 def _margin(w: Column, x: Column, d: int) -> Column:
     """w holds the bias last."""
     return vec.total([w[i] * x[i] for i in range(d)]) + w[d]
@@ -121,6 +165,13 @@ def _move(w: Column, x: Column, by: Column, d: int) -> Column:
     return F.array(*(w[i] - by * x[i] for i in range(d)), w[d] - by)
 
 
+def _of_columns(f: Callable) -> bool:
+    try:
+        return isinstance(f(F.lit(0.0)), Column)
+    except Exception:  # made for numbers
+        return False
+
+
 @dataclass(frozen=True)
 class Perceptron:
     """Rosenblatt updates in row order; a margin of 0 updates."""
@@ -170,11 +221,12 @@ class PerceptronModel:
 
 @dataclass(frozen=True)
 class SingleNeuron:
-    """One neuron by per-row steps w -= alpha * e * x, whatever the activation's slope."""
+    """One neuron by per-row steps w -= alpha * e * x, whatever the activation's
+    slope. The activation is a function of a column or of a number."""
 
     alpha: float = 0.01
     epochs: int = 100
-    activation: Callable[[Column], Column] = lambda z: z
+    activation: Callable = lambda z: z
     features: str = "x"
     target: str = "y"
     row_id: str = "row_id"
@@ -190,7 +242,11 @@ class SingleNeuron:
             e = self.activation(_margin(w, x, d)) - t
             return _move(w, x, self.alpha * e, d), 0.5 * e * e
 
-        w, errors = ordered_fold(df, self.row_id, F.col(self.features).cast("array<double>"), F.col(self.target).cast("double"), w, self.epochs, step)
+        x, t = F.col(self.features).cast("array<double>"), F.col(self.target).cast("double")
+        if _of_columns(self.activation):
+            w, errors = ordered_fold(df, self.row_id, x, t, w, self.epochs, step)
+        else:
+            w, errors = plain_fold(df, self.row_id, x, t, w, self.epochs, self.alpha, self.activation)
         return NeuronModel(self, w[:-1], w[-1], errors)
 
 
@@ -203,4 +259,4 @@ class NeuronModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         z = _score(self.w, self.b, F.col(self.params.features).cast("array<double>"))
-        return df.withColumn("prediction", self.params.activation(z))
+        return df.withColumn("prediction", vec.applied(self.params.activation, z))

@@ -1,8 +1,10 @@
 """A small feed-forward network: one optional hidden layer of rectifiers.
 
-Weights live on the driver. Every mini-batch is one job: each partition sums its
-gradients in numpy (Arrow batches) and the driver adds the partial sums. Batches
-follow a hash order of the rows, anew in every epoch.
+Weights live on the driver. Batches follow a hash order of the rows, anew in
+every epoch. Steps depend on each other, so small batches are taken in order, a
+chunk of at least ``CHUNK_ROWS`` rows in one task; a chunk is a folder of its own and a job
+reads that alone. A batch as large as a chunk is spread instead: each partition
+sums its gradients in numpy and the partial sums meet on the executors.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +21,12 @@ from pyspark.sql import functions as F
 from millrace.functions import vec
 from millrace.operators import metrics
 from millrace.operators.validate import positive_int
+from millrace.plans.lineage import cut, drop
 from millrace.plans.ranks import hash_key, positions
+from millrace.plans.sums import matrix, vector_sum
+
+
+CHUNK_ROWS = 65_536
 
 
 def forward(w: dict[str, np.ndarray], x: np.ndarray, task: str) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
@@ -93,46 +101,88 @@ class NeuralNetwork:
         rows = df.select(F.col(self.row_id).alias("i"), F.col(self.features).cast("array<double>").alias("x"), F.col(self.label).cast("double").alias("y")).persist()
         n = rows.count()
         batches = -(-n // self.batch_size)
+        per = max(1, CHUNK_ROWS // self.batch_size)  # batches in a chunk
         for epoch in range(self.max_epochs if n else 0):
             if batches == 1:
-                dealt = rows.withColumn("batch", F.lit(0))
+                chunks = [rows]
             else:
                 key = hash_key(self.seed + epoch, "i") if self.shuffle else F.col("i")
-                dealt = positions(rows, key, F.col("i"), name="p").withColumn("batch", F.floor(F.col("p") / self.batch_size)).persist()
+                dealt = positions(rows, key, F.col("i"), name="p").select("p", "x", "y", F.floor(F.col("p") / (self.batch_size * per)).alias("chunk"))
+                dealt = cut(dealt, "chunk")
+                chunks = [dealt.where(F.col("chunk") == c) for c in range(-(-batches // per))]
             total = 0.0
-            for b in range(batches):
-                parts = dealt.where(F.col("batch") == b).select("x", "y").mapInArrow(_partial(w, names, self.task), "n long, loss double, g array<double>").collect()
-                size = sum(p["n"] for p in parts)
-                total += sum(p["loss"] for p in parts) / size
-                flat = np.sum([p["g"] for p in parts], axis=0) / size
-                at = 0
-                for k in names:
-                    w[k] = w[k] - self.learning_rate * flat[at : at + w[k].size].reshape(w[k].shape)
-                    at += w[k].size
+            for chunk in chunks:
+                if self.batch_size >= CHUNK_ROWS:
+                    got = vector_sum(chunk.select("x", "y"), _gradient_sums(w, names, self.task))
+                    total += got[1] / got[0]
+                    w = _step(w, names, got[2:] / got[0], self.learning_rate)
+                else:
+                    ordered = chunk.select("p", "x", "y") if batches > 1 else chunk.select(F.col("i").alias("p"), "x", "y")
+                    r = ordered.repartition(1).sortWithinPartitions("p").select("x", "y").mapInArrow(_sequence(w, names, self.task, self.batch_size, self.learning_rate), "loss double, w array<double>").first()
+                    total += r["loss"]
+                    w = _unpack(np.array(r["w"]), w, names)
             if batches > 1:
-                dealt.unpersist()
-            losses.append(total / batches)
+                drop(dealt)
+            losses.append(float(total / batches))
         rows.unpersist()
         return NetworkModel(self, w, losses)
 
 
-def _matrix(b: pa.RecordBatch) -> np.ndarray:
-    return b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+def _unpack(flat: np.ndarray, like: dict[str, np.ndarray], names: list[str]) -> dict[str, np.ndarray]:
+    cuts = np.cumsum([like[k].size for k in names])[:-1]
+    return {k: v.reshape(like[k].shape) for k, v in zip(names, np.split(flat, cuts))}
+
+
+def _step(w: dict[str, np.ndarray], names: list[str], mean: np.ndarray, rate: float) -> dict[str, np.ndarray]:
+    g = _unpack(mean, w, names)
+    return {k: w[k] - rate * g[k] for k in w}
+
+
+def _gradient_sums(w: dict[str, np.ndarray], names: list[str], task: str):
+    """Rows, losses and gradients of a part of a batch, summed."""
+
+    def step(b: pa.RecordBatch) -> np.ndarray:
+        g, loss = gradients(w, matrix(b.column("x")), b.column("y").to_numpy(zero_copy_only=False), task)
+        return np.concatenate(([b.num_rows, loss], *(g[k].ravel() for k in names)))
+
+    return step
 
 
-def _partial(w: dict[str, np.ndarray], names: list[str], task: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, loss, flat = 0, 0.0, 0
-        for b in batches:
-            if b.num_rows:
-                g, part = gradients(w, _matrix(b), b.column("y").to_numpy(zero_copy_only=False), task)
-                n, loss, flat = n + b.num_rows, loss + part, flat + np.concatenate([g[k].ravel() for k in names])
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["n", "loss", "g"])
+def _sequence(w: dict[str, np.ndarray], names: list[str], task: str, size: int, rate: float):
+    """Ordered rows -> the sum of the batches' mean losses and the weights after them."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, x, y = w, 0.0, None, None
+
+        def take(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal now, total
+            g, loss = gradients(now, x, y, task)
+            total += loss / len(y)
+            now = {k: now[k] - rate * g[k] / len(y) for k in now}
+
+        for b in parts:
+            if not b.num_rows:
+                continue
+            xs, ys = matrix(b.column("x")), b.column("y").to_numpy(zero_copy_only=False)
+            x, y = (xs, ys) if x is None else (np.concatenate((x, xs)), np.concatenate((y, ys)))
+            full = len(y) // size * size
+            for i in range(0, full, size):
+                take(x[i : i + size], y[i : i + size])
+            x, y = x[full:], y[full:]
+        if x is not None and len(y):
+            take(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array([float(total)]), pa.array([np.concatenate([now[k].ravel() for k in names])], pa.list_(pa.float64()))], names=["loss", "w"])
 
     return run
 
 
+WIDE = 4096  #: weights beyond which plans hold no literals of them
+
+
+def _outputs(w: dict[str, np.ndarray], task: str):
+    return F.pandas_udf(lambda x: pd.Series(list(forward(w, np.stack(x.to_numpy()), task)[0])), "array<double>")
+
+
 @dataclass(frozen=True)
 class NetworkModel:
     params: NeuralNetwork
@@ -140,9 +190,13 @@ class NetworkModel:
     losses: list[float]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds output (probabilities, or one value) and prediction, as column
-        expressions over the weights."""
+        """Adds output (probabilities, or one value) and prediction: column
+        expressions over the weights, or matrix products of Arrow batches for
+        more than ``WIDE`` weights."""
         x, d = F.col(self.params.features).cast("array<double>"), self.params.n_inputs
+        if sum(v.size for v in self.weights.values()) > WIDE:
+            out = df.withColumn("output", _outputs(self.weights, self.params.task)(x))
+            return out.withColumn("prediction", vec.argmax(F.col("output")) if self.params.task == "classification" else F.col("output")[0])
         out = df.withColumn("__h", x)
         layer = lambda w, b, src, n: F.array(*(vec.dot(F.col(src), w[:, j].tolist(), n) + float(b[j]) for j in range(w.shape[1])))
         w, n = self.weights, d
