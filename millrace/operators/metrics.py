@@ -98,3 +98,28 @@ def correlation(df: DataFrame, cols: list[str]) -> DataFrame:
     r = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)))
     cell = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}_{j}").alias("corr")) for i, a in enumerate(cols) for j, b in enumerate(cols)))
     return r.select(F.explode(cell).alias("c")).select("c.*")
+
+
+def best_param(scores: DataFrame, param: str = "param", score: str = "score", largest: bool = True) -> DataFrame:
+    """The row of the best score; of equal scores the first by ``param``."""
+    return scores.orderBy(F.desc(score) if largest else F.asc(score), param).limit(1)
+
+
+def node_counts(df: DataFrame, by: list[str], label: str) -> DataFrame:
+    """Per group: its size, number of classes, entropy of the classes and the
+    commonest one (ties: the smallest). Two partial aggregations."""
+    c = df.groupBy(*by, F.col(label).alias("__y")).agg(F.count("*").alias("__n"))
+    s = c.groupBy(*by).agg(F.sum("__n").alias("n"), F.count("*").alias("n_classes"), F.min_by("__y", F.struct(-F.col("__n"), F.col("__y"))).alias("majority"), F.collect_list("__n").alias("__ns"))
+    h = F.aggregate("__ns", F.lit(0.0), lambda a, k: a - k / F.col("n") * F.log2(k / F.col("n")))
+    return s.withColumn("entropy", h).drop("__ns")
+
+
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """Distinct values and how often each occurs."""
+    return df.groupBy(col).agg(F.count("*").alias("n"))
+
+
+def class_centroids(df: DataFrame, label: str, features: str) -> DataFrame:
+    """(label, i, mean): the mean of each component within each class."""
+    v = df.select(F.col(label).alias("label"), F.posexplode(features).alias("i", "v"))
+    return v.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("mean"))

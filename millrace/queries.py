@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import vec
 from millrace.operators import cluster, decomposition, ensemble, graph, linear, metrics, neighbors, nn, prep, tree, validate, vote
-from millrace.sources import table
+from millrace.plans.lineage import shared_dir
+from millrace.sources import headerless_csv, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -231,10 +232,8 @@ def A12_F6_softmax_cross_entropy(spark, d):
 @query(f"WITH c AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT p_type, sum(n) AS t FROM c GROUP BY p_type), m AS (SELECT p_type, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) AS r FROM c) WHERE r = 1) SELECT c.p_type, {_sr('-sum(n / t * log2(n / t))')} AS entropy, any_value(m.p_brand) AS majority, any_value(t)::BIGINT AS n, count(*) AS n_classes FROM c JOIN t USING (p_type) JOIN m USING (p_type) GROUP BY c.p_type".replace("n / t", "n::DOUBLE / t"))
 def A14_A15_A16_impurity(spark, d):
     """Entropy, majority class and class count of brands within each type."""
-    c = table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
-    counts = c.groupBy("p_type").agg(F.collect_list("n").alias("ns"), F.min_by("p_brand", F.struct(-F.col("n"), F.col("p_brand"))).alias("majority"), F.sum("n").alias("n"), F.count("*").alias("n_classes"))
-    h = F.aggregate("ns", F.lit(0.0), lambda s, k: s - k / F.col("n") * F.log2(k / F.col("n")))
-    return counts.select("p_type", _r(h).alias("entropy"), "majority", "n", "n_classes")
+    got = metrics.node_counts(table(spark, d, "part"), ["p_type"], "p_brand")
+    return got.select("p_type", _r("entropy").alias("entropy"), "majority", "n", "n_classes")
 
 
 @query(f"SELECT y AS label, p AS predicted, count(*) AS n FROM {_SCORED} GROUP BY ALL")
@@ -261,13 +260,12 @@ def A37_correlation(spark, d):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def A35_A36_value_counts(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return metrics.value_counts(table(spark, d, "events"), "event_type")
 
 
 @query(f"WITH {_LONG} SELECT label, (i - 1)::INTEGER AS i, {_sr('avg(v)')} AS mean FROM e GROUP BY label, i")
 def A43_class_centroids(spark, d):
-    v = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
-    return v.groupBy("label", "i").agg(_r(F.avg(F.col("v").cast("double"))).alias("mean"))
+    return metrics.class_centroids(table(spark, d, "embeddings"), "label", "embedding").select("label", "i", _r("mean").alias("mean"))
 
 
 @query(f"SELECT o_orderkey, {_sr('abs(o_totalprice - (SELECT avg(o_totalprice) FROM orders))', 2)} AS distance FROM orders ORDER BY abs(o_totalprice - (SELECT avg(o_totalprice) FROM orders)) DESC, o_orderkey LIMIT 10")
@@ -275,11 +273,13 @@ def O6_top_by_magnitude(spark, d):
     o = table(spark, d, "orders")
     mean = o.agg(F.avg("o_totalprice")).first()[0]
     far = F.abs(F.col("o_totalprice") - mean)
-    return o.orderBy(F.desc(far), "o_orderkey").limit(10).select("o_orderkey", _r(far, 2).alias("distance"))
+    return prep.head(o, 10, F.desc(far), "o_orderkey").select("o_orderkey", _r(far, 2).alias("distance"))
 
 
-@query(" UNION ALL ".join(f"SELECT {k}::INTEGER AS k, {_sr('avg((pr.prediction <> e.label)::INTEGER)')} AS error FROM ({_knn_sql('euc', '1.0', k, False)}) pr JOIN embeddings e ON e.vec_id = pr.row_id" for k in (1, 3, 5)))
-def O7_choose_k(spark, d):
+_ERRORS = " UNION ALL ".join(f"SELECT {k}::INTEGER AS k, {_sr('avg((pr.prediction <> e.label)::INTEGER)')} AS error FROM ({_knn_sql('euc', '1.0', k, False)}) pr JOIN embeddings e ON e.vec_id = pr.row_id" for k in (1, 3, 5))
+
+
+def _errors(spark: SparkSession, d: str) -> DataFrame:
     """Error of each k, from one neighbour search."""
     v = _vectors(spark, d)
     q = v.where("row_id % 100 = 0")
@@ -292,6 +292,17 @@ def O7_choose_k(spark, d):
     return out
 
 
+@query(_ERRORS)
+def O7_score_each_k(spark, d):
+    return _errors(spark, d)
+
+
+@query(f"SELECT * FROM ({_ERRORS}) ORDER BY error, k LIMIT 1")
+def O7_choose_k(spark, d):
+    """The k of the least error; of equal ones the smallest."""
+    return metrics.best_param(_errors(spark, d), "k", "error", largest=False)
+
+
 # ---- linear models ---------------------------------------------------------------
 
 _Z = "z AS (SELECT (n_chars - m) / s AS x, y FROM (SELECT d.n_chars, l.quality AS y FROM documents d JOIN labels l USING (doc_id)), (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM documents d JOIN labels l USING (doc_id)))"
@@ -393,40 +404,109 @@ def M7_A18_W1_W2_regression_stump(spark, d):
     return root.select("feature", _r("threshold").alias("threshold"), _r("info_gain", 4).alias("info_gain"), _r("impurity", 4).alias("impurity"), "n_samples")
 
 
-@query()
-def M6_J8_J9_tree_predict(spark, d):
+def _tree_sql(rows: str, d: int, depth: int, least: int, regression: bool = False) -> str:
+    """CTEs that grow trees over ``r0`` (t, id, x0.., y, w): r<k> holds the node of
+    each row after k levels, s<k> the splits of level k. Rows of weight 0 follow
+    the splits and have no say in them."""
+    xs = ", ".join(f"x{i}" for i in range(d))
+    out = f"WITH r0 AS (SELECT *, 1::BIGINT AS node, true AS act FROM ({rows}))" + (", m AS (SELECT sum(w * y) / sum(w) AS m FROM r0)" if regression else ", k AS (SELECT DISTINCT y FROM r0 WHERE w > 0)")
+    for k in range(depth):
+        out += f", x{k} AS (SELECT t, node, y, w, unnest([{', '.join(map(str, range(d)))}]) AS f, unnest([{xs}]) AS v FROM r{k} WHERE act AND w > 0)"
+        if regression:
+            imp = lambda n, a, b: f"({b} / {n} - ({a} / {n}) * ({a} / {n}))"
+            out += (
+                f", c{k} AS (SELECT t, node, f, v, sum(w) AS n, sum(w * (y - m)) AS a, sum(w * (y - m) * (y - m)) AS b FROM x{k}, m GROUP BY t, node, f, v)"
+                f", q{k} AS (SELECT t, node, f, v, lead(v) OVER o AS nx, sum(n) OVER o AS n, sum(a) OVER o AS a, sum(b) OVER o AS b, sum(n) OVER z AS tn, sum(a) OVER z AS ta, sum(b) OVER z AS tb FROM c{k} WINDOW o AS (PARTITION BY t, node, f ORDER BY v), z AS (PARTITION BY t, node, f))"
+                f", g{k} AS (SELECT t, node, f, (v + nx) / 2 AS threshold, tn, {imp('tn', 'ta', 'tb')} - n / tn * {imp('n', 'a', 'b')} - (tn - n) / tn * {imp('(tn - n)', '(ta - a)', '(tb - b)')} AS gain FROM q{k} WHERE nx IS NOT NULL AND n >= {least} AND tn - n >= {least})"
+            )
+        else:
+            out += (
+                f", v{k} AS (SELECT DISTINCT t, node, f, v FROM x{k}), c{k} AS (SELECT v.t, v.node, v.f, v.v, k.y, coalesce(sum(x.w), 0)::DOUBLE AS n FROM v{k} v CROSS JOIN k LEFT JOIN x{k} x ON x.t = v.t AND x.node = v.node AND x.f = v.f AND x.v = v.v AND x.y = k.y GROUP BY v.t, v.node, v.f, v.v, k.y)"
+                f", l{k} AS (SELECT t, node, f, v, y, sum(n) OVER (PARTITION BY t, node, f, y ORDER BY v) AS l, sum(n) OVER (PARTITION BY t, node, f, y) AS a, lead(v) OVER (PARTITION BY t, node, f, y ORDER BY v) AS nx FROM c{k})"
+                f", q{k} AS (SELECT *, sum(l) OVER (PARTITION BY t, node, f, v) AS lt, sum(a) OVER (PARTITION BY t, node, f, v) AS tt FROM l{k})"
+                f", g{k} AS (SELECT t, node, f, (v + any_value(nx)) / 2 AS threshold, any_value(tt) AS tn, sum({_h('a', 'tt')}) - any_value(lt / tt) * sum({_h('l', 'lt')}) - any_value((tt - lt) / tt) * sum(CASE WHEN tt > lt THEN {_h('(a - l)', '(tt - lt)')} ELSE 0 END) AS gain FROM q{k} WHERE nx IS NOT NULL AND lt >= {least} AND tt - lt >= {least} GROUP BY t, node, f, v)"
+            )
+        pick = "CASE s.f " + " ".join(f"WHEN {i} THEN r.x{i}" for i in range(d)) + " END"
+        out += (
+            f", s{k} AS (SELECT t, node, f, threshold, round(gain, 12) AS gain, tn FROM (SELECT *, row_number() OVER (PARTITION BY t, node ORDER BY round(gain, 12) DESC, f, threshold) AS place FROM g{k} WHERE round(gain, 12) > 0) WHERE place = 1)"
+            f", r{k + 1} AS (SELECT r.t, r.id, {xs}, r.y, r.w, CASE WHEN s.t IS NULL THEN r.node ELSE 2 * r.node + ({pick} > s.threshold)::INTEGER END AS node, s.t IS NOT NULL AS act FROM r{k} r LEFT JOIN s{k} s ON s.t = r.t AND s.node = r.node AND r.act)"
+        )
+    return out
+
+
+def _gain_shares(depth: int, weighted: bool, tree: str = "t") -> str:
+    """CTE sh (t, f, share): each tree's gains by feature as shares."""
+    all_ = " UNION ALL ".join(f"SELECT t, f, gain{' * tn' if weighted else ''} AS g FROM s{k}" for k in range(depth))
+    return f", sg AS ({all_}), sh AS (SELECT t, f, sum(g) / any_value(total) AS share FROM sg JOIN (SELECT t, sum(g) AS total FROM sg GROUP BY t) USING (t) GROUP BY t, f)"
+
+
+_PARTROWS = "SELECT 0 AS t, p_partkey AS id, p_size::DOUBLE AS x0, p_retailprice::DOUBLE AS x1, ascii(p_type)::DOUBLE AS y, 1.0::DOUBLE AS w FROM part"
+_DRAWN = "SELECT a.t, a.id, a.x0, a.x1, a.y, coalesce(b.w, 0.0)::DOUBLE AS w FROM (SELECT g.t, p.*, row_number() OVER (PARTITION BY g.t ORDER BY id) - 1 AS pos FROM (SELECT p_partkey AS id, p_size::DOUBLE AS x0, p_retailprice::DOUBLE AS x1, ascii(p_type)::DOUBLE AS y FROM part) p, range(3) g(t)) a LEFT JOIN (SELECT t, (t * 7919 + draw * 104729) % (SELECT count(*) FROM part) AS pos, count(*)::DOUBLE AS w FROM range(3) g(t), range((SELECT count(*) FROM part)) e(draw) GROUP BY ALL) b USING (t, pos)"
+
+
+def _draw():
+    """Bootstrap draws that SQL can repeat."""
+    return (F.col("tree") * F.lit(7919).cast("long") + F.col("draw") * 104729) % F.col("n")
+
+
+def _bag(spark: SparkSession, d: str, depth: int, least: int) -> tuple[DataFrame, ensemble.BaggingModel]:
     rows = _typed(spark, d)
-    m = tree.DecisionTreeClassifier(max_depth=4, min_samples_leaf=5).fit(rows)
-    return m.transform(rows).select("row_id", "prediction", "probability")
+    return rows, ensemble.BaggingClassifier(3, base=tree.DecisionTreeClassifier(max_depth=depth, min_samples_leaf=least)).fit(rows, _draw())
 
 
-@query()
-def M7_A21_regression_tree(spark, d):
+@query(f"{_tree_sql(_PARTROWS, 2, 3, 5)}, n AS (SELECT node, y, sum(w) AS n FROM r3 GROUP BY node, y), b AS (SELECT node, y, n / sum(n) OVER (PARTITION BY node) AS p, row_number() OVER (PARTITION BY node ORDER BY n DESC, y) AS place FROM n) SELECT r3.id AS row_id, b.y AS prediction, {_sr('b.p')} AS p FROM r3 JOIN b ON b.node = r3.node AND b.place = 1")
+def M6_J8_P10_tree_predict(spark, d):
+    """Class and its probability by a tree of depth 3."""
+    rows = _typed(spark, d)
+    m = tree.DecisionTreeClassifier(max_depth=3, min_samples_leaf=5).fit(rows)
+    return m.transform(rows).select("row_id", "prediction", _r(F.array_max("probability")).alias("p"))
+
+
+_LINEROWS = "SELECT 0 AS t, l_orderkey AS o, l_partkey AS pk, l_suppkey AS sk, l_linenumber AS ln, row_number() OVER () AS id, l_quantity::DOUBLE AS x0, l_discount::DOUBLE AS x1, l_tax::DOUBLE AS x2, l_extendedprice / 1000.0::DOUBLE AS y, 1.0::DOUBLE AS w FROM lineitem"
+
+
+def _regression(spark: SparkSession, d: str) -> tuple[DataFrame, tree.TreeModel]:
     rows = table(spark, d, "lineitem").select(*KEY, F.array("l_quantity", "l_discount", "l_tax").alias("features"), (F.col("l_extendedprice") / 1000.0).alias("label"))
-    m = tree.DecisionTreeRegressor(max_depth=3, min_samples_leaf=20).fit(rows)
-    return m.transform(rows).select(*KEY, _r("prediction").alias("prediction"))
+    return rows, tree.DecisionTreeRegressor(max_depth=3, min_samples_leaf=20).fit(rows)
 
 
-@query()
-def A20_A23_importances(spark, d):
-    rows = _typed(spark, d)
-    one = tree.DecisionTreeClassifier(max_depth=3).fit(rows)
-    bag = ensemble.BaggingClassifier(3, base=tree.DecisionTreeClassifier(max_depth=3)).fit(rows)
-    return spark.createDataFrame(list(zip(("p_size", "p_retailprice"), one.feature_importances, bag.feature_importances())), "feature string, tree double, bagging double")
+@query(f"{_tree_sql(_LINEROWS, 3, 3, 20, regression=True)}, n AS (SELECT node, sum(y) / sum(w) AS y FROM r3 GROUP BY node) SELECT (x0)::DOUBLE AS quantity, (x1)::DOUBLE AS discount, (x2)::DOUBLE AS tax, count(*) AS n, {_sr('any_value(n.y)', 4)} AS prediction FROM r3 JOIN n USING (node) GROUP BY x0, x1, x2")
+def M7_J8_regression_tree(spark, d):
+    """Predictions of a tree of depth 3 and how many rows have each."""
+    rows, m = _regression(spark, d)
+    x = [F.col("features")[i].alias(c) for i, c in enumerate(("quantity", "discount", "tax"))]
+    return m.transform(rows).groupBy(*x).agg(F.count("*").alias("n"), _r(F.max("prediction"), 4).alias("prediction"))
+
+
+@query(f"{_tree_sql(_LINEROWS, 3, 3, 20, regression=True)}{_gain_shares(3, True)} SELECT f.f::INTEGER AS feature, {_sr('coalesce(sh.share, 0)', 5)} AS importance FROM range(3) f(f) LEFT JOIN sh ON sh.f = f.f")
+def A21_regression_importances(spark, d):
+    _, m = _regression(spark, d)
+    return spark.createDataFrame(list(enumerate(m.feature_importances)), "feature int, importance double").select("feature", _r("importance", 5).alias("importance"))
+
+
+@query(f"{_tree_sql(_PARTROWS, 2, 2, 1)}{_gain_shares(2, False)} SELECT f.f::INTEGER AS feature, {_sr('coalesce(sh.share, 0)')} AS importance FROM range(2) f(f) LEFT JOIN sh ON sh.f = f.f")
+def A20_tree_importances(spark, d):
+    m = tree.DecisionTreeClassifier(max_depth=2).fit(_typed(spark, d))
+    return spark.createDataFrame(list(enumerate(m.feature_importances)), "feature int, importance double").select("feature", _r("importance").alias("importance"))
+
+
+@query(f"{_tree_sql(_DRAWN, 2, 2, 1)}{_gain_shares(2, False)} SELECT f.f::INTEGER AS feature, {_sr('coalesce(sum(sh.share), 0) / 3')} AS importance FROM range(2) f(f) LEFT JOIN sh ON sh.f = f.f GROUP BY f.f")
+def A23_bagging_importances(spark, d):
+    _, m = _bag(spark, d, 2, 1)
+    return spark.createDataFrame(list(enumerate(m.feature_importances())), "feature int, importance double").select("feature", _r("importance").alias("importance"))
 
 
 @query("WITH t AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS pos, count(*) OVER () AS n FROM part), d AS (SELECT tree, (tree * 7919 + draw * 104729) % (SELECT count(*) FROM part) AS pos FROM range(3) a(tree), range((SELECT count(*) FROM part)) b(draw)) SELECT d.tree::INTEGER AS tree, t.p_partkey AS row_id, count(*)::DOUBLE AS w FROM d JOIN t USING (pos) GROUP BY d.tree, t.p_partkey")
 def R2_bootstrap(spark, d):
     rows = _typed(spark, d)
-    draw = (F.col("tree") * F.lit(7919).cast("long") + F.col("draw") * 104729) % F.col("n")
-    return ensemble.bootstrap(rows, 3, rows.count(), 0, draw=draw).select("tree", "row_id", "w")
+    return ensemble.bootstrap(rows, 3, rows.count(), 0, draw=_draw()).select("tree", "row_id", "w")
 
 
-@query()
-def M8_A22_bagging(spark, d):
-    rows = _typed(spark, d)
-    m = ensemble.BaggingClassifier(5, seed=3, base=tree.DecisionTreeClassifier(max_depth=3, min_samples_leaf=5)).fit(rows)
-    return m.transform(rows).select("row_id", "prediction", "probability")
+@query(f"{_tree_sql(_DRAWN, 2, 2, 5)}, n AS (SELECT t, node, y, sum(w) AS n FROM r2 GROUP BY t, node, y), p AS (SELECT t, node, y, n / sum(n) OVER (PARTITION BY t, node) AS p FROM n), a AS (SELECT r2.id, p.y, sum(p.p) / 3 AS p FROM r2 JOIN p ON p.t = r2.t AND p.node = r2.node GROUP BY r2.id, p.y) SELECT id AS row_id, y AS prediction, {_sr('p')} AS p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(p, 12) DESC, y) AS place FROM a) WHERE place = 1")
+def M8_A22_J9_bagging(spark, d):
+    """Class of the highest mean probability over three bagged trees, and that probability."""
+    rows, m = _bag(spark, d, 2, 5)
+    return m.transform(rows).select("row_id", "prediction", _r(F.array_max("probability")).alias("p"))
 
 
 # ---- clustering --------------------------------------------------------------------
@@ -482,12 +562,12 @@ def _two(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(*KEY, F.array("l_quantity", "l_extendedprice").alias("features"))
 
 
-@query(" UNION ALL ".join(f"SELECT {i}::INTEGER AS component, {_sr(f'(1 {s} abs(r)) * n / (n - 1)')} AS variance, {_sr(f'(1 {s} abs(r)) / 2')} AS ratio, {_sr(f'sqrt((1 {s} abs(r)) * n)', 3)} AS singular, {_sr('sqrt(0.5)')} AS loading FROM {_CORR}" for i, s in enumerate("+-")))
+@query(" UNION ALL ".join(f"SELECT {i}::INTEGER AS component, {_sr(f'(1 {s} abs(r)) * n / (n - 1)')} AS variance, {_sr(f'(1 {s} abs(r)) / 2')} AS ratio, {_sr(f'(1 + {1 - i} * abs(r)) / {2 - i}')} AS cumulative, {_sr(f'sqrt((1 {s} abs(r)) * n)', 3)} AS singular, {_sr('sqrt(0.5)')} AS loading FROM {_CORR}" for i, s in enumerate("+-")))
 def M11_A32_W8_pca(spark, d):
     m = decomposition.PCA().fit(_two(spark, d))
-    rows = [(i, v, r, s, abs(c[0])) for i, (v, r, s, c) in enumerate(zip(m.explained_variance, m.explained_variance_ratio, m.singular_values, m.components))]
-    got = spark.createDataFrame(rows, "component int, variance double, ratio double, singular double, loading double")
-    return got.select("component", _r("variance").alias("variance"), _r("ratio").alias("ratio"), _r("singular", 3).alias("singular"), _r("loading").alias("loading"))
+    rows = [(i, v, r, t, s, abs(c[0])) for i, (v, r, t, s, c) in enumerate(zip(m.explained_variance, m.explained_variance_ratio, m.cumulative_variance_ratio, m.singular_values, m.components))]
+    got = spark.createDataFrame(rows, "component int, variance double, ratio double, cumulative double, singular double, loading double")
+    return got.select("component", _r("variance").alias("variance"), _r("ratio").alias("ratio"), _r("cumulative").alias("cumulative"), _r("singular", 3).alias("singular"), _r("loading").alias("loading"))
 
 
 @query(f"SELECT {_sr('-((1 - abs(r)) / 2) * (s0 * s0 + s1 * s1) / 2 / 1000000.0', 4)} AS score FROM {_CORR}")
@@ -545,14 +625,30 @@ def W6_compress_labels(spark, d):
 @query(f"{_VOTE} SELECT {_sr('coalesce(avg((coalesce(v.label, s.s_suppkey % 7) <> s.s_suppkey % 7)::INTEGER), 0)')} AS changed FROM supplier s LEFT JOIN v ON v.id = s.s_suppkey")
 def A30_changed_fraction(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 7).alias("old"))
-    both = s.join(_voted(spark, d), "id", "left")
-    return both.agg(_r(F.coalesce(F.avg((F.coalesce("label", "old") != F.col("old")).cast("double")), F.lit(0.0))).alias("changed"))
+    after = s.join(_voted(spark, d), "id", "left").select("id", F.coalesce("label", "old").alias("label"))
+    return spark.createDataFrame([(graph.changed_fraction(s.withColumnRenamed("old", "label"), after),)], "changed double").select(_r("changed").alias("changed"))
 
 
-@query()
-def M12_G3_G4_label_propagation(spark, d):
+def _propagation_sql(rounds: int, waves: int) -> str:
+    out, at = f"WITH {_EDGES}, p0 AS (SELECT s_suppkey AS id, s_suppkey::BIGINT AS label FROM supplier)", 0
+    for _ in range(rounds):
+        for w in range(waves):
+            out += f", q{at} AS (SELECT id, label FROM (SELECT u.src AS id, p.label, row_number() OVER (PARTITION BY u.src ORDER BY count(*) DESC, p.label) AS r FROM u JOIN p{at} p ON p.id = u.dst WHERE u.src % {waves} = {w} GROUP BY u.src, p.label) WHERE r = 1)"
+            out += f", p{at + 1} AS (SELECT p.id, coalesce(q.label, p.label) AS label FROM p{at} p LEFT JOIN q{at} q USING (id))"
+            at += 1
+    return f"{out} SELECT id, label FROM p{at}"
+
+
+@query(_propagation_sql(2, 2))
+def M12_G2_G3_G4_label_propagation(spark, d):
+    """Two rounds of two waves; ties to the smallest label."""
     v = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("pos"))
-    return graph.LabelPropagation(10, 0.02, seed=1).run(v, _edges(spark, d))
+    return graph.LabelPropagation(2, 0.0, waves=2).run(v, _edges(spark, d), wave=F.col("id") % 2, ties="smallest")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT s_suppkey) AS n_distinct, count(*) = count(DISTINCT s_suppkey) AS is_unique FROM supplier")
+def X2_vertex_uniqueness(spark, d):
+    return graph.vertex_counts(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
 # ---- network ------------------------------------------------------------------------------
@@ -570,8 +666,127 @@ def M5_A27_network_step(spark, d):
     return spark.createDataFrame([(float(w[0, 0]), float(w[1, 0]), float(b[0]), m.losses[0])], "w0 double, w1 double, b double, loss double").select(*(_r(c).alias(c) for c in ("w0", "w1", "b", "loss")))
 
 
+def _network_sql(step: float) -> str:
+    """One full-batch step of an 8-4-10 network, and its predictions."""
+    forward = lambda n, w1, w2: (
+        f", z{n} AS (SELECT e.id, w.j, sum(e.v * w.w) + any_value(w.b) AS z FROM e JOIN {w1} w USING (i) GROUP BY e.id, w.j), o{n} AS (SELECT z.id, w.c, sum(greatest(z.z, 0) * w.w) + any_value(w.b) AS o FROM z{n} z JOIN {w2} w USING (j) GROUP BY z.id, w.c)"
+        f", p{n} AS (SELECT id, c, exp(o - m) / sum(exp(o - m)) OVER (PARTITION BY id) AS p FROM (SELECT *, max(o) OVER (PARTITION BY id) AS m FROM o{n}))"
+    )
+    return (
+        "WITH e AS (SELECT id, y, i, v FROM (SELECT vec_id AS id, label AS y, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE i < 8), y AS (SELECT DISTINCT id, y FROM e)"
+        ", w1 AS (SELECT i, j, sin(1 + i * 4 + j) * 0.5 AS w, 0.0::DOUBLE AS b FROM range(8) a(i), range(4) b(j)), w2 AS (SELECT j, c, cos(1 + j * 10 + c) * 0.5 AS w, 0.0::DOUBLE AS b FROM range(4) a(j), range(10) b(c))"
+        + forward(0, "w1", "w2")
+        + ", d AS (SELECT p.id, p.c, p.p - (p.c = y.y)::INTEGER AS d FROM p0 p JOIN y USING (id)), g2 AS (SELECT z.j, d.c, avg(greatest(z.z, 0) * d.d) AS g, avg(d.d) AS gb FROM z0 z JOIN d USING (id) GROUP BY z.j, d.c)"
+        ", k AS (SELECT z.id, z.j, sum(d.d * w2.w) * any_value(z.z > 0)::INTEGER AS k FROM z0 z JOIN d USING (id) JOIN w2 ON w2.j = z.j AND w2.c = d.c GROUP BY z.id, z.j), g1 AS (SELECT e.i, k.j, avg(e.v * k.k) AS g, avg(k.k) AS gb FROM e JOIN k USING (id) GROUP BY e.i, k.j)"
+        f", u1 AS (SELECT i, j, w - {step} * g AS w, b - {step} * gb AS b FROM w1 JOIN g1 USING (i, j)), u2 AS (SELECT j, c, w - {step} * g AS w, b - {step} * gb AS b FROM w2 JOIN g2 USING (j, c))"
+        + forward(1, "u1", "u2")
+        + f" SELECT id AS row_id, c::INTEGER AS prediction, {_sr('p')} AS p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(p, 12) DESC, c) AS r FROM p1) WHERE r = 1"
+    )
+
+
+@query(_network_sql(0.5))
+def M5_A27_network_classify(spark, d):
+    """A hidden layer of four, from fixed weights, after one full-batch step."""
+    import numpy as np
+
+    rows = _vectors(spark, d).withColumn("features", F.slice("features", 1, 8))
+    net = nn.NeuralNetwork(8, 4, n_classes=10, learning_rate=0.5, batch_size=1 << 30, max_epochs=1)
+    w1, w2 = np.sin(1 + np.arange(32.0)).reshape(8, 4) / 2, np.cos(1 + np.arange(40.0)).reshape(4, 10) / 2
+    m = net.fit(rows, nn.NetworkModel(net, {"W1": w1, "b1": np.zeros(4), "W2": w2, "b2": np.zeros(10)}, []))
+    return m.transform(rows).select("row_id", "prediction", _r(F.array_max("output")).alias("p"))
+
+
 @query()
-def M5_network_classify(spark, d):
+def M5_network_minibatches(spark, d):
+    """64-16-10, two epochs of batches of 512 in hash order."""
     rows = _vectors(spark, d)
     net = nn.NeuralNetwork(64, 16, n_classes=10, learning_rate=0.1, batch_size=512, max_epochs=2)
     return net.fit(rows).transform(rows).select("row_id", "prediction")
+
+
+# ---- small operators ------------------------------------------------------------------------
+
+
+@query(f"SELECT p_partkey AS row_id, {_sr('1 / (1 + exp(-(0.7 * ((p_size - 25) / 15.0::DOUBLE) - 0.2)))')} AS prediction, {_sr('tanh(0.7 * ((p_size - 25) / 15.0::DOUBLE) - 0.2)')} AS plain FROM part")
+def P4_F7_U3_neuron_predict(spark, d):
+    """An activation of columns, and one of numbers."""
+    import math
+
+    rows = _parts(spark, d).select("row_id", F.array("a").alias("x"))
+    model = lambda f: linear.NeuronModel(linear.SingleNeuron(activation=f), [0.7], -0.2, [])
+    both = model(math.tanh).transform(model(vec.sigmoid).transform(rows).withColumnRenamed("prediction", "s"))
+    return both.select("row_id", _r("s").alias("prediction"), _r("prediction").alias("plain"))
+
+
+@query(f"WITH {_LONG}, p AS (SELECT a.vec_id AS q, b.vec_id AS t, max(abs(a.v - b.v)) AS dist FROM e a JOIN e b ON a.i = b.i WHERE a.vec_id % 100 = 0 GROUP BY a.vec_id, b.vec_id) SELECT q AS query_id, rank, t AS train_id, {_sr('dist')} AS dist FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, t)::INTEGER AS rank FROM p) WHERE rank <= 3")
+def U1_U2_callable_metric(spark, d):
+    """Neighbours by a metric of two numpy vectors."""
+    v = _vectors(spark, d)
+    got = neighbors.KNN(3, metric=lambda a, b: abs(a - b).max()).fit(v).kneighbors(v.where("row_id % 100 = 0"))
+    return got.select("query_id", "rank", "train_id", _r("dist").alias("dist"))
+
+
+@query(f"SELECT p_partkey AS row_id, {_sr('greatest(0.0, (p_size - 25) / 15.0::DOUBLE)')} AS relu, CASE WHEN p_size > 25 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS grad FROM part")
+def F4_F5_relu(spark, d):
+    z = (F.col("p_size") - 25) / 15.0
+    return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), _r(vec.relu(z)).alias("relu"), vec.relu_grad(z).alias("grad"))
+
+
+@query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS largest, (list_position(embedding, list_min(embedding)) - 1)::INTEGER AS smallest FROM embeddings")
+def O3_O4_arg_extremes(spark, d):
+    e = F.col("embedding")
+    return table(spark, d, "embeddings").select("vec_id", vec.argmax(e).alias("largest"), vec.argmin(e).alias("smallest"))
+
+
+@query(f"SELECT p_partkey, {_sr('p_size')} AS p_size, {_sr('p_retailprice')} AS p_retailprice FROM part")
+def S3_lenient_cast(spark, d):
+    texts = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"))
+    got = validate.cast_lenient(texts, "p_size", "p_retailprice")
+    return got.select("p_partkey", _r("p_size").alias("p_size"), _r("p_retailprice").alias("p_retailprice"))
+
+
+@query("SELECT c_custkey, c_nationkey, c_acctbal::DOUBLE AS c_acctbal FROM customer")
+def S9_headerless_csv(spark, d):
+    """The table as CSV without a header, read back."""
+    from uuid import uuid4
+
+    path = f"{shared_dir(spark)}/millrace/csv-{uuid4().hex}"
+    table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("double")).write.csv(path)
+    kinds = dict(table(spark, d, "customer").dtypes)
+    return headerless_csv(spark, path, {"c_custkey": kinds["c_custkey"], "c_nationkey": kinds["c_nationkey"], "c_acctbal": "double"})
+
+
+@query("SELECT p_partkey, [p_retailprice::DOUBLE][1] AS x0, len([p_retailprice])::INTEGER AS width FROM part")
+def S4_S5_as_vectors(spark, d):
+    got = prep.as_vectors(table(spark, d, "part"), "p_retailprice")
+    return got.select("p_partkey", F.col("features")[0].alias("x0"), F.size("features").alias("width"))
+
+
+@query("SELECT o_orderkey, o_totalprice::DOUBLE AS o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def O8_head(spark, d):
+    got = prep.head(table(spark, d, "orders"), 25, F.desc("o_totalprice"), "o_orderkey")
+    return got.select("o_orderkey", F.col("o_totalprice").cast("double"))
+
+
+@query(f"SELECT (a * 50 + b)::BIGINT AS row_id, {_sr('-2.0 + a * 4.0 / 39')} AS x0, {_sr('b * 10.0 / 49')} AS x1, CASE WHEN 0.4 * (-2.0 + a * 4.0 / 39) - 0.3 * (b * 10.0 / 49) + 0.1 >= 0 THEN 1 ELSE 0 END AS prediction FROM range(40) g(a), range(50) h(b)")
+def F15_scored_grid(spark, d):
+    """A grid of 40 by 50 points, scored by a linear model."""
+    g = prep.grid(spark, [(-2.0, 2.0, 40), (0.0, 10.0, 50)], "x")
+    got = linear.PerceptronModel(linear.Perceptron(), [0.4, -0.3], 0.1, [0, 1]).transform(g)
+    return got.select("row_id", _r(F.col("x")[0]).alias("x0"), _r(F.col("x")[1]).alias("x1"), "prediction")
+
+
+@query(f"WITH p AS (SELECT c_acctbal / 1000.0::DOUBLE AS x, c_nationkey::DOUBLE AS y FROM customer), c AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOUBLE)' for i, (a, b) in enumerate(_CENTERS))}) AS t(k, cx, cy)), a AS (SELECT k, x, y FROM (SELECT p.x, p.y, c.k, row_number() OVER (PARTITION BY p.x, p.y ORDER BY sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)), k) AS r FROM (SELECT DISTINCT x, y FROM p) p CROSS JOIN c) WHERE r = 1), n AS (SELECT a.k, avg(p.x) AS nx, avg(p.y) AS ny FROM p JOIN a ON a.x = p.x AND a.y = p.y GROUP BY a.k) SELECT {_sr('max(sqrt((coalesce(nx, 0) - cx) * (coalesce(nx, 0) - cx) + (coalesce(ny, 0) - cy) * (coalesce(ny, 0) - cy)))')} AS shift FROM c LEFT JOIN n ON n.k = c.k")
+def A25_max_shift(spark, d):
+    """How far centres move in one round."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.array(F.col("c_acctbal") / 1000.0, F.col("c_nationkey").cast("double")).alias("features"))
+    m = cluster.KMeans(4, max_iter=1, tol=0.0, initial_centers=_CENTERS).fit(rows)
+    return spark.createDataFrame([(cluster.max_shift(_CENTERS, m.centers),)], "shift double").select(_r("shift").alias("shift"))
+
+
+@query("SELECT user_id, value::DOUBLE AS amount FROM events WHERE value IS NOT NULL AND event_type = (SELECT min(event_type) FROM events)")
+def P16_wrangle(spark, d):
+    """Rows without nulls, filtered, with a renamed column."""
+    e = table(spark, d, "events")
+    least = e.agg(F.min("event_type")).first()[0]
+    return e.select("user_id", "event_type", F.col("value").cast("double").alias("value")).dropna(subset=["value"]).where(F.col("event_type") == least).withColumnRenamed("value", "amount").drop("event_type")

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import vec
-from millrace.operators import cluster, decomposition, ensemble, graph, linear, metrics, neighbors, nn, prep, tree, validate, vote
+from millrace.operators import cluster, decomposition, ensemble, graph, linear, metrics, neighbors, nn, persist, prep, radius, tree, validate, vote
+from millrace.plans import lineage, sums
+from millrace.sources import headerless_csv
+from millrace.streaming import score_stream
 
 
 def frame(spark, x, y=None):
@@ -243,3 +246,180 @@ def test_images_and_vectors(spark):
     assert prep.flatten_images(df).first()["features"] == [1.0, 2.0, 3.0, 4.0]
     r = spark.range(1).select(vec.softmax(F.array(F.lit(1000.0), F.lit(1000.0))).alias("s"), vec.argmax(F.array(F.lit(1.0), F.lit(3.0), F.lit(3.0))).alias("a"), vec.sigmoid(F.lit(-1e4)).alias("g")).first()
     assert r["s"] == [0.5, 0.5] and r["a"] == 1 and r["g"] == 0.0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_vector_pairs_are_all_pairs_whatever_the_cells(spark, metric):
+    r = np.random.default_rng(5)
+    x = np.concatenate((r.normal(size=(150, 6)), 5 + 0.3 * r.normal(size=(150, 6)), np.ones((20, 6))))
+    eps = 1.0 if metric == "euclidean" else 2.0
+    dist = np.linalg.norm(x[:, None] - x[None], ord=2 if metric == "euclidean" else 1, axis=2)
+    want = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if dist[i, j] <= eps]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "a long, x array<double>").repartition(3)
+    got = radius.vector_pairs(rows, eps, metric, cell_rows=30, block_rows=16)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+    assert radius.vector_pairs(rows.limit(0), eps, metric).count() == 0
+    far = spark.createDataFrame([(1, [1e9, 0.0, 0.0, 0.0]), (2, [1e9 + 1, 0.0, 0.0, 0.0]), (3, [1e9 + 2.5, 0.0, 0.0, 0.0])], "a long, x array<double>")
+    assert [tuple(p) for p in radius.vector_pairs(far, 1.0, metric).collect()] == [(1, 2)]
+
+
+def test_wide_models_agree_with_narrow_plans(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(80, 5))
+    df = frame(spark, x, (x[:, 0] > 0).astype(float))
+    start = x[:3].tolist()
+    km = cluster.KMeans(3, initial_centers=start, max_iter=5).fit(df)
+    narrow = values(km.transform(df), "cluster")
+    m = decomposition.PCA(2).fit(df)
+    p = values(m.transform(df), "pca")
+    log = linear.LogisticRegression(0.3, 4, "features", "label", initial_weights=[0.1] * 6).fit(df)
+    scale = prep.standardize_fit(df)
+    net = nn.NeuralNetwork(5, 3, n_classes=2).initial()
+    out = values(net.transform(df), "output")
+    for module, name in ((cluster, "WIDE"), (decomposition, "WIDE"), (nn, "WIDE"), (vec, "UNROLL")):
+        monkeypatch.setattr(module, name, 0)
+    wide = cluster.KMeans(3, initial_centers=start, max_iter=5).fit(df)
+    assert np.allclose(wide.centers, km.centers) and values(wide.transform(df), "cluster") == narrow
+    assert np.allclose(values(m.transform(df), "pca"), p)
+    assert np.allclose(values(m.inverse_transform(m.transform(df)), "restored"), np.array(p) @ np.array(m.components) * m.scaler.scale + m.scaler.shift)
+    again = linear.LogisticRegression(0.3, 4, "features", "label", initial_weights=[0.1] * 6).fit(df)
+    assert np.allclose([*again.w, again.b], [*log.w, log.b]) and np.allclose(again.losses, log.losses)
+    assert np.allclose(prep.standardize_fit(df).scale, scale.scale) and np.allclose(values(net.transform(df), "output"), out)
+
+
+def test_models_of_hundreds_of_features(spark):
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(60, 784)), r.integers(0, 10, 60)
+    df = frame(spark, x, y)
+    m = decomposition.PCA(5, scale=False).fit(df)
+    want = np.linalg.svd(x - x.mean(axis=0), compute_uv=False)[:5]
+    assert np.allclose(m.singular_values, want) and len(values(m.transform(df), "pca")[0]) == 5
+    net = nn.NeuralNetwork(784, 256, n_classes=10, batch_size=32, max_epochs=1)
+    fitted = net.fit(df)
+    assert np.allclose(values(fitted.transform(df), "output"), nn.forward(fitted.weights, x, "classification")[0])
+    km = cluster.KMeans(4, max_iter=2).fit(df)
+    assert set(values(km.transform(df), "cluster")) <= set(range(4))
+
+
+def test_vector_sum(spark):
+    df = spark.range(1000).repartition(7).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
+    wide = lambda b: np.tile(sums.matrix(b.column("x")).sum(axis=0), 10_000)
+    assert np.array_equal(sums.vector_sum(df, wide, salts=2), np.tile([499500.0, 1000.0], 10_000))
+    assert sums.vector_sum(df.limit(0), wide) is None
+
+
+def test_trees_do_not_hang_on_value_ranges(spark):
+    r = np.random.default_rng(8)
+    x = np.round(r.normal(size=(300, 3)), 1)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0, 1.0, 0.0)
+    rows = lambda df: df.select(F.lit(0).alias("tree"), F.col("features").alias("x"), F.col("label").alias("y"), F.lit(1.0).alias("w"))
+    df = rows(frame(spark, x, y))
+    whole = tree.grow(df, 3, tree._Classes([0.0, 1.0]), tree.Rules())
+    assert tree.grow(df, 3, tree._Classes([0.0, 1.0]), tree.Rules(), range_rows=20) == whole
+    assert len(whole[0]) > 20
+
+
+def test_deep_and_large_trees(spark):
+    n = 90
+    df = frame(spark, [[2.0**-i] for i in range(n)], [i % 2 for i in range(n)])
+    m = tree.DecisionTreeClassifier().fit(df)
+    assert m.score(df) == 1.0 and len(tree.leaf_numbers(m.nodes)) > tree.WIDE
+    assert m.node_table(spark).count() == len(m.nodes)
+    assert all(sum(p) == 1 for p in values(m.transform(df), "probability"))
+
+
+def test_networks_take_chunks_in_order(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(50, 3)), rng.normal(size=50)
+    df = frame(spark, x, y)
+    want = None
+    for chunk in (65_536, 14, 7, 1):  # one chunk, several, one batch in each, spread batches
+        monkeypatch.setattr(nn, "CHUNK_ROWS", chunk)
+        m = nn.NeuralNetwork(3, 4, "regression", learning_rate=0.05, batch_size=7, max_epochs=2).fit(df)
+        got = np.concatenate([m.weights[k].ravel() for k in sorted(m.weights)] + [m.losses])
+        want = got if want is None else want
+        assert np.allclose(got, want)
+
+
+def test_plain_callables(spark):
+    x = [[1, 1], [2, 0], [0, 2], [1.5, 0.2]]
+    df = frame(spark, x, [0, 1, 1, 1])
+    far = neighbors.KNN(3, metric=lambda a, b: float(np.linalg.norm(a - b))).fit(df).kneighbors(frame(spark, [[0, 0]]))
+    assert [r["train_id"] for r in far.orderBy("rank").collect()] == [0, 3, 1]
+    d = neighbors.pairwise(df, df, lambda a, b: max(abs(a - b))).where("a_id = 0 and b_id = 2").first()["dist"]
+    assert d == 1.0
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(30, 2))
+    rows = frame(spark, v, np.tanh(v[:, 0]))
+    same = [linear.SingleNeuron(0.1, 3, f, "features", "label", initial_weights=[0.2, 0.1, 0.0]).fit(rows) for f in (math.tanh, F.tanh)]
+    assert np.allclose([*same[0].w, same[0].b, *same[0].errors], [*same[1].w, same[1].b, *same[1].errors])
+    assert np.allclose(values(same[0].transform(rows), "prediction"), values(same[1].transform(rows), "prediction"))
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(40, 3))
+    df = frame(spark, x, (x[:, 0] > 0).astype(float))
+    models = [
+        tree.DecisionTreeClassifier(max_depth=3).fit(df), ensemble.BaggingClassifier(2).fit(df), cluster.KMeans(2, max_iter=3).fit(df), decomposition.PCA(2).fit(df),
+        linear.LogisticRegression(0.1, 3, "features", "label", seed=1).fit(df), nn.NeuralNetwork(3, 2, n_classes=2).initial(),
+    ]
+    for i, m in enumerate(models):
+        persist.save(spark, m, f"{tmp_path}/m{i}")
+        back = persist.load(spark, f"{tmp_path}/m{i}")
+        assert sorted(map(str, back.transform(df).collect())) == sorted(map(str, m.transform(df).collect()))
+    with pytest.raises(TypeError):
+        persist.save(spark, linear.SingleNeuron(), f"{tmp_path}/f")
+
+
+def test_shaping_sampling_and_generating(spark):
+    df = spark.range(20).withColumnRenamed("id", "row_id")
+    assert prep.as_vectors(df, "row_id").first()["features"] == [0.0]
+    with pytest.raises(ValueError):
+        prep.as_vectors(df.limit(0), "row_id")
+    with pytest.raises(TypeError):
+        prep.as_vectors(spark.createDataFrame([("a",)], "s string"), "s")
+    one = values(prep.sample_rows(df, 6, seed=2), "row_id")
+    assert len(set(one)) == 6 and one == values(prep.sample_rows(df.repartition(5), 6, seed=2), "row_id") and prep.sample_rows(df, 99).count() == 20
+    assert values(prep.head(df, 3, F.desc("row_id")), "row_id") == [17, 18, 19]
+    g = values(prep.grid(spark, [(0, 1, 2), (0, 4, 3)]), "features")
+    assert g == [[0, 0], [0, 2], [0, 4], [1, 0], [1, 2], [1, 4]]
+    b = prep.blobs(spark, 400, [[0.0, 0.0], [10.0, 0.0]], 0.5, seed=1)
+    x, y = np.array(values(b, "features")), np.array(values(b, "label"))
+    assert np.allclose(x[y == 1].mean(axis=0), [10, 0], atol=0.15) and abs(x[y == 0].std() - 0.5) < 0.06
+    x, y = np.array(values(prep.rings(spark, 200, "circles", factor=0.4), "features")), np.arange(200) % 2
+    assert np.allclose(np.linalg.norm(x, axis=1), np.where(y, 0.4, 1.0))
+    assert np.array(values(prep.rings(spark, 200, noise=0.05), "features")).shape == (200, 2)
+
+
+def test_csv_streams_and_best_parameters(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,2.5,x\n2,,y\n")
+    got = headerless_csv(spark, str(tmp_path / "a.csv"), {"i": "int", "v": "double", "s": "string"})
+    assert [tuple(r) for r in got.orderBy("i").collect()] == [(1, 2.5, "x"), (2, None, "y")]
+    df = frame(spark, [[1.0], [-1.0]])
+    df.write.parquet(f"{tmp_path}/in")
+    model = linear.PerceptronModel(linear.Perceptron(features="features"), [1.0], 0.0, [0, 1])
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    score_stream(stream, model, f"{tmp_path}/check", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    assert values(spark.read.parquet(f"{tmp_path}/out"), "prediction") == [1, 0]
+    with pytest.raises(ValueError):
+        score_stream(df, model, "a", "b")
+    s = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.9)], "param int, score double")
+    assert metrics.best_param(s).first()["param"] == 2 and metrics.best_param(s, largest=False).first()["param"] == 1
+
+
+def test_cuts_are_tables_that_can_be_dropped(spark):
+    df = lineage.cut(spark.range(10))
+    assert df.count() == 10
+    lineage.drop(df)
+    with pytest.raises(Exception):
+        df.count()
+
+
+def test_propagation_waves_and_ties(spark):
+    v = spark.createDataFrame([(i, i) for i in range(6)], "id long, pos long")
+    e = spark.createDataFrame([(0, 1), (1, 2), (3, 4), (4, 5), (5, 3)], "src long, dst long")
+    got = {r["id"]: r["label"] for r in graph.LabelPropagation(6, waves=2).run(v, e, wave=F.col("id") % 2, ties="smallest").collect()}
+    assert got[3] == got[4] == got[5] and len({got[0], got[1], got[2]}) == 1
+    with pytest.raises(ValueError):
+        graph.LabelPropagation(1).run(v, e, ties="x")
