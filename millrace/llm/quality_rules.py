@@ -6,7 +6,7 @@ decorated words), navigation (menu separators, many tiny entries) and boilerplat
 its text is rejected. Base statistics of the whole text come first.
 
 All of it happens within a row: no shuffle, no join. Repeats are found by sorting
-window hashes within the row, not by comparing windows with each other.
+window hashes within the row and comparing the words of windows that meet.
 """
 
 from __future__ import annotations
@@ -65,18 +65,29 @@ def quality(docs: DataFrame, max_lost: float = 0.5, min_words: int = 50, max_rep
     lost_chars and cleaned (the text without failed lines).
 
     A null text counts as one without words and fails the base; its cleaned
-    text is null. Repeated rows each give a row; a null doc_id stays null.
+    text is null. Repeated rows each give a row; a null doc_id stays null; an
+    empty table gives no rows; other columns are not looked at. Counts are
+    exact in texts of any length: hashes only bring equal windows together, and
+    words decide.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     t = own.withColumn("t", F.coalesce("text", F.lit("")))
     t = t.withColumn("w", words_of("t")).withColumn("lines", F.split("t", "\n", -1))
-    # 40 bits of a window's hash above its place, so that equal windows meet when sorted
-    place = F.expr("transform(w, (x, i) -> if(i + 2 < size(w), (xxhash64(x, w[i + 1], w[i + 2]) & -16777216L) | cast(i as bigint), null))")
-    t = t.withColumn("n", F.size("w")).withColumn("h", place)
-    t = t.withColumn("s", F.sort_array(F.array_compact("h")))
-    same = "((s[i] >> 24) = (s[{j}] >> 24) and w[cast(s[i] & 16777215L as int)] = w[cast(s[{j}] & 16777215L as int)] and w[cast(s[i] & 16777215L as int) + 1] = w[cast(s[{j}] & 16777215L as int) + 1] and w[cast(s[i] & 16777215L as int) + 2] = w[cast(s[{j}] & 16777215L as int) + 2])"
-    near = " or ".join(f"({ok} and {same.format(j=j)})" for j, ok in (("i - 1", "i > 0"), ("i + 1", "i + 1 < size(s)"), ("i - 2", "i > 1"), ("i + 2", "i + 2 < size(s)")))
-    t = t.withColumn("r", F.sort_array(F.expr(f"transform(filter(s, (x, i) -> {near}), x -> x & 16777215L)")))
+    # a window's hash above its place, so that equal windows meet when sorted; the place
+    # takes 24 bits, or as many as the text's words need
+    t = t.withColumn("n", F.size("w")).withColumn("b", F.when(F.col("n") <= 1 << 24, 24).otherwise(F.ceil(F.log2("n")).cast("int")))
+    t = t.withColumn("low", F.expr("shiftleft(1L, b) - 1L"))
+    place = F.expr("transform(w, (x, i) -> if(i + 2 < n, (xxhash64(x, w[i + 1], w[i + 2]) & ~low) | cast(i as bigint), null))")
+    t = t.withColumn("s", F.sort_array(F.array_compact(place)))
+    at = lambda x, k: f"w[cast({x} & low as int) + {k}]"
+    words = lambda x, y: " and ".join(f"{at(x, k)} = {at(y, k)}" for k in range(3))
+    hashed = lambda x, y: f"(({x} ^ {y}) & ~low) = 0"
+    beside = (("i > 0", "s[i - 1]"), ("i + 1 < size(s)", "s[i + 1]"), ("i > 1", "s[i - 2]"), ("i + 2 < size(s)", "s[i + 2]"))
+    near = " or ".join(f"({ok} and {hashed('x', y)} and {words('x', y)})" for ok, y in beside)
+    # beside a window of other words and the same hash bits, all windows are looked at
+    mixed = " or ".join(f"({ok} and {hashed('x', y)})" for ok, y in beside[:2])
+    equal = f"{near} or (({mixed}) and exists(s, y -> y <> x and {hashed('x', 'y')} and {words('x', 'y')}))"
+    t = t.withColumn("r", F.sort_array(F.expr(f"transform(filter(s, (x, i) -> {equal}), x -> x & low)")))
     covered = F.expr("aggregate(transform(r, (p, i) -> if(i = 0, 3L, least(3L, p - r[i - 1]))), 0L, (a, x) -> a + x)")
     full = F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     good = F.filter("lines", lambda x: line_fails(x).isNull())
