@@ -8,21 +8,23 @@ least squares under the targets, as the expected tokens of each domain, summed
 over documents as rate x tokens x posterior. Rates are projected to their bounds
 in every step.
 
-Column expressions and aggregates only. A step reads one small table (id,
-tokens, posterior) and returns D + D^2 sums; a document's rate is a function of
-its posterior and of D coefficients, so no rates are stored between steps. The
-model has one row per bucket and is broadcast within that bound.
+Column expressions and aggregates only. Rates are fitted over cells of like
+posteriors, a bounded table, and finished over the rows in a few passes that
+return D + D^2 sums each; a document's rate is a function of its posterior and
+of D coefficients, so no rates are stored between steps. The model has one row
+per bucket and is broadcast within that bound.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import Scratch, row_key
+from millrace.llm.scratch import Scratch, named, renamed, row_key
 
 SPACE = r"[\x20\x09-\x0D]+"
 APART = r"[\x20\x09-\x0D.,;:!?\"'`#*$%&|<>()\[\]{}=_+/\\~^@-]+"
@@ -118,13 +120,30 @@ def _rate(dual: list[float], cap: float | None = None) -> Column:
     return r if cap is None else F.least(F.lit(float(cap)), r)
 
 
-def fit_rates(table: DataFrame, weights: list[float], total: float | None = None, cap: float | None = None, rounds: int = 60, tolerance: float = 1e-6) -> tuple[list[float], float]:
+def _grid(n: int, most: int = 50_000) -> int:
+    """The finest grid, up to 64 steps, whose cells over ``n`` shares number at most ``most``."""
+    return max(g for g in range(1, 65) if g == 1 or math.comb(g + n - 1, n - 1) <= most)
+
+
+def _sums(n: int, tokens: np.ndarray, p: np.ndarray, dual: np.ndarray, cap: float | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Tokens by domain, Gram matrix of the free rows, and the dual's row part."""
+    slack = p @ dual
+    r = np.clip(1 - slack, 0, cap)
+    free = (r > 0) & (True if cap is None else 1 - slack <= cap)
+    return (tokens * r) @ p, (p[free] * tokens[free, None]).T @ p[free], float((tokens * ((r - 1) ** 2 / 2 + r * slack)).sum())
+
+
+def fit_rates(table: DataFrame, weights: list[float], total: float | None = None, cap: float | None = None, rounds: int = 60, tolerance: float = 1e-6, passes: int = 8) -> tuple[list[float], float]:
     """(one coefficient per domain, residual as a share of the total). Rates are
     the nearest to one, token-weighted, that lie in [0, ``cap``] and give each
     domain its tokens. Their dual has one number per domain and is concave; it is
     climbed by Newton steps on the D x D Gram matrix of the rows whose rate is
     not at a bound, halved until the dual gains.
 
+    The climb runs on the driver over cells of like posteriors (a grid of at most
+    some 50 000, each with its tokens and its mean posterior); steps over the
+    rows themselves, at most ``passes``, then take the error of that away.
+
     ``total`` tokens are asked for; by default as many as the scarcest domain
     allows without repeating documents, and with a ``cap`` the most, in steps of
     3 %, that rates within it can meet. Domains without any tokens can't be met;
@@ -133,58 +152,67 @@ def fit_rates(table: DataFrame, weights: list[float], total: float | None = None
     """
     n = len(weights)
     pair = [(i, j) for i in range(n) for j in range(i, n)]
+    grid = _grid(n)
+    cell = F.transform("p", lambda x: F.round(x * grid).cast("int"))
+    sums = [F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(n)]
+    got = table.where("n_tokens > 0").groupBy(cell.alias("cell")).agg(F.sum("n_tokens").alias("n"), *sums).collect()
+    if not got:
+        return [0.0] * n, 0.0
+    tokens = np.array([float(r["n"]) for r in got])
+    p = np.array([[r[f"s{i}"] for i in range(n)] for r in got]) / tokens[:, None]
 
-    def look(dual: list[float]) -> tuple[np.ndarray, np.ndarray, float]:
-        """Tokens by domain, Gram matrix of the free rows, and the dual's row part."""
-        got = table.select("n_tokens", "p", _rate(dual, cap).alias("r"))
+    def over_cells(dual: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        return _sums(n, tokens, p, dual, cap)
+
+    def over_rows(dual: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        rows = table.select("n_tokens", "p", _rate(list(dual), cap).alias("r"))
         slack = sum((F.col("p")[i] * float(x) for i, x in enumerate(dual)), F.lit(0.0))
         free = (F.col("r") > 0) & (F.lit(True) if cap is None else (F.lit(1.0) - slack <= cap))
-        sums = [F.sum(F.col("n_tokens") * F.col("r") * F.col("p")[i]) for i in range(n)]
-        sums += [F.sum(F.when(free, F.col("n_tokens") * F.col("p")[i] * F.col("p")[j])) for i, j in pair]
-        sums += [F.sum(F.col("n_tokens") * ((F.col("r") - 1) * (F.col("r") - 1) / 2 + F.col("r") * slack))]
-        out = np.array([x or 0.0 for x in got.agg(*(x.alias(f"s{k}") for k, x in enumerate(sums))).first()])
+        each = [F.sum(F.col("n_tokens") * F.col("r") * F.col("p")[i]) for i in range(n)]
+        each += [F.sum(F.when(free, F.col("n_tokens") * F.col("p")[i] * F.col("p")[j])) for i, j in pair]
+        each += [F.sum(F.col("n_tokens") * ((F.col("r") - 1) * (F.col("r") - 1) / 2 + F.col("r") * slack))]
+        out = np.array([x or 0.0 for x in rows.agg(*(x.alias(f"s{k}") for k, x in enumerate(each))).first()])
         gram = np.zeros((n, n))
         for (i, j), x in zip(pair, out[n:-1]):
             gram[i, j] = gram[j, i] = x
         return out[:n], gram, float(out[-1])
 
-    dual = np.zeros(n)
-    have, gram, part = look(list(dual))
-    if not have.sum():
-        return [0.0] * n, 0.0
+    have = over_cells(np.zeros(n))[0]
     w = np.where(have > 0, weights, 0.0)
     if not w.sum():
         return [0.0] * n, 0.0
     w = w / w.sum()
     most = min(h / x for h, x in zip(have, w) if x > 0)
 
-    def climb(goal: np.ndarray, dual: np.ndarray) -> tuple[np.ndarray, float]:
-        now, gram, part = look(list(dual))
-        for _ in range(rounds):
-            rest = now - goal
-            rest[have <= 0] = 0.0
+    def climb(goal: np.ndarray, dual: np.ndarray, look, looks: int) -> tuple[np.ndarray, float]:
+        now, gram, part = look(dual)
+        looks -= 1
+        while looks > 0:
+            rest = np.where(have > 0, now - goal, 0.0)
             if np.abs(rest).max() <= tolerance * goal.sum():
                 break
             ridge = 1e-9 * max(np.trace(gram), 1e-6 * have.sum()) * np.eye(n)
             step, size, value = np.linalg.solve(gram + ridge, rest), 1.0, part - dual @ goal
-            while size > 1e-4:
+            while size > 1e-4 and looks > 0:
                 trial = dual + size * step
-                found = look(list(trial))
+                found = look(trial)
+                looks -= 1
                 if found[2] - trial @ goal >= value + 1e-4 * size * (step @ rest) - 1e-12 * abs(value):
+                    dual, (now, gram, part) = trial, found
                     break
                 size /= 2
             else:
                 break
-            dual, (now, gram, part) = trial, found
-        rest = np.where(have > 0, now - goal, 0.0)
-        return dual, float(np.abs(rest).max() / goal.sum())
+        return dual, float(np.abs(np.where(have > 0, now - goal, 0.0)).max() / goal.sum())
 
-    ask, tries = total or most, 1 if total or cap is None else 60
-    for _ in range(tries):
-        dual, residual = climb(ask * w, np.zeros(n))
+    ask, dual, residual = total or most, np.zeros(n), math.inf
+    for _ in range(1 if total or cap is None else 60):
+        dual, residual = climb(ask * w, np.zeros(n), over_cells, 20 * rounds)
         if residual <= tolerance:
             break
         ask *= 0.97
+    if residual <= 1e-3:  # else the targets are out of reach, and rows would show the same
+        dual, residual = climb(ask * w, dual, over_rows, passes)
     if residual > tolerance or (np.array(weights)[have <= 0] > 0).any():
         lost = [i for i in range(n) if weights[i] > 0 and have[i] <= 0]
         warnings.warn(f"mixing targets not met: residual {residual:.2e} of {ask:.0f} tokens, domains without tokens: {lost}", stacklevel=2)
@@ -215,9 +243,11 @@ def mix(docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: dict[str,
 
 def thin(docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: dict[str, float], domain: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the mix keeps, each at most once: rates are fitted
-    within [0, 1] and are chances to stay."""
-    key = "__row_key"
-    keyed = docs.withColumn(key, row_key())
-    found = mix(keyed, labels, scratch, targets, domain, keep=("doc_id", key), cap=1.0)
-    kept = scratch.keep(found.where("copies > 0").select(key).distinct(), "kept")
-    return keyed.join(kept, key, "left_semi").select(*docs.columns)
+    within [0, 1] and are chances to stay. All columns are kept, whatever their
+    names. Rows equal in id and text stay or go together; null and wordless texts
+    have an even posterior; an empty table gives no rows."""
+    plain, back = renamed(docs)
+    own = plain.select(F.col(back["doc_id"]).alias("doc_id"), F.col(back["text"]).alias("text"), F.col(back[domain]).alias(domain)).withColumn("row", row_key())
+    found = mix(own, labels, scratch, targets, domain, keep=("doc_id", "row"), cap=1.0)
+    kept = scratch.keep(found.where("copies > 0").select("row").distinct(), "kept")
+    return plain.withColumn("row", row_key(back["doc_id"], back["text"])).join(kept, "row", "left_semi").select(*named(back))
