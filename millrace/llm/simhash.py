@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import shingles
 from millrace.llm.components import components
-from millrace.llm.scratch import Scratch, parts, row_key
+from millrace.llm.scratch import Scratch, first_of, named, parts, renamed, row_key
 
 FAN = 16
 CHUNK = 1 << 15
@@ -263,12 +264,33 @@ def hex64(col):
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, scratch: Scratch, max_bits: int = 3, size: int = 3) -> DataFrame:
+def links(nodes: DataFrame, scratch: Scratch, max_bits: int = 3, group_rows: int = 4096) -> DataFrame:
+    """(node, fp) -> pairs (a, b) of nodes, at most two for each: stars of equal
+    fingerprints, and those of the index's local components."""
+    first = scratch.keep(nodes.groupBy("fp").agg(F.min("node").alias("node")), "firsts")
+    same = nodes.join(first.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    stars = scratch.keep(hamming_edges(first.select("fp"), scratch, max_bits, group_rows).distinct(), "stars")
+    for side in "ab":
+        stars = stars.join(first.select(F.col("fp").alias(side), F.col("node").alias(f"n{side}")), side)
+    return same.unionByName(stars.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")))
+
+
+def drop_near_duplicates(docs: DataFrame, scratch: Scratch, max_bits: int = 3, size: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` with one row of each component kept: that of the
-    smallest doc_id (ties: smallest row key; nulls last). Of rows equal in id and text one stays."""
-    key = "__row_key"
-    keyed = docs.withColumn(key, row_key())
-    found = near_duplicates(keyed, scratch, max_bits, size, extra=(key,))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(key).alias("k"))).alias("m")
-    keep = scratch.keep(found.groupBy("root").agg(best).select(F.col("m.k").alias(key)), "kept")
-    return keyed.join(keep, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    smallest doc_id (ties: smallest row key; nulls last). Of rows equal in id
+    and text one stays. All columns are kept, whatever their names; null and
+    wordless texts are one text; an empty table gives no rows.
+
+    Texts link at ``max_bits`` bits or fewer. With a ``similarity`` they link at
+    that Jaccard similarity of their shingles instead: the fingerprints propose,
+    the shingles decide, and an exact search (``shingles``) covers the pairs
+    whose fingerprints differ in more bits.
+    """
+    if similarity is not None:
+        return shingles.drop_similar(docs, scratch, lambda nodes: links(nodes, scratch, max_bits), fingerprint, similarity, size)
+    plain, back = renamed(docs)
+    own = plain.select(F.col(back["doc_id"]).alias("doc_id"), F.col(back["text"]).alias("text")).withColumn("row", row_key())
+    found = near_duplicates(own, scratch, max_bits, size, extra=("row",))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("k"))).alias("m")
+    keep = scratch.keep(found.groupBy("root").agg(best).select(F.col("m.k").alias("row")), "kept")
+    return first_of(plain.withColumn("row", row_key(back["doc_id"], back["text"])).join(keep, "row", "left_semi"), "row").select(*named(back))
