@@ -80,8 +80,11 @@ def _fit(k: int, threshold: float, recall: float, seed: int):
     """Sampled unit rows -> one row: centres (flat, row by row) and probes."""
 
     def fit(x: np.ndarray) -> pa.Table:
-        c = spherical_kmeans(x, k, seed=seed)
-        return pa.table({"width": pa.array([x.shape[1]], pa.int32()), "centres": pa.array([c.ravel().tolist()], pa.list_(pa.float64())), "probes": pa.array([probes_for(x, c, threshold, recall, seed)], pa.int32())})
+        # probes are tried on rows that the centres have not seen
+        x = x[np.random.default_rng(seed).permutation(len(x))]
+        apart = max(1, min(1024, len(x) // 8))
+        c = spherical_kmeans(x[apart:], k, seed=seed) if len(x) > apart else x
+        return pa.table({"width": pa.array([x.shape[1]], pa.int32()), "centres": pa.array([c.ravel().tolist()], pa.list_(pa.float64())), "probes": pa.array([probes_for(x[:apart], c, threshold, recall, seed)], pa.int32())})
 
     return fit
 
