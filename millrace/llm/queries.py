@@ -32,8 +32,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of repeated 400-byte strings, removed from every document."""
-    return suffix.drop_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op2"), threshold=400)
+    """Bytes of repeated 400-byte strings, removed from every document; words in
+    repeated passages of over 50 words, whatever their bytes, counted beside them."""
+    return suffix.drop_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op2"), threshold=400, passage_words=51)
 
 
 def tokenizer_path() -> str:
@@ -128,10 +129,12 @@ def _license_sql(threshold: float = 0.8) -> str:
     for i, t in enumerate(licenses.templates(threshold)):
         grams += [f"({i}, '{g}')" for g in t["grams"]]
         sizes.append(f"({i}, '{t['name']}', {len(t['grams'])})")
+    sentence, paragraph = licenses.SENTENCE, licenses.PARAGRAPH
     return f"""
 WITH tg(i, g) AS (VALUES {", ".join(grams)}), ts(i, name, n) AS (VALUES {", ".join(sizes)}),
-u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM documents UNION SELECT doc_id, unnest(string_split_regex(text, '\\n[\\x20\\x09\\x0B-\\x0D]*\\n')) FROM documents),
-x AS (SELECT doc_id, u, regexp_extract_all(lower(u), '[a-z0-9]+') AS x FROM u WHERE length(u) < 4000),
+l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS u FROM documents),
+u AS (SELECT * FROM l UNION SELECT doc_id, unnest(string_split_regex(u, '{sentence}')) FROM l UNION SELECT doc_id, unnest(string_split_regex(text, '{paragraph}')) FROM documents),
+x AS (SELECT doc_id, row_number() OVER () AS u, x FROM (SELECT DISTINCT doc_id, regexp_extract_all(lower(u), '[a-z0-9]+') AS x FROM u)),
 w AS (SELECT doc_id, u, len(x) AS n, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM x),
 p AS (SELECT doc_id, u, n, w, lead(w) OVER (PARTITION BY doc_id, u ORDER BY i) AS v FROM w),
 g AS (SELECT DISTINCT doc_id, u, CASE WHEN n = 1 THEN w ELSE w || ' ' || v END AS g FROM p WHERE n = 1 OR v IS NOT NULL),

@@ -1,23 +1,29 @@
-"""Exact removal of byte strings that occur more than once.
+"""Exact removal of strings that occur more than once.
 
 A depth-limited most-significant-digit radix sort over the windows of
-``threshold`` bytes of all documents. Every pass groups windows by a longer
-part of them; windows alone in their group drop out, and groups that stay
-together over the whole depth are the repeated windows.
+``threshold`` symbols (bytes, or words) of all documents. Every pass splits
+groups of windows by a further digit of them; windows alone in their group drop
+out, and groups that stay together over the whole depth are exactly the
+repeated windows.
 
-* Digit 1, an anchor string of half the depth. Of any ``threshold`` bytes the
-  anchor is chosen by content alone (the least hashed string in the window,
+* First digit, an anchor string of half the depth. Of any ``threshold`` symbols
+  the anchor is chosen by content alone (the least hashed string in the window,
   rightmost on ties), so equal windows have equal anchors at equal places, and
   one row stands for all windows that share an anchor. Anchors that occur once
   in the corpus end here.
-* Digit 2, the whole neighbourhood that the windows of an anchor can touch.
-  Occurrences equal in it are repeated in full; only their counts travel.
-* Last digits, the parts of the window left and right of the anchor, offset by
-  offset, for neighbourhoods that differ within an anchor group.
-
-Radix digits are hashes of the strings (64 bits for candidates, 128 bits for
-neighbourhoods, 2 x 64 bits for windows), so groups are equal up to collisions
-of those. Whole texts are moved once, those with candidates twice more.
+* Occurrences of an anchor that are equal in all that its windows can touch
+  (128-bit digests) are repeated in full and are one member from here on.
+* The other members of a group are ordered in a task: symbol by symbol through
+  the anchor, and outwards from it through both sides. Classes are refined by
+  the symbols themselves, so a match is a match of symbols and not of hashes.
+* A group of more members than three tasks hold on average (``group_rows``) is
+  dealt out again before that, by the next digits: of the windows that start 0..s symbols before an anchor,
+  the nearer half shares s/2 symbols behind it and the farther half s/2 before
+  it. Halves are digested (128 bits), members equal in all that a half can touch
+  become one, singles drop out, and what is left goes to a task or is halved
+  again. After log2(s) passes a half is one window.
+
+Whole texts are moved once, those with candidates twice more.
 """
 
 from __future__ import annotations
@@ -31,12 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import Scratch, parts
+from millrace.llm.scratch import Scratch, parts, row_key
 
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([i]), 7) for i in range(256)), ">u8").astype(np.uint64)
 CHUNK = 1 << 18
+MOST_ROWS = 20_000  #: members of a group that one task may order
 _U = np.uint64
 
 
@@ -46,32 +53,76 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_UP, _DOWN = _powers(_BASE, 2 * CHUNK), _powers(_INVERSE, 2 * CHUNK)
+
+
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _word_hashes(arr: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of a text's bytes, all of a part at once."""
+    out, at = [], 0
+    while at < len(arr):
+        to = min(len(arr), at + CHUNK)
+        if to < len(arr):  # parts end at a space
+            end = np.flatnonzero(_SPACE[arr[to : to + CHUNK]])
+            while not len(end) and to < len(arr):
+                to = min(len(arr), to + CHUNK)
+                end = np.flatnonzero(_SPACE[arr[to : to + CHUNK]])
+            to += int(end[0]) if len(end) else 0
+        part = arr[at:to]
+        n = len(part)
+        edge = np.diff(np.concatenate(([True], _SPACE[part], [True])).astype(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        up, down = (_UP[:n], _DOWN) if n < len(_UP) else (_powers(_BASE, n), _powers(_INVERSE, n))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up, out=sums[1:])
+        h = (sums[last] - sums[first]) * down[first]
+        h ^= h >> _U(32)
+        h *= _U(0x9FB21C651E98DF25)
+        out.append((h ^ (h >> _U(28))) + (last - first).astype(np.uint64))
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def symbols(text: str | None, unit: str) -> np.ndarray:
+    """The bytes of a text, or the 64-bit hashes of its words."""
+    arr = np.frombuffer(_bytes(text), np.uint8)
+    return arr if unit == "byte" else _word_hashes(arr)
+
+
 class Depth:
     """Lengths of the digits of one threshold, and powers for its hashes."""
 
-    def __init__(self, threshold: int):
-        if threshold < 2:
-            raise ValueError("threshold must be at least 2")
-        self.t = threshold
+    def __init__(self, threshold: int, unit: str = "byte"):
+        if threshold < 2 or unit not in ("byte", "word"):
+            raise ValueError("threshold must be at least 2, unit byte or word")
+        self.t, self.unit = threshold, unit
+        self.item = 1 if unit == "byte" else 8
         self.k = threshold // 2
         self.side = threshold - self.k
         self.w = self.side + 1
         n = CHUNK + 2 * threshold
-        self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+        self.up, self.down = _powers(_BASE, n), _powers(_INVERSE, n)
 
-    def anchors(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, 64-bit keys) of the anchors of all windows of ``data``."""
-        at, n = [], len(data) - self.t + 1
-        arr = np.frombuffer(data, np.uint8)
+    def anchors(self, arr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, 64-bit keys) of the anchors of all windows of a text's symbols."""
+        at, n = [], len(arr) - self.t + 1
         for s in range(0, max(n, 0), CHUNK):
             at.append(s + self._chunk(arr[s : min(s + CHUNK, n) + self.t - 1]))
         pos = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
-        return pos, np.array([xxhash.xxh64_intdigest(data[p : p + self.k]) for p in pos.tolist()], np.uint64)
+        data = arr.tobytes()
+        return pos, np.array([xxhash.xxh64_intdigest(data[p : p + self.k * self.item]) for p in (pos * self.item).tolist()], np.uint64)
 
     def _chunk(self, arr: np.ndarray) -> np.ndarray:
         n, k, w = len(arr), self.k, self.w
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[arr] * self.up[:n], out=sums[1:])
+        np.cumsum((_BYTE[arr] if self.unit == "byte" else arr) * self.up[:n], out=sums[1:])
         h = (sums[k:] - sums[:-k]) * self.down[: n - k + 1]
         h ^= h >> _U(31)
         h *= _U(0xBF58476D1CE4E5B9)
@@ -89,23 +140,6 @@ class Depth:
         return pos[np.concatenate(([True], pos[1:] != pos[:-1]))]
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
-
-
-def _anchor_rows(threshold: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Depth(threshold)
-        for b in batches:
-            for rid, text in zip(b.column("rid"), b.column("text")):
-                pos, keys = d.anchors(_bytes(text.as_py()))
-                if len(pos):
-                    n = len(pos)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rid.as_py())), pa.array(pos.astype(np.int64)), pa.array(keys.view(np.int64))], names=["rid", "pos", "key"])
-
-    return run
-
-
 def _grouped(it: Iterator[pa.RecordBatch], rows: int = 20000) -> Iterator[pa.RecordBatch]:
     """Small batches put together, to spare per-batch costs."""
     hold, n = [], 0
@@ -119,128 +153,194 @@ def _grouped(it: Iterator[pa.RecordBatch], rows: int = 20000) -> Iterator[pa.Rec
         yield from pa.Table.from_batches(hold).combine_chunks().to_batches()
 
 
-_OCC = "rid long, doc_id long, pos long, first long, last long, key long, ctx binary"
+def _batch(schema: str, cols: list) -> pa.RecordBatch:
+    """Columns of values or arrays, typed by a Spark schema string."""
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
+
+
+# ---- first digit: anchors and what surrounds them -------------------------------------
+
+_ANCHOR = "rid binary, pos long, key long"
+_OCC = "rid binary, doc_id long, pos long, first long, last long, key long, ctx binary"
+_MEMBER = "key binary, ctx binary, alone boolean, lo long, hi long, left binary, gram binary, right binary"
 
 
-def _occurrences(threshold: int):
-    """Active anchors of a document -> their digits 1 and 2."""
+def _anchor_rows(d: Depth):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rid, text in zip(b.column("rid"), b.column("text")):
+                pos, keys = d.anchors(symbols(text.as_py(), d.unit))
+                if len(pos):
+                    yield _batch(_ANCHOR, [[rid.as_py()] * len(pos), pos, keys.view(np.int64)])
+
+    return lambda batches: _grouped(rows(batches))
+
+
+def _occurrences(d: Depth):
+    """Active anchors of a document -> their key and their neighbourhood's digest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Depth(threshold)
         for b in batches:
             for rid, doc, text, at in zip(b.column("rid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("at").to_pylist()):
-                data = _bytes(text)
+                arr = symbols(text, d.unit)
+                n, data, w = len(arr), arr.tobytes(), d.item
                 out = []
                 for p in at:
-                    s, e = max(0, p - d.side), min(len(data), p + d.k + d.side)
-                    if p + d.k > len(data) or e - s < d.t:
+                    s, e = max(0, p - d.side), min(n, p + d.k + d.side)
+                    if p + d.k > n or e - s < d.t:
                         continue
-                    gram = data[p : p + d.k]
-                    out.append((p, s, e, xxhash.xxh64_intdigest(gram), xxhash.xxh3_128_digest(b"%d:" % (p - s) + data[s:e])))
+                    out.append((p, s, e, xxhash.xxh64_intdigest(data[p * w : (p + d.k) * w]), xxhash.xxh3_128_digest(b"%d:" % (p - s) + data[s * w : e * w])))
                 if out:
                     p, s, e, key, ctx = zip(*out)
-                    n = len(p)
-                    yield pa.RecordBatch.from_arrays([pa.array([rid] * n, pa.int64()), pa.array([doc] * n, pa.int64()), *(pa.array(x, pa.int64()) for x in (p, s, e)), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(ctx, pa.binary())], names=[x.split()[0] for x in _OCC.split(", ")])
+                    yield _batch(_OCC, [[rid] * len(p), [doc] * len(p), p, s, e, np.array(key, np.uint64).view(np.int64), ctx])
 
     return lambda batches: _grouped(rows(batches))
 
 
-_SIDE = "key long, ctx binary, alone boolean, gram long, left binary, right binary"
-
-
-def _sides(threshold: int):
-    """Representatives of neighbourhoods -> their bytes left (reversed) and right of the anchor."""
+def _members(d: Depth):
+    """One occurrence of each neighbourhood -> its symbols before the anchor
+    (nearest first), in it and behind it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Depth(threshold)
         for b in batches:
             for text, at in zip(b.column("text").to_pylist(), b.column("at").to_pylist()):
-                data = _bytes(text)
-                p = [x["pos"] for x in at]
-                gram = np.array([xxhash.xxh64_intdigest(data[x : x + d.k], 1) for x in p], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["key"] for x in at], pa.int64()), pa.array([x["ctx"] for x in at], pa.binary()), pa.array([x["alone"] for x in at]), pa.array(gram)]
-                    + [pa.array([data[max(0, x - d.side) : x][::-1] for x in p], pa.binary()), pa.array([data[x + d.k : x + d.k + d.side] for x in p], pa.binary())],
-                    names=[x.split()[0] for x in _SIDE.split(", ")],
+                arr = symbols(text, d.unit)
+                p, n = [x["pos"] for x in at], len(at)
+                yield _batch(
+                    _MEMBER,
+                    [[x["key"].to_bytes(8, "big", signed=True) for x in at], [x["ctx"] for x in at], [x["alone"] for x in at], [0] * n, [d.side] * n]
+                    + [[arr[max(0, x - d.side) : x][::-1].tobytes() for x in p], [arr[x : x + d.k].tobytes() for x in p], [arr[x + d.k : x + d.k + d.side].tobytes() for x in p]],
                 )
 
     return lambda batches: _grouped(rows(batches), 4000)
 
 
-def _side_hashes(values: list[bytes], width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, hashes of the first 0..width bytes) of each value."""
-    lens = np.fromiter(map(len, values), np.int64, len(values))
-    grid = np.frombuffer(b"".join(v.ljust(width, b"\0") for v in values), np.uint8).reshape(-1, width)
-    out = np.zeros((len(values), width + 1), np.uint64)
-    np.cumsum(_BYTE[grid] * _powers((_BASE * seed) | 1, width), axis=1, out=out[:, 1:])
-    return lens, out
-
-
-def _window_hashes(t: pa.RecordBatch, d: Depth) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(offset a, rows that have the window, its hash) for a from 0 to side."""
-    ll, hl = _side_hashes(t.column("left").to_pylist(), d.side, 3)
-    rl, hr = _side_hashes(t.column("right").to_pylist(), d.side, 5)
-    key = t.column("key").to_numpy().view(np.uint64)
-    own = (key ^ (t.column("gram").to_numpy().view(np.uint64) * _U(0xC2B2AE3D27D4EB4F))) * _U(_BASE)
-    for a in range(d.side + 1):
-        rows = np.flatnonzero((ll >= a) & (rl >= d.side - a))
-        h = hl[rows, a] * _U(0x9E3779B185EBCA87) ^ own[rows]
-        h ^= h >> _U(29)
-        h = h * _U(0xBF58476D1CE4E5B9) + hr[rows, d.side - a]
-        h ^= h >> _U(32)
-        yield a, rows, h
-
-
-def _resolve(threshold: int, hold: int = 8192):
-    """Groups of neighbourhoods -> for those that occur once, the outermost
-    offsets at which one of their windows occurs in another."""
-
-    def solve(t: pa.RecordBatch, d: Depth) -> pa.RecordBatch:
+# ---- further digits, in a task --------------------------------------------------------
+
+
+def _grid(values: list[bytes], item: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths in symbols, a row of small symbol codes for each value)."""
+    width = max(item, -(-max(map(len, values), default=0) // item) * item)
+    flat = np.frombuffer(b"".join(v.ljust(width, b"\0") for v in values), np.uint8 if item == 1 else np.uint64).reshape(len(values), -1)
+    lens = -(-np.fromiter(map(len, values), np.int64, len(values)) // item)
+    return lens, flat if item == 1 else np.unique(flat, return_inverse=True)[1].reshape(flat.shape)
+
+
+def _ladder(values: list[bytes], item: int, start: np.ndarray, width: int) -> np.ndarray:
+    """Classes of rows by their class at the start and their first 0..width
+    symbols, a column for each; -1 for rows that are alone or too short. One
+    radix pass a column, over the rows that are still in company."""
+    lens, grid = _grid(values, item)
+    out = np.full((len(values), width + 1), -1, np.int64)
+    size = int(grid.max(initial=0)) + 1
+    act, cls = np.flatnonzero(start >= 0), start[start >= 0]
+    for j in range(width + 1):
+        if j:
+            long = lens[act] >= j
+            act, cls = act[long], cls[long]
+        if not len(act):
+            break
+        if j:
+            cls = cls * size + grid[act, j - 1]
+        _, cls, n = np.unique(cls, return_inverse=True, return_counts=True)
+        act, cls = act[n[cls] > 1], cls[n[cls] > 1]
+        out[act, j] = cls
+    return out
+
+
+def _resolve(d: Depth, hold: int = 4096):
+    """Groups of members, sorted by key -> for those that occur once, how far
+    their outermost windows that others share reach beyond the anchor."""
+
+    def solve(t: pa.RecordBatch) -> pa.RecordBatch:
         n = t.num_rows
+        _, start = np.unique(np.array(t.column("key").to_pylist(), object), return_inverse=True)
+        lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
+        gram = t.column("gram").to_pylist()
+        start = _ladder(gram, 8, start, -(-d.k * d.item // 8))[:, -1]
+        before = _ladder(t.column("left").to_pylist(), d.item, start, int(hi.max()))
+        after = _ladder(t.column("right").to_pylist(), d.item, start, int(d.side - lo.min()))
         most, least = np.full(n, -1), np.full(n, d.side + 1)
-        for a, rows, h in _window_hashes(t, d):
-            o = np.argsort(h, kind="stable")
-            same = h[o][1:] == h[o][:-1]
-            hit = np.zeros(len(rows), bool)
-            hit[o[1:][same]] = True
-            hit[o[:-1][same]] = True
-            most[rows[hit]] = a
-            r = rows[hit]
-            least[r] = np.minimum(least[r], a)
+        for a in range(int(lo.min()), int(hi.max()) + 1):
+            x, y = before[:, a], after[:, d.side - a]
+            rows = np.flatnonzero((x >= 0) & (y >= 0) & (lo <= a) & (a <= hi))
+            if len(rows):
+                _, cls, count = np.unique(x[rows] * n + y[rows], return_inverse=True, return_counts=True)
+                rows = rows[count[cls] > 1]
+                most[rows] = a
+                least[rows] = np.minimum(least[rows], a)
         keep = np.flatnonzero((most >= 0) & t.column("alone").to_numpy(zero_copy_only=False))
-        return pa.RecordBatch.from_arrays([t.column("ctx").take(pa.array(keep)), pa.array(most[keep]), pa.array(d.side - least[keep])], names=["ctx", "left", "right"])
+        return _batch("ctx binary, left long, right long", [t.column("ctx").take(pa.array(keep)), most[keep], d.side - least[keep]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Depth(threshold)
         held, n = [], 0
         for b in batches:
             held.append(b)
             n += b.num_rows
             if n >= hold:
                 t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                key = t.column("key").to_numpy()
-                to = int(np.searchsorted(key, key[-1]))
+                key = t.column("key").to_pylist()
+                to = key.index(key[-1])  # the last group may go on
                 if to:
-                    yield solve(t.slice(0, to), d)
+                    yield solve(t.slice(0, to))
                 held, n = [t.slice(to)], n - to
         if n:
-            yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0], d)
+            yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return run
 
 
-def _windows(threshold: int):
-    """The same digits as rows, for groups that are too large for one task."""
+# ---- further digits, for groups that are too large for one task -------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Depth(threshold)
-        for b in batches:
-            if b.num_rows:
-                for a, rows, h in _window_hashes(b, d):
-                    take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), a, np.int64)), pa.array(h.view(np.int64)), b.column("ctx").take(take), b.column("alone").take(take)], names=["a", "h", "ctx", "alone"])
+_HALF = _MEMBER + ", sub binary"
 
-    return run
+
+def _halves(d: Depth):
+    """Members -> the two halves of their windows lo..hi: the digest of what all
+    windows of the half share, and of all that they can touch."""
+    h = xxhash.xxh3_128_digest
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = d.item
+        for b in batches:
+            out = []
+            for x in b.to_pylist():
+                left, right = x["left"], x["right"]
+                most, least = min(x["hi"], len(left) // w), max(x["lo"], d.side - len(right) // w)
+                mid = (x["lo"] + x["hi"]) // 2
+                for lo, hi in ((x["lo"], mid), (mid + 1, x["hi"])):
+                    if lo <= hi and max(lo, least) <= min(hi, most):
+                        key = h(b"%d:%d:" % (lo, hi) + left[: lo * w] + x["gram"] + right[: (d.side - hi) * w])
+                        sub = h(b"%d:" % len(left[: hi * w]) + left[: hi * w] + right[: (d.side - lo) * w])
+                        out.append((key, x["ctx"], x["alone"], lo, hi, left, x["gram"], right, sub))
+            if out:
+                yield _batch(_HALF, list(zip(*out)))
+
+    return rows
+
+
+def _dealt(members: DataFrame, scratch: Scratch, d: Depth, group_rows: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(found, small): windows settled by digests, and groups for ``_resolve``."""
+    found, small, names = [], [], [x.split()[0] for x in _MEMBER.split(", ")]
+    width = lambda c: F.floor(F.octet_length(c) / d.item)
+    while True:
+        half = scratch.keep(members.mapInArrow(_halves(d), _HALF), "halves")
+        one = scratch.keep(half.groupBy("key", "sub").agg(F.count("*").alias("n"), F.min(F.struct(*names[1:])).alias("x")), "once")
+        same = scratch.keep(one.where("n > 1").select("key", "sub"), "same")
+        most = F.least("hi", width("left"))
+        least = F.greatest("lo", d.side - width("right"))
+        found.append(scratch.keep(half.where("alone").join(same, ["key", "sub"]).select("ctx", most.alias("left"), (d.side - least).alias("right")), "shared"))
+        wanted = F.col("x.alone") & (F.col("n") == 1)
+        sizes = scratch.keep(one.groupBy("key").agg(F.count("*").alias("m"), F.max(wanted).alias("any")).where("m > 1 and any").select("key", "m"), "sizes")
+        rest = one.select("key", wanted.alias("w"), "x").join(sizes, "key").select("key", "x.ctx", F.col("w").alias("alone"), *(f"x.{c}" for c in names[3:]), "m")
+        rest = scratch.keep(rest, "rest")
+        scratch.drop(half, one, same, sizes)
+        small.append(rest.where(F.col("m") <= group_rows).select(*names))
+        members = rest.where(F.col("m") > group_rows).select(*names)
+        if members.isEmpty():
+            return found, small
 
 
 def remove_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -259,73 +359,99 @@ def remove_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list
     return b"".join(left), [(s, e) for s, e in runs]
 
 
+_CUT = "rid binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for rid, doc, text, spans in zip(*(b.column(c).to_pylist() for c in ("rid", "doc_id", "text", "spans"))):
+        for rid, text, spans in zip(*(b.column(c).to_pylist() for c in ("rid", "text", "spans"))):
             left, runs = remove_spans(_bytes(text), [(x["s"], x["e"]) for x in spans])
-            out.append((rid, doc, sum(e - s for s, e in runs), len(runs), hashlib.sha256(left).hexdigest(), left))
-        cols = list(zip(*out)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["rid", "doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((rid, sum(e - s for s, e in runs), len(runs), hashlib.sha256(left).hexdigest(), left))
+        if out:
+            yield _batch(_CUT, list(zip(*out)))
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, threshold: int = 400, group_rows: int = 20000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, scratch: Scratch, threshold: int = 400, unit: str = "byte", group_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidate documents, spans): ``docs`` has rid, doc_id and text; the
     first has those columns for documents with a repeated anchor, the second a
-    row (rid, doc_id, spans) for documents that lose bytes."""
-    spark = docs.sparkSession
-    anchors = scratch.keep(docs.select("rid", "text").mapInArrow(lambda it, f=_anchor_rows(threshold): _grouped(f(it)), "rid long, pos long, key long"), "anchors")
+    row (rid, spans) for documents with a repeated window, in symbols. Groups of
+    more than ``group_rows`` members (by default three times what a task gets on
+    average, within 512 and ``MOST_ROWS``) are split."""
+    spark, d = docs.sparkSession, Depth(threshold, unit)
+    anchors = scratch.keep(docs.select("rid", "text").mapInArrow(_anchor_rows(d), _ANCHOR), "anchors")
     # written, so that the join below reads two plain shuffles and a hot key can be split
     again = scratch.keep(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
-    at = anchors.join(again, "key").groupBy("rid").agg(F.collect_set("pos").alias("at"))
-    work = scratch.keep(docs.select("rid", "doc_id", "text").join(at, "rid"), "candidates")
+    at = anchors.join(again.hint("shuffle_hash"), "key").groupBy("rid").agg(F.collect_set("pos").alias("at"))
+    work = scratch.keep(docs.select("rid", "doc_id", "text").join(at.hint("shuffle_hash"), "rid"), "candidates")
     scratch.drop(anchors, again)
-    occ = scratch.keep(work.mapInArrow(_occurrences(threshold), _OCC), "occurrences")
+    scratch.release()
+    occ = scratch.keep(work.mapInArrow(_occurrences(d), _OCC), "occurrences")
 
     rep = F.min(F.struct("rid", "pos")).alias("rep")
     ctx = scratch.keep(occ.groupBy("key", "ctx").agg(F.count("*").alias("n"), rep), "neighbourhoods")
     mixed = scratch.keep(ctx.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("low")).where("m > 1 and low = 1").select("key", "m"), "mixed")
-    need = ctx.join(mixed, "key").select(F.col("rep.rid").alias("rid"), "m", F.struct(F.col("rep.pos").alias("pos"), "key", "ctx", (F.col("n") == 1).alias("alone")).alias("x"))
+    if group_rows is None:
+        total = mixed.agg(F.sum("m")).first()[0] or 0
+        group_rows = min(MOST_ROWS, max(512, 3 * total // parts(spark)))
+    need = ctx.join(mixed.hint("shuffle_hash"), "key").select(F.col("rep.rid").alias("rid"), "m", F.struct(F.col("rep.pos").alias("pos"), "key", "ctx", (F.col("n") == 1).alias("alone")).alias("x"))
 
-    def sides(rows: DataFrame) -> DataFrame:
+    def members(rows: DataFrame) -> DataFrame:
         lists = rows.groupBy("rid").agg(F.collect_list("x").alias("at"))
         # repeated rows of documents share a rid; one of them is enough
-        return work.select("rid", "text").join(lists, "rid").dropDuplicates(["rid"]).mapInArrow(_sides(threshold), _SIDE)
+        return work.select("rid", "text").join(lists, "rid").dropDuplicates(["rid"]).mapInArrow(_members(d), _MEMBER)
 
-    # occurrences of a neighbourhood that is found twice are repeated in full
-    some = scratch.keep(sides(need.where(F.col("m") <= group_rows)).repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(_resolve(threshold), "ctx binary, left long, right long"), "resolved")
+    small = members(need.where(F.col("m") <= group_rows))
     many = need.where(F.col("m") > group_rows)
+    known = [ctx.where("n > 1").select("ctx", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"))]
     if not many.isEmpty():
-        win = scratch.keep(sides(many).mapInArrow(_windows(threshold), "a long, h long, ctx binary, alone boolean"), "windows")
-        twice = win.groupBy("a", "h").agg(F.count("*").alias("c")).where("c > 1").select("a", "h")
-        k = Depth(threshold).side
-        some = some.unionByName(win.where("alone").join(twice, ["a", "h"]).groupBy("ctx").agg(F.max("a").alias("left"), (k - F.min("a")).alias("right")))
-    k = threshold // 2
-    full = ctx.where("n > 1").select("ctx", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"))
-    known = scratch.keep(full.unionByName(some), "known")
-    span = F.struct(F.coalesce(F.col("pos") - F.col("left"), F.col("first")).alias("s"), F.coalesce(F.col("pos") + k + F.col("right"), F.col("last")).alias("e"))
-    spans = occ.select("rid", "doc_id", "pos", "first", "last", "ctx").join(known, "ctx").groupBy("rid", "doc_id").agg(F.collect_set(span).alias("spans"))
+        found, rest = _dealt(members(many), scratch, d, group_rows)
+        known += found
+        for r in rest:
+            small = small.unionByName(r)
+    some = small.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(_resolve(d), "ctx binary, left long, right long")
+    known.append(scratch.keep(some, "resolved"))
+    # occurrences of a neighbourhood that is found twice are repeated in full
+    every = known[0]
+    for k in known[1:]:
+        every = every.unionByName(k)
+    every = scratch.keep(every, "known")
+    span = F.struct(F.coalesce(F.col("pos") - F.col("left"), F.col("first")).alias("s"), F.coalesce(F.col("pos") + d.k + F.col("right"), F.col("last")).alias("e"))
+    spans = occ.select("rid", "pos", "first", "last", "ctx").join(every.hint("shuffle_hash"), "ctx").groupBy("rid").agg(F.collect_set(span).alias("spans"))
     return work, spans
 
 
-def drop_repeats(docs: DataFrame, scratch: Scratch, threshold: int = 400, group_rows: int = 20000, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return own.withColumn("rid", F.unhex(row_key()))
+
+
+def drop_repeats(docs: DataFrame, scratch: Scratch, threshold: int = 400, group_rows: int | None = None, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = False, passage_words: int = 0) -> DataFrame:
     """Remove every byte covered by a ``threshold``-byte string that starts
     anywhere else, in the same document or another.
 
     One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256
     (and kept, the bytes left, where ``keep_bytes``; null where nothing was
-    removed). A null text counts as empty; a document shorter than the
-    threshold loses nothing; repeated rows repeat all their windows; a null
-    doc_id is kept as null; an empty table gives no rows.
+    removed). With ``passage_words`` also n_passage_words: the words covered by
+    runs of that many words that start anywhere else too, whatever their bytes;
+    a report, nothing is removed for it.
+
+    A null text counts as empty; a document shorter than the threshold loses
+    nothing; texts of any length are read whole, in parts; repeated rows repeat
+    all their windows; a null doc_id is kept as null; other columns are not
+    looked at; an empty table gives no rows.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("rid", F.xxhash64("doc_id", "text"))
-    work, spans = repeated_spans(own, scratch, threshold, group_rows)
-    same = lambda a, b: (a["rid"] == b["rid"]) & a["doc_id"].eqNullSafe(b["doc_id"])
-    cut = work.join(spans, same(work, spans)).select(work["rid"], work["doc_id"], work["text"], spans["spans"])
-    cut = cut.mapInArrow(_cut, "rid long, doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    cut = cut.select("rid", "doc_id", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes).dropDuplicates(["rid", "doc_id"])
-    base = own.select("doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("sha"))
-    out = base.join(cut, same(base, cut), "left")
-    zero = lambda c: F.coalesce(cut[c], F.lit(0)).cast("long").alias(c)
-    return out.select(base["doc_id"], "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *["kept"] * keep_bytes)
+    own = _rows(docs, doc_id, text)
+    work, spans = repeated_spans(own, scratch, threshold, "byte", group_rows)
+    cut = work.join(spans, "rid").select("rid", "doc_id", "text", "spans").dropDuplicates(["rid"]).mapInArrow(_cut, _CUT)
+    cut = scratch.keep(cut.select("rid", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes), "cut")
+    out = own.select("doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("sha")).join(cut, "rid", "left")
+    found = ["n_removed", "n_spans"]
+    if passage_words:
+        scratch.release()
+        _, runs = repeated_spans(own, scratch, passage_words, "word", group_rows)
+        covered = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["to"]))).alias("n"), F.greatest(a["to"], x["e"]).alias("to")))
+        words = scratch.keep(runs.select("rid", covered["n"].alias("n_passage_words")), "passages")
+        out = out.join(words, "rid", "left")
+        found.append("n_passage_words")
+    return out.select("doc_id", "n_bytes", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in found), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *["kept"] * keep_bytes)

@@ -4,11 +4,13 @@ repeated rows, empty tables and columns whose names clash with internal ones."""
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -121,15 +123,40 @@ def brute_repeats(texts, t):
     return out
 
 
-@pytest.mark.parametrize("t, group_rows", [(9, 20000), (12, 2), (25, 20000)])
+@pytest.mark.parametrize("t, group_rows", [(9, 512), (12, 2), (25, 512), (14, 4)])
 def test_repeats(spark, t, group_rows):
     r = random.Random(t)
     texts = ["".join(r.choice("abé") for _ in range(r.randint(0, 70))) for _ in range(60)] + [None, "", "a" * 50, "ab" * 30]
     texts += texts[:3]
+    # copies with one edit each: many members that share an anchor
+    base = "".join(r.choice("abcdefgh") for _ in range(90))
+    texts += [base[:k] + "#" + base[k + 1 :] for k in range(0, 90, 2)]
     got = rows(suffix.drop_repeats(make(spark, texts), Scratch(spark, "t"), t, group_rows))
     assert [tuple(got[i][0][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == brute_repeats(texts, t)
 
 
+@pytest.mark.parametrize("group_rows", [512, 2])
+def test_repeats_at_the_ends_of_texts(spark, group_rows):
+    r = random.Random(5)
+    base = "".join(r.choice("abcd") for _ in range(60))
+    texts = [base[i:] for i in range(8)] + [f"{i}" + base[10:40] for i in range(8)] + [base[20:42] + f"{i}" for i in range(5)] + [base[:20]] * 2
+    got = rows(suffix.drop_repeats(make(spark, texts), Scratch(spark, "t"), 20, group_rows))
+    assert [tuple(got[i][0][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == brute_repeats(texts, 20)
+
+
+@pytest.mark.parametrize("t, group_rows", [(6, 512), (7, 3)])
+def test_repeated_passages_of_words(spark, t, group_rows):
+    r = random.Random(t)
+    texts = [" ".join(r.choice(["ab", "c", "é", "dd"]) for _ in range(r.randint(0, 40))) for _ in range(80)] + [None, "", "\n", "a " * 30]
+    base = [f"w{r.randrange(50)}" for _ in range(40)]
+    texts += ["\t".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(40)]
+    split = [re.findall(r"[^\x20\x09-\x0D]+", x or "") for x in texts]
+    seen = Counter(tuple(w[i : i + t]) for w in split for i in range(len(w) - t + 1))
+    want = [len({i + j for i in range(len(w) - t + 1) if seen[tuple(w[i : i + t])] > 1 for j in range(t)}) for w in split]
+    got = rows(suffix.drop_repeats(make(spark, texts), Scratch(spark, "t"), 400, group_rows, passage_words=t))
+    assert [got[i][0]["n_passage_words"] for i in range(len(texts))] == want and 0 < sum(map(bool, want)) < len(want)
+
+
 def test_repeats_in_long_texts_repeated_rows_and_none(spark, none):
     r = random.Random(1)
     long = "".join(r.choice("abcdefgh") for _ in range(600_000))
@@ -271,6 +298,15 @@ def test_quality_rules_base(docs, texts, none):
     assert quality_rules.quality(none).count() == 0
 
 
+def test_repeated_words_do_not_hang_on_hashes(spark):
+    """The two windows agree in the 40 hash bits that are sorted by."""
+    a, b, r = "k75639 m n", "k4736267 m n", random.Random(2)
+    pad = lambda: " ".join(f"p{r.randrange(10**9)}" for _ in range(9))
+    texts = [" ".join(x for w in order for x in (pad(), w)) for order in ([a, b, b, a], [a, b], [a, b, b], [a, a, b, a, b])]
+    got = rows(quality_rules.quality(make(spark, texts)))
+    assert [got[i][0]["n_repeat_words"] for i in range(4)] == [12, 0, 6, 15]
+
+
 def test_quality_rules_lines(spark):
     r = random.Random(9)
     prose = "\n".join(" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(20)) + "." for _ in range(8))
@@ -330,29 +366,57 @@ def test_quality_of_unspaced_texts_depends_on_their_tails(spark):
 # ---- 7 ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("cell_rows, block_rows", [(512, 2048), (20, 7)])
-def test_embeddings(spark, cell_rows, block_rows):
+@pytest.mark.parametrize("cell_rows, block_rows, max_cells", [(512, 2048, 2048), (20, 7, 2048), (2, 64, 2)])
+def test_embeddings(spark, cell_rows, block_rows, max_cells):
+    """The last case splits its cells again."""
     rng = np.random.default_rng(4)
     x = rng.normal(size=(120, 12))
     x[60:90] = x[0] + 0.1 * rng.normal(size=(30, 12))
     x[90:100] = x[1] * 3
+    x = np.concatenate((x, x, x[:60] + 0.05 * rng.normal(size=(60, 12)))) if max_cells == 2 else x
+    n = len(x)
     vecs = [v.tolist() for v in x] + [None, [], [0.0] * 12, [float("nan")] * 12, [None] * 12, [1.0, 2.0]]
-    df = spark.createDataFrame([(i, v, "c") for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, cell string").repartition(3)
-    got = rows(embed_dedup.near_duplicates(df, Scratch(spark, "t"), 0.9, cell_rows, block_rows=block_rows), "vec_id")
+    df = spark.createDataFrame([(i, v, "c", 1) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, cell string, `a.b` int").repartition(3)
+    got = rows(embed_dedup.near_duplicates(df, Scratch(spark, "t"), 0.9, cell_rows, max_cells, block_rows=block_rows), "vec_id")
     u = x / np.linalg.norm(x, axis=1)[:, None]
     link = u @ u.T >= 0.9
-    label = np.arange(120)
-    for _ in range(120):
-        label = np.array([label[link[i]].min() for i in range(120)])
-    links = [got[i][0]["n_links"] for i in range(120)]
+    label = np.arange(n)
+    for _ in range(n):
+        label = np.array([label[link[i]].min() for i in range(n)])
+    links = [got[i][0]["n_links"] for i in range(n)]
     want = link.sum(axis=1) - 1
     assert (np.array(links) <= want).all() and sum(links) >= 0.9 * want.sum()
     if cell_rows == 512:
-        assert links == want.tolist() and [got[i][0]["component_id"] for i in range(120)] == label.tolist()
-    assert all(got[i][0]["n_links"] == 0 and got[i][0]["kept"] for i in range(120, 126))
+        assert links == want.tolist() and [got[i][0]["component_id"] for i in range(n)] == label.tolist()
+    assert all(got[i][0]["n_links"] == 0 and got[i][0]["kept"] for i in range(n, n + 6))
     assert embed_dedup.near_duplicates(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_embeddings_of_any_length_and_width(spark):
+    vecs = [[1e200, 0.0], [1e200, 0.0], [1e-200, 1e-201], [1.0, 0.0], [5e-324, -0.0], [1.0, 2.0, 3.0], [2.0, 4.0, 6.0], [1.0], [-3.0], [7.0], [1e308, 1e308]]
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    got = rows(embed_dedup.near_duplicates(df, Scratch(spark, "t"), 0.9), "vec_id")
+    assert [got[i][0]["n_links"] for i in range(11)] == [4, 4, 4, 4, 4, 1, 1, 1, 0, 1, 0]
+    assert [got[i][0]["component_id"] for i in range(11)] == [0, 0, 0, 0, 0, 5, 5, 7, 8, 7, 10]
+
+
+def test_embeddings_in_many_cells_reach_nine_tenths(spark):
+    """5000 vectors in 78 cells, with partners at cosine 0.9 to 0.95, against brute force."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    u = rng.normal(size=(1000, 32))
+    u -= (u * x[:1000]).sum(axis=1)[:, None] * x[:1000]
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    c = rng.uniform(0.901, 0.95, (1000, 1))
+    x = np.concatenate((x, c * x[:1000] + np.sqrt(1 - c * c) * u))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = rows(embed_dedup.near_duplicates(df, Scratch(spark, "t"), 0.9, cell_rows=64), "vec_id")
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    links = np.array([got[i][0]["n_links"] for i in range(len(x))])
+    assert (links <= want).all() and links.sum() >= 0.9 * want.sum() >= 1800
+
+
 # ---- 8, 9, 10 ----------------------------------------------------------------------
 
 
@@ -369,6 +433,52 @@ def test_secrets(spark, none):
     assert secrets.redact(df).columns == df.columns and secrets.scan(none).count() == 0
 
 
+def test_each_occurrence_of_a_value_is_judged_by_its_own_neighbours(spark):
+    key = hashlib.sha1(b"x").hexdigest()
+    texts = [f'commit {key} and token = "{key}"', f'token = "{key}", commit {key}\nsecret={key}']
+    got = rows(secrets.scan(make(spark, texts)))
+    assert [(r["line"], r["is_secret"]) for r in got[0]] == [(0, False), (0, True)]
+    assert [(r["line"], r["is_secret"]) for r in got[1]] == [(0, True), (0, False), (1, True)]
+    df = make(spark, texts).withColumnRenamed("fp", "__hits").withColumnRenamed("bin", "x.y")
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    assert [r["text"] for r in out.orderBy("doc_id").collect()] == [f'commit {key} and token = "[SECRET]"', f'token = "[SECRET]", commit {key}\nsecret=[SECRET]']
+
+
+def test_scan_equals_a_plain_version(spark, sf_dir):
+    """All documents, with expressions and trees worked out in Python."""
+    trees, pattern = secrets.forest(spark), regex.compile(secrets.CANDIDATE, regex.V0)
+    dictionary = "|".join(secrets.DICTIONARY)
+    near = "commit|sha|md5|checksum|hash|uuid|digest|revision|order|card|isbn|phone|fax|ticket|tracking|invoice"
+
+    def features(c, before):
+        n, low = len(c), before.lower()
+        turn = r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
+        count = lambda p: len(re.findall(p, c)) / n
+        flag = lambda p, x: float(bool(re.search(p, x)))
+        return [
+            float(n), count("[0-9]"), count("[A-Z]"), count(turn), (n - len(re.sub(dictionary, "", c.lower()))) / n, count("[/.]"),
+            flag(rf"({secrets.KEYWORDS})[^\n]{{0,24}}\Z", low), flag(r"[=:]\s*[\"']?\Z", before), len(set(c)) / n,
+            flag(r"^(AKIA|ASIA|gh[opsu]_|sk_|pk_|xox[abpr]-|AIza|glpat-|eyJ|-----BEGIN )", c), flag(rf"({near})[^\n]{{0,24}}\Z", low),
+            flag(r"^[0-9a-fA-F]+\Z", c), flag("[\"']\\Z", before),
+        ]
+
+    def walk(node, x):
+        while not isinstance(node, float):
+            node = node[2] if x[node[0]] <= node[1] else node[3]
+        return node
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = []
+    for r in docs.collect():
+        for i, line in enumerate((r["text"] or "").split("\n")):
+            for m in pattern.finditer(line):
+                x = features(m[0], line[max(0, m.start() - 60) : m.start()])
+                want.append((r["doc_id"], i, m[0], round(sum(walk(t, x) for t in trees) / len(trees), 9)))
+    got = [(r["doc_id"], r["line"], r["candidate"], round(r["score"], 9)) for r in secrets.scan(docs).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 5
+
+
 def test_forest_holds_out_findings(spark):
     rows_ = secrets.labelled_findings(600, seed=77)
     df = spark.createDataFrame([(f"{b}{c}", y, c) for c, b, y in rows_], "text string, y int, c string").withColumn("doc_id", F.monotonically_increasing_id())
@@ -400,6 +510,15 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_in_sentences_and_over_paragraphs(spark):
+    wrap = lambda x, n=9: "\n".join(" ".join(x.split()[i : i + n]) for i in range(0, len(x.split()), n))
+    mit = "\n\n".join(wrap(x) for x in licenses.TEMPLATES["MIT"][1:])
+    texts = ["It was a long day. Released under the MIT License. Then they left the house; all was well.", mit, "All rights reserved.\n" * 200, "# x = 1\n" * 50 + "\n" + wrap(licenses.TEMPLATES["Apache-2.0"][1]) + "\n\ny = 2"]
+    got = rows(licenses.scan(make(spark, texts)))
+    assert [got[i][0]["license"] for i in range(4)] == ["MIT", "MIT", "Proprietary", "Apache-2.0"]
+    assert [got[i][0]["n_license_units"] for i in range(3)] == [1, 3, 2]
+
+
 def test_license_pruning_loses_nothing():
     r = random.Random(3)
     own = licenses.templates(0.8)
@@ -429,6 +548,39 @@ def test_sharding(spark, docs, texts, none):
     assert sharding.shard(none, Scratch(spark, "t")).count() == 0
 
 
+def test_sharding_equals_a_plain_version(spark, sf_dir):
+    """Slots, map and shards of all documents worked out in Python; bytes nearly equal."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = rows(sharding.shard(docs, Scratch(spark, "t"), shards=4))
+    slot = {}
+    for r in docs.collect():
+        h = 42
+        for part in (b"slot", struct.pack("<q", r["doc_id"]), (r["text"] or "").encode()):
+            h = xxhash.xxh64_intdigest(part, h)
+        slot[r["doc_id"]] = (h - (h >> 63 << 64)) % 8192, len((r["text"] or "").encode()) + 16
+    load = Counter()
+    for k, size in slot.values():
+        load[k] += size
+    have, owner = [0] * 4, {}
+    for k in sorted(range(8192 + 1024), key=lambda k: (-load[k], k)):
+        owner[k] = have.index(min(have))
+        have[owner[k]] += load[k]
+    assert all(got[i][0]["vslot"] == k and got[i][0]["shard"] == owner[k] for i, (k, _) in slot.items())
+    assert max(have) - min(have) <= max(load.values())
+
+
+def test_a_hot_repeated_row_spreads_over_shards(spark):
+    df = make(spark, [f"text {i}" for i in range(300)] + ["the same text"] * 700, [*range(300), *[5000] * 700])
+    got = sharding.shard(df, Scratch(spark, "t"), shards=4).collect()
+    have = Counter()
+    for r in got:
+        have[r["shard"]] += r["size"]
+    assert len(got) == 1000 and max(have.values()) < 1.05 * sum(have.values()) / 4
+    for s in have:
+        own = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert own == list(range(len(own)))
+
+
 def test_slot_map_versions_and_rebalancing(spark, docs, tmp_path):
     path = f"file://{tmp_path}/map"
     sharding.shard(docs, Scratch(spark, "t"), shards=4, map_path=path).count()

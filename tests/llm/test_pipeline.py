@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 import corpus_pipeline
 from millrace.llm import secrets
 
@@ -28,6 +30,47 @@ def test_stages(spark, sf_dir, tmp_path):
     assert good <= 1
 
 
+def test_run_gives_the_rows_of_its_stages(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    rows = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in df.collect())
+    run = corpus_pipeline.run(spark, sf_dir)
+    assert rows(run) == rows(docs)
+    fill = run.groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert max(r[1] for r in fill) <= 2048
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_takes_odd_rows(spark, sf_dir, name):
+    """Nulls in any column, empty and long texts, repeated rows, names that clash, no rows."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdeghilnorst") for _ in range(r.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    some = [x["text"] for x in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).collect()]
+    texts = [*some, None, "", " \n\t", prose(40_000), "x" * 200_000, prose(80), f'token = "{"ab12cd34" * 5}"', *some[:2]]
+    rows = [(None if i == 5 else i % 37, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else "web", None if i % 3 == 0 else 7, f"k{i % 37}", i % 37, None, "h", 0.5) for i, t in enumerate(texts)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, `__row_key` string, `a.b` int, `__hits` string, `k` string, `score` double"
+    df = spark.createDataFrame([*rows, rows[3], rows[3]], kinds).repartition(3)
+    out = stage(spark, df, sf_dir)
+    got = out.collect()
+    assert stage(spark, df.limit(0), sf_dir).count() == 0
+    if name == "sequence_packing":
+        assert {x["doc_id"] for x in got} == {x[0] for x in rows} and sum(x["start"] == 0 for x in got) == len(rows) + 2
+        return
+    assert out.columns == df.columns
+    given = {x[5]: x for x in rows}
+    for x in got:
+        assert x["a.b"] == given[x["__row_key"]][6] and x["__hits"] is None and x["k"] == "h" and x["score"] == 0.5
+    if name == "secret_scan":
+        assert len(got) == len(rows) + 2 and sum("[SECRET]" in (x["text"] or "") for x in got) >= 1
+        assert sum(x["text"] is None for x in got) == 1
+    if name == "near_dedup":
+        assert len(got) == len({(x["doc_id"], x["text"]) for x in got}) < len(rows)
+
+
 def test_near_dedup_links_all_similar_texts(spark, sf_dir):
     """Against brute force over five-word shingles, on the documents and on edited copies."""
     r = random.Random(7)
