@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.scratch import named, renamed
+
 #: '=' ends a candidate unless it pads its end, so that NAME=value gives the value.
 #: Runs without a digit count after a secret's name; headers of private keys always.
 KEYWORDS = "secret|token|passw|pwd|api.?key|access.?key|private|credential|auth|bearer"
@@ -32,6 +34,8 @@ DICTIONARY = (
     "source", "test", "text", "the", "this", "token", "update", "user", "value", "version", "with", "your",
 )
 
+CONTEXT = 60  #: characters before a candidate that count as its neighbours
+
 FEATURES = ("length", "digits", "upper", "transitions", "coverage", "path", "keyword", "assigned", "distinct", "prefix", "harmless", "hex", "quoted")
 
 
@@ -163,33 +167,59 @@ def forest(spark: SparkSession, findings: list[tuple[str, str, int]] | None = No
 # ---- the scan ------------------------------------------------------------------
 
 
-def findings_column(text: Column, trees: list) -> Column:
-    """Array of structs (line, candidate, score) of a text; null gives an empty one."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("t"))), lambda x: x["t"].rlike(CANDIDATE))
+def _cut_line(t: Column) -> Column:
+    """A line as the candidates in it (m) and what stands around them (p, one more)."""
+    return F.struct(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("m"), F.split(t, CANDIDATE, -1).alias("p"))
+
+
+def _judged(x: Column, trees: list) -> Column:
+    """Array of structs (candidate, score), one for each occurrence in a cut line."""
+
+    def row(c: Column, i: Column) -> Column:
+        # candidates have 16 characters or more, so that four of them fill the context
+        k = range(-(-CONTEXT // 16), 0, -1)
+        before = F.concat_ws("", *(y for j in k for y in (F.get(x["p"], i - j), F.get(x["m"], i - j))), F.get(x["p"], i))
+        return F.struct(c.alias("candidate"), F.array(*feature_columns(c, F.right(before, F.lit(CONTEXT)))).alias("x"))
 
-    def of_line(x: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(x["t"], F.lit(CANDIDATE), F.lit(0)))
-        before = lambda c: F.substring(x["t"], F.greatest(F.lit(1), F.instr(x["t"], c) - 60), F.least(F.lit(60), F.instr(x["t"], c) - 1))
-        return F.transform(found, lambda c: F.struct(x["line"].alias("line"), c.alias("candidate"), F.array(*feature_columns(c, before(c))).alias("x")))
+    def score(f: Column) -> Column:
+        each = [tree_column(t, [f[i] for i in range(len(FEATURES))]) for t in trees]
+        return sum(each[1:], each[0]) / len(trees)
 
-    rows = F.flatten(F.transform(lines, of_line))
-    score = lambda x: sum((tree_column(t, [x[i] for i in range(len(FEATURES))]) for t in trees[1:]), tree_column(trees[0], [x[i] for i in range(len(FEATURES))])) / len(trees)
-    return F.transform(rows, lambda r: F.struct(r["line"].alias("line"), r["candidate"].alias("candidate"), score(r["x"]).alias("score")))
+    return F.transform(F.transform(x["m"], row), lambda r: F.struct(r["candidate"].alias("candidate"), score(r["x"]).alias("score")))
+
+
+def findings_column(text: Column, trees: list) -> Column:
+    """Array of structs (line, candidate, score) of a text; null gives an empty one."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda t, i: F.struct(i.alias("line"), t.alias("t"))), lambda x: x["t"].rlike(CANDIDATE))
+    cut = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), _cut_line(x["t"]).alias("cut")))
+    return F.flatten(F.transform(cut, lambda x: F.transform(_judged(x["cut"], trees), lambda r: F.struct(x["line"].alias("line"), r["candidate"].alias("candidate"), r["score"].alias("score")))))
 
 
 def scan(docs: DataFrame, threshold: float = 0.5, findings: list | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document and candidate line value: doc_id, line (from 0),
-    candidate, score and is_secret. Texts that are null, empty or without a
-    candidate give no row; repeated rows repeat theirs; a null doc_id is kept."""
+    """One row per occurrence of a candidate: doc_id, line (from 0), candidate,
+    score and is_secret. Texts that are null, empty or without a candidate give
+    no row; texts and lines of any length are read whole; repeated rows repeat
+    theirs; a null doc_id is kept; other columns are not looked at; an empty
+    table gives no rows."""
     trees = forest(docs.sparkSession, findings)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.explode(findings_column(F.col(text).cast("string"), trees)).alias("f"))
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.explode(findings_column(F.col(f"`{text}`").cast("string"), trees)).alias("f"))
     return own.select("doc_id", F.col("f.line").alias("line"), F.col("f.candidate").alias("candidate"), F.col("f.score").alias("score"), (F.col("f.score") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, findings: list | None = None, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with confirmed secrets replaced by ``mark``; all else as it was."""
+    """``docs`` with each confirmed occurrence of a secret replaced by ``mark``
+    where it stands; all else as it was, every row and column, whatever the
+    columns' names. Null and empty texts stay as they are; repeated rows are
+    redacted alike; an empty table gives no rows."""
     trees = forest(docs.sparkSession, findings)
-    hits = F.filter(findings_column(F.col(text), trees), lambda f: f["score"] >= threshold)
-    held = docs.withColumn("__hits", F.when(F.col(text).rlike(CANDIDATE), F.transform(hits, lambda f: f["candidate"])))
-    clean = F.when(F.size("__hits") > 0, F.aggregate("__hits", F.col(text), lambda t, c: F.replace(t, c, F.lit(mark)))).otherwise(F.col(text))
-    return held.withColumn(text, clean).select(*docs.columns)
+
+    def clean(x: Column) -> Column:
+        said = F.concat(F.transform(x["f"], lambda f: F.when(f["score"] >= threshold, F.lit(mark)).otherwise(f["candidate"])), F.array(F.lit("")))
+        return F.array_join(F.zip_with(x["p"], said, lambda a, b: F.concat(a, b)), "")
+
+    lines = F.transform(F.split("t", "\n", -1), lambda t: F.struct(t.alias("t"), F.when(t.rlike(CANDIDATE), _cut_line(t)).alias("cut")))
+    judged = F.transform(lines, lambda x: F.struct(x["t"].alias("t"), F.when(x["cut"].isNotNull(), F.struct(x["cut"]["p"].alias("p"), _judged(x["cut"], trees).alias("f"))).alias("g")))
+    done = F.array_join(F.transform(judged, lambda x: F.when(x["g"].isNull(), x["t"]).otherwise(clean(x["g"]))), "\n")
+    plain, back = renamed(docs)
+    own = plain.withColumn("t", F.col(back[text]).cast("string"))
+    return own.withColumn(back[text], F.when(F.col("t").rlike(CANDIDATE), done).otherwise(F.col("t"))).select(*named(back))
