@@ -1,7 +1,7 @@
 """License scan by Dice coefficient over word bigrams.
 
-Lines and paragraphs of a text are normalised (lower case, runs of letters and
-digits) and compared to licence templates by the Dice coefficient of their sets
+Lines, their sentences and paragraphs of a text are normalised (lower case, runs
+of letters and digits) and compared to licence templates by the Dice coefficient of their sets
 of word bigrams. Size bounds prune templates first: a Dice of t needs the sizes
 a and b to satisfy a t / (2 - t) <= b <= a (2 - t) / t. Before that, a unit must
 hold one of the anchor words, which are chosen so that no unit without them can
@@ -21,6 +21,8 @@ TEMPLATES = {
     "MIT": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -29,10 +31,14 @@ TEMPLATES = {
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     ),
     "BSD-3-Clause": (
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -75,16 +81,29 @@ def templates(threshold: float) -> list[dict]:
     return out
 
 
+def anchor_pattern(words: set[str]) -> str:
+    """Finds any of the words as a word of a lower-cased text, by first letters."""
+    first = {w[0]: sorted(x[1:] for x in words if x[0] == w[0]) for w in words}
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(first.items())) + ")(?![a-z0-9])"
+
+
+SENTENCE = r"[.!?;][\x20\x09-\x0D]+"
+PARAGRAPH = r"\n[\x20\x09\x0B-\x0D]*\n"
+
+
 def matches_column(text: Column, threshold: float) -> Column:
-    """Array of structs (neg, license, unit) for units that match; neg is minus the Dice."""
+    """Array of structs (neg, license, unit) for units that match; neg is minus
+    the Dice and unit the normalised text, units that are equal in it being one."""
     own = templates(threshold)
-    anchor = "(?i)" + "|".join(sorted({a for t in own for a in t["anchors"]}))
+    anchor = anchor_pattern({a for t in own for a in t["anchors"]})
     low, high = min(t["low"] for t in own), max(t["high"] for t in own)
-    t = F.coalesce(text, F.lit(""))
-    # a line may be a paragraph of its own, which must count once
-    units = F.array_distinct(F.concat(F.split(t, "\n", -1), F.split(t, r"\n[\x20\x09\x0B-\x0D]*\n", -1)))
-    units = F.filter(units, lambda u: u.rlike(anchor))
-    words = F.transform(units, lambda u: F.struct(u.alias("u"), F.regexp_extract_all(F.lower(u), F.lit("[a-z0-9]+"), F.lit(0)).alias("w")))
+    t = F.lower(F.coalesce(text, F.lit("")))
+    named = lambda a: F.filter(a, lambda u: u.rlike(anchor))
+    lines = named(F.split(t, "\n", -1))
+    sentences = named(F.flatten(F.transform(lines, lambda u: F.split(u, SENTENCE, -1))))
+    units = F.concat(lines, sentences, named(F.split(t, PARAGRAPH, -1)))
+    units = F.array_distinct(F.transform(units, lambda u: F.array_join(F.regexp_extract_all(u, F.lit("[a-z0-9]+"), F.lit(0)), " ")))
+    words = F.transform(units, lambda u: F.struct(u.alias("u"), F.split(u, " ").alias("w")))
     grams = F.transform(words, lambda x: F.struct(x["u"].alias("u"), F.array_distinct(F.when(F.size(x["w"]) > 1, F.zip_with(F.slice(x["w"], 1, F.size(x["w"]) - 1), F.slice(x["w"], 2, F.size(x["w"]) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(x["w"])).alias("g")))
     grams = F.filter(grams, lambda x: F.size(x["g"]).between(low, high))
 
@@ -97,18 +116,21 @@ def matches_column(text: Column, threshold: float) -> Column:
             hits.append(F.when(fits & (score >= threshold), F.struct((-score).alias("neg"), F.lit(t["name"]).alias("license"), x["u"].alias("unit"))))
         return F.array_min(F.array(*hits))  # the best template; ties by name
 
-    return F.array_compact(F.transform(grams, of_unit))
+    # a text without any anchor word is settled by one search
+    none = F.array().cast("array<struct<neg:double,license:string,unit:string>>")
+    return F.when(t.rlike(anchor), F.array_compact(F.transform(grams, of_unit))).otherwise(none)
 
 
 def scan(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, license (best match; ties by name; null if
-    none), dice, n_license_units (matching lines and paragraphs, equal ones
-    once) and licenses (sorted distinct names, comma-joined).
+    none), dice, n_license_units (matching lines, sentences and paragraphs,
+    those of the same words once) and licenses (sorted distinct names, comma-joined).
 
-    Null, empty and wordless texts match nothing; repeated rows each give a
-    row; a null doc_id is kept; an empty table gives no rows.
+    Null, empty and wordless texts match nothing; texts and lines of any length
+    are read whole; repeated rows each give a row; a null doc_id is kept; other
+    columns are not looked at; an empty table gives no rows.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
     own = own.withColumn("m", matches_column(F.col("t"), threshold)).withColumn("best", F.array_min("m"))
     names = F.array_sort(F.array_distinct(F.transform("m", lambda x: x["license"])))
     return own.select("doc_id", F.col("best.license").alias("license"), F.coalesce(-F.col("best.neg"), F.lit(0.0)).alias("dice"), F.size("m").cast("long").alias("n_license_units"), F.array_join(names, ",").alias("licenses"))
