@@ -89,21 +89,36 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = 40, slots: int = 8192
     shard, gapless from 0), grown_shard (null under this law) and vslot.
 
     A null text has no bytes and the checksum of an empty one. A row's virtual
-    slot is a hash of id and text, so a repeated id spreads; a row repeated in
-    both stays in one slot. An empty table gives no rows.
+    slot is a hash of id and text, so a repeated id spreads. Rows repeated in
+    both share a slot; once that holds more than a quarter of a shard's share,
+    its rows are dealt over ``slots // 8`` spare slots by their place in the
+    written table. A text of any length is one row. Other columns are not looked
+    at. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         (F.octet_length(own) + overhead).cast("long").alias("size"),
         F.crc32(own.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.lit("slot"), doc_id, own), F.lit(slots)).cast("int").alias("vslot"),
+        F.pmod(F.xxhash64(F.lit("slot"), F.col(f"`{doc_id}`").cast("long"), own), F.lit(slots)).cast("int").alias("vslot"),
+        F.monotonically_increasing_id().alias("place"),
     )
     rows = scratch.keep(rows, "records")
-    # at most one row per slot
-    stats = {r["vslot"]: (r["b"], r["n"]) for r in rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
-    load = {k: stats.get(k, (0, 0))[0] for k in range(slots)}
+    spare = slots // 8
+
+    def loads(rows: DataFrame) -> dict[int, tuple[int, int]]:
+        """Bytes and rows by slot; at most one row per slot."""
+        return {r["vslot"]: (r["b"], r["n"]) for r in rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
+
+    stats = loads(rows)
+    share = sum(b for b, _ in stats.values()) / shards
+    heavy = [k for k, (b, n) in stats.items() if n > 1 and b > share / 4]
+    if heavy:
+        spread = F.lit(slots) + F.pmod(F.xxhash64(F.lit("spare"), "place"), F.lit(spare))
+        rows = rows.withColumn("vslot", F.when(F.col("vslot").isin(heavy), spread).otherwise(F.col("vslot")).cast("int"))
+        stats = loads(rows)
+    load = {k: stats.get(k, (0, 0))[0] for k in range(slots + spare)}
     path = map_path or f"{scratch.base}/slot-map"
     if latest_version(spark, path) is None:
         owner = balanced(load, shards)
@@ -114,10 +129,10 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = 40, slots: int = 8192
         if owner != before:
             write_map(spark, path, owner, stats)
     place, at = [], dict.fromkeys(range(shards), 0)
-    for k in range(slots):
+    for k in range(slots + spare):
         place.append((k, owner[k], at[owner[k]]))
         at[owner[k]] += stats.get(k, (0, 0))[1]
     place = spark.createDataFrame(place, "vslot int, shard int, before long")
-    w = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+    w = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "place")
     ranked = rows.withColumn("at", F.row_number().over(w) - 1).join(F.broadcast(place), "vslot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
