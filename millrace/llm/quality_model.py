@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.scratch import named, renamed
 
 _CACHE_WORDS = 300_000
 LONG_WORD = 64  #: longer words are hashed in parts and not remembered
@@ -155,12 +156,14 @@ def _train_rows(buckets: int, dim: int, epochs: int):
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, dim: int = 12, epochs: int = 8, train_docs: int = 3000, label: str = "quality") -> tuple[bytes, float]:
     """Bucket scores (float32, ``buckets`` of them) and bias. Rows whose
     crc32(doc_id) mod 4 is 2 are held out; rows with a null id, label or text
-    are passed over; without any labelled row the scores are zero."""
+    are passed over, and of rows with the same id that of the least text is
+    read; without any labelled row the scores are zero."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
     y = y.groupBy("doc_id").agg(F.max("label").alias("label"))
     pick = y.orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id").limit(train_docs)  # bounded, so it may be broadcast
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    rows = own.join(F.broadcast(pick), "doc_id").coalesce(1)
+    # the scan stays parallel; only the picked rows, one for an id, move to the training task
+    rows = own.join(F.broadcast(pick), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).repartition(1)
     got = rows.mapInArrow(_train_rows(buckets, dim, epochs), "score binary, bias double").collect()
     return (bytes(got[0]["score"]), got[0]["bias"]) if got else (bytes(4 * buckets), 0.0)
 
@@ -212,7 +215,7 @@ def score(docs: DataFrame, model: tuple[bytes, float], text: str = "text", keep:
     wordless text has the score of the bias alone."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 4 bytes a bucket
-    own = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    own = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text"))
     fields = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
     return own.mapInArrow(_score(shared, len(model[0]) // 4, list(keep)), f"{fields}, score double")
 
@@ -227,9 +230,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fit_o
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fit_options) -> DataFrame:
-    """The rows of ``docs`` that reach ``threshold``, all columns kept."""
+    """The rows of ``docs`` that reach ``threshold``, all columns kept, whatever
+    their names. Null, empty and wordless texts are scored by the bias alone;
+    repeated rows stay or go together; an empty table gives no rows."""
     model = fit(docs, labels, **fit_options)
-    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    found = score(plain, model, text=names["text"], keep=tuple(names.values()))
-    return found.where(F.col("score") >= threshold).select(*(F.col(n).alias(c) for c, n in names.items()))
+    plain, back = renamed(docs)
+    found = score(plain, model, text=back["text"], keep=tuple(plain.columns))
+    return found.where(F.col("score") >= threshold).select(*named(back))
