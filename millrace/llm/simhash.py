@@ -38,6 +38,18 @@ CHUNK = 1 << 15
 # ---- fingerprints ---------------------------------------------------------
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed fingerprint of 64-bit hashes: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        bits = np.unpackbits(hashes[i : i + CHUNK].astype(">u8", copy=False).view(np.uint8)).reshape(-1, 64)
+        full = len(bits) // 255 * 255
+        if full:
+            ones += bits[:full].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        ones += bits[full:].sum(axis=0, dtype=np.uint8)
+    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.uint64).view(np.int64))
+
+
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     """Signed 64-bit SimHash of the ``size``-word shingles of a text; 0 for a
     text that is null or has no word."""
@@ -48,17 +60,9 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     starts = np.concatenate(([0], np.cumsum(lens + 1)[:-1]))
     ends = starts + lens
     n = max(1, len(words) - size + 1)
-    starts, ends = starts[:n], ends[-n:]
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_digest
-    for i in range(0, n, CHUNK):
-        got = b"".join([digest(line[s:e], seed) for s, e in zip(starts[i : i + CHUNK].tolist(), ends[i : i + CHUNK].tolist())])
-        bits = np.unpackbits(np.frombuffer(got, np.uint8)).reshape(-1, 64)
-        full = len(bits) // 255 * 255
-        if full:
-            ones += bits[:full].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        ones += bits[full:].sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * ones > n).view(">u8")[0].astype(np.uint64).view(np.int64))
+    got = b"".join([digest(line[s:e], seed) for s, e in zip(starts[:n].tolist(), ends[-n:].tolist())])
+    return majority(np.frombuffer(got, ">u8"))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
@@ -287,7 +291,7 @@ def drop_near_duplicates(docs: DataFrame, scratch: Scratch, max_bits: int = 3, s
     whose fingerprints differ in more bits.
     """
     if similarity is not None:
-        return shingles.drop_similar(docs, scratch, lambda nodes: links(nodes, scratch, max_bits), fingerprint, similarity, size)
+        return shingles.drop_similar(docs, scratch, lambda nodes: links(nodes, scratch, max_bits), lambda found: majority(found.view(np.uint64)), similarity, size)
     plain, back = renamed(docs)
     own = plain.select(F.col(back["doc_id"]).alias("doc_id"), F.col(back["text"]).alias("text")).withColumn("row", row_key())
     found = near_duplicates(own, scratch, max_bits, size, extra=("row",))
