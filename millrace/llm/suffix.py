@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import Scratch, parts, row_key
+from millrace.llm.scratch import Scratch, parts
 
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -64,36 +64,51 @@ def _bytes(text: str | None) -> bytes:
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _word_hashes(arr: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words of a text's bytes, all of a part at once."""
-    out, at = [], 0
-    while at < len(arr):
-        to = min(len(arr), at + CHUNK)
-        if to < len(arr):  # parts end at a space
-            end = np.flatnonzero(_SPACE[arr[to : to + CHUNK]])
-            while not len(end) and to < len(arr):
-                to = min(len(arr), to + CHUNK)
-                end = np.flatnonzero(_SPACE[arr[to : to + CHUNK]])
-            to += int(end[0]) if len(end) else 0
-        part = arr[at:to]
+def _word_hashes(arr: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes, first bytes) of the words of texts that begin at ``starts``
+    of a byte array, all of a part at once."""
+    if not len(arr):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    space = _SPACE[arr]
+    edge = np.zeros(len(arr) + 1, bool)
+    edge[starts], edge[-1] = True, True
+    edge[1:] |= space  # a word may begin behind these, and end before the next
+    ends = edge[1:].copy()
+    ends[:-1] |= space[1:]
+    first, last = np.flatnonzero(edge[:-1] & ~space), np.flatnonzero(ends & ~space) + 1
+    out, i = [], 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(last, first[i] + CHUNK, "right")))
+        part, f, e = arr[first[i] : last[j - 1]], first[i:j] - first[i], last[i:j] - first[i]
         n = len(part)
-        edge = np.diff(np.concatenate(([True], _SPACE[part], [True])).astype(np.int8))
-        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         up, down = (_UP[:n], _DOWN) if n < len(_UP) else (_powers(_BASE, n), _powers(_INVERSE, n))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[part] * up, out=sums[1:])
-        h = (sums[last] - sums[first]) * down[first]
+        h = (sums[e] - sums[f]) * down[f]
         h ^= h >> _U(32)
         h *= _U(0x9FB21C651E98DF25)
-        out.append((h ^ (h >> _U(28))) + (last - first).astype(np.uint64))
-        at = to
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out.append((h ^ (h >> _U(28))) + (e - f).astype(np.uint64))
+        i = j
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), first
 
 
 def symbols(text: str | None, unit: str) -> np.ndarray:
     """The bytes of a text, or the 64-bit hashes of its words."""
     arr = np.frombuffer(_bytes(text), np.uint8)
-    return arr if unit == "byte" else _word_hashes(arr)
+    return arr if unit == "byte" else _word_hashes(arr, np.zeros(1, np.int64))[0]
+
+
+def joined_symbols(texts: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all texts of a column, where each begins and the last ends)."""
+    texts = texts.cast(pa.large_binary())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    arr = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    if unit == "byte":
+        return arr, at
+    h, first = _word_hashes(arr, at[:-1][at[:-1] < len(arr)])
+    return h, np.searchsorted(first, at)
 
 
 class Depth:
@@ -110,16 +125,24 @@ class Depth:
         n = CHUNK + 2 * threshold
         self.up, self.down = _powers(_BASE, n), _powers(_INVERSE, n)
 
-    def anchors(self, arr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, 64-bit keys) of the anchors of all windows of a text's symbols."""
-        at, n = [], len(arr) - self.t + 1
+    def anchors(self, arr: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, 64-bit keys) of the anchors of all windows of the texts
+        that begin at ``at`` (the last of it is the end) of an array of symbols."""
+        found, n, ends = [], len(arr) - self.t + 1, at[1:]
         for s in range(0, max(n, 0), CHUNK):
-            at.append(s + self._chunk(arr[s : min(s + CHUNK, n) + self.t - 1]))
-        pos = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
+            e = min(s + CHUNK, n)
+            # windows end within their text
+            lo, hi = np.searchsorted(ends, s, "right"), np.searchsorted(ends, e - 1, "right") + 1
+            cuts = np.minimum(ends[lo:hi], e)
+            last = np.repeat(ends[lo:hi], np.diff(np.concatenate(([s], cuts))))
+            whole = np.arange(s, e) + self.t <= last
+            if whole.any():
+                found.append(s + self._chunk(arr[s : e + self.t - 1], whole))
+        pos = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         data = arr.tobytes()
         return pos, np.array([xxhash.xxh64_intdigest(data[p : p + self.k * self.item]) for p in (pos * self.item).tolist()], np.uint64)
 
-    def _chunk(self, arr: np.ndarray) -> np.ndarray:
+    def _chunk(self, arr: np.ndarray, whole: np.ndarray) -> np.ndarray:
         n, k, w = len(arr), self.k, self.w
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((_BYTE[arr] if self.unit == "byte" else arr) * self.up[:n], out=sums[1:])
@@ -136,7 +159,7 @@ class Depth:
         head = np.minimum.accumulate(grid, axis=1).ravel()
         tail = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(tail[: m - w + 1], head[w - 1 : m])
-        pos = (low - (least & low)).astype(np.int64)
+        pos = (low - (least & low)).astype(np.int64)[whole]
         return pos[np.concatenate(([True], pos[1:] != pos[:-1]))]
 
 
@@ -170,12 +193,13 @@ _MEMBER = "key binary, ctx binary, alone boolean, lo long, hi long, left binary,
 def _anchor_rows(d: Depth):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rid, text in zip(b.column("rid"), b.column("text")):
-                pos, keys = d.anchors(symbols(text.as_py(), d.unit))
-                if len(pos):
-                    yield _batch(_ANCHOR, [[rid.as_py()] * len(pos), pos, keys.view(np.int64)])
+            arr, at = joined_symbols(b.column("text"), d.unit)
+            pos, keys = d.anchors(arr, at)
+            if len(pos):
+                row = np.searchsorted(at[:-1], pos, "right") - 1
+                yield _batch(_ANCHOR, [b.column("rid").take(pa.array(row)), pos - at[row], keys.view(np.int64)])
 
-    return lambda batches: _grouped(rows(batches))
+    return rows
 
 
 def _occurrences(d: Depth):
@@ -372,10 +396,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(_CUT, list(zip(*out)))
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, threshold: int = 400, unit: str = "byte", group_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(candidate documents, spans): ``docs`` has rid, doc_id and text; the
+def repeated_spans(docs: DataFrame, scratch: Scratch, threshold: int = 400, unit: str = "byte", group_rows: int | None = None) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(candidate documents, spans, tables): ``docs`` has rid, doc_id and text; the
     first has those columns for documents with a repeated anchor, the second a
-    row (rid, spans) for documents with a repeated window, in symbols. Groups of
+    row (rid, spans) for documents with a repeated window, in symbols; both read
+    the tables, which may be dropped after them. Groups of
     more than ``group_rows`` members (by default three times what a task gets on
     average, within 512 and ``MOST_ROWS``) are split."""
     spark, d = docs.sparkSession, Depth(threshold, unit)
@@ -411,6 +436,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, threshold: int = 400, unit
             small = small.unionByName(r)
     some = small.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(_resolve(d), "ctx binary, left long, right long")
     known.append(scratch.keep(some, "resolved"))
+    scratch.drop(mixed)
     # occurrences of a neighbourhood that is found twice are repeated in full
     every = known[0]
     for k in known[1:]:
@@ -418,12 +444,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, threshold: int = 400, unit
     every = scratch.keep(every, "known")
     span = F.struct(F.coalesce(F.col("pos") - F.col("left"), F.col("first")).alias("s"), F.coalesce(F.col("pos") + d.k + F.col("right"), F.col("last")).alias("e"))
     spans = occ.select("rid", "pos", "first", "last", "ctx").join(every.hint("shuffle_hash"), "ctx").groupBy("rid").agg(F.collect_set(span).alias("spans"))
-    return work, spans
+    return work, spans, [work, occ, ctx, every]
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    return own.withColumn("rid", F.unhex(row_key()))
+    # two 64-bit hashes of the row that start apart: rows equal in both are repeated rows
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), "doc_id", "text")), 16, "0")
+    return own.withColumn("rid", F.unhex(F.concat(half(1), half(2))))
 
 
 def drop_repeats(docs: DataFrame, scratch: Scratch, threshold: int = 400, group_rows: int | None = None, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = False, passage_words: int = 0) -> DataFrame:
@@ -442,16 +470,18 @@ def drop_repeats(docs: DataFrame, scratch: Scratch, threshold: int = 400, group_
     looked at; an empty table gives no rows.
     """
     own = _rows(docs, doc_id, text)
-    work, spans = repeated_spans(own, scratch, threshold, "byte", group_rows)
+    work, spans, tables = repeated_spans(own, scratch, threshold, "byte", group_rows)
     cut = work.join(spans, "rid").select("rid", "doc_id", "text", "spans").dropDuplicates(["rid"]).mapInArrow(_cut, _CUT)
     cut = scratch.keep(cut.select("rid", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes), "cut")
+    scratch.drop(*tables)
     out = own.select("doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("sha")).join(cut, "rid", "left")
     found = ["n_removed", "n_spans"]
     if passage_words:
         scratch.release()
-        _, runs = repeated_spans(own, scratch, passage_words, "word", group_rows)
+        _, runs, tables = repeated_spans(own, scratch, passage_words, "word", group_rows)
         covered = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["to"]))).alias("n"), F.greatest(a["to"], x["e"]).alias("to")))
         words = scratch.keep(runs.select("rid", covered["n"].alias("n_passage_words")), "passages")
+        scratch.drop(*tables)
         out = out.join(words, "rid", "left")
         found.append("n_passage_words")
     return out.select("doc_id", "n_bytes", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in found), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *["kept"] * keep_bytes)
