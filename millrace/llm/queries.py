@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embed_dedup, licenses, mixing, packing, quality_model, quality_rules, secrets, sharding, simhash, suffix
+from millrace.llm import collocations, compaction, embed_dedup, licenses, mixing, packing, quality_model, quality_rules, secrets, sharding, simhash, suffix, topk
 from millrace.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,25 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final files of all clicks after compaction."""
+    done = compaction.compact(table(spark, sf_dir, "clicks"), Scratch(spark, "op11"))
+    return compaction.report(done, spark).withColumnsRenamed({"min_key": "min_click_id", "max_key": "max_click_id"})
+
+
+@query
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every 20th embedding with all others."""
+    return topk.search(table(spark, sf_dir, "embeddings"), Scratch(spark, "op12"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of each language of all documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 # ---- SQL of the operators that SQL can express ---------------------------------------
 
 
@@ -150,3 +169,39 @@ FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id AND o.r = 1 LEFT JOIN a ON a
 
 ORACLE["op5_quality_rules"] = _quality_sql()
 ORACLE["op9_licenses"] = _license_sql()
+
+
+def _topk_sql(k: int = 20, scale: int = 64) -> str:
+    return f"""
+WITH x AS (SELECT vec_id, row_number() OVER () AS node, list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT q.node, q.vec_id AS query_id, c.vec_id, c.node AS other, list_inner_product(q.v, c.v)::BIGINT AS score FROM x q JOIN x c ON q.node <> c.node WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, vec_id NULLS LAST, other)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
+
+
+def _collocations_sql(support: int = 100, top: int = 2000) -> str:
+    lead = ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(1, 5))
+    phrase = lambda m: " || ' ' || ".join(["w", *(f"w{k}" for k in range(1, m))])
+    sizes = " UNION ALL ".join(f"SELECT lang, {m} AS m, {phrase(m)} AS p FROM g{f' WHERE w{m - 1} IS NOT NULL' if m > 1 else ''}" for m in range(1, 6))
+    return rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]') AS x FROM documents),
+p AS (SELECT lang, row_number() OVER () AS id, x FROM (SELECT lang, unnest(x) AS x FROM t)),
+x AS (SELECT lang, id, regexp_extract_all(x, '[^ 	]+') AS x FROM p),
+w AS (SELECT lang, id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM x),
+n AS (SELECT lang, count(*)::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w, {lead} FROM w WINDOW o AS (PARTITION BY id ORDER BY i)),
+f AS (SELECT lang, m, p, count(*)::HUGEINT AS a FROM ({sizes}) GROUP BY lang, m, p HAVING count(*) >= {support}),
+k AS (SELECT f.*, string_split(p, ' ') AS x, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+c AS (SELECT lang, p, a, k, array_to_string(x[:k], ' ') AS lp, array_to_string(x[k + 1:], ' ') AS rp FROM k),
+s AS (SELECT c.lang, c.p, c.a, c.k, l.a AS l, r.a AS r, n.n, (1000 * c.a * n.n) // (l.a * r.a) AS score FROM c JOIN f l ON l.lang = c.lang AND l.p = c.lp JOIN f r ON r.lang = c.lang AND r.p = c.rp JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS z FROM s) WHERE z = 1),
+u AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = b.lang AND len(f.p) > len(b.p) AND contains(' ' || f.p || ' ', ' ' || b.p || ' ') AND 100 * f.a >= 100 * b.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p)::INT AS rank FROM u)
+SELECT lang, rank, p AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= {top}"""
+
+
+ORACLE["op12_topk"] = _topk_sql()
+ORACLE["op13_collocations"] = _collocations_sql()
