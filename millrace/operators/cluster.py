@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vec
+from millrace.operators.density import Density, by_blocks, by_grid
 from millrace.operators.neighbors import pairs
-from millrace.operators.radius import vector_pairs
 from millrace.operators.validate import positive_int
 from millrace.plans.components import components
 from millrace.plans.lineage import cut
@@ -118,29 +118,16 @@ class KMeansModel:
         return df.withColumn("cluster", _nearest(F.col(self.params.features).cast("array<double>"), self.centers, m))
 
 
-def radius_pairs(df: DataFrame, eps: float, metric: str | vec.Metric, features: str, row_id: str) -> DataFrame:
-    """(a, b), a < b, for rows within ``eps`` of each other (inclusive).
-
-    Up to three features, rows meet in grid cells of side eps: each row looks
-    into its own and the neighbouring cells by equi-join. Wider vectors meet in
-    pivot cells (``radius.vector_pairs``). A callable metric compares all pairs.
-    """
-    d = vec.width(df, features)
-    m = vec.metric(metric, d)
-    rows = df.select(F.col(row_id).cast("long").alias("a"), F.col(features).cast("array<double>").alias("xa"))
-    other = rows.select(F.col("a").alias("b"), F.col("xa").alias("xb"))
-    near = (F.col("a") < F.col("b")) & (m(F.col("xa"), F.col("xb")) <= eps)
-    if d > 3 and eps > 0 and not callable(metric):
-        return vector_pairs(rows.select("a", F.col("xa").alias("x")), eps, metric.lower())
-    if eps <= 0 or callable(metric):
-        return pairs(rows, other, near).select("a", "b")
-    cell = lambda x: F.transform(x, lambda v: F.floor(v / eps).cast("long"))
-    around = [[]]
-    for _ in range(d):
-        around = [[*c, s] for c in around for s in (-1, 0, 1)]
-    left = rows.withColumn("c", cell(F.col("xa")))
-    left = left.withColumn("c", F.explode(F.array(*(F.array(*(F.col("c")[i] + s for i, s in enumerate(o))) for o in around))))
-    return left.join(other.withColumn("c", cell(F.col("xb"))), "c").where(near).select("a", "b")
+def _by_pairs(rows: DataFrame, eps: float, min_samples: int, m: vec.Metric) -> Density:
+    """For a metric of which nothing is known: all pairs are compared."""
+    other = rows.select(F.col("a").alias("b"), F.col("x").alias("y"), F.col("w").alias("v"))
+    half = cut(pairs(rows, other, (F.col("a") < F.col("b")) & (m(F.col("x"), F.col("y")) <= eps)).select("a", "b", "w", "v"))
+    both = half.select("a", "b", F.col("v").alias("w")).unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    n = both.groupBy("a").agg(F.sum("w").alias("n"))
+    core = cut(rows.select("a", "w").join(n, "a", "left").where(F.coalesce("n", F.lit(0)) + F.col("w") >= min_samples).select("a"))
+    ends = half.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
+    border = both.join(core, "a", "left_anti").join(core.select(F.col("a").alias("b")), "b", "left_semi").select("a", F.col("b").alias("node"))
+    return Density(core.withColumn("node", F.col("a")), ends, border)
 
 
 @dataclass(frozen=True)
@@ -164,22 +151,29 @@ class DBSCAN:
             vec.metric(self.metric, 1)
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
-        """``df`` plus ``cluster``."""
-        half = cut(radius_pairs(df, self.eps, self.metric, self.features, self.row_id))
-        links = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ids = df.select(F.col(self.row_id).cast("long").alias("a"))
-        n = links.groupBy("a").agg(F.count("*").alias("n"))
-        core = ids.join(n, "a", "left").where(F.coalesce("n", F.lit(0)) + 1 >= self.min_samples).select("a")
-        core = cut(core)
-        edges = half.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi")
-        root = core.join(components(edges).withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("root", "a").alias("root"))
+        """``df`` plus ``cluster``. Vectors that are null or hold null or
+        non-finite components are noise."""
+        d = vec.width(df, self.features)
+        ids = df.select(F.col(self.row_id).cast("long").alias("id"), F.col(self.features).cast("array<double>").alias("x"))
+        # equal vectors are one row, named by the smallest of them
+        once = cut(ids.where(vec.finite(F.col("x"))).groupBy("x").agg(F.min("id").alias("a"), F.count("*").alias("w")))
+        rows = once.select("a", "x", "w")
+        if callable(self.metric):
+            found = _by_pairs(rows, self.eps, self.min_samples, vec.metric(self.metric, d))
+        elif d <= 3:
+            found = by_grid(rows, d, self.eps, self.min_samples, self.metric.lower())
+        else:
+            found = by_blocks(rows, self.eps, self.min_samples, self.metric.lower())
+        nodes = found.core.select("node").distinct()
+        root = cut(nodes.join(components(found.edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
         # clusters are numbered over their distinct roots alone
-        roots = root.select("root").distinct()
-        number = positions(roots, F.col("root"), name="k").select("root", (F.col("k") + 1).cast("int").alias("k"))
-        core_k = cut(root.join(number, "root").select("a", "k"))
-        border = links.join(core_k.select(F.col("a").alias("b"), "k"), "b").groupBy("a").agg(F.min("k").alias("bk"))
-        found = ids.join(core_k, "a", "left").join(border, "a", "left").select("a", F.coalesce("k", "bk", F.lit(0)).alias("cluster"))
-        return df.join(found, df[self.row_id] == found["a"]).drop("a")
+        number = positions(root.select("root").distinct(), F.col("root"), name="k").select("root", (F.col("k") + 1).cast("int").alias("k"))
+        number = cut(root.join(number, "root").select("node", "k"))
+        inner = found.core.join(number, "node").select("a", "k")
+        border = found.border.join(number, "node").groupBy("a").agg(F.min("k").alias("k"))
+        k = rows.join(inner.unionByName(border), "a").select("x", "k")
+        found = ids.join(k, "x").select("id", "k")
+        return df.join(found, df[self.row_id].cast("long") == found["id"], "left").withColumn("cluster", F.coalesce("k", F.lit(0))).drop("id", "k")
 
 
 def cluster_summary(df: DataFrame, cluster: str = "cluster") -> DataFrame:

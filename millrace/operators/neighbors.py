@@ -1,6 +1,8 @@
 """Distance joins and k nearest neighbours.
 
-The smaller side is broadcast only while it has at most ``BROADCAST_ROWS`` rows
+Neighbours by a named metric are found by pivots (``nearest.py``); a metric that
+is a callable, of which nothing is known, is computed for all pairs. There the
+smaller side is broadcast only while it has at most ``BROADCAST_ROWS`` rows
 and ``BROADCAST_DOUBLES`` vector components; beyond that both sides are dealt
 into blocks and each query block meets each training block in one equi-join, so
 no side has to fit in a task.
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vec
+from millrace.operators.nearest import nearest
 from millrace.operators.vote import average_label, majority_vote
 
 BROADCAST_ROWS = 20_000
@@ -90,15 +93,18 @@ class KNNModel:
     n: int
 
     def kneighbors(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        """Long rows (query_id, rank from 1, train_id, dist, label)."""
+        """Long rows (query_id, rank from 1, train_id, dist, label). With a named
+        metric, vectors that hold null or non-finite components take no part."""
         p, k = self.params, self.params.k if k is None else k
         if k <= 0 or k > self.n:
             raise ValueError("k must be between 1 and the number of training rows")
-        m = vec.metric(p.metric, self.width)
         ok = F.assert_true(F.size(p.features) == self.width, F.lit("query width differs from training width"))
-        q = queries.select(F.col(p.row_id).alias("query_id"), F.when(ok.isNull(), F.col(p.features).cast("array<double>")).alias("__q_features"))
-        t = self.train.select(F.col(p.row_id).alias("train_id"), F.col(p.features).cast("array<double>").alias("__t_features"), *([F.col(p.label).alias("label")] if p.label in self.train.columns else []))
-        near = pairs(t, q).withColumn("dist", m(F.col("__q_features"), F.col("__t_features"))).drop("__q_features", "__t_features")
+        q = queries.select(F.col(p.row_id).alias("q"), F.when(ok.isNull(), F.col(p.features).cast("array<double>")).alias("x"))
+        t = self.train.select(F.col(p.row_id).alias("t"), F.col(p.features).cast("array<double>").alias("x"), *([F.col(p.label).alias("label")] if p.label in self.train.columns else []))
+        if not callable(p.metric):
+            return nearest(q, t, k, p.metric.lower()).rows
+        m = vec.metric(p.metric, self.width)
+        near = pairs(t.withColumnRenamed("x", "tx"), q).select(F.col("q").alias("query_id"), F.col("t").alias("train_id"), m(F.col("x"), F.col("tx")).alias("dist"), *t.columns[2:])
         w = Window.partitionBy("query_id").orderBy("dist", "train_id")
         return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -53,7 +53,7 @@ def _to_cells(pivots: np.ndarray, metric: str):
         for b in batches:
             if b.num_rows:
                 d = distances(matrix(b.column("x")), pivots, metric)
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("x"), pa.array(d.argmin(axis=1)), pa.array(d.min(axis=1))], names=["a", "x", "cell", "r"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(axis=1)), pa.array(d.min(axis=1))], names=[*b.schema.names, "cell", "r"])
 
     return run
 
@@ -70,51 +70,69 @@ def _visits(pivots: np.ndarray, reach: np.ndarray, metric: str):
             near &= np.arange(len(pivots))[None] > cell[:, None]
             near[np.arange(len(x)), cell] = True
             row, to = np.nonzero(near)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("a").take(take), b.column("x").take(take), pa.array(to), pa.array(to == cell[row])], names=["a", "x", "cell", "own"])
+            kept = [c for c in b.schema.names if c != "cell"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row)) for c in kept), pa.array(to), pa.array(to == cell[row])], names=[*kept, "cell", "own"])
 
     return run
 
 
+def close_pairs(t: pa.Table, eps: float, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs within ``eps`` of a block pair, each once, a strip at a time."""
+    left = t.column("left").to_numpy().astype(bool)
+    a, x, own = t.column("a").to_numpy(), matrix(t.column("x")), t.column("own").to_numpy().astype(bool)
+    l, r = np.flatnonzero(left), np.flatnonzero(~left)
+    for i in range(0, len(l), 256):
+        rows = l[i : i + 256]
+        near = distances(x[rows], x[r], metric) <= eps + _scale(x[rows], x[r])
+        p, q = np.nonzero(near)
+        p, q = rows[p], r[q]
+        ok = ~own[p] | (a[p] < a[q])
+        p, q = p[ok], q[ok]
+        ok = exact(x[p], x[q], metric) <= eps
+        yield p[ok], q[ok]
+
+
 def _compare(eps: float, metric: str):
     def run(key, t):
-        left = t.column("left").to_numpy().astype(bool)
-        a, x, own = t.column("a").to_numpy(), matrix(t.column("x")), t.column("own").to_numpy().astype(bool)
-        l, r = np.flatnonzero(left), np.flatnonzero(~left)
-        found = [np.zeros((0, 2), np.int64)]
-        for i in range(0, len(l), 256):
-            rows = l[i : i + 256]
-            near = distances(x[rows], x[r], metric) <= eps + _scale(x[rows], x[r])
-            p, q = np.nonzero(near)
-            p, q = rows[p], r[q]
-            ok = ~own[p] | (a[p] < a[q])
-            p, q = p[ok], q[ok]
-            ok = exact(x[p], x[q], metric) <= eps
-            found.append(np.stack((np.minimum(a[p[ok]], a[q[ok]]), np.maximum(a[p[ok]], a[q[ok]])), axis=1))
+        a, found = t.column("a").to_numpy(), [np.zeros((0, 2), np.int64)]
+        for p, q in close_pairs(t, eps, metric):
+            found.append(np.stack((np.minimum(a[p], a[q]), np.maximum(a[p], a[q])), axis=1))
         out = np.concatenate(found)
         return pa.table({"a": out[:, 0].copy(), "b": out[:, 1].copy()})
 
     return run
 
 
-def vector_pairs(rows: DataFrame, eps: float, metric: str, cell_rows: int = 512, max_pivots: int = 1024, block_rows: int = 1024) -> DataFrame:
-    """``rows`` (a: long, x: array<double>) -> (a, b), a < b, for rows at most ``eps`` apart."""
+def blocks(rows: DataFrame, eps: float, metric: str, cell_rows: int = 512, max_pivots: int = 1024, block_rows: int = 1024) -> DataFrame | None:
+    """``rows`` (a: long, x: array<double>, further columns) -> a row for each
+    block pair (cell, bi, bj) and side (``left`` or not) that a row is in; every
+    two rows within ``eps`` meet on opposite sides of one pair, rows of one cell
+    (``own``) twice. None without rows."""
     n = rows.count()
     k = int(max(1, min(max_pivots, n // cell_rows)))
     # at most max_pivots vectors on the driver
-    pivots = [r["x"] for r in rows.orderBy(hash_key(0, "a"), "a").limit(k).collect()]
+    pivots = [r["x"] for r in rows.orderBy(hash_key(0, "a"), "a").limit(k).select("x").collect()]
     if not pivots:
-        return rows.select("a", F.col("a").alias("b")).limit(0)
+        return None
     pivots = np.array(pivots)
-    own = cut(rows.repartition(max(1, min(n // 256, 4096))).mapInArrow(_to_cells(pivots, metric), "a long, x array<double>, cell long, r double"))
+    shape = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    own = cut(rows.repartition(max(1, min(n // 256, 4096))).mapInArrow(_to_cells(pivots, metric), f"{shape}, cell long, r double"))
     reach = np.full(len(pivots), -np.inf)
     for r in own.groupBy("cell").agg(F.max("r").alias("r")).collect():
         reach[r["cell"]] = r["r"] + eps
-    all_ = own.select("a", "x", "cell").mapInArrow(_visits(pivots, reach, metric), "a long, x array<double>, cell long, own boolean")
-    all_ = cut(all_)
+    all_ = cut(own.drop("r").mapInArrow(_visits(pivots, reach, metric), f"{shape}, cell long, own boolean"))
     load = all_.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("lb"), F.ceil(F.count_if("own") / block_rows).alias("rb"))  # a row per pivot
     block = lambda n: F.pmod(F.xxhash64("a"), F.col(n))
     dealt = all_.join(F.broadcast(load), "cell")
-    lefts = dealt.withColumn("bj", F.explode(F.expr("sequence(0L, rb - 1L)"))).select("a", "x", "own", "cell", block("lb").alias("bi"), "bj", F.lit(True).alias("left"))
-    rights = dealt.where("own").withColumn("bi", F.explode(F.expr("sequence(0L, lb - 1L)"))).select("a", "x", "own", "cell", "bi", block("rb").alias("bj"), F.lit(False).alias("left"))
-    return lefts.unionByName(rights).groupBy("cell", "bi", "bj").applyInArrow(_compare(eps, metric), "a long, b long")
+    names = [*rows.columns, "own", "cell"]
+    lefts = dealt.withColumn("bj", F.explode(F.expr("sequence(0L, rb - 1L)"))).select(*names, block("lb").alias("bi"), "bj", F.lit(True).alias("left"))
+    rights = dealt.where("own").withColumn("bi", F.explode(F.expr("sequence(0L, lb - 1L)"))).select(*names, "bi", block("rb").alias("bj"), F.lit(False).alias("left"))
+    return lefts.unionByName(rights)
+
+
+def vector_pairs(rows: DataFrame, eps: float, metric: str, **sizes: int) -> DataFrame:
+    """``rows`` (a: long, x: array<double>) -> (a, b), a < b, for rows at most ``eps`` apart."""
+    met = blocks(rows, eps, metric, **sizes)
+    if met is None:
+        return rows.select("a", F.col("a").alias("b")).limit(0)
+    return met.groupBy("cell", "bi", "bj").applyInArrow(_compare(eps, metric), "a long, b long")

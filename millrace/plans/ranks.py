@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans.lineage import cut
 
-def positions(df: DataFrame, key: Column, *ties: Column, name: str = "pos", buckets: int = 1024) -> DataFrame:
-    """``df`` plus the 0-based position of each row by (key, ties). ``key`` is a
-    number; rows are ranked within equal-width ranges of it, and the ranges'
-    counts (at most ``buckets`` rows) are summed on the driver."""
-    keyed = df.withColumn("__k", key)
-    lo, hi = keyed.agg(F.min("__k"), F.max("__k")).first()
-    if lo is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    wide = float(hi) - float(lo)
-    at = F.lit(0) if wide == 0 else F.least(F.lit(buckets - 1), F.floor((F.col("__k").cast("double") - float(lo)) / wide * buckets))
-    keyed = keyed.withColumn("__b", at.cast("int"))
-    before, rows = 0, []
-    for r in sorted(keyed.groupBy("__b").count().collect(), key=lambda r: r["__b"]):
-        rows.append((r["__b"], before))
+
+#: A row's number within its partition is in the low bits of Spark's increasing id.
+WITHIN = 33
+
+
+def numbered(df: DataFrame, name: str = "pos") -> DataFrame:
+    """``df`` written once, plus a gapless 0-based number of each row by partition
+    and place in it. Rows per partition, a row each, are summed on the driver."""
+    marked = cut(df.withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", WITHIN).cast("int")
+    rows, before = [], 0
+    for r in sorted(marked.groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"]):
+        rows.append((r["p"], before))
         before += r["count"]
-    offsets = df.sparkSession.createDataFrame(rows, "__b int, __before long")
-    w = Window.partitionBy("__b").orderBy("__k", *ties)
-    return keyed.join(F.broadcast(offsets), "__b").withColumn(name, F.row_number().over(w) - 1 + F.col("__before")).drop("__k", "__b", "__before")
+    offsets = df.sparkSession.createDataFrame(rows, "__p int, __before long")
+    got = marked.join(F.broadcast(offsets), part == F.col("__p"), "left")
+    return got.withColumn(name, F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << WITHIN) - 1))).drop("__m", "__p", "__before")
+
+
+def positions(df: DataFrame, key: Column, *ties: Column, name: str = "pos", parts: int | None = None) -> DataFrame:
+    """``df`` plus the 0-based position of each row by (key, ties).
+
+    Rows are dealt by ranges of (key, ties) that Spark samples to equal sizes, so
+    neither an outlier nor a frequent key fills a task: rows of one key are
+    spread by their ties. They are sorted within the ranges and written once;
+    a range's rows start where those of the ranges before it end. Rows equal in
+    key and ties have adjacent positions, in no order of theirs."""
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [f"__o{i}" for i in range(1 + len(ties))]
+    keyed = df.withColumns(dict(zip(by, (key, *ties))))
+    return numbered(keyed.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop(*by), name)
 
 
 def hash_key(seed: int, *cols: str | Column) -> Column:
