@@ -1,7 +1,7 @@
 """Phrase collocations by contiguous pattern growth over projected occurrences.
 
 A phrase is frequent only if all its words and all its pairs of neighbours are.
-Words, then pairs, are counted, and their hashes set bits in two maps of fixed
+Words, then pairs, are counted, and their hashes set bits in two maps of bounded
 size, so that an occurrence is projected only where a frequent pair may begin,
 and only as far as pairs stay frequent (a map may say yes too often, never no).
 The pointer that a prefix gets is the stretch of up to five words from there;
@@ -23,90 +23,132 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.scratch import Scratch
 
-BITS = 24  #: the maps have 2 ** BITS bits, 2 MB each
-BUCKET = 32768
-PIECES = r"[.,;:!?\n\x0B\f\r]"
+BUCKET = 32768  #: bits of a map that are one row
+PAIR_BITS = 40  #: of a pair's hash, by which pairs are counted
 
+#: Letters in lower case; what ends a piece as a line feed, a tab as a space.
+AS_READ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
-def bit_map(items: DataFrame, hashed: Column) -> bytes:
-    """Hashes modulo 2 ** BITS as a map of bits: at most 512 rows of 4 KB come to the driver."""
-    at = F.pmod(hashed, F.lit(1 << BITS)).cast("long")
-    got = items.select(at.alias("at")).groupBy(F.floor(F.col("at") / BUCKET).cast("int").alias("k")).agg(F.bitmap_construct_agg((F.col("at") % BUCKET).cast("long")).alias("m")).collect()
-    out = bytearray((1 << BITS) // 8)
-    for r in got:
-        out[r["k"] * BUCKET // 8 : r["k"] * BUCKET // 8 + len(r["m"])] = r["m"]
-    return bytes(out)
+
+def bit_map(items: DataFrame, hashed: Column) -> np.ndarray:
+    """Hashes as a map of bits, some eight for each item but 2 ** 30 (128 MB) at
+    most; beyond that it says yes more often. Rows of 4 KB come to the driver."""
+    bits = max(20, min(30, (8 * items.count()).bit_length()))
+    at = F.pmod(hashed, F.lit(1 << bits)).cast("long")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in items.select(at.alias("at")).groupBy(F.floor(F.col("at") / BUCKET).cast("int").alias("k")).agg(F.bitmap_construct_agg((F.col("at") % BUCKET).cast("long")).alias("m")).toLocalIterator():
+        out[r["k"] * BUCKET // 8 : r["k"] * BUCKET // 8 + len(r["m"])] = np.frombuffer(r["m"], np.uint8)
+    return out
 
 
 def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h.astype(np.int64) & ((1 << BITS) - 1)).astype(np.int64)
+    at = h & (len(bits) * 8 - 1)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two neighbours' hashes."""
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in their order."""
     x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) + np.uint64(0x7F4A7C159E3779B9))
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def _flat(b: pa.RecordBatch):
-    """Words of all rows in a line, their hashes, row numbers, and whether the next word follows in the same piece."""
-    w, h = b.column("w"), b.column("h")
-    size = np.diff(w.offsets.to_numpy())
-    row = np.repeat(np.arange(len(size)), size)
-    return w.flatten(), h.flatten().to_numpy(zero_copy_only=False), row, np.append(row[1:] == row[:-1], False) if len(row) else np.zeros(0, bool)
+class Words:
+    """All words of a batch of texts in a line: ``codes`` into the different
+    ones (``known``), text numbers, hashes of language and word, and whether the
+    next word follows in the same piece."""
+
+    def __init__(self, b: pa.RecordBatch):
+        text, lang = b.column("text").cast(pa.large_string()), b.column("lang").dictionary_encode()
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].tobytes().translate(AS_READ)
+        ends = ends - ends[0]
+        at = np.frombuffer(data, np.uint8)
+        line = at == 10
+        gap = (at == 32) | line
+        first, last = np.append(True, gap[:-1])[: len(at)], np.append(gap[1:], True)[: len(at)]
+        own = ends[1:] > ends[:-1]
+        first[ends[:-1][own]] = True
+        last[ends[1:][own] - 1] = True
+        start = np.flatnonzero(~gap & first)
+        size = np.flatnonzero(~gap & last) + 1 - start
+        offsets = np.append(0, np.cumsum(size)).astype(np.int64)
+        each = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(at[~gap].tobytes())).dictionary_encode()
+        self.known, self.codes = each.dictionary, each.indices.to_numpy()
+        self.text = np.searchsorted(ends[1:], start, side="right")
+        self.langs, self.lang = lang.dictionary, lang.indices.to_numpy()[self.text]
+        lines = np.cumsum(line)[start]
+        self.follows = np.append((self.text[1:] == self.text[:-1]) & (lines[1:] == lines[:-1]), np.zeros(min(1, len(start)), bool))
+        digest = lambda values: np.array([xxhash.xxh64_intdigest(v) for v in values.to_pylist()], np.uint64)
+        self.h = _mix(digest(self.langs)[self.lang], digest(self.known)[self.codes])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> each different word of a batch with its count."""
+    for b in batches:
+        w = Words(b)
+        if len(w.codes):
+            key, at, n = np.unique(w.lang.astype(np.int64) * len(w.known) + w.codes, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([w.langs.take(pa.array(w.lang[at])), w.known.take(pa.array(w.codes[at])).cast(pa.string()), pa.array(w.h[at]), pa.array(n)], names=["lang", "phrase", "h", "a"])
+
+
+def _pairs(words: np.ndarray, held: int = 1 << 22):
+    """Texts -> hashes of the pairs of maybe frequent words, counted for some
+    millions of words at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait, n = [], 0
 
-def _pairs(words: bytes):
-    """Pieces -> hashes of the pairs of maybe frequent words, each with its number in the batch."""
+        def out():
+            p, n = np.unique(np.concatenate(wait), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], names=["p", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(words, np.uint8)
         for b in batches:
-            if not b.num_rows:
-                continue
-            _, h, row, follows = _flat(b)
-            ok = has(bits, h)
-            at = np.flatnonzero(follows[:-1] & ok[:-1] & ok[1:]) if len(h) > 1 else np.zeros(0, np.int64)
-            lang = b.column("lang").dictionary_encode()
-            code = lang.indices.to_numpy()[row[at]]
-            p, n = np.unique(np.stack((code.astype(np.int64), _pair(h[at], h[at + 1])), axis=1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(p[:, 0])), pa.array(p[:, 1]), pa.array(n)], names=["lang", "p", "n"])
+            w = Words(b)
+            if len(w.h) > 1:
+                ok = has(words, w.h)
+                at = np.flatnonzero(w.follows[:-1] & ok[:-1] & ok[1:])
+                wait.append(_mix(w.h[at], w.h[at + 1]) & ((1 << PAIR_BITS) - 1))
+                n += len(at)
+            if n >= held:
+                yield out()
+                wait, n = [], 0
+        if n:
+            yield out()
 
     return run
 
 
-def _pointers(pairs: bytes, longest: int):
-    """Pieces -> the stretch from each word on, as far as pairs may be frequent."""
+def _pointers(pairs: np.ndarray, longest: int):
+    """Texts -> the stretch from each word on, as far as pairs may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(pairs, np.uint8)
         for b in batches:
-            if not b.num_rows:
+            w = Words(b)
+            if len(w.h) < 2:
                 continue
-            w, h, row, follows = _flat(b)
-            ok = np.zeros(len(h), bool)
-            if len(h) > 1:
-                ok[:-1] = follows[:-1] & has(bits, _pair(h[:-1], h[1:]))
+            ok = np.append(w.follows[:-1] & has(pairs, _mix(w.h[:-1], w.h[1:]) & ((1 << PAIR_BITS) - 1)), False)
             # how many pairs in a row, from each word on, up to longest - 1
-            run_ = np.zeros(len(h), np.int64)
+            go = np.zeros(len(ok), np.int64)
             for _ in range(longest - 1):
-                run_ = np.where(ok, 1 + np.append(run_[1:], 0), 0) if len(h) else run_
-            run_ = np.minimum(run_, longest - 1)
-            at = np.flatnonzero(run_ > 0)
-            if not len(at):
-                continue
-            size = run_[at] + 1
-            start = np.append(0, np.cumsum(size))
-            take = np.arange(start[-1]) - np.repeat(start[:-1], size) + np.repeat(at, size)
-            phrase = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), w.take(pa.array(take)))
-            yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(row[at])), pc.binary_join(phrase, " ")], names=["lang", "p"])
+                go = np.where(ok, 1 + np.append(go[1:], 0), 0)
+            at = np.flatnonzero(go)
+            size = go[at] + 1
+            width = np.append(0, np.cumsum(pc.binary_length(w.known).to_numpy()[w.codes] + 1))
+            ends = np.cumsum(width[at + size] - width[at])
+            # strings of a batch stay within half a gigabyte
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(ends >> 29)) + 1):
+                own, n = at[part], size[part]
+                start = np.append(0, np.cumsum(n))
+                take = np.arange(start[-1]) - np.repeat(start[:-1], n) + np.repeat(own, n)
+                phrase = pa.ListArray.from_arrays(pa.array(start, pa.int32()), w.known.take(pa.array(w.codes[take])).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([w.langs.take(pa.array(w.lang[own])), pc.binary_join(phrase, " ")], names=["lang", "p"])
 
     return run
 
@@ -146,22 +188,18 @@ def _prefix(k: int) -> Column:
     return F.substring_index("p", " ", k)
 
 
-def pieces_of(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang, w and h for each piece with a word: its words and their hashes."""
-    low = F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    own = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(low, PIECES)).alias("piece"))
-    own = own.select("lang", F.filter(F.split("piece", "[ \t]+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
-    return own.withColumn("h", F.transform("w", lambda w: F.xxhash64(F.col("lang"), w)))
-
-
-def frequent_phrases(pieces: DataFrame, scratch: Scratch, support: int, longest: int, group_rows: int) -> DataFrame:
-    """(lang, phrase, a) for all phrases of 1 to ``longest`` words that occur ``support`` times."""
-    counts = pieces.select("lang", F.explode("w").alias("phrase")).groupBy("lang", "phrase").agg(F.count("*").alias("a")).where(F.col("a") >= support)
-    words = scratch.keep(counts, "words")
-    known = bit_map(words, F.xxhash64("lang", "phrase"))
-    pairs = pieces.select("lang", "w", "h").mapInArrow(_pairs(known), "lang string, p long, n long").groupBy("lang", "p").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    known = bit_map(pairs, F.col("p"))
-    rows = pieces.select("lang", "w", "h").mapInArrow(_pointers(known, longest), "lang string, p string").groupBy("lang", "p").agg(F.count("*").alias("n"))
+def frequent_phrases(texts: DataFrame, scratch: Scratch, support: int, longest: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``texts`` (lang, text) -> (lang, phrase, a) for all phrases of 1 to
+    ``longest`` words that occur ``support`` times, and (lang, n): all words."""
+    counts = texts.mapInArrow(_counts, "lang string, phrase string, h long, a long").groupBy("lang", "phrase", "h").agg(F.sum("a").alias("a"))
+    often = F.col("a") >= support
+    counts = counts.groupBy("lang", F.when(often, F.col("phrase")).alias("phrase"), F.when(often, F.col("h")).alias("h")).agg(F.sum("a").alias("a"))
+    counts = scratch.keep(counts, "words")  # those that are rare are one row of a language
+    total = counts.groupBy("lang").agg(F.sum("a").cast("decimal(19,0)").alias("n"))
+    words = counts.where("phrase is not null")
+    pairs = texts.mapInArrow(_pairs(bit_map(words, F.col("h"))), "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    pairs = scratch.keep(pairs, "pairs")
+    rows = texts.mapInArrow(_pointers(bit_map(pairs, F.col("p")), longest), "lang string, p string").groupBy("lang", "p").agg(F.count("*").alias("n"))
     rows = scratch.keep(rows, "pointers")
     out, whole = [words], F.lit(True)
     for depth in range(1, longest):
@@ -185,18 +223,17 @@ def frequent_phrases(pieces: DataFrame, scratch: Scratch, support: int, longest:
     found = out[0].select("lang", "phrase", "a")
     for x in out[1:]:
         found = found.unionByName(x.select("lang", "phrase", "a"))
-    return scratch.keep(found, "phrases")
+    return scratch.keep(found, "phrases"), total
 
 
-def _is_set(bits: bytes, h: Column) -> Column:
+def _is_set(bits: np.ndarray, h: Column) -> Column:
     """Whether a hash's bit is set in a map that the plan carries."""
-    if not any(bits):
+    if not bits.any():
         return F.lit(False)
-    held = np.frombuffer(bits, np.uint8)
 
     @F.pandas_udf("boolean")
     def look(x):
-        return pd.Series(has(held, x.to_numpy()))
+        return pd.Series(has(bits, x.to_numpy()))
 
     return look(h)
 
@@ -214,11 +251,10 @@ def mine(docs: DataFrame, scratch: Scratch, support: int = 100, longest: int = 5
     repeated rows count as often as they stand there; texts and words may have
     any length. Other columns are not looked at. An empty table gives no rows.
     """
-    pieces = pieces_of(docs, text, lang)
-    total = scratch.keep(pieces.groupBy("lang").agg(F.sum(F.size("w")).cast("decimal(19,0)").alias("n")), "words-of-lang")
+    texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    phrases, total = frequent_phrases(texts, scratch, support, longest, group_rows)
     if total.limit(10_001).count() <= 10_000:
         total = F.broadcast(total)
-    phrases = frequent_phrases(pieces, scratch, support, longest, group_rows)
     found = phrases.where(F.col("phrase").contains(" ")).withColumn("m", _words("phrase"))
     cuts = found.select("lang", "phrase", "a", "m", F.explode(F.expr("sequence(1, m - 1)")).alias("k"))
     cuts = cuts.withColumns({"left": F.expr("substring_index(phrase, ' ', k)"), "right": F.expr("substring_index(phrase, ' ', k - m)")})
