@@ -83,22 +83,33 @@ class Words:
         self.known, self.codes = each.dictionary, each.indices.to_numpy()
         self.text = np.searchsorted(ends[1:], start, side="right")
         self.langs, self.lang = lang.dictionary, lang.indices.to_numpy()[self.text]
-        lines = np.cumsum(line)[start]
+        lines = np.searchsorted(np.flatnonzero(line), start)
         self.follows = np.append((self.text[1:] == self.text[:-1]) & (lines[1:] == lines[:-1]), np.zeros(min(1, len(start)), bool))
         digest = lambda values: np.array([xxhash.xxh64_intdigest(v) for v in values.to_pylist()], np.uint64)
         self.h = _mix(digest(self.langs)[self.lang], digest(self.known)[self.codes])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], step: int = 1 << 22) -> Iterator[Words]:
+    """The words of some four megabytes of texts at a time, and of at least one text."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy()
+        ends = np.cumsum(size.astype(np.int64)) // step
+        start = 0
+        for end in [*(np.flatnonzero(np.diff(ends)) + 1).tolist(), b.num_rows]:
+            if end > start:
+                yield Words(b.slice(start, end - start))
+            start = end
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> each different word of a batch with its count."""
-    for b in batches:
-        w = Words(b)
+    for w in _slices(batches):
         if len(w.codes):
             key, at, n = np.unique(w.lang.astype(np.int64) * len(w.known) + w.codes, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([w.langs.take(pa.array(w.lang[at])), w.known.take(pa.array(w.codes[at])).cast(pa.string()), pa.array(w.h[at]), pa.array(n)], names=["lang", "phrase", "h", "a"])
 
 
-def _pairs(words: np.ndarray, held: int = 1 << 22):
+def _pairs(words: np.ndarray, held: int = 1 << 21):
     """Texts -> hashes of the pairs of maybe frequent words, counted for some
     millions of words at a time."""
 
@@ -109,8 +120,7 @@ def _pairs(words: np.ndarray, held: int = 1 << 22):
             p, n = np.unique(np.concatenate(wait), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], names=["p", "n"])
 
-        for b in batches:
-            w = Words(b)
+        for w in _slices(batches):
             if len(w.h) > 1:
                 ok = has(words, w.h)
                 at = np.flatnonzero(w.follows[:-1] & ok[:-1] & ok[1:])
@@ -129,8 +139,7 @@ def _pointers(pairs: np.ndarray, longest: int):
     """Texts -> the stretch from each word on, as far as pairs may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = Words(b)
+        for w in _slices(batches):
             if len(w.h) < 2:
                 continue
             ok = np.append(w.follows[:-1] & has(pairs, _mix(w.h[:-1], w.h[1:]) & ((1 << PAIR_BITS) - 1)), False)
