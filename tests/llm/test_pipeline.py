@@ -3,10 +3,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import secrets
+from millrace.llm import secrets, shingles, simhash
+from millrace.llm.scratch import Scratch
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -102,3 +105,46 @@ def test_near_dedup_links_all_similar_texts(spark, sf_dir):
     assert kept.columns == df.columns
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(label))
     assert len(set(label)) < len(ids) - 20
+
+
+def test_a_large_group_of_near_copies_costs_few_comparisons(spark):
+    """1500 texts, most pairs just under the similarity: the classes of brute force, by few set comparisons."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdeghilnorst") for _ in range(r.randint(3, 9)))
+    base = [word() for _ in range(300)]
+    texts = []
+    for _ in range(1500):
+        own = base[:]
+        for i in r.sample(range(300), 4):
+            own[i] = word()
+        texts.append(" ".join(own))
+    sets = [shingles.shingles(t) for t in texts]
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros((1500, codes.max() + 1), np.float32)
+    held[np.repeat(np.arange(1500), [len(s) for s in sets]), codes] = 1
+    both, n = held @ held.T, np.array([len(s) for s in sets])
+    close = both / (n[:, None] + n - both) >= 0.8 - 1e-9
+    label = np.arange(1500)
+    for _ in range(60):
+        label = np.array([label[c].min() for c in close])
+    scratch = Scratch(spark, "t")
+    once = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string").repartition(4)
+    rows = once.mapInArrow(shingles._prefixes(5, 0.8, np.zeros(0, np.int64)), "token long, node long, n long, at long").withColumn("root", F.col("node"))
+    found = shingles.settle_large(rows, once, scratch, 0.8, 5, block_nodes=400)
+    tried = found.where("a is null").agg(F.sum("tried")).first()[0]
+    parent = list(range(1500))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for e in found.where("a is not null").collect():
+        assert close[e["a"], e["b"]]
+        x, y = find(e["a"]), find(e["b"])
+        parent[max(x, y)] = min(x, y)
+    assert [find(i) for i in range(1500)] == label.tolist()
+    assert tried < 20_000 and found.count() < 10_000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = simhash.drop_near_duplicates(docs, Scratch(spark, "t"), size=5, similarity=0.8)
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(label.tolist()))
