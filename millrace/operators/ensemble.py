@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import vec
 from millrace.operators import metrics
@@ -15,15 +19,65 @@ from millrace.operators.validate import check_features, check_numeric, positive_
 from millrace.plans.ranks import positions
 
 
+BLOCK = 4096  #: positions whose draws are made together
+
+
+def block_draws(seed: int, tree: int, n: int, draws: int, block: int) -> np.ndarray:
+    """How often each position of a block is drawn in ``draws`` draws with
+    replacement from ``n`` positions. Ranges of positions are halved from the
+    whole down; how many of a range's draws go to its left half is binomial, from
+    a generator of the range's own, so every task finds the same numbers."""
+    low, high = 0, n
+    while True:
+        rng = np.random.default_rng([seed, tree, low, high])
+        if high - low <= BLOCK:
+            return rng.multinomial(draws, np.full(high - low, 1 / (high - low)))
+        middle = low + max(1, (high - low) // 2 // BLOCK) * BLOCK
+        left = int(rng.binomial(draws, (middle - low) / (high - low)))
+        if block * BLOCK < middle:
+            high, draws = middle, left
+        else:
+            low, draws = middle, draws - left
+
+
+def _drawn(seed: int, trees: int, n: int, draws: int):
+    """Rows with their position -> each row for each tree that drew it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            at = b.column("__pos").to_numpy()
+            rest = b.drop_columns("__pos")
+            held, known = known, {}
+            for tree in range(trees):
+                w = np.zeros(len(at))
+                for block in np.unique(at // BLOCK).tolist():
+                    if (tree, block) not in held:
+                        held[tree, block] = block_draws(seed, tree, n, draws, block)
+                    known[tree, block] = held[tree, block]
+                    own = np.flatnonzero(at // BLOCK == block)
+                    w[own] = known[tree, block][at[own] - block * BLOCK]
+                hit = np.flatnonzero(w)
+                got = rest.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([*got.columns, pa.array(np.full(len(hit), tree, np.int32)), pa.array(w[hit])], names=[*got.schema.names, "tree", "w"])
+
+    return run
+
+
 def bootstrap(df: DataFrame, n_trees: int, n_boot: int, seed: int, row_id: str = "row_id", draw: Column | None = None) -> DataFrame:
     """Exact-size draws with replacement: rows of ``df`` with ``tree`` and ``w``
-    (how often the tree drew the row). ``draw`` may replace the hash; it sees
-    the columns tree, draw and n."""
+    (how often the tree drew the row). Rows are numbered by ``row_id`` once and
+    each finds its own draws; nothing of the size rows x trees is shuffled.
+    ``draw`` may replace the generator; it sees the columns tree, draw and n, and
+    its draws are joined to their rows."""
     n = df.count()
-    at = F.pmod(F.xxhash64(F.lit(seed), "tree", "draw"), F.col("n")) if draw is None else draw
+    placed = positions(df, F.col(row_id), name="__pos")
+    if draw is None:
+        shape = T.StructType([*df.schema.fields, T.StructField("tree", T.IntegerType()), T.StructField("w", T.DoubleType())])
+        return placed.select(*(F.col(f"`{c}`") for c in df.columns), "__pos").mapInArrow(_drawn(seed, n_trees, n, n_boot), shape)
     draws = df.sparkSession.range(n_trees * n_boot).select((F.col("id") % n_trees).cast("int").alias("tree"), F.floor(F.col("id") / n_trees).alias("draw"), F.lit(n).cast("long").alias("n"))
-    counts = draws.select("tree", at.cast("long").alias("__pos")).groupBy("tree", "__pos").agg(F.count("*").cast("double").alias("w"))
-    return positions(df, F.col(row_id), name="__pos").join(counts, "__pos").drop("__pos")
+    counts = draws.select("tree", draw.cast("long").alias("__pos")).groupBy("tree", "__pos").agg(F.count("*").cast("double").alias("w"))
+    return placed.join(counts, "__pos").drop("__pos")
 
 
 @dataclass(frozen=True)

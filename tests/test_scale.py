@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import vec
-from millrace.operators import cluster, density, nearest, neighbors
+from millrace.operators import cluster, decomposition, density, ensemble, graph, nearest
 from millrace.plans import ranks
 
 
@@ -192,3 +192,115 @@ def test_dbscan_of_null_and_no_rows(spark):
     assert [r["cluster"] for r in got.orderBy("row_id").collect()] == [1, 1, 1, 0, 1, 1]
     lonely = cluster.DBSCAN(1.0, 7).fit_predict(df)
     assert {r["cluster"] for r in lonely.collect()} == {0}
+
+
+# ---- communities -------------------------------------------------------------------
+
+
+def graph_of(spark, n, pairs):
+    return spark.range(n).select("id", F.col("id").alias("pos")), spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "src long, dst long")
+
+
+def test_colours_differ_between_neighbours(spark):
+    r = np.random.default_rng(1)
+    pairs = [*{tuple(sorted(p)) for p in r.integers(0, 80, (160, 2)).tolist() if p[0] != p[1]}, *itertools.combinations(range(80, 86), 2)]
+    vertices, edges = graph_of(spark, 90, pairs)
+    wave = {row["id"]: row["wave"] for row in graph.color_classes(vertices, graph.undirected(edges)).collect()}
+    assert len(wave) == 90 and all(wave[a] != wave[b] for a, b in pairs) and wave[89] == 0
+    assert max(wave.values()) <= max(sum(v in p for p in pairs) for v in range(90))
+
+
+def test_propagation_is_the_loop_over_its_order(spark):
+    """Waves of colours give what one vertex after the other gives, and fewer vote each round."""
+    r = np.random.default_rng(4)
+    pairs = []
+    for c in range(4):
+        own = 20 * c + np.arange(20)
+        pairs += [tuple(p) for p in r.choice(own, (70, 2)).tolist() if p[0] != p[1]]
+    pairs += [(0, 25), (22, 45), (41, 65), (3, 61)]
+    vertices, edges = graph_of(spark, 82, pairs)
+    got, rounds = graph.LabelPropagation(seed=3, order="colors").trace(vertices, edges, ties="smallest")
+    rows = {row["id"]: (row["label"], row["wave"]) for row in got.collect()}
+    near = {v: set() for v in range(82)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    label = {v: v for v in range(82)}
+    for _ in range(50):
+        moved = 0
+        for v in sorted(near, key=lambda v: (rows[v][1], v)):
+            if near[v]:
+                count = {}
+                for u in near[v]:
+                    count[label[u]] = count.get(label[u], 0) + 1
+                best = min(count, key=lambda x: (-count[x], x))
+                moved += best != label[v]
+                label[v] = best
+        if not moved:
+            break
+    assert {v: x for v, (x, _) in rows.items()} == label
+    assert rounds[0]["voted"] == 82 and rounds[-1]["changed"] == 0 and rounds[-1]["voted"] < 82
+
+
+def test_cliques_beyond_the_colours_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_COLORS", 4)
+    vertices, edges = graph_of(spark, 5, itertools.combinations(range(5), 2))
+    with pytest.raises(ValueError):
+        graph.color_classes(vertices, graph.undirected(edges)).count()
+
+
+# ---- draws -------------------------------------------------------------------------
+
+
+def test_bootstrap_draws_exactly_and_evenly(spark):
+    """Exact sizes, whatever the partitions; counts by a chi-square test."""
+    n, trees, draws = 20_000, 4, 15_000
+    df = spark.range(n).withColumnRenamed("id", "row_id").withColumn("x", F.col("row_id") * 2)
+    got = ensemble.bootstrap(df, trees, draws, 7).toPandas()
+    assert got.groupby("tree")["w"].sum().tolist() == [draws] * trees and (got["x"] == 2 * got["row_id"]).all()
+    again = ensemble.bootstrap(df.repartition(7), trees, draws, 7).toPandas()
+    key = ["tree", "row_id"]
+    assert again.sort_values(key)["w"].tolist() == got.sort_values(key)["w"].tolist()
+    for _, own in got.groupby("tree"):
+        seen = np.bincount(own["row_id"] // 200, own["w"], n // 200)
+        chi = ((seen - draws * 200 / n) ** 2 / (draws * 200 / n)).sum()
+        assert 55 < chi < 155  # 99 degrees of freedom: beyond 0.01 % on both sides
+        twice = (own["w"] >= 2).sum() / n
+        assert abs(twice - (1 - np.exp(-0.75) * 1.75)) < 0.01
+    assert len({tuple(g["row_id"][:50]) for _, g in got.groupby("tree")}) == trees
+
+
+def test_draws_of_blocks_add_up():
+    for n in (1, 5, 4096, 4097, 50_000, 131_073):
+        got = [ensemble.block_draws(1, 2, n, 30_000, b) for b in range(-(-n // ensemble.BLOCK))]
+        assert sum(len(g) for g in got) == n and sum(int(g.sum()) for g in got) == 30_000
+
+
+# ---- components --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("scale", [True, False])
+def test_pca_of_sixty_four_features(spark, scale):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(500, 64)) @ r.normal(size=(64, 64)) + 100
+    df = vectors(spark, x)
+    m = decomposition.PCA(scale=scale).fit(df)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) if scale else 1)
+    values, vecs = np.linalg.eigh(z.T @ z / 499)
+    assert np.allclose(m.explained_variance, values[::-1], rtol=1e-8)
+    assert np.allclose(np.abs(np.array(m.components) @ vecs[:, ::-1]), np.eye(64), atol=1e-6)
+    assert abs(sum(m.explained_variance_ratio) - 1) < 1e-12
+    part = decomposition.PCA(0.5, scale=scale).fit(df)
+    assert sum(part.explained_variance_ratio[:-1]) < 0.5 <= sum(part.explained_variance_ratio)
+
+
+def test_pca_of_wide_rows_holds_no_square(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 12)) * np.arange(30, 6, -2) @ r.normal(size=(12, 2000)) + 0.1 * r.normal(size=(300, 2000))
+    df = many(spark, x)
+    monkeypatch.setattr(decomposition, "_by_triangles", None)
+    m = decomposition.PCA(8, scale=False).fit(df)
+    want = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(m.singular_values, want[1][:8], rtol=1e-8)
+    assert np.allclose(np.abs((np.array(m.components) * want[2][:8]).sum(axis=1)), 1, atol=1e-8)
+    assert np.allclose(m.explained_variance_ratio, (want[1] ** 2 / (want[1] ** 2).sum())[:8], rtol=1e-8)
