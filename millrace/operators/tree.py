@@ -1,31 +1,37 @@
 """Exact decision and regression trees, grown level by level over all trees at once.
 
-A level is one pass: rows of active nodes are exploded to (tree, node, feature,
-value) and reduced to distinct values with additive statistics (class counts, or
-count, sum and sum of squares). Prefix sums in value order give the left side of
-every threshold; the right side is the node's total minus it. Values are dealt
-into ranges between quantiles: ranges are summed first, and a value's prefix is
-that of its range plus the sums within it, so no window holds a whole feature.
-The best split of each node, a row per node of the model, goes to the driver,
-and rows move to the left (value <= threshold) or right child.
+Values are coded once: the place of (feature, value) among all that occur, so a
+feature's codes are a range in the order of its values. A level is one pass over
+rows of codes: each partition adds up statistics (class counts, or count, sum
+and sum of squares) by node and code in numpy, and Spark adds those of the
+partitions. Counts are exact, so of two siblings only the smaller is counted, and
+the larger is their parent minus it. Prefix sums in the order of codes give the
+left side of every threshold; they go range of codes by range of codes, so no
+window holds a whole feature. The best split of each node, a row per node of the
+model, goes to the driver, and rows move to the left (code <= split) or right.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import metrics
 from millrace.operators.validate import check_features, check_numeric, positive_int
 from millrace.plans.lineage import cut, drop
+from millrace.plans.ranks import positions
+from millrace.plans.sums import matrix
 
-RANGE_ROWS = 65_536  #: rows for each range of a feature's values
+RANGE_ROWS = 65_536  #: codes of a range
+DICTIONARY = 1 << 20  #: different values up to which every task holds their list
 DIGITS = 12  #: gains equal in that many decimals are ties: lowest feature, then lowest threshold
 
 
@@ -55,12 +61,17 @@ class Rules:
 class _Classes:
     """Additive statistics of a classification node: rows per class."""
 
+    exact = True  #: sums of whole weights can be subtracted without a rest
+
     def __init__(self, classes: list[float]):
         self.classes, self.names = classes, [f"c{i}" for i in range(len(classes))]
 
     def terms(self, y: Column, w: Column) -> list[Column]:
         return [F.sum(F.when(y == c, w).otherwise(0.0)) for c in self.classes]
 
+    def weights(self, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+        return [np.where(y == c, w, 0.0) for c in self.classes]
+
     def size(self, s: list[Column]) -> Column:
         return sum(s[1:], s[0])
 
@@ -78,10 +89,15 @@ class _Moments:
     """Additive statistics of a regression node; targets are centred by ``shift``."""
 
     names = ["m0", "m1", "m2"]
+    exact = False
 
     def __init__(self, shift: float):
         self.shift = shift
 
+    def weights(self, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+        z = y - self.shift
+        return [w, w * z, w * z * z]
+
     def terms(self, y: Column, w: Column) -> list[Column]:
         z = y - self.shift
         return [F.sum(w), F.sum(w * z), F.sum(w * z * z)]
@@ -107,57 +123,122 @@ def _tried(rules: Rules, d: int, tree: int, node: int) -> list[int]:
     return sorted(sorted(range(d), key=rank)[: rules.max_features])
 
 
-def _bounds(rows: DataFrame, d: int, ranges: int) -> list[list[float]]:
-    """Inner bounds of the ranges of each feature, from approximate quantiles."""
-    if ranges < 2:
-        return [[] for _ in range(d)]
-    at = [i / ranges for i in range(1, ranges)]
-    each = rows.select(F.posexplode("x").alias("f", "v")).groupBy("f").agg(F.percentile_approx("v", at, 10 * ranges).alias("q"))
-    found = {r["f"]: sorted(set(r["q"])) for r in each.collect()}
-    return [found.get(f, []) for f in range(d)]
-
-
-def _range_number(bounds: list[list[float]], feature: Column, value: Column) -> Column:
-    """How many bounds of the feature lie below the value."""
-    if not any(bounds):
-        return F.lit(0)
-    table = F.array(*(F.array(*(F.lit(float(v)) for v in b)).cast("array<double>") for b in bounds))
-    return F.size(F.filter(F.get(table, feature), lambda b: b < value))
+def _codes_of(values: list[np.ndarray], first: list[int]):
+    """Adds nothing but turns ``x`` into codes, by the sorted values of each feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column("x"))
+                codes = np.stack([f + np.searchsorted(v, c) for f, v, c in zip(first, values, x.T)], axis=1)
+                at = pa.array(np.arange(0, codes.size + 1, codes.shape[1]), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("tree"), pa.ListArray.from_arrays(at, pa.array(codes.ravel())), b.column("y"), b.column("w")], names=["tree", "x", "y", "w"])
+
+    return run
+
+
+CODED = "tree int, x array<long>, y double, w double"
+
+
+def coded(rows: DataFrame, d: int, dictionary: int = DICTIONARY) -> tuple[DataFrame, DataFrame, list[int]]:
+    """``rows`` (tree, x, y, w) with codes in place of values, the values (code,
+    feature, value), and the first code of each feature. Up to ``dictionary``
+    different values every task looks them up in a list; more are joined, each
+    row's values once."""
+    own = cut(rows.select(F.col("tree").cast("int").alias("tree"), "x", "y", "w"))
+    values = positions(own.select(F.posexplode("x").alias("feature", "value")).distinct(), F.col("feature"), F.col("value"), name="code")
+    values = cut(values.select("code", "feature", "value"))
+    firsts = {r["feature"]: (r["c"], r["n"]) for r in values.groupBy("feature").agg(F.min("code").alias("c"), F.count("*").alias("n")).collect()}
+    first = [firsts[f][0] for f in range(d)] if firsts else [0] * d
+    if sum(n for _, n in firsts.values()) <= dictionary:
+        held = values.orderBy("code").toPandas()["value"].to_numpy()
+        lists = [held[firsts[f][0] : sum(firsts[f])] for f in range(d)] if firsts else [np.zeros(0)] * d
+        return own.mapInArrow(_codes_of(lists, first), CODED), values, first
+    marked = cut(own.withColumn("i", F.monotonically_increasing_id()))
+    each = marked.select("i", F.posexplode("x").alias("feature", "value")).join(values, ["feature", "value"])
+    back = each.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "code"))), lambda e: e["code"]).alias("x"))
+    return marked.drop("x").join(back, "i").select("tree", "x", "y", "w"), values, first
+
+
+def _histogram(stats, nodes: np.ndarray, tried: np.ndarray | None, width: int, held: int = 1 << 18):
+    """Rows (tree, node, x, y, w) -> sums by node and code for the nodes asked
+    for: ``nodes`` has the place in the level's list by tree and node (else -1),
+    ``tried`` which features count at each place."""
+
+    def merged(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, at = np.unique(keys, return_inverse=True)
+        return own, np.stack([np.bincount(at, s, len(own)) for s in sums])
+
+    def out(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), *(pa.array(s) for s in sums)], names=["place", "code", *stats.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums, n = [], [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place = nodes[b.column("tree").to_numpy(), b.column("node").to_numpy()]
+            own = np.flatnonzero(place >= 0)
+            if not len(own):
+                continue
+            codes = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)[own]
+            key = place[own][:, None] * width + codes
+            w = np.stack(stats.weights(b.column("y").to_numpy()[own], b.column("w").to_numpy()[own]))
+            w = np.repeat(w, codes.shape[1], axis=1)
+            if tried is not None:
+                use = tried[place[own]].ravel()
+                key, w = key.ravel()[use], w[:, use]
+            k, s = merged(key.ravel(), w)
+            keys.append(k)
+            sums.append(s)
+            n += len(k)
+            if n > held:
+                k, s = merged(np.concatenate(keys), np.concatenate(sums, axis=1))
+                if len(k) > held // 2:
+                    yield out(k, s)
+                    keys, sums, n = [], [], 0
+                else:
+                    keys, sums, n = [k], [s], len(k)
+        if n:
+            yield out(*merged(np.concatenate(keys), np.concatenate(sums, axis=1)))
+
+    return run
 
 
 def _with_sums(each: DataFrame, names: list[str], ranged: bool) -> DataFrame:
-    """``each`` (tree, node, feature, range, value, names) plus l_<name>, the sums
-    up to the value, a_<name>, those of the feature, and the next value."""
-    keys = ["tree", "node", "feature"]
-    w = Window.partitionBy(*keys, "range").orderBy("value")
+    """``each`` (place, feature, range, code, names) plus l_<name>, the sums up to
+    the code, a_<name>, those of the feature, and the next code."""
+    keys = ["place", "feature"]
+    w = Window.partitionBy(*keys, "range").orderBy("code")
     left = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys, "range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if not ranged:
-        return each.withColumns({f"l_{n}": F.sum(n).over(left) for n in names} | {f"a_{n}": F.sum(n).over(whole) for n in names} | {"next": F.lead("value").over(w)})
-    sums = each.groupBy(*keys, "range").agg(*(F.sum(n).alias(f"s_{n}") for n in names), F.min("value").alias("least"))
+        return each.withColumns({f"l_{n}": F.sum(n).over(left) for n in names} | {f"a_{n}": F.sum(n).over(whole) for n in names} | {"next": F.lead("code").over(w)})
+    sums = each.groupBy(*keys, "range").agg(*(F.sum(n).alias(f"s_{n}") for n in names), F.min("code").alias("least"))
     w2 = Window.partitionBy(*keys).orderBy("range")
     before = w2.rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sums = sums.select(*keys, "range", F.lead("least").over(w2).alias("beyond"), *(F.coalesce(F.sum(f"s_{n}").over(before), F.lit(0.0)).alias(f"b_{n}") for n in names), *(F.sum(f"s_{n}").over(all_).alias(f"a_{n}") for n in names))
     got = each.join(sums, [*keys, "range"])
-    return got.withColumns({f"l_{n}": F.col(f"b_{n}") + F.sum(n).over(left) for n in names} | {"next": F.coalesce(F.lead("value").over(w), F.col("beyond"))})
+    return got.withColumns({f"l_{n}": F.col(f"b_{n}") + F.sum(n).over(left) for n in names} | {"next": F.coalesce(F.lead("code").over(w), F.col("beyond"))})
 
 
-def grow(rows: DataFrame, d: int, stats, rules: Rules, range_rows: int = RANGE_ROWS) -> dict[int, dict[int, Node]]:
+def grow(rows: DataFrame, d: int, stats, rules: Rules, range_rows: int = RANGE_ROWS, dictionary: int = DICTIONARY) -> dict[int, dict[int, Node]]:
     """``rows`` (tree, x, y, w) -> nodes by tree and heap number (root 1). On the
     rows, nodes are numbered within their level, so trees may be of any depth."""
     spark = rows.sparkSession
     trees: dict[int, dict[int, Node]] = {}
-    rows = cut(rows.withColumn("node", F.lit(0)))
-    bounds = _bounds(rows, d, min(1024, rows.count() // range_rows))
-    ranged = any(bounds)
+    found, values, first = coded(rows, d, dictionary)
+    rows = cut(found.withColumn("node", F.lit(0)))
+    width = values.count()
     names, depth = stats.names, 0
     heap: dict[tuple[int, int], int] = {}  # heap number by tree and number in the level
+    above: tuple[DataFrame, dict[tuple[int, int], int]] | None = None  # the parents' sums and places
     while True:
         agg = [t.alias(n) for t, n in zip(stats.terms(F.col("y"), F.col("w")), names)]
         level = rows.groupBy("tree", "node").agg(*agg, F.min("y").alias("lo"), F.max("y").alias("hi")).collect()
         active = []
-        for r in level:
+        for r in sorted(level, key=lambda r: (r["tree"], r["node"])):
             node, at = stats.node(r), heap.get((r["tree"], r["node"]), 1)
             trees.setdefault(r["tree"], {})[at] = node
             pure = r["lo"] == r["hi"]
@@ -165,31 +246,58 @@ def grow(rows: DataFrame, d: int, stats, rules: Rules, range_rows: int = RANGE_R
                 active.append((r["tree"], r["node"], at, node.n, node.impurity))
         if not active:
             break
-        tried = spark.createDataFrame([(t, n, f, size, imp) for t, n, at, size, imp in active for f in _tried(rules, d, t, at)], "tree int, node int, feature int, pn double, pi double")
-        each = rows.select("tree", "node", "y", "w", F.posexplode("x").alias("feature", "value"))
-        each = each.groupBy("tree", "node", "feature", "value").agg(*agg).join(tried, ["tree", "node", "feature"])
-        each = _with_sums(each.withColumn("range", _range_number(bounds, F.col("feature"), F.col("value"))), names, ranged)
+        size = {(r["tree"], r["node"]): trees[r["tree"]][heap.get((r["tree"], r["node"]), 1)].n for r in level}
+        place = {(t, n): i for i, (t, n, *_) in enumerate(active)}
+        some = rules.max_features is not None and rules.max_features < d
+        # children 2i and 2i + 1 of one parent: the larger is what the smaller leaves of it
+        less = {(t, n) for t, n in place if above and stats.exact and not some and (size[t, n], n) > (size[t, n ^ 1], n ^ 1)}
+        nodes = np.full((1 + max(t for t, _ in size), 1 + max(n for _, n in size)), -1)
+        count = {(t, n ^ 1) if (t, n) in less else (t, n) for t, n in place}
+        listed = {key: place.get(key, len(active) + i) for i, key in enumerate(sorted(count))}
+        for key, i in listed.items():
+            nodes[key] = i
+        tried = np.zeros((len(active), d), bool) if some else None
+        for i, (t, _, at, *_) in enumerate(active if some else ()):
+            tried[i, _tried(rules, d, t, at)] = True
+        shape = "place long, code long, " + ", ".join(f"{n} double" for n in names)
+        sums = rows.mapInArrow(_histogram(stats, nodes, tried, width), shape).groupBy("place", "code").agg(*(F.sum(n).alias(n) for n in names))
+        if less:
+            pairs = spark.createDataFrame([(above[1][t, n // 2], place[t, n], listed[t, n ^ 1]) for t, n in sorted(less)], "parent long, own long, other long")
+            sums = cut(sums)
+            whole = above[0].withColumnRenamed("place", "parent").join(pairs, "parent")
+            part = sums.select(F.col("place").alias("other"), "code", *(F.col(n).alias(f"o_{n}") for n in names))
+            rest = whole.join(part, ["other", "code"], "left").select(F.col("own").alias("place"), "code", *((F.col(n) - F.coalesce(f"o_{n}", F.lit(0.0))).alias(n) for n in names))
+            sums = sums.unionByName(rest.where(stats.size([F.col(n) for n in names]) > 0))
+        sums = cut(sums.where(F.col("place") < len(active)))
+        feature = sum((F.when(F.col("code") >= f, 1).otherwise(0) for f in first[1:]), F.lit(0))
+        node_of = spark.createDataFrame([(i, n, imp) for i, (_, _, _, n, imp) in enumerate(active)], "place long, pn double, pi double")
+        each = sums.withColumn("feature", feature).withColumn("range", F.floor(F.col("code") / range_rows)).join(node_of, "place")
+        each = _with_sums(each, names, width > range_rows)
         ls = [F.col(f"l_{n}") for n in names]
         rs = [F.col(f"a_{n}") - F.col(f"l_{n}") for n in names]
         each = each.where("next is not null").withColumn("nl", stats.size(ls)).withColumn("nr", stats.size(rs))
         each = each.where((F.col("nl") >= rules.min_samples_leaf) & (F.col("nr") >= rules.min_samples_leaf))
         gain = F.col("pi") - F.col("nl") / F.col("pn") * stats.impurity(ls) - F.col("nr") / F.col("pn") * stats.impurity(rs)
-        each = each.withColumn("gain", F.round(gain, DIGITS)).withColumn("threshold", (F.col("value") + F.col("next")) / 2)
+        each = each.withColumn("gain", F.round(gain, DIGITS))
         good = each.where((F.col("gain") > 0) & (F.col("gain") >= rules.min_impurity_decrease))
-        best = good.groupBy("tree", "node").agg(F.min_by(F.struct("feature", "threshold", "gain"), F.struct(-F.col("gain"), F.col("feature"), F.col("threshold"))).alias("b")).collect()
+        best = good.groupBy("place").agg(F.min_by(F.struct("feature", "code", "next", "gain"), F.struct(-F.col("gain"), F.col("code"))).alias("b"))
+        at = lambda name: values.select(F.col("code").alias(name), F.col("value").alias(f"v_{name}"))
+        best = best.select("place", "b.*").join(at("code"), "code").join(at("next"), "next").collect()
         if not best:
             break
         splits, below = [], {}
-        for i, r in enumerate(sorted(best, key=lambda r: (r["tree"], r["node"]))):
-            b, at = r["b"], heap.get((r["tree"], r["node"]), 1)
-            old = trees[r["tree"]][at]
-            trees[r["tree"]][at] = Node(old.n, old.impurity, old.prediction, old.counts, b["feature"], b["threshold"], b["gain"])
-            splits.append((r["tree"], r["node"], 2 * i, b["feature"], b["threshold"]))
-            below |= {(r["tree"], 2 * i): 2 * at, (r["tree"], 2 * i + 1): 2 * at + 1}
-        s = spark.createDataFrame(splits, "tree int, node int, child int, f int, t double")
+        for i, r in enumerate(sorted(best, key=lambda r: r["place"])):
+            t, n, at_, *_ = active[r["place"]]
+            old = trees[t][at_]
+            trees[t][at_] = Node(old.n, old.impurity, old.prediction, old.counts, r["feature"], (r["v_code"] + r["v_next"]) / 2, r["gain"])
+            splits.append((t, n, 2 * i, r["feature"], r["code"]))
+            below |= {(t, 2 * i): 2 * at_, (t, 2 * i + 1): 2 * at_ + 1}
+        s = spark.createDataFrame(splits, "tree int, node int, child int, f int, t long")
         moved = rows.join(s, ["tree", "node"]).select("tree", (F.col("child") + (F.get("x", "f") > F.col("t")).cast("int")).alias("node"), "x", "y", "w")
         rows, before, heap = cut(moved), rows, below
-        drop(before)
+        # places of the parents under the numbers that their children come from
+        above, old_sums = (sums, {(t, c // 2): place[t, n] for t, n, c, *_ in splits}), above
+        drop(before, *([old_sums[0]] if old_sums else []))
         depth += 1
     drop(rows)
     return trees

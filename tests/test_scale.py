@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import vec
-from millrace.operators import cluster, decomposition, density, ensemble, graph, nearest
+from millrace.operators import cluster, decomposition, density, ensemble, graph, nearest, tree
 from millrace.plans import ranks
 
 
@@ -304,3 +304,22 @@ def test_pca_of_wide_rows_holds_no_square(spark, monkeypatch):
     assert np.allclose(m.singular_values, want[1][:8], rtol=1e-8)
     assert np.allclose(np.abs((np.array(m.components) * want[2][:8]).sum(axis=1)), 1, atol=1e-8)
     assert np.allclose(m.explained_variance_ratio, (want[1] ** 2 / (want[1] ** 2).sum())[:8], rtol=1e-8)
+
+
+# ---- trees -------------------------------------------------------------------------
+
+
+def test_trees_do_not_hang_on_how_values_are_coded(spark):
+    """Lists of values or a join; one tree or several; children counted or subtracted."""
+    r = np.random.default_rng(8)
+    x = np.round(r.normal(size=(400, 3)), 2)
+    y = np.where(x[:, 0] * x[:, 1] > 0, 1.0, 0.0) + np.where(x[:, 2] > 1, 1.0, 0.0)
+    df = spark.createDataFrame([(t, v.tolist(), float(c), float(w)) for t in range(2) for v, c, w in zip(x, y, r.integers(1, 4, 400))], "tree int, x array<double>, y double, w double").repartition(3)
+    stats = tree._Classes([0.0, 1.0, 2.0])
+    whole = tree.grow(df, 3, stats, tree.Rules(max_depth=6))
+    assert len(whole[0]) > 20 and len(whole[1]) > 20
+    assert tree.grow(df, 3, stats, tree.Rules(max_depth=6), range_rows=30, dictionary=5) == whole
+    stats.exact = False
+    assert tree.grow(df, 3, stats, tree.Rules(max_depth=6)) == whole
+    some = tree.grow(df, 3, tree._Classes([0.0, 1.0, 2.0]), tree.Rules(max_depth=4, max_features=2, seed=5))
+    assert all(n.feature is None or n.feature in tree._tried(tree.Rules(max_features=2, seed=5), 3, t, k) for t, nodes in some.items() for k, n in nodes.items())
