@@ -77,12 +77,16 @@ class KMeans:
             raise ValueError("tol must not be negative")
         vec.metric(self.metric, 1)
 
-    def fit(self, df: DataFrame) -> KMeansModel:
+    def fit(self, df: DataFrame, order: Column | None = None) -> KMeansModel:
+        """Starts at ``initial_centers``, or at rows drawn without replacement:
+        the first by a hash of the seed and the row id, or by ``order``."""
         d = vec.width(df, self.features)
-        rows = df.select(*([self.row_id] if self.row_id in df.columns else []), F.col(self.features).cast("array<double>").alias("x")).persist()
+        x = F.col(self.features).cast("array<double>").alias("x")
         centers = self.initial_centers
         if centers is None:
-            centers = [r["x"] for r in rows.orderBy(hash_key(self.seed, self.row_id), self.row_id).limit(self.n_clusters).collect()]
+            key = hash_key(self.seed, self.row_id) if order is None else order
+            centers = [r["x"] for r in df.select(x, key.alias("k"), F.col(self.row_id).alias("i")).orderBy("k", "i").limit(self.n_clusters).collect()]
+        rows = df.select(x).persist()
         if len(centers) != self.n_clusters:
             raise ValueError("fewer rows than clusters")
         m, rounds = vec.metric(self.metric, d), 0

@@ -1,8 +1,9 @@
 """Linear models trained by gradient steps.
 
 Full-batch training is one aggregate per epoch. Row-by-row training depends on
-row order; it is an ordered fold over the rows gathered into one value, so it is
-limited to ``MAX_FOLD_ROWS`` rows.
+row order: rows are dealt by their order into chunks of ``FOLD_ROWS``, each a
+folder of its own, and a job for each folds its rows into the weights that the
+job before it left. A lost executor costs the job that it was in.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 from millrace.functions import vec
 from millrace.operators import metrics
 from millrace.operators.validate import check_numeric
+from millrace.plans.lineage import cut, drop
+from millrace.plans.ranks import positions
 from millrace.plans.sums import matrix, vector_sum
 
-MAX_FOLD_ROWS = 1_000_000
+FOLD_ROWS = 65_536  #: rows that are in one task, and in one value, at a time
 
 
 def binary_labels(df: DataFrame, label: str) -> list:
@@ -107,53 +110,70 @@ class LogisticModel:
         return self.transform(df).agg(metrics.accuracy(self.params.label, "prediction")).first()[0]
 
 
+def _chunks(df: DataFrame, row_id: str, x: Column, t: Column) -> tuple[list[DataFrame], Callable[[], None], int]:
+    """Rows (i, x, t) in chunks by their order, what frees them, and their number."""
+    rows = df.select(F.col(row_id).alias("i"), x.alias("x"), t.alias("t"))
+    n = rows.count()
+    if n <= FOLD_ROWS:
+        return [rows], lambda: None, n
+    placed = positions(rows, F.col("i"), name="p").select(F.col("p").alias("i"), "x", "t", F.floor(F.col("p") / FOLD_ROWS).alias("chunk"))
+    dealt = cut(placed, "chunk")
+    return [dealt.where(F.col("chunk") == c).drop("chunk") for c in range(-(-n // FOLD_ROWS))], lambda: drop(dealt), n
+
+
+def _passes(df: DataFrame, row_id: str, x: Column, t: Column, init: list[float], epochs: int, fold: Callable[[DataFrame, list[float]], tuple[list[float], float]]) -> tuple[list[float], list[float]]:
+    """Weights after ``epochs`` passes in row order, and the mean of the errors of
+    each pass. ``fold`` takes a chunk and the weights before it, and gives the
+    weights after it and the sum of its rows' errors."""
+    if epochs < 1:
+        return list(init), []
+    chunks, free, n = _chunks(df, row_id, x, t)
+    w, errors = list(init), []
+    for _ in range(epochs):
+        total = 0.0
+        for chunk in chunks:
+            w, e = fold(chunk, w)
+            total += e
+        errors.append(total / max(n, 1))
+    free()
+    return w, errors
+
+
 def ordered_fold(df: DataFrame, row_id: str, x: Column, t: Column, init: list[float], epochs: int, step: Callable[[Column, Column, Column], tuple[Column, Column]]) -> tuple[list[float], list[float]]:
-    """Weights after ``epochs`` passes in row order, and the mean of the errors
-    of each pass. ``step(w, x, t)`` gives the next weights and a row's error."""
-    if df.limit(MAX_FOLD_ROWS + 1).count() > MAX_FOLD_ROWS:
-        raise ValueError(f"row-by-row training takes at most {MAX_FOLD_ROWS} rows")
-    rows = df.select(F.struct(F.col(row_id).alias("i"), x.alias("x"), t.alias("t")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    """A fold of column expressions: ``step(w, x, t)`` gives the next weights and a row's error."""
 
     def one(s: Column, r: Column) -> Column:
         w, e = step(s["w"], r["x"], r["t"])
         return F.struct(w.alias("w"), (s["e"] + e).alias("e"))
 
-    start = F.struct(F.array(*(F.lit(float(v)) for v in init)).alias("w"), F.array().cast("array<double>").alias("errors"))
+    def fold(chunk: DataFrame, w: list[float]) -> tuple[list[float], float]:
+        rows = chunk.agg(F.sort_array(F.collect_list(F.struct("i", "x", "t"))).alias("rows"))
+        start = F.struct(F.array(*(F.lit(float(v)) for v in w)).alias("w"), F.lit(0.0).alias("e"))
+        r = rows.select(F.aggregate("rows", start, one).alias("s")).first()["s"]
+        return list(r["w"]), r["e"]
 
-    def epoch(s: Column, _: Column) -> Column:
-        got = F.aggregate("rows", F.struct(s["w"].alias("w"), F.lit(0.0).alias("e")), one)
-        n = F.greatest(F.size("rows"), F.lit(1))
-        return F.transform(F.array(got), lambda g: F.struct(g["w"].alias("w"), F.concat(s["errors"], F.array(g["e"] / n)).alias("errors")))[0]
-
-    if epochs < 1:
-        return list(init), []
-    r = rows.select(F.aggregate(F.sequence(F.lit(1), F.lit(epochs)), start, epoch).alias("s")).first()["s"]
-    return list(r["w"]), list(r["errors"])
+    return _passes(df, row_id, x, t, init, epochs, fold)
 
 
 def plain_fold(df: DataFrame, row_id: str, x: Column, t: Column, init: list[float], epochs: int, alpha: float, activation: Callable) -> tuple[list[float], list[float]]:
     """``ordered_fold`` of a neuron whose activation is a function of numbers:
-    rows pass in order through one task, in Python."""
-    if df.limit(MAX_FOLD_ROWS + 1).count() > MAX_FOLD_ROWS:
-        raise ValueError(f"row-by-row training takes at most {MAX_FOLD_ROWS} rows")
-
-    def run(batches):
-        got = [(matrix(b.column("x")), b.column("t").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        w, errors = np.array(init, float), []
-        for _ in range(epochs):
-            total, n = 0.0, 0
-            for xs, ts in got:
-                for v, y in zip(xs, ts):
+    the rows of a chunk pass in order through one task, in Python."""
+
+    def fold(chunk: DataFrame, start: list[float]) -> tuple[list[float], float]:
+        def run(batches):
+            w, total = np.array(start, float), 0.0
+            for b in batches:
+                for v, y in zip(matrix(b.column("x")) if b.num_rows else (), b.column("t").to_numpy(zero_copy_only=False)):
                     e = float(activation(float(v @ w[:-1] + w[-1]))) - y
                     w[:-1] -= alpha * e * v
                     w[-1] -= alpha * e
-                    total, n = total + 0.5 * e * e, n + 1
-            errors.append(total / max(n, 1))
-        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([errors], pa.list_(pa.float64()))], names=["w", "e"])
+                    total += 0.5 * e * e
+            yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([total])], names=["w", "e"])
+
+        r = chunk.repartition(1).sortWithinPartitions("i").select("x", "t").mapInArrow(run, "w array<double>, e double").first()
+        return list(r["w"]), r["e"]
 
-    rows = df.select(F.col(row_id).alias("i"), x.alias("x"), t.alias("t")).repartition(1).sortWithinPartitions("i").select("x", "t")
-    r = rows.mapInArrow(run, "w array<double>, e array<double>").first()
-    return list(r["w"]), list(r["e"])
+    return _passes(df, row_id, x, t, init, epochs, fold)
 
 
 def _margin(w: Column, x: Column, d: int) -> Column:

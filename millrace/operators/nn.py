@@ -9,13 +9,13 @@ sums its gradients in numpy and the partial sums meet on the executors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vec
@@ -93,9 +93,10 @@ class NeuralNetwork:
             last = self.hidden_size
         return NetworkModel(self, w | {"W2": rng.normal(0, np.sqrt(1 / last), (last, outs)), "b2": np.zeros(outs)}, [])
 
-    def fit(self, df: DataFrame, start: NetworkModel | None = None) -> NetworkModel:
+    def fit(self, df: DataFrame, start: NetworkModel | None = None, order: Callable[[int], Column] | None = None) -> NetworkModel:
         """Trains from ``start`` (a warm start) or from initial weights. An
-        epoch's loss is the plain mean over its batches."""
+        epoch's loss is the plain mean over its batches. ``order`` may replace
+        the hash by which an epoch (from 0) sorts its rows; it sees the row id as i."""
         model = start or self.initial()
         w, losses, names = {k: v.copy() for k, v in model.weights.items()}, list(model.losses), sorted(model.weights)
         rows = df.select(F.col(self.row_id).alias("i"), F.col(self.features).cast("array<double>").alias("x"), F.col(self.label).cast("double").alias("y")).persist()
@@ -106,7 +107,7 @@ class NeuralNetwork:
             if batches == 1:
                 chunks = [rows]
             else:
-                key = hash_key(self.seed + epoch, "i") if self.shuffle else F.col("i")
+                key = order(epoch) if order else hash_key(self.seed + epoch, "i") if self.shuffle else F.col("i")
                 dealt = positions(rows, key, F.col("i"), name="p").select("p", "x", "y", F.floor(F.col("p") / (self.batch_size * per)).alias("chunk"))
                 dealt = cut(dealt, "chunk")
                 chunks = [dealt.where(F.col("chunk") == c) for c in range(-(-batches // per))]

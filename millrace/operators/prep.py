@@ -35,6 +35,14 @@ def as_vectors(df: DataFrame, col: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, got)
 
 
+def complete(df: DataFrame, columns: dict[str, str | Column], where: Column | None = None) -> DataFrame:
+    """``columns`` (new name: column or expression) of the rows that meet
+    ``where`` and have none of them null or NaN. Only what is named is read."""
+    kept = df if where is None else df.where(where)
+    got = kept.select(*((F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()))
+    return got.dropna(subset=list(columns))
+
+
 def head(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
     """The first ``n`` rows by ``order``: a partial top-n on each partition, then their merge."""
     return df.orderBy(*order).limit(n)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,7 +48,8 @@ class Node:
 
 @dataclass(frozen=True)
 class Rules:
-    """Stopping rules; ``max_features``: features tried per node (None: all)."""
+    """Stopping rules; ``max_features``: features tried per node (None: all),
+    drawn by a hash or by ``draw`` of the tree and the node's heap number."""
 
     max_depth: int | None = None
     min_samples_split: int = 2
@@ -56,6 +57,7 @@ class Rules:
     min_impurity_decrease: float = 0.0
     max_features: int | None = None
     seed: int = 0
+    draw: Callable[[int, int], list[int]] | None = None
 
 
 class _Classes:
@@ -116,9 +118,11 @@ class _Moments:
 
 
 def _tried(rules: Rules, d: int, tree: int, node: int) -> list[int]:
-    """Features of a node, drawn without replacement by a hash."""
+    """Features of a node, drawn without replacement."""
     if rules.max_features is None or rules.max_features >= d:
         return list(range(d))
+    if rules.draw is not None:
+        return sorted(rules.draw(tree, node))
     rank = lambda f: hashlib.blake2b(f"{rules.seed}/{tree}/{node}/{f}".encode(), digest_size=8).digest()
     return sorted(sorted(range(d), key=rank)[: rules.max_features])
 
@@ -444,13 +448,14 @@ class DecisionTreeRegressor:
         n = math.ceil(math.sqrt(d)) if m == "sqrt" else math.ceil(math.log2(max(d, 2))) if m == "log2" else m if isinstance(m, int) else math.ceil(m * d)
         return min(max(n, 1), d)
 
-    def fit(self, df: DataFrame) -> TreeModel:
+    def fit(self, df: DataFrame, draw: Callable[[int, int], list[int]] | None = None) -> TreeModel:
+        """``draw`` may replace the hash that draws a node's features."""
         d = check_features(df, self.features)
         check_numeric(df, self.label)
         y = F.col(self.label).cast("double")
         rows = df.select(F.lit(0).alias("tree"), F.col(self.features).cast("array<double>").alias("x"), y.alias("y"), F.lit(1.0).alias("w"))
         shift = df.agg(F.avg(y)).first()[0]
-        rules = Rules(self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.tried(d), self.seed)
+        rules = Rules(self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.tried(d), self.seed, draw)
         nodes = grow(rows, d, _Moments(shift), rules)[0]
         return TreeModel(self, nodes, d, [], importances(nodes, d, weighted=True))
 

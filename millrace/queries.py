@@ -15,6 +15,7 @@ from millrace.functions import vec
 from millrace.operators import cluster, decomposition, ensemble, graph, linear, metrics, neighbors, nn, prep, tree, validate, vote
 from millrace.plans.lineage import shared_dir
 from millrace.sources import headerless_csv, table
+from millrace.streaming import train_stream, trained
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -404,14 +405,14 @@ def M7_A18_W1_W2_regression_stump(spark, d):
     return root.select("feature", _r("threshold").alias("threshold"), _r("info_gain", 4).alias("info_gain"), _r("impurity", 4).alias("impurity"), "n_samples")
 
 
-def _tree_sql(rows: str, d: int, depth: int, least: int, regression: bool = False) -> str:
+def _tree_sql(rows: str, d: int, depth: int, least: int, regression: bool = False, tried: Callable[[str], str] = lambda f: "true") -> str:
     """CTEs that grow trees over ``r0`` (t, id, x0.., y, w): r<k> holds the node of
     each row after k levels, s<k> the splits of level k. Rows of weight 0 follow
     the splits and have no say in them."""
     xs = ", ".join(f"x{i}" for i in range(d))
     out = f"WITH r0 AS (SELECT *, 1::BIGINT AS node, true AS act FROM ({rows}))" + (", m AS (SELECT sum(w * y) / sum(w) AS m FROM r0)" if regression else ", k AS (SELECT DISTINCT y FROM r0 WHERE w > 0)")
     for k in range(depth):
-        out += f", x{k} AS (SELECT t, node, y, w, unnest([{', '.join(map(str, range(d)))}]) AS f, unnest([{xs}]) AS v FROM r{k} WHERE act AND w > 0)"
+        out += f", x{k} AS (SELECT * FROM (SELECT t, node, y, w, unnest([{', '.join(map(str, range(d)))}]) AS f, unnest([{xs}]) AS v FROM r{k} WHERE act AND w > 0) WHERE {tried('f')})"
         if regression:
             imp = lambda n, a, b: f"({b} / {n} - ({a} / {n}) * ({a} / {n}))"
             out += (
@@ -768,12 +769,23 @@ def O8_head(spark, d):
     return got.select("o_orderkey", F.col("o_totalprice").cast("double"))
 
 
-@query(f"SELECT (a * 50 + b)::BIGINT AS row_id, {_sr('-2.0 + a * 4.0 / 39')} AS x0, {_sr('b * 10.0 / 49')} AS x1, CASE WHEN 0.4 * (-2.0 + a * 4.0 / 39) - 0.3 * (b * 10.0 / 49) + 0.1 >= 0 THEN 1 ELSE 0 END AS prediction FROM range(40) g(a), range(50) h(b)")
+_GRADIENT = lambda x: f"avg((1 / (1 + exp(-(g.u * a + g.v * c + g.b))) - y) * {x})"
+
+
+@query(
+    f"WITH RECURSIVE t AS (SELECT (p_size - 25) / 15.0::DOUBLE AS a, (p_retailprice - 1400) / 300.0::DOUBLE AS c, (p_type >= 'M')::INTEGER AS y FROM part), "
+    f"g(k, u, v, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT g.k + 1, g.u - 0.5 * {_GRADIENT('a')}, g.v - 0.5 * {_GRADIENT('c')}, g.b - 0.5 * {_GRADIENT('1')} FROM g, t WHERE g.k < 5 GROUP BY g.k, g.u, g.v, g.b), "
+    "l AS (SELECT min(a) AS la, max(a) AS ha, min(c) AS lc, max(c) AS hc FROM t), m AS (SELECT * FROM g WHERE k = 5), "
+    "p AS (SELECT i * 50 + j AS row_id, la + i * (ha - la) / 39 AS a, lc + j * (hc - lc) / 49 AS c FROM range(40) x(i), range(50) z(j), l) "
+    f"SELECT p.row_id::BIGINT AS row_id, {_sr('p.a')} AS x0, {_sr('p.c')} AS x1, {_sr('1 / (1 + exp(-(m.u * p.a + m.v * p.c + m.b)))')} AS probability FROM p, m"
+)
 def F15_scored_grid(spark, d):
-    """A grid of 40 by 50 points, scored by a linear model."""
-    g = prep.grid(spark, [(-2.0, 2.0, 40), (0.0, 10.0, 50)], "x")
-    got = linear.PerceptronModel(linear.Perceptron(), [0.4, -0.3], 0.1, [0, 1]).transform(g)
-    return got.select("row_id", _r(F.col("x")[0]).alias("x0"), _r(F.col("x")[1]).alias("x1"), "prediction")
+    """A grid over the range of the parts' features, scored by a model of the parts."""
+    rows = _parts(spark, d).select("row_id", "x", "a", "c", (F.col("y") == "warm").cast("int").alias("y"))
+    m = linear.LogisticRegression(0.5, 5, initial_weights=[0.0, 0.0, 0.0]).fit(rows)
+    la, ha, lc, hc = rows.agg(F.min("a"), F.max("a"), F.min("c"), F.max("c")).first()
+    got = m.transform(prep.grid(spark, [(la, ha, 40), (lc, hc, 50)], "x"))
+    return got.select("row_id", _r(F.col("x")[0]).alias("x0"), _r(F.col("x")[1]).alias("x1"), _r("probability").alias("probability"))
 
 
 @query(f"WITH p AS (SELECT c_acctbal / 1000.0::DOUBLE AS x, c_nationkey::DOUBLE AS y FROM customer), c AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOUBLE)' for i, (a, b) in enumerate(_CENTERS))}) AS t(k, cx, cy)), a AS (SELECT k, x, y FROM (SELECT p.x, p.y, c.k, row_number() OVER (PARTITION BY p.x, p.y ORDER BY sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)), k) AS r FROM (SELECT DISTINCT x, y FROM p) p CROSS JOIN c) WHERE r = 1), n AS (SELECT a.k, avg(p.x) AS nx, avg(p.y) AS ny FROM p JOIN a ON a.x = p.x AND a.y = p.y GROUP BY a.k) SELECT {_sr('max(sqrt((coalesce(nx, 0) - cx) * (coalesce(nx, 0) - cx) + (coalesce(ny, 0) - cy) * (coalesce(ny, 0) - cy)))')} AS shift FROM c LEFT JOIN n ON n.k = c.k")
@@ -784,9 +796,105 @@ def A25_max_shift(spark, d):
     return spark.createDataFrame([(cluster.max_shift(_CENTERS, m.centers),)], "shift double").select(_r("shift").alias("shift"))
 
 
-@query("SELECT user_id, value::DOUBLE AS amount FROM events WHERE value IS NOT NULL AND event_type = (SELECT min(event_type) FROM events)")
+@query("SELECT user_id, value::DOUBLE AS amount FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND user_id IS NOT NULL AND event_type = (SELECT min(event_type) FROM events)")
 def P16_wrangle(spark, d):
     """Rows without nulls, filtered, with a renamed column."""
     e = table(spark, d, "events")
     least = e.agg(F.min("event_type")).first()[0]
-    return e.select("user_id", "event_type", F.col("value").cast("double").alias("value")).dropna(subset=["value"]).where(F.col("event_type") == least).withColumnRenamed("value", "amount").drop("event_type")
+    return prep.complete(e, {"user_id": "user_id", "amount": F.col("value").cast("double")}, F.col("event_type") == least)
+
+
+# ---- training in a given order, over several passes, from drawn starts ----------------------
+
+_BATCH = 256
+_ORDERED = f"t AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY (id * 7919 + 13 + e * 31) % 104729, id) - 1 AS p FROM (SELECT p_partkey AS id, (p_size - 25) / 15.0::DOUBLE AS a, (p_retailprice - 1400) / 300.0::DOUBLE AS c FROM part), range(2) x(e)), q AS (SELECT a, c, e * (SELECT (count(*) + {_BATCH - 1}) // {_BATCH} FROM part) + p // {_BATCH} AS k FROM t)"
+_MISSED = "(g.u * a + g.v * c + g.b - c)"
+
+
+@query(f"WITH RECURSIVE {_ORDERED}, g(k, u, v, b) AS (SELECT -1::BIGINT, 0.1::DOUBLE, 0.2::DOUBLE, 0.0::DOUBLE UNION ALL SELECT q.k, g.u - 0.05 * avg({_MISSED} * a), g.v - 0.05 * avg({_MISSED} * c), g.b - 0.05 * avg({_MISSED}) FROM g JOIN q ON q.k = g.k + 1 GROUP BY q.k, g.u, g.v, g.b) SELECT {_sr('u')} AS w0, {_sr('v')} AS w1, {_sr('b')} AS b FROM g ORDER BY k DESC LIMIT 1")
+def M5_R6_ordered_minibatches(spark, d):
+    """A linear network over two epochs of batches of 256 in a given order."""
+    import numpy as np
+
+    rows = _parts(spark, d).select("row_id", F.col("x").alias("features"), F.col("c").alias("label"))
+    net = nn.NeuralNetwork(2, None, "regression", learning_rate=0.05, batch_size=_BATCH, max_epochs=2)
+    start = nn.NetworkModel(net, {"W2": np.array([[0.1], [0.2]]), "b2": np.zeros(1)}, [])
+    m = net.fit(rows, start, order=lambda e: (F.col("i") * 7919 + 13 + e * 31) % 104729)
+    w, b = m.weights["W2"], m.weights["b2"]
+    return spark.createDataFrame([(float(w[0, 0]), float(w[1, 0]), float(b[0]))], "w0 double, w1 double, b double").select(*(_r(c).alias(c) for c in ("w0", "w1", "b")))
+
+
+_AGAIN = "(SELECT count(*) FROM part)"
+
+
+@query(f"WITH RECURSIVE {_PART}, g(i, u, v, b, miss) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT g.i + 1, g.u + {_MISS} * 0.5 * {_T} * t.a, g.v + {_MISS} * 0.5 * {_T} * t.c, g.b + {_MISS} * 0.5 * {_T}, CASE WHEN t.i = 1 THEN 0 ELSE g.miss END + {_MISS} FROM g JOIN t ON t.i = g.i % {_AGAIN} + 1 WHERE g.i < 3 * {_AGAIN}) SELECT {_sr('u')} AS w0, {_sr('v')} AS w1, {_sr('b')} AS b, {_sr(f'miss / {_AGAIN}')} AS error FROM g ORDER BY i DESC LIMIT 1")
+def M4_perceptron_epochs(spark, d):
+    """Three passes; the share of mistakes in the last."""
+    m = linear.Perceptron(0.5, 3, initial_weights=[0.0, 0.0, 0.0]).fit(_parts(spark, d))
+    return spark.createDataFrame([(m.w[0], m.w[1], m.b, m.errors[2])], "w0 double, w1 double, b double, error double").select(*(_r(c).alias(c) for c in ("w0", "w1", "b", "error")))
+
+
+_OFF = "(tanh(g.w * t.a + g.b) - t.c)"
+
+
+@query(f"WITH RECURSIVE {_PART}, g(i, w, b, e) AS (SELECT 0::BIGINT, 0.1::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT g.i + 1, g.w - 0.01 * {_OFF} * t.a, g.b - 0.01 * {_OFF}, CASE WHEN t.i = 1 THEN 0 ELSE g.e END + 0.5 * {_OFF} * {_OFF} FROM g JOIN t ON t.i = g.i % {_AGAIN} + 1 WHERE g.i < 2 * {_AGAIN}) SELECT {_sr('w')} AS w, {_sr('b')} AS b, {_sr(f'e / {_AGAIN}')} AS error FROM g ORDER BY i DESC LIMIT 1")
+def M2_U3_neuron_epochs(spark, d):
+    """Two passes of a neuron whose activation is a function of numbers."""
+    import math
+
+    rows = _parts(spark, d).select("row_id", F.array("a").alias("x"), F.col("c").alias("y"))
+    m = linear.SingleNeuron(0.01, 2, activation=math.tanh, initial_weights=[0.1, 0.0]).fit(rows)
+    return spark.createDataFrame([(m.w[0], m.b, m.errors[1])], "w double, b double, error double").select(*(_r(c).alias(c) for c in ("w", "b", "error")))
+
+
+@query(_kmeans_sql(2).replace("c0 AS (SELECT * FROM (VALUES", "c0 AS (SELECT row_number() OVER (ORDER BY (c_custkey * 7919 + 13) % 104729, c_custkey) - 1 AS k, x AS cx, y AS cy FROM p ORDER BY k LIMIT 4), c9 AS (SELECT * FROM (VALUES"))
+def R4_kmeans_drawn_start(spark, d):
+    """Centres that start at rows drawn without replacement, in a given order."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.array(F.col("c_acctbal") / 1000.0, F.col("c_nationkey").cast("double")).alias("features"))
+    m = cluster.KMeans(4, max_iter=2, tol=0.0).fit(rows, order=(F.col("row_id") * 7919 + 13) % 104729)
+    at = lambda i: F.array(*(F.lit(c[i]) for c in m.centers))[F.col("cluster")]
+    return m.transform(rows).select("row_id", "cluster", _r(at(0)).alias("cx"), _r(at(1)).alias("cy"))
+
+
+@query(f"{_tree_sql(_LINEROWS, 3, 3, 20, regression=True, tried=lambda f: f'(({f}) = node % 3 OR ({f}) = (node + 1) % 3)')}, n AS (SELECT node, sum(y) / sum(w) AS y FROM r3 GROUP BY node) SELECT (x0)::DOUBLE AS quantity, (x1)::DOUBLE AS discount, (x2)::DOUBLE AS tax, count(*) AS n, {_sr('any_value(n.y)', 4)} AS prediction FROM r3 JOIN n USING (node) GROUP BY x0, x1, x2")
+def R3_F12_feature_subsample(spark, d):
+    """A tree of depth 3 that tries two of three features (ceil of the root) at each node."""
+    rows = table(spark, d, "lineitem").select(F.array("l_quantity", "l_discount", "l_tax").alias("features"), (F.col("l_extendedprice") / 1000.0).alias("label"))
+    m = tree.DecisionTreeRegressor(max_depth=3, min_samples_leaf=20, max_features="sqrt").fit(rows, draw=lambda t, n: [n % 3, (n + 1) % 3])
+    x = [F.col("features")[i].alias(c) for i, c in enumerate(("quantity", "discount", "tax"))]
+    return m.transform(rows).groupBy(*x).agg(F.count("*").alias("n"), _r(F.max("prediction"), 4).alias("prediction"))
+
+
+@query(f"WITH {_LONG} SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, {_sr('corr(a.v, b.v) * count(*) / (count(*) - 1)')} AS covariance, CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS dot FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i")
+def M11_A32_pca_whole_vectors(spark, d):
+    """All 64 components: what they make of the covariance, and their products."""
+    import numpy as np
+
+    m = decomposition.PCA().fit(_vectors(spark, d))
+    v = np.array(m.components)
+    back, dots = v.T * m.explained_variance @ v, v @ v.T
+    rows = [(i + 1, j + 1, float(back[i, j]), float(dots[i, j])) for i in range(len(v)) for j in range(len(v))]
+    return spark.createDataFrame(rows, "i int, j int, covariance double, dot double").select("i", "j", _r("covariance").alias("covariance"), _r("dot").alias("dot"))
+
+
+@query()
+def M12_R7_color_order(spark, d):
+    """Communities in the order of a colouring, and each vertex's place in it."""
+    v = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("pos"))
+    return graph.LabelPropagation(2, 0.0, order="colors").trace(v, _edges(spark, d), ties="smallest")[0]
+
+
+@query()
+def S12_stream_training(spark, d):
+    """A linear network trained on the parts as a stream, and what it predicts for them."""
+    import numpy as np
+    from uuid import uuid4
+
+    base = f"{shared_dir(spark)}/millrace/stream-{uuid4().hex}"
+    rows = _parts(spark, d).select("row_id", F.col("x").alias("features"), F.col("c").alias("label"))
+    rows.write.parquet(f"{base}/rows")
+    net = nn.NeuralNetwork(2, None, "regression", learning_rate=0.1, batch_size=1 << 30, max_epochs=1)
+    start = nn.NetworkModel(net, {"W2": np.zeros((2, 1)), "b2": np.zeros(1)}, [])
+    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/rows")
+    train_stream(stream, start, lambda m, batch: net.fit(batch, m), f"{base}/checkpoint", f"{base}/model").trigger(availableNow=True).start().awaitTermination()
+    return trained(spark, f"{base}/model", start).transform(rows).select("row_id", _r("prediction").alias("prediction"))

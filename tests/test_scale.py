@@ -2,14 +2,16 @@
 draws and wide components against plain versions, with skewed and repeated rows."""
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import streaming
 from millrace.functions import vec
-from millrace.operators import cluster, decomposition, density, ensemble, graph, nearest, tree
+from millrace.operators import cluster, decomposition, density, ensemble, graph, linear, nearest, nn, tree
 from millrace.plans import ranks
 
 
@@ -323,3 +325,72 @@ def test_trees_do_not_hang_on_how_values_are_coded(spark):
     assert tree.grow(df, 3, stats, tree.Rules(max_depth=6)) == whole
     some = tree.grow(df, 3, tree._Classes([0.0, 1.0, 2.0]), tree.Rules(max_depth=4, max_features=2, seed=5))
     assert all(n.feature is None or n.feature in tree._tried(tree.Rules(max_features=2, seed=5), 3, t, k) for t, nodes in some.items() for k, n in nodes.items())
+
+
+# ---- training in order, and on streams ---------------------------------------------
+
+
+def test_row_order_training_in_chunks_is_the_plain_loop(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(500, 2)), r.normal(size=500)
+    df = spark.createDataFrame([(i, v.tolist(), float(t), "b" if t > 0 else "a") for i, (v, t) in enumerate(zip(x, y))], "row_id long, x array<double>, y double, c string").repartition(4)
+
+    def loop(f, epochs):
+        w, errors = np.zeros(3), []
+        for _ in range(epochs):
+            total = 0.0
+            for v, t in zip(x, y):
+                e = f(v @ w[:2] + w[2]) - t
+                w -= 0.01 * e * np.append(v, 1.0)
+                total += 0.5 * e * e
+            errors.append(total / len(x))
+        return w, errors
+
+    for rows in (64, 1000):
+        monkeypatch.setattr(linear, "FOLD_ROWS", rows)
+        for f, plain in ((lambda z: z, lambda z: z), (lambda z: vec.relu(z), lambda z: max(z, 0.0)), (math.tanh, math.tanh)):
+            w, errors = loop(plain, 3)
+            m = linear.SingleNeuron(0.01, 3, activation=f, initial_weights=[0.0] * 3).fit(df)
+            assert np.allclose([*m.w, m.b], w, atol=1e-12) and np.allclose(m.errors, errors)
+        p = linear.Perceptron(0.5, 2, "x", "c", initial_weights=[0.0] * 3).fit(df)
+        w, sign = np.zeros(3), np.where(y > 0, 1.0, -1.0)
+        for _ in range(2):
+            for v, t in zip(x, sign):
+                if t * (v @ w[:2] + w[2]) <= 0:
+                    w += 0.5 * t * np.append(v, 1.0)
+        assert np.allclose([*p.w, p.b], w, atol=1e-12)
+    assert linear.SingleNeuron(0.01, 2, initial_weights=[1.0, 2.0, 3.0]).fit(df.limit(0).unionByName(df.limit(1))).b != 3.0
+
+
+def test_stream_training_survives_a_restart(spark, tmp_path):
+    """Three batches, one of them replayed after a failure: the weights of one run."""
+    r = np.random.default_rng(4)
+    net = nn.NeuralNetwork(2, None, "regression", learning_rate=0.1, batch_size=1 << 20, max_epochs=1)
+    start = nn.NetworkModel(net, {"W2": np.zeros((2, 1)), "b2": np.zeros(1)}, [])
+    parts, calls = [], []
+    for k in range(3):
+        x = r.normal(size=(40, 2))
+        parts.append(spark.createDataFrame([(40 * k + i, v.tolist(), float(v[0] - v[1])) for i, v in enumerate(x)], "row_id long, features array<double>, label double"))
+
+    def step(model, rows):
+        calls.append(rows.count())
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return net.fit(rows, model)
+
+    want = start
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/rows")
+        want = net.fit(part, want)
+        stream = spark.readStream.schema(part.schema).parquet(f"{tmp_path}/rows")
+        for _ in range(2):
+            q = streaming.train_stream(stream, start, step, f"{tmp_path}/checkpoint", f"{tmp_path}/model").trigger(availableNow=True).start()
+            try:
+                q.awaitTermination()
+            except Exception as e:
+                assert "lost" in str(e)
+    got = streaming.trained(spark, f"{tmp_path}/model", start)
+    assert np.allclose(got.weights["W2"], want.weights["W2"], atol=1e-12) and len(calls) == 4
+    assert streaming.versions(spark, f"{tmp_path}/model") == [0, 1, 2]
+    with pytest.raises(ValueError):
+        streaming.train_stream(parts[0], start, step, "c", "p")
