@@ -129,7 +129,8 @@ def test_a_large_group_of_near_copies_costs_few_comparisons(spark):
         label = np.array([label[c].min() for c in close])
     scratch = Scratch(spark, "t")
     once = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string").repartition(4)
-    rows = once.mapInArrow(shingles._prefixes(5, 0.8, np.zeros(0, np.int64)), "token long, node long, n long, at long").withColumn("root", F.col("node"))
+    none = spark.createDataFrame([], "node long, root long")
+    rows = shingles.members_of(once.mapInArrow(shingles._prefixes(5, 0.8, np.zeros(0, np.int64)), shingles.PREFIX), none)
     found = shingles.settle_large(rows, once, scratch, 0.8, 5, block_nodes=400)
     tried = found.where("a is null").agg(F.sum("tried")).first()[0]
     parent = list(range(1500))
