@@ -1,7 +1,9 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 Candidates are long runs of key-like characters with a digit, or without one
-after the name of a secret, and headers of private keys. Features of a
+after the name of a secret (in any of four languages), quoted values of eight
+characters or more after such a name, values in the address of a server, and
+private keys, from their first line to their last. Features of a
 candidate and its line (length, character transitions, dictionary coverage,
 path, neighbouring words) feed a forest trained from labelled findings. Trained
 trees become nested CASE expressions, so the scan is one pass of column
@@ -19,12 +21,32 @@ from pyspark.sql import functions as F
 
 from millrace.llm.scratch import named, renamed
 
-#: '=' ends a candidate unless it pads its end, so that NAME=value gives the value.
-#: Runs without a digit count after a secret's name; headers of private keys always.
-KEYWORDS = "secret|token|passw|pwd|api.?key|access.?key|private|credential|auth|bearer"
+#: Names of secrets, in English, German, French and Spanish.
+KEYWORDS = "secret|token|passw|pwd|api.?key|access.?key|private|credential|auth|bearer|kennwort|geheim|schl(?:ue|ü)ssel|mot de passe|cl[eé] (?:secr|priv|d.acc)|jeton|contrase(?:ñ|n)a|clave"
 _RUN = "A-Za-z0-9_+/.-"
-_NAMED = rf"(?<=(?i:{KEYWORDS})[A-Za-z_]{{0,12}}[\"']?[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']?)"
-CANDIDATE = rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----|(?<![{_RUN}])(?=[{_RUN}]{{16}})(?:(?=[A-Za-z_+/.-]*+[0-9])|{_NAMED})[{_RUN}]{{16,}}(?:={{1,2}}(?![{_RUN}=]))?"
+_AFTER = rf"(?i:{KEYWORDS})[A-Za-zéèñü_]{{0,12}}[\"']?[ \t]{{0,2}}[=:][ \t]{{0,2}}"
+_NAMED = rf"(?<={_AFTER}[\"']?)"
+#: Stands for a line feed within a key of several lines; a text that has the first as a character of its own takes the second.
+FEEDS = ("\ue000", "\ue001")
+_HEADER = "-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_FOOTER = "-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+
+
+def _key(feed: str) -> str:
+    """A private key whose lines end with ``feed``: up to its last line, or where that is missing while lines look like its body."""
+    return rf"{_HEADER}(?:[A-Za-z0-9+/=:,.()@<> \t{feed}-]{{0,40000}}?{_FOOTER}|(?:{feed}[A-Za-z0-9+/=]{{16,}}){{0,400}})"
+
+
+#: '=' ends a candidate unless it pads its end, so that NAME=value gives the value.
+#: Runs without a digit count after a secret's name; private keys and values in an address always.
+CANDIDATE = "|".join((
+    _key("".join(FEEDS).join("[]")),
+    # what is cheap to see is looked at first
+    r"(?<=:)(?=[^\s/@:]{6,64}@)(?<=[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]{1,64}:)[^\s/@:]{6,64}(?=@)",
+    rf"(?<=[\"'])(?=[^\s\"']{{8,}}[\"'])(?<={_AFTER}[\"'])[^\s\"']{{8,}}(?=[\"'])",
+    rf"(?<![{_RUN}])(?=[{_RUN}]{{16}})(?:(?=[A-Za-z_+/.-]*+[0-9])|{_NAMED})[{_RUN}]{{16,}}(?:={{1,2}}(?![{_RUN}=]))?",
+))
+LEAST = 6  #: characters of the shortest candidate
 
 #: Dictionary of the coverage feature.
 DICTIONARY = (
@@ -36,7 +58,7 @@ DICTIONARY = (
 
 CONTEXT = 60  #: characters before a candidate that count as its neighbours
 
-FEATURES = ("length", "digits", "upper", "transitions", "coverage", "path", "keyword", "assigned", "distinct", "prefix", "harmless", "hex", "quoted")
+FEATURES = ("length", "digits", "upper", "transitions", "coverage", "path", "keyword", "assigned", "distinct", "prefix", "harmless", "hex", "quoted", "symbols")
 
 
 def feature_columns(c: Column, before: Column) -> list[Column]:
@@ -58,9 +80,36 @@ def feature_columns(c: Column, before: Column) -> list[Column]:
         flag(F.lower(before).rlike(r"(commit|sha|md5|checksum|hash|uuid|digest|revision|order|card|isbn|phone|fax|ticket|tracking|invoice)[^\n]{0,24}$")),
         flag(c.rlike("^[0-9a-fA-F]+$")),
         flag(before.rlike("[\"']$")),
+        share("[^A-Za-z0-9_+/.=-]"),
     ]
 
 
+def structured_findings(n: int = 1000, seed: int = 4) -> list[tuple[str, str, int]]:
+    """Findings of more forms, as ``labelled_findings``: whole private keys,
+    values in addresses, short quoted values, names in four languages."""
+    r = random.Random(seed)
+    pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
+    alnum, b64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+    names = ["password", "passwort", "kennwort", "mot de passe", "contraseña", "clave", "secret", "clé secrète", "cle secrete", "geheim", "token", "jeton", "schlüssel", "db_password"]
+    words = [w for w in DICTIONARY if len(w) > 3]
+    out = []
+    for _ in range(n // 8):
+        kind, f = r.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]), FEEDS[0]
+        body = f.join(pick(b64, 64) for _ in range(r.randint(3, 40)))
+        head = f"-----BEGIN {kind}PRIVATE KEY-----{f}{body}"
+        out.append((r.choice([head, f"{head}{f}-----END {kind}PRIVATE KEY-----"]), r.choice(["", "key: ", f"{r.choice(names)} = \""]), 1))
+        out.append((pick(alnum + "!$&*_", r.randint(8, 24)), f"{r.choice(['postgres', 'https', 'amqp', 'mongodb+srv', 'redis'])}://{r.choice(words)}:", 1))
+        out.append((r.choice(["user", "password", "pass", "example", "secret", "changeme"]), f"{r.choice(['postgres', 'https', 'mysql'])}://{r.choice(['user', 'example', 'name'])}:", 0))
+        q = r.choice("\"'")
+        mixed = r.choice([lambda: pick(alnum + "!$&*_.-", r.randint(8, 15)), lambda: r.choice(words) + str(r.randint(0, 99)) + pick("!$&*_", 1) + pick(string.ascii_lowercase, 2), lambda: r.choice(".-_ ").strip().join(pick(string.ascii_lowercase, r.randint(4, 8)) for _ in range(r.randint(2, 4))) + pick("!$&*#", 1) + str(r.randint(0, 99))])
+        for _ in range(2):
+            out.append((mixed(), f"{r.choice(['', '* ', 'the '])}{r.choice(names)}{r.choice([' = ', '=', ': ', chr(34) + ': '])}{q}", 1))
+        plain = r.choice(["changeme", "required", "optional", "undefined", "********", "xxxxxxxx", "<password>", "your-password", "example-" + r.choice(words), r.choice(words) + "_" + r.choice(words), "${DB_PASSWORD}", "{{ secret }}".replace(" ", "")])
+        out.append((plain, f"{r.choice(names)}{r.choice([' = ', '=', ': '])}{q}", 0))
+        out.append((pick("0123456789abcdef", r.choice([32, 40])), f"{r.choice(names)}{r.choice([': ', ' = ', '='])}", 1))
+    return [x for x in out if len(x[0]) >= LEAST]
+
+
 def labelled_findings(n: int = 1200, seed: int = 3) -> list[tuple[str, str, int]]:
     """(candidate, text before it on the line, 1 for a real secret), as reviewers
     of scans label them: half real keys, half things that only look like keys."""
@@ -156,7 +205,7 @@ def forest(spark: SparkSession, findings: list[tuple[str, str, int]] | None = No
     training rows come from the same expressions as those of the scan."""
     key = (None if findings is None else tuple(findings), trees, depth, seed)
     if key not in _FORESTS:
-        rows = findings or labelled_findings()
+        rows = findings or labelled_findings() + structured_findings()
         df = spark.createDataFrame([(i, c, b) for i, (c, b, _) in enumerate(rows)], "i int, c string, b string")
         got = df.select("i", F.array(*feature_columns(F.col("c"), F.col("b"))).alias("x")).collect()
         x = np.array([r["x"] for r in sorted(got, key=lambda r: r["i"])])
@@ -167,6 +216,22 @@ def forest(spark: SparkSession, findings: list[tuple[str, str, int]] | None = No
 # ---- the scan ------------------------------------------------------------------
 
 
+def _whole_keys(t: Column, kept_lines: bool) -> Column:
+    """Line feeds within private keys become the character of ``FEEDS`` that the
+    text does not hold, so that a key is in one line. With ``kept_lines`` as many
+    line feeds follow the key, so that later lines keep their numbers."""
+
+    def joined(feed: str) -> Column:
+        key = _key("\n")
+        clean = F.regexp_replace(t, "\r\n", "\n") if not kept_lines else F.regexp_replace(t, "\r(?=\n)", " ")
+        blocks, rest = F.regexp_extract_all(clean, F.lit(key), F.lit(0)), F.split(clean, key, -1)
+        after = lambda b: F.repeat(F.lit("\n"), F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit("")))) if kept_lines else F.lit("")
+        one = F.transform(blocks, lambda b: F.concat(F.translate(b, "\n", feed), after(b)))
+        return F.array_join(F.zip_with(rest, F.concat(one, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    return F.when(~t.rlike(_HEADER), t).when(F.instr(t, FEEDS[0]) == 0, joined(FEEDS[0])).otherwise(joined(FEEDS[1]))
+
+
 def _cut_line(t: Column) -> Column:
     """A line as the candidates in it (m) and what stands around them (p, one more)."""
     return F.struct(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("m"), F.split(t, CANDIDATE, -1).alias("p"))
@@ -176,8 +241,8 @@ def _judged(x: Column, trees: list) -> Column:
     """Array of structs (candidate, score), one for each occurrence in a cut line."""
 
     def row(c: Column, i: Column) -> Column:
-        # candidates have 16 characters or more, so that four of them fill the context
-        k = range(-(-CONTEXT // 16), 0, -1)
+        # so many candidates fill the context at most
+        k = range(-(-CONTEXT // LEAST), 0, -1)
         before = F.concat_ws("", *(y for j in k for y in (F.get(x["p"], i - j), F.get(x["m"], i - j))), F.get(x["p"], i))
         return F.struct(c.alias("candidate"), F.array(*feature_columns(c, F.right(before, F.lit(CONTEXT)))).alias("x"))
 
@@ -190,7 +255,7 @@ def _judged(x: Column, trees: list) -> Column:
 
 def findings_column(text: Column, trees: list) -> Column:
     """Array of structs (line, candidate, score) of a text; null gives an empty one."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda t, i: F.struct(i.alias("line"), t.alias("t"))), lambda x: x["t"].rlike(CANDIDATE))
+    lines = F.filter(F.transform(F.split(_whole_keys(F.coalesce(text, F.lit("")), True), "\n", -1), lambda t, i: F.struct(i.alias("line"), t.alias("t"))), lambda x: x["t"].rlike(CANDIDATE))
     cut = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), _cut_line(x["t"]).alias("cut")))
     return F.flatten(F.transform(cut, lambda x: F.transform(_judged(x["cut"], trees), lambda r: F.struct(x["line"].alias("line"), r["candidate"].alias("candidate"), r["score"].alias("score")))))
 
@@ -203,7 +268,8 @@ def scan(docs: DataFrame, threshold: float = 0.5, findings: list | None = None,
     table gives no rows."""
     trees = forest(docs.sparkSession, findings)
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.explode(findings_column(F.col(f"`{text}`").cast("string"), trees)).alias("f"))
-    return own.select("doc_id", F.col("f.line").alias("line"), F.col("f.candidate").alias("candidate"), F.col("f.score").alias("score"), (F.col("f.score") >= threshold).alias("is_secret"))
+    found = F.translate(F.col("f.candidate"), "".join(FEEDS), "\n\n")
+    return own.select("doc_id", F.col("f.line").alias("line"), F.when(found.startswith("-----BEGIN "), found).otherwise(F.col("f.candidate")).alias("candidate"), F.col("f.score").alias("score"), (F.col("f.score") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, findings: list | None = None, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -217,9 +283,12 @@ def redact(docs: DataFrame, threshold: float = 0.5, findings: list | None = None
         said = F.concat(F.transform(x["f"], lambda f: F.when(f["score"] >= threshold, F.lit(mark)).otherwise(f["candidate"])), F.array(F.lit("")))
         return F.array_join(F.zip_with(x["p"], said, lambda a, b: F.concat(a, b)), "")
 
-    lines = F.transform(F.split("t", "\n", -1), lambda t: F.struct(t.alias("t"), F.when(t.rlike(CANDIDATE), _cut_line(t)).alias("cut")))
+    lines = F.transform(F.split(_whole_keys(F.col("t"), False), "\n", -1), lambda t: F.struct(t.alias("t"), F.when(t.rlike(CANDIDATE), _cut_line(t)).alias("cut")))
     judged = F.transform(lines, lambda x: F.struct(x["t"].alias("t"), F.when(x["cut"].isNotNull(), F.struct(x["cut"]["p"].alias("p"), _judged(x["cut"], trees).alias("f"))).alias("g")))
     done = F.array_join(F.transform(judged, lambda x: F.when(x["g"].isNull(), x["t"]).otherwise(clean(x["g"]))), "\n")
     plain, back = renamed(docs)
     own = plain.withColumn("t", F.col(back[text]).cast("string"))
+    # a key that was not confirmed gets its line feeds back
+    feed = F.when(F.instr("t", FEEDS[0]) == 0, F.lit(FEEDS[0])).otherwise(F.lit(FEEDS[1]))
+    done = F.when(F.col("t").rlike(_HEADER), F.replace(done, feed, F.lit("\n"))).otherwise(done)
     return own.withColumn(back[text], F.when(F.col("t").rlike(CANDIDATE), done).otherwise(F.col("t"))).select(*named(back))
