@@ -1,7 +1,7 @@
 """License scan by Dice coefficient over word bigrams.
 
 Lines, their sentences and paragraphs of a text are normalised (lower case, runs
-of letters and digits) and compared to licence templates by the Dice coefficient of their sets
+of letters and digits, so that comment marks are nothing) and compared to licence templates by the Dice coefficient of their sets
 of word bigrams. Size bounds prune templates first: a Dice of t needs the sizes
 a and b to satisfy a t / (2 - t) <= b <= a (2 - t) / t. Before that, a unit must
 hold one of the anchor words, which are chosen so that no unit without them can
@@ -27,6 +27,7 @@ TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -43,10 +44,29 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "LGPL-3.0": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",),
+    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
     "Proprietary": ("All rights reserved.",),
 }
 
+#: Short references.
+SHORT = {"MIT": ("Licensed under the MIT License.",)}
+
+#: Identifiers that a tag names a licence by, and the licence.
+TAGS = {
+    "MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "BSD-3-Clause": "BSD-3-Clause", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "CC-BY-4.0": "CC-BY-4.0",
+    "CC0-1.0": "CC0-1.0", "MPL-2.0": "MPL-2.0", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0", "ISC": "ISC", "Unlicense": "Unlicense", "BSL-1.0": "BSL-1.0", "EPL-2.0": "EPL-2.0",
+}
+
 
 def normalise(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
@@ -65,7 +85,8 @@ def dice(a: str, b: str) -> float:
 
 def templates(threshold: float) -> list[dict]:
     out = []
-    for name, texts in TEMPLATES.items():
+    tags = {tag: (f"SPDX-License-Identifier: {tag}",) for tag in TAGS}
+    for name, texts in [*TEMPLATES.items(), *SHORT.items(), *((TAGS[t], x) for t, x in tags.items())]:
         for text in texts:
             words = normalise(text)
             grams = bigrams(words)
@@ -88,7 +109,8 @@ def anchor_pattern(words: set[str]) -> str:
 
 
 SENTENCE = r"[.!?;][\x20\x09-\x0D]+"
-PARAGRAPH = r"\n[\x20\x09\x0B-\x0D]*\n"
+#: A line without a word, so that one of comment marks alone ends a paragraph too.
+PARAGRAPH = r"\n[^A-Za-z0-9\n]*\n"
 
 
 def matches_column(text: Column, threshold: float) -> Column:

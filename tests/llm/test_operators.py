@@ -642,3 +642,17 @@ def test_forest_holds_out_structured_findings(spark):
     found = secrets.scan(df).groupBy("doc_id").agg(F.max("is_secret").alias("s"))
     acc = df.join(found, "doc_id", "left").agg(F.avg((F.coalesce("s", F.lit(False)) == (F.col("y") == 1)).cast("double"))).first()[0]
     assert acc > 0.95
+
+
+# ---- 9, in comments and tags ---------------------------------------------------------
+
+
+@pytest.mark.parametrize("mark", ["// ", "# ", " * ", "-- ", ";; ", ""])
+def test_licenses_in_comments(spark, mark):
+    wrap = lambda x, n=9: [" ".join(x.split()[i : i + n]) for i in range(0, len(x.split()), n)]
+    block = lambda texts: "\n".join(f"{mark}{line}".rstrip() for x in texts for line in [*wrap(x), ""])
+    t = licenses.TEMPLATES
+    docs = [block(t["MIT"][1:]) + "\nint x = 1;", block([t["Apache-2.0"][1]]), block([t["MPL-2.0"][2]]), block(t["AGPL-3.0"]), block(t["ISC"]), f"{mark}SPDX-License-Identifier: Apache-2.0\ncode", f"{mark}SPDX-License-Identifier: GPL-3.0-or-later", f"{mark}Licensed under the MIT license; see LICENSE file"]
+    got = rows(licenses.scan(make(spark, docs)))
+    assert [got[i][0]["license"] for i in range(8)] == ["MIT", "Apache-2.0", "MPL-2.0", "AGPL-3.0", "ISC", "Apache-2.0", "GPL-3.0", "MIT"]
+    assert got[0][0]["n_license_units"] == 3 and got[5][0]["dice"] == 1.0
