@@ -144,24 +144,24 @@ def _codes_of(values: list[np.ndarray], first: list[int]):
 CODED = "tree int, x array<long>, y double, w double"
 
 
-def coded(rows: DataFrame, d: int, dictionary: int = DICTIONARY) -> tuple[DataFrame, DataFrame, list[int]]:
+def coded(rows: DataFrame, d: int, dictionary: int = DICTIONARY) -> tuple[DataFrame, DataFrame, list[int], int, np.ndarray | None]:
     """``rows`` (tree, x, y, w) with codes in place of values, the values (code,
-    feature, value), and the first code of each feature. Up to ``dictionary``
-    different values every task looks them up in a list; more are joined, each
-    row's values once."""
+    feature, value), the first code of each feature, and how many there are. Up
+    to ``dictionary`` different values every task looks them up in a list, which
+    is given too; more are joined, each row's values once."""
     own = cut(rows.select(F.col("tree").cast("int").alias("tree"), "x", "y", "w"))
     values = positions(own.select(F.posexplode("x").alias("feature", "value")).distinct(), F.col("feature"), F.col("value"), name="code")
-    values = cut(values.select("code", "feature", "value"))
     firsts = {r["feature"]: (r["c"], r["n"]) for r in values.groupBy("feature").agg(F.min("code").alias("c"), F.count("*").alias("n")).collect()}
     first = [firsts[f][0] for f in range(d)] if firsts else [0] * d
-    if sum(n for _, n in firsts.values()) <= dictionary:
+    width = sum(n for _, n in firsts.values())
+    if width <= dictionary:
         held = values.orderBy("code").toPandas()["value"].to_numpy()
         lists = [held[firsts[f][0] : sum(firsts[f])] for f in range(d)] if firsts else [np.zeros(0)] * d
-        return own.mapInArrow(_codes_of(lists, first), CODED), values, first
+        return own.mapInArrow(_codes_of(lists, first), CODED), values, first, width, held
     marked = cut(own.withColumn("i", F.monotonically_increasing_id()))
     each = marked.select("i", F.posexplode("x").alias("feature", "value")).join(values, ["feature", "value"])
     back = each.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "code"))), lambda e: e["code"]).alias("x"))
-    return marked.drop("x").join(back, "i").select("tree", "x", "y", "w"), values, first
+    return marked.drop("x").join(back, "i").select("tree", "x", "y", "w"), values, first, width, None
 
 
 def _histogram(stats, nodes: np.ndarray, tried: np.ndarray | None, width: int, held: int = 1 << 18):
@@ -232,9 +232,8 @@ def grow(rows: DataFrame, d: int, stats, rules: Rules, range_rows: int = RANGE_R
     rows, nodes are numbered within their level, so trees may be of any depth."""
     spark = rows.sparkSession
     trees: dict[int, dict[int, Node]] = {}
-    found, values, first = coded(rows, d, dictionary)
+    found, values, first, width, held = coded(rows, d, dictionary)
     rows = cut(found.withColumn("node", F.lit(0)))
-    width = values.count()
     names, depth = stats.names, 0
     heap: dict[tuple[int, int], int] = {}  # heap number by tree and number in the level
     above: tuple[DataFrame, dict[tuple[int, int], int]] | None = None  # the parents' sums and places
@@ -272,7 +271,9 @@ def grow(rows: DataFrame, d: int, stats, rules: Rules, range_rows: int = RANGE_R
             part = sums.select(F.col("place").alias("other"), "code", *(F.col(n).alias(f"o_{n}") for n in names))
             rest = whole.join(part, ["other", "code"], "left").select(F.col("own").alias("place"), "code", *((F.col(n) - F.coalesce(f"o_{n}", F.lit(0.0))).alias(n) for n in names))
             sums = sums.unionByName(rest.where(stats.size([F.col(n) for n in names]) > 0))
-        sums = cut(sums.where(F.col("place") < len(active)))
+        sums = sums.where(F.col("place") < len(active))
+        kept = stats.exact and not some
+        sums = cut(sums) if kept else sums
         feature = sum((F.when(F.col("code") >= f, 1).otherwise(0) for f in first[1:]), F.lit(0))
         node_of = spark.createDataFrame([(i, n, imp) for i, (_, _, _, n, imp) in enumerate(active)], "place long, pn double, pi double")
         each = sums.withColumn("feature", feature).withColumn("range", F.floor(F.col("code") / range_rows)).join(node_of, "place")
@@ -285,23 +286,28 @@ def grow(rows: DataFrame, d: int, stats, rules: Rules, range_rows: int = RANGE_R
         each = each.withColumn("gain", F.round(gain, DIGITS))
         good = each.where((F.col("gain") > 0) & (F.col("gain") >= rules.min_impurity_decrease))
         best = good.groupBy("place").agg(F.min_by(F.struct("feature", "code", "next", "gain"), F.struct(-F.col("gain"), F.col("code"))).alias("b"))
-        at = lambda name: values.select(F.col("code").alias(name), F.col("value").alias(f"v_{name}"))
-        best = best.select("place", "b.*").join(at("code"), "code").join(at("next"), "next").collect()
+        best = best.select("place", "b.*")
+        if held is None:
+            at = lambda name: values.select(F.col("code").alias(name), F.col("value").alias(f"v_{name}"))
+            best = best.join(at("code"), "code").join(at("next"), "next")
+        best = best.collect()
         if not best:
             break
         splits, below = [], {}
         for i, r in enumerate(sorted(best, key=lambda r: r["place"])):
             t, n, at_, *_ = active[r["place"]]
             old = trees[t][at_]
-            trees[t][at_] = Node(old.n, old.impurity, old.prediction, old.counts, r["feature"], (r["v_code"] + r["v_next"]) / 2, r["gain"])
+            low, high = (r["v_code"], r["v_next"]) if held is None else (float(held[r["code"]]), float(held[r["next"]]))
+            trees[t][at_] = Node(old.n, old.impurity, old.prediction, old.counts, r["feature"], (low + high) / 2, r["gain"])
             splits.append((t, n, 2 * i, r["feature"], r["code"]))
             below |= {(t, 2 * i): 2 * at_, (t, 2 * i + 1): 2 * at_ + 1}
         s = spark.createDataFrame(splits, "tree int, node int, child int, f int, t long")
         moved = rows.join(s, ["tree", "node"]).select("tree", (F.col("child") + (F.get("x", "f") > F.col("t")).cast("int")).alias("node"), "x", "y", "w")
         rows, before, heap = cut(moved), rows, below
         # places of the parents under the numbers that their children come from
-        above, old_sums = (sums, {(t, c // 2): place[t, n] for t, n, c, *_ in splits}), above
-        drop(before, *([old_sums[0]] if old_sums else []))
+        gone = [above[0]] if above else []
+        above = (sums, {(t, c // 2): place[t, n] for t, n, c, *_ in splits}) if kept else None
+        drop(before, *gone)
         depth += 1
     drop(rows)
     return trees
