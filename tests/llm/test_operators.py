@@ -656,3 +656,20 @@ def test_licenses_in_comments(spark, mark):
     got = rows(licenses.scan(make(spark, docs)))
     assert [got[i][0]["license"] for i in range(8)] == ["MIT", "Apache-2.0", "MPL-2.0", "AGPL-3.0", "ISC", "Apache-2.0", "GPL-3.0", "MIT"]
     assert got[0][0]["n_license_units"] == 3 and got[5][0]["dice"] == 1.0
+
+
+def test_sharding_on_an_existing_map_with_one_more_shard(spark, sf_dir, tmp_path):
+    """The second version of the map moves few slots, and its shards are whole and even."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = f"file://{tmp_path}/map"
+    first = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in sharding.shard(docs, Scratch(spark, "t"), shards=8, map_path=path).collect()}
+    again = sharding.shard(docs, Scratch(spark, "t"), shards=9, map_path=path).collect()
+    assert sharding.latest_version(spark, path) == 2 and len(again) == docs.count()
+    held = {}
+    for r in again:
+        held.setdefault(r["shard"], []).append((r["slot"], r["size"]))
+    assert set(held) == set(range(9)) and all(sorted(s for s, _ in v) == list(range(len(v))) for v in held.values())
+    total = sum(n for v in held.values() for _, n in v)
+    assert max(sum(n for _, n in v) for v in held.values()) < 1.2 * total / 9 + max(r["size"] for r in again)
+    moved = sum(r["shard"] != first[r["doc_id"], r["text_crc32"]] for r in again)
+    assert moved < 0.35 * len(again)
