@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ from millrace.operators.density import Density, by_blocks, by_grid
 from millrace.operators.neighbors import pairs
 from millrace.operators.validate import positive_int
 from millrace.plans.components import components
-from millrace.plans.lineage import cut
+from millrace.plans.lineage import cut, drop
 from millrace.plans.ranks import hash_key, positions
 from millrace.plans.sums import matrix, vector_sum
 
@@ -23,22 +24,52 @@ from millrace.plans.sums import matrix, vector_sum
 WIDE = 2048  #: centre components beyond which plans hold no literals of them
 
 
+def _distances(x: np.ndarray, centers: np.ndarray, metric: str) -> np.ndarray:
+    """Rows by centres; squares for the euclidean metric."""
+    part = x[:, None]
+    return np.abs(part - centers).sum(axis=2) if metric == "manhattan" else ((part - centers) ** 2).sum(axis=2)
+
+
 def _cells(x: np.ndarray, centers: np.ndarray, metric: str) -> np.ndarray:
     """Number of the nearest centre; ties to the lower one."""
     out = np.zeros(len(x), np.int64)
     for i in range(0, len(x), 1024):
-        part = x[i : i + 1024, None]
-        out[i : i + 1024] = (np.abs(part - centers).sum(axis=2) if metric == "manhattan" else ((part - centers) ** 2).sum(axis=2)).argmin(axis=1)
+        out[i : i + 1024] = _distances(x[i : i + 1024], centers, metric).argmin(axis=1)
     return out
 
 
-def _cluster_sums(centers: np.ndarray, metric: str):
+def _bounded(centers: np.ndarray, metric: str):
+    """Rows x -> x, the nearest centre, its distance, and that of the next nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                col = b.column("x").slice(i, 1024)
+                away = _distances(matrix(col), centers, metric)
+                cell, at = away.argmin(axis=1), np.arange(len(away))
+                near = away[at, cell]
+                away[at, cell] = np.inf
+                far = away.min(axis=1)
+                near, far = (near, far) if metric == "manhattan" else (np.sqrt(near), np.sqrt(far))
+                yield pa.RecordBatch.from_arrays([col, pa.array(cell, pa.int32()), pa.array(near), pa.array(far)], names=["x", "cell", "near", "far"])
+
+    return run
+
+
+def _cluster_sums(centers: np.ndarray, moved: np.ndarray, metric: str):
+    """Sums and counts by cluster, and how many rows had to be compared: those that
+    the distances to the bounds' centres, less what these have ``moved`` since, leave open."""
+    most = np.array([np.delete(moved, c).max(initial=0.0) for c in range(len(moved))])
+
     def step(b: pa.RecordBatch) -> np.ndarray:
-        x = matrix(b.column("x"))
-        cell = _cells(x, centers, metric)
+        x, cell = matrix(b.column("x")), b.column("cell").to_numpy().astype(np.int64)
+        near, far = b.column("near").to_numpy() + moved[cell], b.column("far").to_numpy() - most[cell]
+        # rounding must not decide; without a move the cells are as they were computed
+        open_ = ~(near * (1 + 1e-9) < far * (1 - 1e-9)) & bool(moved.any())
+        cell[open_] = _cells(x[open_], centers, metric)
         sums = np.zeros((len(centers), x.shape[1] + 1))
         np.add.at(sums, cell, np.concatenate((x, np.ones((len(x), 1))), axis=1))
-        return sums.ravel()
+        return np.append(sums.ravel(), open_.sum())
 
     return step
 
@@ -48,10 +79,14 @@ def _nearest(x: Column, centers: list[list[float]], metric: vec.Metric) -> Colum
     return F.transform(F.array(each), vec.argmin)[0]
 
 
+def _shifts(old: list[list[float]], new: list[list[float]], metric: str) -> np.ndarray:
+    diff = np.array(new) - np.array(old)
+    return np.abs(diff).sum(axis=1) if metric.lower() == "manhattan" else np.sqrt((diff**2).sum(axis=1))
+
+
 def max_shift(old: list[list[float]], new: list[list[float]], metric: str = "euclidean") -> float:
     """The farthest that a centre has moved."""
-    diff = np.array(new) - np.array(old)
-    return float((np.abs(diff).sum(axis=1) if metric.lower() == "manhattan" else np.sqrt((diff**2).sum(axis=1))).max())
+    return float(_shifts(old, new, metric).max())
 
 
 @dataclass(frozen=True)
@@ -86,17 +121,15 @@ class KMeans:
         if centers is None:
             key = hash_key(self.seed, self.row_id) if order is None else order
             centers = [r["x"] for r in df.select(x, key.alias("k"), F.col(self.row_id).alias("i")).orderBy("k", "i").limit(self.n_clusters).collect()]
-        rows = df.select(x).persist()
         if len(centers) != self.n_clusters:
             raise ValueError("fewer rows than clusters")
+        if self.n_clusters * d > WIDE:
+            return self._fit_bounded(df.select(x), centers, d)
+        rows = df.select(x).persist()
         m, rounds = vec.metric(self.metric, d), 0
         for rounds in range(1, self.max_iter + 1):
-            if self.n_clusters * d > WIDE:
-                sums = vector_sum(rows.select("x"), _cluster_sums(np.array(centers), self.metric.lower())).reshape(-1, d + 1)
-                means = {c: (s[:-1] / s[-1]).tolist() for c, s in enumerate(sums) if s[-1]}
-            else:
-                found = rows.select("x", _nearest(F.col("x"), centers, m).alias("c")).groupBy("c").agg(*(F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(d))).collect()
-                means = {r["c"]: [r[f"x{i}"] for i in range(d)] for r in found}
+            found = rows.select("x", _nearest(F.col("x"), centers, m).alias("c")).groupBy("c").agg(*(F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(d))).collect()
+            means = {r["c"]: [r[f"x{i}"] for i in range(d)] for r in found}
             new = [means.get(c, [0.0] * d) for c in range(self.n_clusters)]
             shift = max_shift(centers, new, self.metric)
             centers = new
@@ -105,12 +138,42 @@ class KMeans:
         rows.unpersist()
         return KMeansModel(self, centers, rounds)
 
+    def _fit_bounded(self, rows: DataFrame, centers: list[list[float]], d: int) -> KMeansModel:
+        """Rows are kept with their cell and the distances of the nearest two centres.
+        A row is compared again only where the moves of the centres since then may
+        have changed its cell. The table is written anew once half of the rows are
+        compared while the centres move less than half as far as when it was written."""
+        name, schema = self.metric.lower(), "x array<double>, cell int, near double, far double"
+        write = lambda of, at: cut(of.mapInArrow(_bounded(np.array(at), name), schema))
+        table, base, anew, calm, compared, rounds = None, centers, True, np.inf, [], 0
+        for rounds in range(1, self.max_iter + 1):
+            if anew:
+                before, table, base = table, write(rows if table is None else table.select("x"), centers), centers
+                if before is not None:
+                    drop(before)
+            found = vector_sum(table, _cluster_sums(np.array(centers), _shifts(base, centers, name), name))
+            found = np.zeros(self.n_clusters * (d + 1) + 1) if found is None else found  # no rows
+            sums = found[:-1].reshape(-1, d + 1)
+            total = int(sums[:, -1].sum())
+            compared.append(total if anew else int(found[-1]))
+            new = [(s[:-1] / s[-1]).tolist() if s[-1] else [0.0] * d for s in sums]
+            shift = max_shift(centers, new, self.metric)
+            calm = shift if anew else calm
+            anew = compared[-1] > total / 2 and shift < calm / 2 and not anew
+            centers = new
+            if shift < self.tol:
+                break
+        drop(table)
+        return KMeansModel(self, centers, rounds, compared)
+
 
 @dataclass(frozen=True)
 class KMeansModel:
     params: KMeans
     centers: list[list[float]]
     n_iter: int
+    #: Rows compared with all centres in each round, where bounds are kept.
+    compared: list[int] | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``cluster``, from 0; ties to the lower one."""

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from millrace import streaming
 from millrace.functions import vec
 from millrace.operators import cluster, decomposition, density, ensemble, graph, linear, nearest, nn, tree
-from millrace.plans import ranks
+from millrace.plans import components as linked
+from millrace.plans import lineage, ranks
 
 
 def vectors(spark, x, first=0, name="row_id"):
@@ -278,6 +279,56 @@ def test_draws_of_blocks_add_up():
         assert sum(len(g) for g in got) == n and sum(int(g.sum()) for g in got) == 30_000
 
 
+# ---- connected nodes, k-means ------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["stars", "mixed", "odd", "none"])
+def test_connected_nodes(spark, kind):
+    """Equal to a plain union of sets; stars need no round."""
+    rng = np.random.default_rng(5)
+    mixed = [(i, i + 1) for i in range(100, 160)] + [(7, int(x)) for x in rng.integers(1000, 2000, 300)] + rng.integers(3000, 3400, (150, 2)).tolist() + [(-5, 2000), (2001, -5)]
+    pairs = {"stars": [(9, 1), (8, 1), (1, 7), (30, 20)], "mixed": mixed, "odd": [(3, 3), (None, 4), (5, None), (6, 2), (6, 2), (2, 6)], "none": []}[kind]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    made = []
+
+    def keep(df):
+        made.append(lineage.cut(df))
+        return made[-1]
+
+    found = linked.components(spark.createDataFrame(pairs, "a long, b long"), keep).collect()
+    got = {r["node"]: r["root"] for r in found}
+    assert len(found) == len(got) and got == {x: find(x) for x in parent if find(x) != x}
+    assert kind == "mixed" or len(made) == 1
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_kmeans_compares_only_rows_that_may_move(spark, metric):
+    """Centres as by a plain loop, round by round; comparisons are counted and fall."""
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(40, 64)) * 2)[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 64))
+    df, start = many(spark, x), x[:40].tolist()
+    centers = np.array(start)
+    for rounds in range(1, 9):
+        away = np.abs(x[:, None] - centers).sum(axis=2) if metric == "manhattan" else ((x[:, None] - centers) ** 2).sum(axis=2)
+        cell = away.argmin(axis=1)
+        centers = np.array([x[cell == c].mean(axis=0) if (cell == c).any() else np.zeros(64) for c in range(40)])
+        if rounds in (1, 2, 8):
+            m = cluster.KMeans(40, metric=metric, initial_centers=start, max_iter=rounds, tol=0.0).fit(df)
+            assert np.allclose(m.centers, centers, atol=1e-9) and m.n_iter == len(m.compared) == rounds
+    assert m.compared[0] == 6000 and min(m.compared[-2:]) < 3000 and sum(m.compared) < 8 * 6000
+    assert m.transform(df).where("cluster < 0 or cluster > 39").count() == 0
+
+
 # ---- components --------------------------------------------------------------------
 
 
