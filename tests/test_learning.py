@@ -97,6 +97,20 @@ def test_blocked_pairs_equal_broadcast_pairs(spark, monkeypatch):
     assert sorted(map(tuple, neighbors.pairwise(a, b).collect())) == want
 
 
+def test_several_distances_of_a_pair_at_once(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 5))
+    rows = spark.createDataFrame([(i, [None, *v[1:].tolist()] if i == 3 else v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    got = neighbors.pairwise(rows.where("row_id < 9"), rows, {"e": "Euclidean", "m": "manhattan"})
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {(r["a_id"], r["b_id"]): (r["e"], r["m"]) for r in got.collect()}
+    assert len(got) == 9 * 40
+    for (i, j), found in got.items():
+        away = x[i] - x[j]
+        assert found == (None, None) if 3 in (i, j) else np.allclose(found, (np.sqrt((away**2).sum()), abs(away).sum()))
+
+
 def test_logistic(spark):
     df = frame(spark, [[-2], [-1], [1], [2]], ["neg", "neg", "pos", "pos"])
     m = linear.LogisticRegression(0.1, 60, "features", "label", seed=0).fit(df)
