@@ -111,6 +111,21 @@ def test_several_distances_of_a_pair_at_once(spark, monkeypatch):
         assert found == (None, None) if 3 in (i, j) else np.allclose(found, (np.sqrt((away**2).sum()), abs(away).sum()))
 
 
+def test_callable_neighbours_leave_each_block_as_the_best(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 7)
+    x = np.random.default_rng(9).integers(0, 4, size=(50, 3)).astype(float)  # many ties
+    rows = frame(spark, x.tolist(), list(range(50)))
+    got = neighbors.KNN(4, metric=lambda a, b: abs(a - b).max()).fit(rows).kneighbors(rows.where("row_id % 5 = 0"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "Join" not in plan  # no row per pair
+    got = sorted((r["query_id"], r["rank"], r["train_id"], r["dist"], r["label"]) for r in got.collect())
+    want = []
+    for i in range(0, 50, 5):
+        near = sorted((abs(x[i] - v).max(), j) for j, v in enumerate(x))[:4]
+        want += [(i, n + 1, j, d, float(j)) for n, (d, j) in enumerate(near)]
+    assert got == want
+
+
 def test_logistic(spark):
     df = frame(spark, [[-2], [-1], [1], [2]], ["neg", "neg", "pos", "pos"])
     m = linear.LogisticRegression(0.1, 60, "features", "label", seed=0).fit(df)
