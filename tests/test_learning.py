@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,6 +371,25 @@ def test_networks_take_chunks_in_order(spark, monkeypatch):
         assert np.allclose(got, want)
 
 
+def test_wide_vectors_meet_in_blocks_once(spark):
+    x = np.random.default_rng(6).normal(size=(600, 24))
+    dist = np.linalg.norm(x[:, None] - x[None], axis=2)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "a long, x array<double>").repartition(3)
+    met = radius.blocks(rows, 5.0, "euclidean", cell_rows=15, block_rows=100)
+    assert met.count() == 600 * 7  # six blocks; cells of 15 rows would be visited by most rows
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if dist[i, j] <= 5.0}
+    got = [tuple(p) for p in radius.vector_pairs(rows, 5.0, "euclidean", cell_rows=15, block_rows=100).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_visitors_leave_in_small_batches():
+    x = np.zeros((5000, 3))
+    pivots = np.arange(300.0).reshape(100, 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist()), pa.array(np.zeros(5000, np.int64))], names=["x", "cell"])
+    got = [b.num_rows for b in radius._visits(pivots, np.full(100, np.inf), "euclidean")(iter([batch]))]
+    assert sum(got) == 5000 * 100 and max(got) <= radius.VISITS
+
+
 def test_plain_callables(spark):
     x = [[1, 1], [2, 0], [0, 2], [1.5, 0.2]]
     df = frame(spark, x, [0, 1, 1, 1])
