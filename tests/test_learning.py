@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.functions import vec
 from millrace.operators import cluster, decomposition, ensemble, graph, linear, metrics, neighbors, nn, persist, prep, radius, tree, validate, vote
 from millrace.plans import lineage, sums
@@ -390,6 +391,20 @@ def test_visitors_leave_in_small_batches():
     assert sum(got) == 5000 * 100 and max(got) <= radius.VISITS
 
 
+def test_shared_orders_shuffle_by_the_number_of_lines(spark, sf_dir, monkeypatch):
+    key, seen = "spark.sql.shuffle.partitions", []
+    monkeypatch.setattr(lineage, "TASK_ROWS", 100)
+    monkeypatch.setattr(queries, "cut", lambda df: seen.append(int(spark.conf.get(key))) or lineage.cut(df))
+    before = spark.conf.get(key)
+    queries._edges(spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert seen == [-(-lines // 100)] and spark.conf.get(key) == before
+    with pytest.raises(RuntimeError), lineage.spread(spark, 10):
+        assert spark.conf.get(key) == before  # never fewer
+        raise RuntimeError
+    assert spark.conf.get(key) == before
+
+
 def test_plain_callables(spark):
     x = [[1, 1], [2, 0], [0, 2], [1.5, 0.2]]
     df = frame(spark, x, [0, 1, 1, 1])
