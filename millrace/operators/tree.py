@@ -9,6 +9,8 @@ the larger is their parent minus it. Prefix sums in the order of codes give the
 left side of every threshold; they go range of codes by range of codes, so no
 window holds a whole feature. The best split of each node, a row per node of the
 model, goes to the driver, and rows move to the left (code <= split) or right.
+Where features have so few values that there are at most ``CELLS`` different
+vectors, rows equal in all of them are added up once, before the first level.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from millrace.plans.sums import matrix
 
 RANGE_ROWS = 65_536  #: codes of a range
 DICTIONARY = 1 << 20  #: different values up to which every task holds their list
+CELLS = 1 << 18  #: possible vectors up to which equal ones become one row with sums
 DIGITS = 12  #: gains equal in that many decimals are ties: lowest feature, then lowest threshold
 
 
@@ -136,19 +139,19 @@ def _codes_of(values: list[np.ndarray], first: list[int]):
                 x = matrix(b.column("x"))
                 codes = np.stack([f + np.searchsorted(v, c) for f, v, c in zip(first, values, x.T)], axis=1)
                 at = pa.array(np.arange(0, codes.size + 1, codes.shape[1]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("tree"), pa.ListArray.from_arrays(at, pa.array(codes.ravel())), b.column("y"), b.column("w")], names=["tree", "x", "y", "w"])
+                rest = [c for c in b.schema.names if c not in ("tree", "x")]
+                yield pa.RecordBatch.from_arrays([b.column("tree"), pa.ListArray.from_arrays(at, pa.array(codes.ravel())), *(b.column(c) for c in rest)], names=["tree", "x", *rest])
 
     return run
 
 
-CODED = "tree int, x array<long>, y double, w double"
-
-
-def coded(rows: DataFrame, d: int, dictionary: int = DICTIONARY) -> tuple[DataFrame, DataFrame, list[int], int, np.ndarray | None]:
+def coded(rows: DataFrame, d: int, dictionary: int = DICTIONARY, stats=None, cells: int = 0) -> tuple[DataFrame, DataFrame, list[int], int, np.ndarray | None]:
     """``rows`` (tree, x, y, w) with codes in place of values, the values (code,
     feature, value), the first code of each feature, and how many there are. Up
     to ``dictionary`` different values every task looks them up in a list, which
-    is given too; more are joined, each row's values once."""
+    is given too; more are joined, each row's values once. Where the values make at
+most ``cells`` vectors, equal ones are one row with their ``stats`` and the least
+and largest y (lo, hi) instead of y and w."""
     own = cut(rows.select(F.col("tree").cast("int").alias("tree"), "x", "y", "w"))
     values = positions(own.select(F.posexplode("x").alias("feature", "value")).distinct(), F.col("feature"), F.col("value"), name="code")
     firsts = {r["feature"]: (r["c"], r["n"]) for r in values.groupBy("feature").agg(F.min("code").alias("c"), F.count("*").alias("n")).collect()}
@@ -157,7 +160,10 @@ def coded(rows: DataFrame, d: int, dictionary: int = DICTIONARY) -> tuple[DataFr
     if width <= dictionary:
         held = values.orderBy("code").toPandas()["value"].to_numpy()
         lists = [held[firsts[f][0] : sum(firsts[f])] for f in range(d)] if firsts else [np.zeros(0)] * d
-        return own.mapInArrow(_codes_of(lists, first), CODED), values, first, width, held
+        if stats is not None and firsts and math.prod(n for _, n in firsts.values()) <= cells:
+            own = own.groupBy("tree", "x").agg(*(t.alias(n) for t, n in zip(stats.terms(F.col("y"), F.col("w")), stats.names)), F.min("y").alias("lo"), F.max("y").alias("hi"))
+        shape = ", ".join(["tree int, x array<long>", *(f"{c} double" for c in own.columns[2:])])
+        return own.mapInArrow(_codes_of(lists, first), shape), values, first, width, held
     marked = cut(own.withColumn("i", F.monotonically_increasing_id()))
     each = marked.select("i", F.posexplode("x").alias("feature", "value")).join(values, ["feature", "value"])
     back = each.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "code"))), lambda e: e["code"]).alias("x"))
@@ -165,7 +171,7 @@ def coded(rows: DataFrame, d: int, dictionary: int = DICTIONARY) -> tuple[DataFr
 
 
 def _histogram(stats, nodes: np.ndarray, tried: np.ndarray | None, width: int, held: int = 1 << 18):
-    """Rows (tree, node, x, y, w) -> sums by node and code for the nodes asked
+    """Rows (tree, node, x, and y, w or sums) -> sums by node and code for the nodes asked
     for: ``nodes`` has the place in the level's list by tree and node (else -1),
     ``tried`` which features count at each place."""
 
@@ -187,7 +193,10 @@ def _histogram(stats, nodes: np.ndarray, tried: np.ndarray | None, width: int, h
                 continue
             codes = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)[own]
             key = place[own][:, None] * width + codes
-            w = np.stack(stats.weights(b.column("y").to_numpy()[own], b.column("w").to_numpy()[own]))
+            if "y" in b.schema.names:
+                w = np.stack(stats.weights(b.column("y").to_numpy()[own], b.column("w").to_numpy()[own]))
+            else:
+                w = np.stack([b.column(n).to_numpy()[own] for n in stats.names])
             w = np.repeat(w, codes.shape[1], axis=1)
             if tried is not None:
                 use = tried[place[own]].ravel()
@@ -232,14 +241,18 @@ def grow(rows: DataFrame, d: int, stats, rules: Rules, range_rows: int = RANGE_R
     rows, nodes are numbered within their level, so trees may be of any depth."""
     spark = rows.sparkSession
     trees: dict[int, dict[int, Node]] = {}
-    found, values, first, width, held = coded(rows, d, dictionary)
+    found, values, first, width, held = coded(rows, d, dictionary, stats, CELLS)
     rows = cut(found.withColumn("node", F.lit(0)))
     names, depth = stats.names, 0
+    carried = found.columns[2:]  # y and w, or sums
+    if "y" in carried:
+        agg = [t.alias(n) for t, n in zip(stats.terms(F.col("y"), F.col("w")), names)] + [F.min("y").alias("lo"), F.max("y").alias("hi")]
+    else:
+        agg = [F.sum(n).alias(n) for n in names] + [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     heap: dict[tuple[int, int], int] = {}  # heap number by tree and number in the level
     above: tuple[DataFrame, dict[tuple[int, int], int]] | None = None  # the parents' sums and places
     while True:
-        agg = [t.alias(n) for t, n in zip(stats.terms(F.col("y"), F.col("w")), names)]
-        level = rows.groupBy("tree", "node").agg(*agg, F.min("y").alias("lo"), F.max("y").alias("hi")).collect()
+        level = rows.groupBy("tree", "node").agg(*agg).collect()
         active = []
         for r in sorted(level, key=lambda r: (r["tree"], r["node"])):
             node, at = stats.node(r), heap.get((r["tree"], r["node"]), 1)
@@ -302,7 +315,7 @@ def grow(rows: DataFrame, d: int, stats, rules: Rules, range_rows: int = RANGE_R
             splits.append((t, n, 2 * i, r["feature"], r["code"]))
             below |= {(t, 2 * i): 2 * at_, (t, 2 * i + 1): 2 * at_ + 1}
         s = spark.createDataFrame(splits, "tree int, node int, child int, f int, t long")
-        moved = rows.join(s, ["tree", "node"]).select("tree", (F.col("child") + (F.get("x", "f") > F.col("t")).cast("int")).alias("node"), "x", "y", "w")
+        moved = rows.join(s, ["tree", "node"]).select("tree", (F.col("child") + (F.get("x", "f") > F.col("t")).cast("int")).alias("node"), "x", *carried)
         rows, before, heap = cut(moved), rows, below
         # places of the parents under the numbers that their children come from
         gone = [above[0]] if above else []

@@ -405,6 +405,20 @@ def test_shared_orders_shuffle_by_the_number_of_lines(spark, sf_dir, monkeypatch
     assert spark.conf.get(key) == before
 
 
+def test_equal_vectors_are_one_row_of_sums_in_trees(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x, y = r.integers(0, 4, (500, 2)), r.integers(0, 50, 500)
+    rows = spark.createDataFrame([(0, v.tolist(), float(t), 1.0) for v, t in zip(x.astype(float), y)], "tree int, x array<double>, y double, w double")
+    stats = tree._Moments(0.0)
+    held = tree.coded(rows, 2, stats=stats, cells=16)[0]
+    assert held.count() == 16 and held.agg(F.sum("m0"), F.sum("m1")).first()[:] == (500.0, float(y.sum()))
+    assert tree.coded(rows, 2, stats=stats, cells=15)[0].count() == 500
+    rules = tree.Rules(max_depth=3, max_features=1, draw=lambda t, n: [n % 2])
+    some = tree.grow(rows, 2, stats, rules)
+    monkeypatch.setattr(tree, "CELLS", 0)
+    assert tree.grow(rows, 2, stats, rules) == some and len(some[0]) > 5
+
+
 def test_plain_callables(spark):
     x = [[1, 1], [2, 0], [0, 2], [1.5, 0.2]]
     df = frame(spark, x, [0, 1, 1, 1])
