@@ -419,6 +419,17 @@ def test_equal_vectors_are_one_row_of_sums_in_trees(spark, monkeypatch):
     assert tree.grow(rows, 2, stats, rules) == some and len(some[0]) > 5
 
 
+def test_shared_orders_keep_their_partitions(spark, sf_dir, monkeypatch):
+    key, seen = "spark.sql.adaptive.coalescePartitions.enabled", []
+    monkeypatch.setattr(lineage, "TASK_ROWS", 100)
+    monkeypatch.setattr(queries, "cut", lambda df: seen.append(df.rdd.getNumPartitions()) or lineage.cut(df))
+    before = spark.conf.get(key)
+    queries._edges(spark, sf_dir)
+    assert seen == [-(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 100)] and spark.conf.get(key) == before
+    with lineage.spread(spark, 100):  # one task's worth
+        assert spark.conf.get(key) == before
+
+
 def test_plain_callables(spark):
     x = [[1, 1], [2, 0], [0, 2], [1.5, 0.2]]
     df = frame(spark, x, [0, 1, 1, 1])
