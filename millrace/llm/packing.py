@@ -21,7 +21,9 @@ Token ids never leave the pass that makes them: it emits lengths and checksums.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,38 +39,81 @@ from millrace.llm.scratch import Scratch
 _CACHE_WORDS = 600_000
 
 
+#: Words of lower-case letters, then any ASCII symbols: the split of the
+#: tokenizer below parts them there, and normalisation leaves the letters as they are.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)[!-/:-@\[-`{-~]*")
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
 class WordEncoder:
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so the ids of a
     text are those of its white-space-separated words in order; words are
-    encoded once and remembered, up to a bounded number.
+    encoded once and remembered, up to a bounded number. Letters before symbols
+    are remembered by themselves, and with a tokenizer whose normalizer and split
+    are those above they go straight to its model.
     """
 
     def __init__(self, path: str, end_id: int | None = 1):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok, self.known = Tokenizer.from_file(path), {}
+        self.tok, self.known, self.letters = Tokenizer.from_file(path), {}, None
         self.end = b"" if end_id is None else end_id.to_bytes(4, "little")
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        model, steps = made["model"], (made["pre_tokenizer"] or {}).get("pretokenizers") or [None]
+        suffix = model.get("end_of_word_suffix")
+        if suffix and not model.get("dropout") and made["normalizer"] == _NORMALIZER and steps[0] == _SPLIT and [s["type"] for s in steps[1:]] == ["ByteLevel"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"] and not made["post_processor"]:
+            self.letters = Tokenizer(self.tok.model)
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            #: whether a token ends a word
+            self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.last[[i for w, i in model["vocab"].items() if w.endswith(suffix)]] = True
 
     def __call__(self, text: str | None) -> bytes:
         data = (text or "").encode("utf-8", "replace")
         # the tokenizer lower-cases; names of special tokens are matched before that
         words = (data if b"<|" in data else data.lower()).split()
+        ids = list(map(self.known.get, words))
+        if not all(ids):  # words without ids are b"", words not met yet None
+            new = [i for i, x in enumerate(ids) if x is None]
+            self._learn({words[i] for i in new})
+            for i in new:
+                ids[i] = self.known[words[i]]
+        return b"".join(ids) + self.end
+
+    def _learn(self, new: set[bytes]) -> None:
         known = self.known
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) + len(new) > _CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                e = self.tok.encode([w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
-                ids, cut = np.array(e.ids, "<u4").tobytes(), np.zeros(len(part) + 1, np.int64)
-                cut[1:] = 4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
-                known.update((w, ids[s:t]) for w, s, t in zip(part, cut[:-1].tolist(), cut[1:].tolist()))
-        return b"".join(map(known.__getitem__, words)) + self.end
+        if len(known) + 3 * len(new) > _CACHE_WORDS:
+            known.clear()
+        cut = [(w, m[1], w[m.end(1) :]) for w in new if self.letters and (m := _PLAIN.fullmatch(w))]
+        self._encode_letters([c for c in {c for _, c, _ in cut} if c not in known])
+        self._encode([w for w in new.difference(w for w, _, _ in cut).union(s for _, _, s in cut if s) if w not in known])
+        known.update((w, known[c] + known[s]) for w, c, s in cut if s)
+
+    def _encode(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            e = self.tok.encode([w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
+            ends = np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+            self._keep(part, np.array(e.ids, "<u4"), ends)
+
+    def _encode_letters(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 256):
+            part = words[i : i + 256]
+            ids = np.array(self.letters.encode_batch_fast([b" ".join(part).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                self._keep(part, ids, ends)
+            else:  # a letter is not in the vocabulary
+                self._encode(part)
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        self.known.update((w, data[s:t]) for w, s, t in zip(words, at, at[1:]))
 
 
 @functools.cache

@@ -171,6 +171,42 @@ def test_repeats_in_long_texts_repeated_rows_and_none(spark, none):
 # ---- 3 ---------------------------------------------------------------------------
 
 
+def test_letters_go_straight_to_the_model(tmp_path, monkeypatch):
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    class Spy:
+        def __init__(self, tok):
+            self.tok, self.seen = tok, []
+
+        def encode(self, words, **how):
+            self.seen += words
+            return self.tok.encode(words, **how)
+
+    enc = packing.WordEncoder(tokenizer_path(), None)
+    enc.tok = spy = Spy(enc.tok)
+    text = "Stone stone. stone!? straße été, \u00c9t\u00e9 it's stone's. a1 (stone) <|endoftext|>."
+    whole = lambda tok, x: np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    assert enc(text) == whole(spy.tok, text)
+    assert "stone" in map(bytes.decode, enc.known) and not {"stone", "stone.", "straße", "été", "été,"} & set(spy.seen)
+    r, letters = random.Random(5), "aeistß\u00e9\u00c9\u0301\u0338\u00aa\u00d7'.,!#<|>1\u00b2\u4e2d\u00a0 \n\x00"
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 500)
+    for _ in range(2000):
+        text = "".join(r.choices(letters, k=r.randint(0, 12)))
+        assert enc(text) == whole(spy.tok, text), repr(text)
+    # another split: no shortcut
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        made = json.load(f)
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[\\p{L}]|[^\\s\\p{L}]"
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(made, f)
+    text = "stone, stones. été"
+    assert packing.WordEncoder(path, None)(text) == whole(Tokenizer.from_file(path), text) != whole(spy.tok, text)
+
+
 def test_packing_places_every_token_once(spark, docs, texts, none):
     from tokenizers import Tokenizer
 
