@@ -36,7 +36,8 @@ class Scratch:
     def release(self) -> None:
         """Ask the driver's JVM to collect garbage, after a step that shuffled
         whole texts: its shuffles are then unreferenced and the context cleaner
-        deletes their files long before its own round of every half hour."""
+        deletes their files long before its own round of every half hour. The
+        driver's heap, which thousands of tasks have widened, shrinks again."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

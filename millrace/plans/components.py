@@ -4,8 +4,8 @@ Every round is two aggregations and two equi-joins on node ids. A hub's edges
 are never gathered into one group: only the minimum of a node's neighbours is
 aggregated (partial minima first). Minima are written before they are joined
 back, so that the join reads two plain shuffles and adaptive execution can split
-a hub's share of it. Links and labels stay on the executors;
-the driver sees two counts per round. Rounds end once the edges are stars around
+a hub's share of it. The joins are merges, for a broadcast would pass links and
+labels through the driver, round after round; it sees two counts per round. Rounds end once the edges are stars around
 the smallest nodes, which one aggregation by node tells.
 """
 
@@ -49,10 +49,10 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut, d
         tasks = max(cores, -(-n // TASK_EDGES))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks))
-        large = keep(both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks))
+        large = keep(both.join(low.hint("merge"), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks))
         drop(low)
         low = keep(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks))
-        small = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(low.hint("merge"), "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = keep(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct().coalesce(tasks))
         drop(large, low, e)
         e = small

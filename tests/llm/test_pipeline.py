@@ -107,6 +107,19 @@ def test_near_dedup_links_all_similar_texts(spark, sf_dir):
     assert len(set(label)) < len(ids) - 20
 
 
+def test_common_members_are_few_for_the_driver(spark):
+    """The commonest, about as many as asked for, whatever the number of tasks."""
+    tokens = np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, 3000)
+    counts = 1 + np.arange(3000) % 12
+    rows = spark.createDataFrame([(int(t),) for t, n in zip(tokens, counts) for _ in range(n)], "token long").repartition(20)
+    got = shingles.common_members(rows, Scratch(spark, "t"), most=600)
+    top, ties = tokens[counts > 10], np.sort(tokens[counts == 10])
+    assert 560 < len(got) < 640
+    assert got.tolist() == sorted([*top.tolist(), *ties[: len(got) - 500].tolist()])
+    assert shingles.common_members(rows, Scratch(spark, "t")).tolist() == sorted(tokens[counts > 3].tolist())
+    assert len(shingles.common_members(rows.limit(0), Scratch(spark, "t"))) == 0
+
+
 def test_a_large_group_of_near_copies_costs_few_comparisons(spark):
     """1500 texts, most pairs just under the similarity: the classes of brute force, by few set comparisons."""
     r = random.Random(12)

@@ -311,6 +311,20 @@ def test_connected_nodes(spark, kind):
     assert kind == "mixed" or len(made) == 1
 
 
+def test_rounds_of_components_broadcast_nothing(spark):
+    """Small as they are, links and labels are joined by merges, not by way of the driver."""
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return lineage.cut(df)
+
+    pairs = [(i, i + 1) for i in range(50)]
+    found = linked.components(spark.createDataFrame(pairs, "a long, b long"), keep).collect()
+    assert sorted(map(tuple, found)) == [(i, 0) for i in range(1, 51)]
+    assert sum("SortMergeJoin" in p for p in plans) > 1 and not any("Broadcast" in p for p in plans)
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
 def test_kmeans_compares_only_rows_that_may_move(spark, metric):
     """Centres as by a plain loop, round by round; comparisons are counted and fall."""
