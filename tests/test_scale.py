@@ -245,6 +245,28 @@ def test_propagation_is_the_loop_over_its_order(spark):
     assert rounds[0]["voted"] == 82 and rounds[-1]["changed"] == 0 and rounds[-1]["voted"] < 82
 
 
+def test_color_order_ends_when_no_label_changes(spark, tmp_path):
+    """A chain of suppliers, each of which shares 30 orders with the next, takes more than two rounds."""
+    from millrace.queries import QUERIES
+
+    lines = [(30 * i + k, s) for i in range(15) for k in range(30) for s in (i, i + 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i,) for i in range(16)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = {r["id"]: (r["label"], r["wave"]) for r in QUERIES["M12_R7_color_order"](spark, str(tmp_path)).collect()}
+    label, rounds, moved = list(range(16)), 0, True
+    while moved:
+        moved, rounds = False, rounds + 1
+        for v in sorted(range(16), key=lambda v: (rows[v][1], v)):
+            near = [label[u] for u in (v - 1, v + 1) if 0 <= u < 16]
+            best = min(near, key=lambda x: (-near.count(x), x))
+            moved, label[v] = moved or best != label[v], best
+    assert rounds > 3 and [rows[v][0] for v in range(16)] == label
+    with pytest.raises(ValueError):
+        graph.LabelPropagation(None)
+    with pytest.raises(ValueError):
+        graph.LabelPropagation(None, order="colors").run(*graph_of(spark, 3, [(0, 1)]), wave=F.lit(0))
+
+
 def test_cliques_beyond_the_colours_are_refused(spark, monkeypatch):
     monkeypatch.setattr(graph, "MAX_COLORS", 4)
     vertices, edges = graph_of(spark, 5, itertools.combinations(range(5), 2))
